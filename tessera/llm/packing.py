@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 
-CACHE_ENTRIES = 400_000
+#: Distinct words that a worker remembers before it starts anew.
+CACHE_ENTRIES = 500_000
 #: Rows ranked by one window group, about.
 RANK_ROWS = 50_000
 PIECES = "doc_id {kind}, row_key long, piece int, start long, length long, ids_crc32 long"
@@ -98,22 +99,51 @@ def best_fit_rules(histogram: dict[int, int], capacity: int) -> list[tuple[int,
 
 
 class _Ids(dict):
-    """Word to its ids, as little-endian unsigned 32-bit bytes."""
+    """Word, with A-Z in lower case, to its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer_file: str):
-        import numpy as np
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(tokenizer_file)
-        self.encode = lambda words: [np.asarray(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in words]
+        self.library = Tokenizer.from_file(tokenizer_file)
+        self.marks = {x: self._alone(x) for x in (b".", b",")}
+        (self.stop,) = self.library.encode(chr(0), add_special_tokens=False).ids
+
+    def _alone(self, word: bytes) -> bytes:
+        import numpy as np
+
+        return np.asarray(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, words: list[bytes]) -> None:
+        """One call for many words, with a NUL word between them; words with NUL go alone."""
+        import numpy as np
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [x for x in dict.fromkeys(words) if x not in self]
-        if new:
-            if len(self) + len(new) > CACHE_ENTRIES:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            self.update(zip(new, self.encode([x.decode() for x in new])))
+        plain = [x for x in words if b"\0" not in x]
+        ids = np.asarray(self.library.encode(" \0 ".join(x.decode() for x in plain), add_special_tokens=False).ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.stop), len(ids)) * 4
+        data, at = ids.tobytes(), 0
+        if plain:
+            for word, end in zip(plain, ends.tolist(), strict=True):
+                self[word] = data[at:end]
+                at = end + 4
+        for word in words:
+            if b"\0" in word:
+                self[word] = self._alone(word)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Afterwards all of words are keys."""
+        new = [x for x in words if x not in self]
+        if len(self) + len(new) > CACHE_ENTRIES:
+            self.clear()
+            new = list(words)
+        # A last mark after an ASCII letter or digit is a token of its own for this tokenizer.
+        marked = [x for x in new if x[-1:] in self.marks and x[-2:-1].isalnum()]
+        whole = {x[:-1] for x in marked}
+        whole.update(new)
+        whole.difference_update(marked)
+        self._encode([x for x in whole if x not in self])
+        for x in marked:
+            base = x[:-1]
+            self[x] = (self[base] if base in self else self._alone(base)) + self.marks[x[-1:]]
 
 
 _ids: dict[str, _Ids] = {}
@@ -121,12 +151,33 @@ _ids: dict[str, _Ids] = {}
 
 def word_ids(tokenizer_file: str) -> _Ids:
     """The tokenizer drops white space and merges within words only, so a text's ids are its
-    words' ids in a row; each distinct word goes to the library once while it is remembered."""
+    words' ids in a row; it takes letters in lower case. Each distinct word goes to the library
+    once while it is remembered."""
     if tokenizer_file not in _ids:
         _ids[tokenizer_file] = _Ids(tokenizer_file)
     return _ids[tokenizer_file]
 
 
+def encoded(texts, ids: _Ids) -> Iterator[bytes]:
+    """The ids of each text, looked up after the new words of a few texts are learnt at once."""
+    waiting: list[list[bytes]] = []
+    size = 0
+
+    def flush() -> Iterator[bytes]:
+        ids.learn({w for ws in waiting for w in ws})
+        for ws in waiting:
+            yield b"".join(map(ids.__getitem__, ws))
+
+    for t in texts:
+        waiting.append(t.as_py().encode().lower().split())
+        size += len(waiting[-1])
+        if size > 50_000:
+            yield from flush()
+            waiting.clear()
+            size = 0
+    yield from flush()
+
+
 def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of at most `capacity` tokens of each document, ids then the end id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -137,13 +188,7 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int)
         ids, end = word_ids(tokenizer_file), int(end_id).to_bytes(4, "little")
         for b in batches:
             rows: list[tuple] = []
-            for i, t in enumerate(b.column(2)):
-                words = t.as_py().encode().split()
-                data = bytearray()
-                for k in range(0, len(words), 50_000):
-                    part = words[k : k + 50_000]
-                    ids.learn(part)
-                    data += b"".join(map(ids.__getitem__, part))
+            for i, data in enumerate(encoded(b.column(2), ids)):
                 data += end
                 view = memoryview(data)
                 for p, at in enumerate(range(0, len(data), 4 * capacity)):
