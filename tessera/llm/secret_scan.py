@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 2000
-MIN_RATIO = 0.9
+MIN_RATIO = 1.7
 BLOCK = 256
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
@@ -81,12 +81,14 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled samples of identifiers: the words of n documents, base matches left out."""
+    """Labelled samples of identifiers: the words of 4 to 19 characters of n documents, base
+    matches left out (longer ones are the candidates that the model is to judge)."""
     text = text_of(docs)
     for pattern in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, pattern, " ")
     some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    return some.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), 0)).alias("text"), F.lit(False).alias("secret"))
+    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), 0)
+    return some.select(F.explode(F.filter(words, lambda w: F.length(w) < 20)).alias("text"), F.lit(False).alias("secret"))
 
 
 def fit_ratios(samples: DataFrame) -> list[float]:
