@@ -18,6 +18,7 @@ where they differ); other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -99,51 +100,41 @@ def best_fit_rules(histogram: dict[int, int], capacity: int) -> list[tuple[int,
 
 
 class _Ids(dict):
-    """Word, with A-Z in lower case, to its ids as little-endian unsigned 32-bit bytes."""
+    """Word, with A-Z in lower case, to its ids as little-endian unsigned 32-bit bytes.
+
+    A word of Latin-1 letters is one pre-token that the normalizer leaves alone, so it goes
+    to the library's merges directly; so does one with a full stop or comma behind it, which
+    the pre-tokenizer splits off. All other words go through the whole library."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.marks = {x: self._alone(x) for x in (b".", b",")}
-        (self.stop,) = self.library.encode(chr(0), add_special_tokens=False).ids
-
-    def _alone(self, word: bytes) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode(self, words: list[bytes]) -> None:
-        """One call for many words, with a NUL word between them; words with NUL go alone."""
-        import numpy as np
-
-        plain = [x for x in words if b"\0" not in x]
-        ids = np.asarray(self.library.encode(" \0 ".join(x.decode() for x in plain), add_special_tokens=False).ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.stop), len(ids)) * 4
-        data, at = ids.tobytes(), 0
-        if plain:
-            for word, end in zip(plain, ends.tolist(), strict=True):
-                self[word] = data[at:end]
-                at = end + 4
-        for word in words:
-            if b"\0" in word:
-                self[word] = self._alone(word)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Afterwards all of words are keys."""
-        new = [x for x in words if x not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
+        self.merges = self.library.model.tokenize
+        self.marks = {x: self._whole(x) for x in (".", ",")}
+        # The byte-level alphabet: bytes that do not print stand at 256 and up, in order.
+        odd = [x for x in range(256) if x <= 32 or 127 <= x <= 160 or x == 173]
+        self.shown = {x: 256 + i for i, x in enumerate(odd)}
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
             self.clear()
-            new = list(words)
-        # A last mark after an ASCII letter or digit is a token of its own for this tokenizer.
-        marked = [x for x in new if x[-1:] in self.marks and x[-2:-1].isalnum()]
-        whole = {x[:-1] for x in marked}
-        whole.update(new)
-        whole.difference_update(marked)
-        self._encode([x for x in whole if x not in self])
-        for x in marked:
-            base = x[:-1]
-            self[x] = (self[base] if base in self else self._alone(base)) + self.marks[x[-1:]]
+        if key.isalpha():
+            ids = array("I", [x.id for x in self.merges(key.decode())]).tobytes()
+        else:
+            word = key.decode()
+            if word.isalpha() and max(word) <= "\xff":
+                shown = word.lower().encode().decode("latin-1").translate(self.shown)
+                ids = array("I", [x.id for x in self.merges(shown)]).tobytes()
+            elif word[-1] in self.marks and word[-2:-1].isalpha() and word[-2] <= "\xff":
+                ids = self[word[:-1].encode()] + self.marks[word[-1]]
+            else:
+                ids = self._whole(word)
+        self[key] = ids
+        return ids
 
 
 _ids: dict[str, _Ids] = {}
@@ -159,23 +150,8 @@ def word_ids(tokenizer_file: str) -> _Ids:
 
 
 def encoded(texts, ids: _Ids) -> Iterator[bytes]:
-    """The ids of each text, looked up after the new words of a few texts are learnt at once."""
-    waiting: list[list[bytes]] = []
-    size = 0
-
-    def flush() -> Iterator[bytes]:
-        ids.learn({w for ws in waiting for w in ws})
-        for ws in waiting:
-            yield b"".join(map(ids.__getitem__, ws))
-
     for t in texts:
-        waiting.append(t.as_py().encode().lower().split())
-        size += len(waiting[-1])
-        if size > 50_000:
-            yield from flush()
-            waiting.clear()
-            size = 0
-    yield from flush()
+        yield b"".join(map(ids.__getitem__, t.as_py().encode().lower().split()))
 
 
 def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:
