@@ -18,6 +18,9 @@ CHUNK = 1 << 20
 U = np.uint64
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: ASCII other than letters and digits: separators of words without punctuation.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[:128] = [not chr(x).isalnum() for x in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -54,9 +57,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans(data: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, text_starts: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words; none crosses a text's start."""
-    inside = ~_IS_SPACE[data]
+    inside = ~separators[data]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
@@ -99,7 +102,7 @@ def raw(column) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
-def word_hashes(column, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_hashes(column, lower: bool = False, separators: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges of rows of a string column without nulls: first row, end row, the hashes of
     their words in order, and where each row's words start (with the end)."""
     data, offsets = raw(column)
@@ -111,16 +114,16 @@ def word_hashes(column, lower: bool = False) -> Iterator[tuple[int, int, np.ndar
             found, at = [], 0
             while at < len(part):
                 to = min(at + CHUNK, len(part))
-                while to < len(part) and not _IS_SPACE[part[to]]:
+                while to < len(part) and not separators[part[to]]:
                     to += 1
                 piece = part[at:to]
-                found.append(hashes(piece, *spans(piece, np.zeros(0, np.int64))))
+                found.append(hashes(piece, *spans(piece, np.zeros(0, np.int64), separators)))
                 at = to
             h = np.concatenate(found)
             yield a, z, h, np.array([0, len(h)])
         else:
             local = offsets[a : z + 1] - offsets[a]
-            s, e = spans(part, local[:-1])
+            s, e = spans(part, local[:-1], separators)
             yield a, z, hashes(part, s, e), np.searchsorted(s, local)
 
 
