@@ -190,8 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_quality").limit(sample_rows)
     )
     joined = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    got = joined.where(~F.col("base_failed")).select(F.xxhash64("doc_id").alias("_h"), "_quality", *(v.alias(k) for k, v in features().items()))
-    rows = sorted(got.limit(4 * sample_rows).collect())
+    # base_failed is tested after the join: as a filter it would be pushed to all documents.
+    got = joined.select(F.xxhash64("doc_id").alias("_h"), "_quality", *(v.alias(k) for k, v in features().items()), "base_failed")
+    rows = sorted(r for r in got.limit(4 * sample_rows).collect() if not r["base_failed"])
     if not rows:
         return ()
     columns = {k: np.array([r[k] for r in rows], float) for k in features()}

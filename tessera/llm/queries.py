@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules, secret_scan, token_counts
+from . import decontamination, minhash, packing, quality_rules, secret_scan, token_counts
 from .common import table
 
 
@@ -36,11 +36,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 4096, 1)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLE: dict[str, str] = {}
