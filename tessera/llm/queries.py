@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lattice_lm, minhash, packing, quality_rules, secret_scan, token_counts
+from . import decontamination, lattice_lm, minhash, packing, quality_rules, radix_dedup, secret_scan, substring_dedup, token_counts
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lm_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -44,13 +48,19 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op10_radix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
+    "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_quality_rules": op5_quality_rules,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_radix_sort_dedup": op10_radix_sort_dedup,
 }
 ORACLE: dict[str, str] = {}
