@@ -9,14 +9,17 @@ coordinates share a bucket.
 Candidates, without all pairs of a bucket: first each member with the bucket's smallest
 (a star), verified on full sets and joined into components; then, in buckets that still
 hold several components, members outside the smallest one's component against the whole
-bucket, in blocks of about BLOCK members, pairs of one component left out. Candidates whose
-signatures agree in too few places (five standard deviations under the threshold) are dropped
-before the full sets are compared. Two texts at the threshold share no bucket with
+bucket, in blocks of about BLOCK members. A block takes a pair in the first band that the two
+share, leaves out pairs that are connected already, compares full sets itself and emits only
+links that join components, so no list of pairs is ever made. Candidates whose signatures
+agree in too few places (five standard deviations under the threshold) are dropped before
+full sets are compared. Two texts at the threshold share no bucket with
 probability (1 - t**ROWS)**BANDS, 3e-6 at 0.8 and 2e-8 at 0.85.
 
 Defined results: null texts, empty ones and ones without words have the empty set and are
 linked with nothing; fewer words than a shingle make one shingle of all of them; rows that
-repeat a doc_id are one document (that of the least set); other columns are ignored.
+repeat a doc_id give a row each, and the links of any of them are that doc_id's; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 from .graph import components
+from .repeats import packed_texts
 
-SHINGLE, BANDS, ROWS, BLOCK = 5, 24, 4, 256
+SHINGLE, BANDS, ROWS, BLOCK = 5, 24, 4, 512
 PLACES = BANDS * ROWS
 KEY = ["n_shingles", "h1", "h2"]
 
@@ -150,34 +154,86 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+def _verified(pairs: DataFrame, packed: DataFrame, percent: int, n: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have percent of their union in common."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
+        expand = zstandard.ZstdDecompressor().decompress
         for x in batches:
             keep = []
-            left = shingle_sets(x.column(2), n)
-            right = shingle_sets(x.column(3), n)
+            left, right = (shingle_sets(pa.array([expand(z) for z in x.column(k).to_pylist()], pa.binary()), n) for k in (2, 3))
             for (_, s), (_, t) in zip(left, right, strict=True):
                 both = np.intersect1d(s, t, assume_unique=True).size
                 keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
             yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select("doc_id", text_of(docs).alias("text"))
-    joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    joined = pairs.join(packed.toDF("b", "z_b"), "b").join(packed.toDF("a", "z_a"), "a").select("a", "b", "z_a", "z_b")
     kind = pairs.schema["a"].dataType.simpleString()
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _within(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components from bucket members (key, id, component, sig,
-    inside: of the smallest member's component)."""
-    least, kind = least_agreement(threshold), members.schema["id"].dataType.simpleString()
+class _Block:
+    """Links between documents of a block, found once per pair and only across components."""
+
+    def __init__(self, x, percent: int, n: int, least: int):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        self.ids, self.comp, self.inside = (x.column(c).to_numpy(zero_copy_only=False).copy() for c in ("id", "component", "inside"))
+        self.cross, self.band = x.column("t")[0].as_py() == 0, x.column("band")[0].as_py()
+        self.sig = np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
+        self.bands = x.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.sets = [s for _, s in shingle_sets(pa.array([expand(z) for z in x.column("z").to_pylist()], pa.binary()), n)]
+        self.percent, self.least = percent, least
+
+    def similar(self, i: int, j: int) -> bool:
+        import numpy as np
+
+        s, t = self.sets[i], self.sets[j]
+        both = np.intersect1d(s, t, assume_unique=True).size
+        return both > 0 and 100 * both >= self.percent * (len(s) + len(t) - both)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        import numpy as np
+
+        one, two = (np.flatnonzero(self.inside), np.flatnonzero(~self.inside)) if self.cross else (np.arange(len(self.ids)),) * 2
+        for at in range(0, len(one), 64):
+            left = one[at : at + 64]
+            agree = (self.sig[left][:, None, :] == self.sig[two][None, :, :]).sum(2)
+            same_band = self.bands[left][:, None, :] == self.bands[two][None, :, :]
+            agree[(agree < self.least) | (same_band.argmax(2) != self.band)] = 0
+            if not self.cross:
+                agree[left[:, None] >= two[None, :]] = 0
+            while True:  # the likeliest open pair of each row, until none is left
+                agree[self.comp[left][:, None] == self.comp[two][None, :]] = 0
+                best = agree.argmax(1)
+                rows = np.flatnonzero(agree[np.arange(len(left)), best])
+                if not len(rows):
+                    break
+                for r in rows:
+                    i, j = left[r], two[best[r]]
+                    agree[r, best[r]] = 0
+                    if self.comp[i] != self.comp[j] and self.similar(i, j):
+                        self.comp[self.comp == self.comp[j]] = self.comp[i]
+                        yield self.ids[i], self.ids[j]
+
+
+def _within(members: DataFrame, packed: DataFrame, percent: int, n: int) -> DataFrame | None:
+    """Links across components in buckets that hold several; members has key, band, id,
+    component, sig, bands and inside (of the smallest member's component). None if there is no
+    such bucket."""
+    least, kind = least_agreement(percent / 100), members.schema["id"].dataType.simpleString()
     sizes = members.groupBy("key").agg(F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out")).where((F.col("n_out") > 0) & (F.col("n_in") + F.col("n_out") > 2))
-    rows = members.join(written(sizes, "open-buckets"), "key")
+    sizes = written(sizes, "open-buckets")
+    if sizes.isEmpty():
+        return None
+    rows = members.join(sizes, "key").join(packed.toDF("id", "z"), "id")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     rows = rows.withColumns({"of_in": F.greatest(blocks("n_in"), F.lit(1)), "of_out": blocks("n_out")})
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("of_in")).otherwise(F.col("of_out"))).cast("int"))
@@ -187,41 +243,33 @@ def _within(members: DataFrame, threshold: float) -> DataFrame:
     cells = F.when(F.col("inside"), F.transform(upto("of_out"), lambda j: cell(0, own, j))).otherwise(
         F.concat(F.transform(upto("of_in"), lambda i: cell(0, i, own)), F.transform(upto("of_out"), lambda j: cell(1, F.least(j, own), F.greatest(j, own))))
     )
-    dealt = rows.select("key", F.explode(cells).alias("c"), "id", "component", "inside", "sig").select("key", "c.t", "c.i", "c.j", "id", "component", "inside", "sig")
-    group = ["key", "t", "i", "j"]
+    group, rest = ["key", "t", "i", "j"], ["band", "id", "component", "inside", "sig", "bands", "z"]
+    dealt = rows.select("key", F.explode(cells).alias("c"), *rest).select("key", "c.t", "c.i", "c.j", *rest)
 
-    def pairs_of(x) -> Iterator:
-        import numpy as np
+    def links_of(x) -> Iterator:
         import pyarrow as pa
 
-        sig = np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
-        comp, ids, inside = (x.column(c).to_numpy(zero_copy_only=False) for c in ("component", "id", "inside"))
-        cross = x.column("t")[0].as_py() == 0
-        one, two = (np.flatnonzero(inside), np.flatnonzero(~inside)) if cross else (np.arange(len(ids)),) * 2
-        for at in range(0, len(one), 64):
-            left = one[at : at + 64]
-            same = (sig[left][:, None, :] == sig[two][None, :, :]).sum(2)
-            ok = (same >= least) & (comp[left][:, None] != comp[two][None, :]) & (ids[left][:, None] < ids[two][None, :] if not cross else True)
-            i, j = np.nonzero(ok)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[left[i]]), pa.array(ids[two[j]])], ["a", "b"])
+        found = list(_Block(x, percent, n, least).links()) if x.num_rows > 1 else []
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        rest = None
+        waiting = None
         for b in batches:
             x = pa.Table.from_batches([b])
-            x = (pa.concat_tables([rest, x]) if rest is not None else x).combine_chunks()
+            x = (pa.concat_tables([waiting, x]) if waiting is not None else x).combine_chunks()
             marks = np.stack([x.column(c).to_numpy() for c in group])
             cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
             bounds = [0, *cuts.tolist()]
             for s, e in zip(bounds, bounds[1:]):
-                yield from pairs_of(x.slice(s, e - s))
-            rest = x.slice(bounds[-1])
-        if rest is not None and rest.num_rows:
-            yield from pairs_of(rest)
+                yield from links_of(x.slice(s, e - s))
+            waiting = x.slice(bounds[-1])
+        if waiting is not None and waiting.num_rows:
+            yield from links_of(waiting)
 
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -230,20 +278,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     """doc_id, n_shingles, component_id, kept of each document."""
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
+    packed = packed_texts(docs.select("doc_id", text_of(docs).alias("text")))
     sketches = written(_sketches(docs, shingle), "sketches")
     full = sketches.where(F.col("n_shingles") > 0)
     reps = written(full.groupBy(*KEY).agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select(*KEY, F.col("r.doc_id").alias("id"), "r.bands", "r.sig"), "classes")
-    buckets = reps.select(F.explode("bands").alias("key"), "id")
+    buckets = reps.select(F.posexplode("bands").alias("band", "key"), "id")
     shared = written(buckets.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
-    members = written(buckets.join(shared, "key").select("key", "id", "least"), "members")
+    members = written(buckets.join(shared, "key").select("key", "band", "id", "least"), "members")
     stars = members.where(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_verified(_likely(stars, reps, threshold), docs, percent, shingle), "star-links")
-    label = components(links)
-    known = written(reps.select("id", "sig").join(label, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("component")), "labels")
+    links = written(_verified(_likely(stars, reps, threshold), packed, percent, shingle), "star-links")
+    final = components(links)
+    known = written(reps.select("id", "sig", "bands").join(final, "id", "left").select("id", "sig", "bands", F.coalesce("component", "id").alias("component")), "labels")
     centres = known.select(F.col("id").alias("least"), F.col("component").alias("least_component"))
-    open_members = members.join(known, "id").join(centres, "least").select("key", "id", "component", "sig", (F.col("component") == F.col("least_component")).alias("inside"))
-    more = written(_verified(_within(open_members, threshold).distinct(), docs, percent, shingle), "block-links")
-    final = components(links.union(more)) if not more.isEmpty() else label
+    inside = (F.col("component") == F.col("least_component")).alias("inside")
+    open_members = members.join(known, "id").join(centres, "least").select("key", "band", "id", "component", "sig", "bands", inside)
+    more = _within(open_members, packed, percent, shingle)
+    if more is not None and not (more := written(more, "block-links")).isEmpty():
+        final = components(links.union(more))
     class_of = written(reps.select(*KEY, "id").join(final, "id", "left").select(*KEY, F.coalesce("component", "id").alias("component_id")), "components")
     own = full.select("doc_id", *KEY).join(class_of, KEY).select("doc_id", "n_shingles", "component_id")
     none = sketches.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

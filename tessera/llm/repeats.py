@@ -157,7 +157,10 @@ def _repeated(rows: DataFrame, doc_kind: str) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"h long, doc_id {doc_kind}, first int, last int, total long")
 
 
-def _packed(docs: DataFrame, doc_kind: str) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and the zstd-compressed text z of each row of docs (doc_id, text without nulls)."""
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
@@ -318,7 +321,7 @@ def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder:
     else:
         marked = repeated.join(many.withColumn("hot", F.lit(True)), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("runs"))
-    texts = _packed(rows, doc_kind)
+    texts = packed_texts(rows)
     found = _stretches(_segments(texts, lists, doc_kind, kind, keep_first), doc_kind, kind, keep_first, finder)
     return texts, found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
 
@@ -337,5 +340,4 @@ def covered(stretches: list, n: int):
 
 def with_unidentified(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """texts and the rows of docs without doc_id, which are returned untouched."""
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.union(_packed(docs.where(F.col("doc_id").isNull()).select("doc_id", text_of(docs).alias("text")), doc_kind))
+    return texts.union(packed_texts(docs.where(F.col("doc_id").isNull()).select("doc_id", text_of(docs).alias("text"))))
