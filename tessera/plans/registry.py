@@ -1,10 +1,481 @@
-"""Registered queries over the driver tables and their SQL equivalents."""
+"""Registered queries over the driver tables and their SQL equivalents.
+
+Queries show an operator's rows or counts for any data: where an operator would refuse its
+input, its query gives the counts that it would refuse by.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..contracts import PARTITIONS, SplitConfig, TokenizerConfig
+from ..functions.hashing import boundary
+from ..functions.identifiers import is_native_code, parse_native_icd9, stripped
+from ..operators import admissions, governance, labels, metrics, models, privacy, split, tokens
+from ..sources import tables
+
+SPLIT = SplitConfig("sha256_subject", 8408, 0.6, 0.2, 0.2)
+SUPPORT = 1
+HIGH_SUPPORT = 0.045  # of the training admissions: leaves some labels unknown
+THRESHOLD, CANDIDATES, KS = 0.5, (0.25, 0.495, 0.5, 0.75), (1, 3, 5)
+TOKENIZER = TokenizerConfig("synthetic-words", "test-1", 16, "right", "max_length")
+VOCABULARY = {"the": 11, "of": 12, "and": 13, "de": 14, "la": 15, "der": 16}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+# -- the shapes in SQL ---------------------------------------------------------------------------
+
+_NOTES = """notes AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS subject_id, CAST(o_orderkey AS VARCHAR) AS hadm_id, l_linestatus || ' ' || CAST(l_partkey AS VARCHAR) AS text,
+         l_returnflag AS category, l_shipdate, l_linenumber, l_partkey, l_suppkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_CODES = r"""codes AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS hadm_id,
+         CASE WHEN p_size = 1 THEN 'A41.9' ELSE '4' || lpad(regexp_replace(p_brand, '\D', '', 'g'), 2, '0') END AS code
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
+_VALID = r"regexp_matches(code, '^(?:V\d{2,4}(?:\.\d{1,2})?|E\d{3,4}(?:\.\d{1,2})?|\d{3,5}(?:\.\d{1,2})?)$')"
+
+
+def _winner_sql(keep: str) -> str:
+    way = "DESC" if keep == "latest" else "ASC"
+    return f"""best AS (
+  SELECT * FROM notes WHERE category = 'R'
+  QUALIFY rank() OVER (PARTITION BY hadm_id ORDER BY l_shipdate {way}, l_linenumber {way}, l_partkey {way}, l_suppkey {way}) = 1)"""
+
+
+_SETS = f"""pairs AS (SELECT DISTINCT hadm_id, code FROM codes WHERE {_VALID}),
+label_sets AS (SELECT hadm_id, string_agg(code, ',' ORDER BY code) AS labels FROM pairs GROUP BY hadm_id)"""
+_HASH = f"sha256('{SPLIT.seed}:' || subject_id)"
+_EXAMPLES = f"""examples AS (
+  SELECT DISTINCT subject_id, best.hadm_id, text, labels,
+         CASE WHEN {_HASH} < '{boundary(0.6)}' THEN 'train' WHEN {_HASH} < '{boundary(0.6 + 0.2)}' THEN 'validation' ELSE 'test' END AS partition
+  FROM best JOIN label_sets ON best.hadm_id = label_sets.hadm_id)"""
+_BASE = f"WITH {_NOTES}, {_CODES}, {_winner_sql('latest')}, {_SETS}, {_EXAMPLES}"
+_SUPPORT = """support AS (SELECT code AS label, count(*) AS support FROM pairs JOIN examples USING (hadm_id) WHERE partition = 'train' GROUP BY code),
+vocabulary AS (SELECT label, support, row_number() OVER (ORDER BY label) - 1 AS label_index FROM support)"""
+_SCORES = """cells AS (
+  SELECT e.hadm_id, v.label_index, CASE WHEN p.code IS NULL THEN 0 ELSE 1 END AS y,
+         CAST(((CAST(e.hadm_id AS BIGINT) * 31 + CAST(v.label AS BIGINT) * 17) % 61) + 40 * (CASE WHEN p.code IS NULL THEN 0 ELSE 1 END) AS DOUBLE) / CAST(100 AS DOUBLE) AS score
+  FROM examples e CROSS JOIN vocabulary v LEFT JOIN pairs p ON p.hadm_id = e.hadm_id AND p.code = v.label
+  WHERE e.partition = 'validation')"""
+_CELLS = f"{_BASE}, {_SUPPORT}, {_SCORES}"
+
+
+def _sum(x: str) -> str:
+    return f"CAST(coalesce(sum({x}), 0) AS BIGINT)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+# -- deduplication --------------------------------------------------------------------------------
+
+
+def _best(spark: SparkSession, folder: str, keep: str = "latest", ties=tables.POLICY_KEYS) -> DataFrame:
+    p = tables.policy(keep, ties)
+    return admissions.winners(admissions.eligible_notes(tables.notes(spark, folder), p), p)
+
+
+def _dedup(keep: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return _best(spark, folder, keep).select(
+            F.col("_subject").alias("subject_id"), F.col("_hadm").alias("hadm_id"), F.col("TEXT").alias("text"), F.col("CATEGORY").alias("category"), F.col("l_shipdate").cast("date").cast("string").alias("l_shipdate"), *tables.POLICY_KEYS,
+        )
+
+    return run
+
+
+for _keep in ("latest", "earliest"):
+    query(f"dedup_{_keep}", f"WITH {_NOTES}, {_winner_sql(_keep)} SELECT subject_id, hadm_id, text, category, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate, l_linenumber, l_partkey, l_suppkey FROM best")(_dedup(_keep))
+
+
+@query("dedup_audit", f"""WITH {_NOTES}, grouped AS (SELECT hadm_id, count(*) AS n FROM notes WHERE category = 'R' GROUP BY hadm_id)
+SELECT (SELECT count(*) FROM notes) AS input_record_count, {_sum('n')} AS eligible_record_count, count(*) AS output_record_count,
+       {_sum('n - 1')} AS dropped_record_count, count(*) FILTER (WHERE n > 1) AS duplicate_record_count FROM grouped""")
+def dedup_audit(spark: SparkSession, folder: str) -> DataFrame:
+    by = tables.notes(spark, folder).groupBy("HADM_ID").agg(F.count("*").alias("every"), F.count_if(F.col("CATEGORY") == "R").alias("n"))
+    some = F.col("n") > 0
+    return by.agg(
+        F.coalesce(F.sum("every"), F.lit(0)).alias("input_record_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("eligible_record_count"), F.count_if(some).alias("output_record_count"),
+        F.coalesce(F.sum(F.when(some, F.col("n") - 1)), F.lit(0)).alias("dropped_record_count"), F.count_if(F.col("n") > 1).alias("duplicate_record_count"),
+    )
+
+
+@query("dedup_ambiguous", f"""WITH {_NOTES}, best AS (SELECT * FROM notes WHERE category = 'R'
+  QUALIFY rank() OVER (PARTITION BY hadm_id ORDER BY l_shipdate DESC, l_linenumber DESC) = 1)
+SELECT hadm_id, count(*) AS winners FROM best GROUP BY hadm_id HAVING count(*) > 1""")
+def dedup_ambiguous(spark: SparkSession, folder: str) -> DataFrame:
+    best = _best(spark, folder, "latest", ("l_linenumber",))
+    return best.groupBy(F.col("_hadm").alias("hadm_id")).agg(F.count("*").alias("winners")).where(F.col("winners") > 1)
+
+
+# A second table of codes that names a neighbouring subject now and then.
+@query("ownership_conflicts", f"""WITH {_NOTES}, {_CODES}, {_winner_sql('latest')},
+claimed AS (SELECT hadm_id, CASE WHEN code = '407' THEN owner || '0' ELSE owner END AS owner, code FROM codes)
+SELECT c.hadm_id, subject_id, owner, code, count(*) AS n FROM claimed c JOIN best b ON c.hadm_id = b.hadm_id WHERE owner <> subject_id GROUP BY ALL""")
+def ownership_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    claimed = tables.diagnoses(spark, folder).withColumn("SUBJECT_ID", F.when(F.col("ICD9_CODE") == "407", F.concat("SUBJECT_ID", F.lit("0"))).otherwise(F.col("SUBJECT_ID")))
+    wrong = admissions.ownership_conflicts(_best(spark, folder), claimed)
+    return wrong.groupBy("hadm_id", "subject_id", "owner", "code").agg(F.count("*").alias("n"))
+
+
+@query("subject_ownership", f"""WITH {_NOTES} SELECT count(*) AS admissions, count(*) FILTER (WHERE a <> z) AS conflicts
+FROM (SELECT hadm_id, min(subject_id) AS a, max(subject_id) AS z FROM notes WHERE category = 'R' GROUP BY hadm_id)""")
+def subject_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    rows = admissions.eligible_notes(tables.notes(spark, folder), tables.policy())
+    return admissions.admission_counts(rows).agg(F.count("*").alias("admissions"), F.count_if("conflict").alias("conflicts"))
+
+
+# -- codes and admissions ---------------------------------------------------------------------
+
+
+@query("native_code_filter", f"WITH {_CODES} SELECT code, {_VALID} AS native, count(*) AS n FROM codes GROUP BY ALL")
+def native_code_filter(spark: SparkSession, folder: str) -> DataFrame:
+    codes = tables.diagnoses(spark, folder).select(stripped(F.col("ICD9_CODE")).alias("code"))
+    return codes.groupBy("code").agg(F.count("*").alias("n")).select("code", is_native_code(F.col("code")).alias("native"), "n")
+
+
+@query("parse_codes", None)
+def parse_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = []
+    for raw in (" 250.00", "V10.1\t", "E800", "4019", "25", "a41", "250.123"):
+        try:
+            rows.append((raw, parse_native_icd9(raw)))
+        except ValueError:
+            rows.append((raw, None))
+    return spark.createDataFrame(rows, "raw string, code string")
+
+
+def _examples(spark: SparkSession, folder: str) -> DataFrame:
+    best = _best(spark, folder).select(F.col("_subject").alias("subject_id"), F.col("_hadm").alias("hadm_id"), F.col("TEXT").alias("text"))
+    joined = best.join(admissions.admission_labels(tables.diagnoses(spark, folder)), "hadm_id")
+    return joined.withColumn("partition", split.partition_of(F.col("subject_id"), SPLIT))
+
+
+@query("admission_labels", f"{_BASE} SELECT subject_id, hadm_id, text, labels FROM examples")
+def admission_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _examples(spark, folder).select("subject_id", "hadm_id", "text", F.array_join("labels", ",").alias("labels"))
+
+
+@query("admissions_without_labels", f"{_BASE} SELECT hadm_id FROM best WHERE hadm_id NOT IN (SELECT hadm_id FROM label_sets)")
+def admissions_without_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _best(spark, folder).select(F.col("_hadm").alias("hadm_id")).join(admissions.admission_labels(tables.diagnoses(spark, folder)), "hadm_id", "left_anti")
+
+
+# -- split ---------------------------------------------------------------------------------------
+
+
+@query("subject_split", f"{_BASE} SELECT subject_id, hadm_id, partition FROM examples")
+def subject_split(spark: SparkSession, folder: str) -> DataFrame:
+    return _examples(spark, folder).select("subject_id", "hadm_id", "partition")
+
+
+@query("split_audit", f"""{_BASE} SELECT CAST(place AS INTEGER) AS place, p.partition, count(DISTINCT subject_id) AS subjects, count(subject_id) AS admissions
+FROM (VALUES (0, 'train'), (1, 'validation'), (2, 'test')) p(place, partition) LEFT JOIN examples USING (partition) GROUP BY place, p.partition""")
+def split_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return split.partition_counts(_examples(spark, folder)).select("place", "partition", "subjects", "admissions")
+
+
+@query("subject_overlap", f"""{_BASE} SELECT count(*) AS subjects, count(*) FILTER (WHERE n > 1) AS overlapping
+FROM (SELECT subject_id, count(DISTINCT partition) AS n FROM examples GROUP BY subject_id)""")
+def subject_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    by = _examples(spark, folder).groupBy("subject_id").agg(F.count_distinct("partition").alias("n"))
+    return by.agg(F.count("*").alias("subjects"), F.count_if(F.col("n") > 1).alias("overlapping"))
+
+
+@query("split_overlap_rows", f"""{_BASE}, dealt AS (SELECT subject_id, CASE WHEN hadm_id LIKE '%7' THEN 'test' ELSE partition END AS partition FROM examples)
+SELECT subject_id, string_agg(DISTINCT partition, ',' ORDER BY partition) AS partitions FROM dealt GROUP BY subject_id HAVING count(DISTINCT partition) > 1""")
+def split_overlap_rows(spark: SparkSession, folder: str) -> DataFrame:
+    moved = _examples(spark, folder).withColumn("partition", F.when(F.col("hadm_id").like("%7"), F.lit("test")).otherwise(F.col("partition")))
+    return split.subject_overlap(moved).select("subject_id", F.array_join("partitions", ",").alias("partitions"))
+
+
+# -- labels --------------------------------------------------------------------------------------
+
+
+def _training(spark: SparkSession, folder: str) -> DataFrame:
+    return _examples(spark, folder).where(F.col("partition") == "train")
+
+
+@query("label_support", f"{_BASE}, {_SUPPORT} SELECT CAST(label_index AS INTEGER) AS label_index, label, support FROM vocabulary")
+def label_support(spark: SparkSession, folder: str) -> DataFrame:
+    return labels.indexed(labels.label_support(_training(spark, folder)), SUPPORT).select("label_index", "label", "support")
+
+
+@query("label_vocabulary_digest", f"""{_BASE}, {_SUPPORT} SELECT count(*) AS labels, sha256('["' || string_agg(label, '","' ORDER BY label) || '"]') AS digest FROM vocabulary""")
+def label_vocabulary_digest(spark: SparkSession, folder: str) -> DataFrame:
+    kept = labels.label_support(_training(spark, folder)).agg(F.array_sort(F.collect_set("label")).alias("v"))  # at most MOST_LABELS
+    return kept.select(F.size("v").cast("long").alias("labels"), F.sha2(F.concat(F.lit('["'), F.array_join("v", '","'), F.lit('"]')), 256).alias("digest"))
+
+
+def _cells(spark: SparkSession, folder: str, partition: str = "validation") -> DataFrame:
+    """hadm_id, label_index, y, score over the vocabulary, by array expressions: labels are
+    exploded once, with no join of examples and vocabulary."""
+    examples = _examples(spark, folder)
+    vocabulary = examples.where(F.col("partition") == "train").select(F.explode("labels").alias("label")).agg(F.array_sort(F.collect_set("label")).alias("v"))
+    rows = examples.where(F.col("partition") == partition).crossJoin(F.broadcast(vocabulary))  # one row
+    cell = rows.select("hadm_id", "labels", F.posexplode("v").alias("label_index", "label"))
+    y = F.array_contains("labels", F.col("label")).cast("int")
+    base = F.pmod(F.col("hadm_id").cast("long") * 31 + F.col("label").cast("long") * 17, F.lit(61))
+    return cell.select("hadm_id", "label_index", "label", y.alias("y"), ((base + 40 * y).cast("double") / F.lit(100.0)).alias("score"))
+
+
+@query("encode_labels", f"{_CELLS} SELECT hadm_id, string_agg(CAST(y AS VARCHAR), '' ORDER BY label_index) AS encoded FROM cells GROUP BY hadm_id")
+def encode_labels(spark: SparkSession, folder: str) -> DataFrame:
+    examples = _examples(spark, folder)
+    vocabulary = examples.where(F.col("partition") == "train").select(F.explode("labels").alias("label")).agg(F.array_sort(F.collect_set("label")).alias("v"))
+    rows = examples.where(F.col("partition") == "validation").crossJoin(F.broadcast(vocabulary))  # one row
+    return rows.select("hadm_id", F.array_join(F.transform("v", lambda x: F.array_contains("labels", x).cast("int").cast("string")), "").alias("encoded"))
+
+
+@query("unknown_label_audit", f"""{_BASE}, {_SUPPORT}, kept AS (SELECT label FROM support WHERE support >= {HIGH_SUPPORT} * (SELECT count(*) FROM examples WHERE partition = 'train')),
+by_example AS (SELECT e.hadm_id, count(p.code) FILTER (WHERE p.code NOT IN (SELECT label FROM kept)) AS unknown
+  FROM examples e JOIN pairs p USING (hadm_id) WHERE partition = 'test' GROUP BY e.hadm_id)
+SELECT count(*) AS example_count, {_sum('unknown')} AS unknown_label_count, count(*) FILTER (WHERE unknown > 0) AS examples_with_unknown_labels FROM by_example""")
+def unknown_label_audit(spark: SparkSession, folder: str) -> DataFrame:
+    examples = _examples(spark, folder)
+    training = examples.where(F.col("partition") == "train")
+    n = training.agg(F.count("*").alias("n"))
+    kept = labels.label_support(training).crossJoin(F.broadcast(n)).where(F.col("support") >= F.lit(HIGH_SUPPORT) * F.col("n"))  # one row
+    vocabulary = kept.agg(F.collect_set("label").alias("v"))
+    rows = examples.where(F.col("partition") == "test").crossJoin(F.broadcast(vocabulary)).select(F.size(F.array_except("labels", "v")).alias("unknown"))  # one row
+    return rows.agg(
+        F.count("*").alias("example_count"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown_label_count"), F.count_if(F.col("unknown") > 0).alias("examples_with_unknown_labels"),
+    )
+
+
+# -- tokens --------------------------------------------------------------------------------------
+
+_PREFIX, _SUFFIX, _PAD, _UNKNOWN = (101,), (102,), 0, 99
+_ROOM = TOKENIZER.maximum_length - 2
+_TOKENS = f"""words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+ids AS (SELECT doc_id, list_transform(w, lambda x: CASE {' '.join(f"WHEN x = '{k}' THEN {v}" for k, v in VOCABULARY.items())} ELSE {_UNKNOWN} END) AS c FROM words)"""
+
+
+def _tokenizer() -> tokens.VocabularyTokenizer:
+    return tokens.VocabularyTokenizer(TOKENIZER.identifier, TOKENIZER.revision, VOCABULARY, _UNKNOWN, _PAD, _PREFIX, _SUFFIX)
+
+
+def _tokenize(side: str):
+    config = TokenizerConfig(TOKENIZER.identifier, TOKENIZER.revision, TOKENIZER.maximum_length, side, TOKENIZER.padding)
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        docs = tables.read_table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        content = docs.select("doc_id", _tokenizer().encode_column(F.col("text")).alias("_content"))
+        made = content.select("doc_id", *(c.alias(k) for k, c in tokens.tokenized(F.col("_content"), config, _PREFIX, _SUFFIX, _PAD).items()))
+        return made.select("doc_id", *(F.array_join(F.col(k).cast("array<string>"), " ").alias(k) for k in ("input_ids", "attention_mask")))
+
+    return run
+
+
+for _side in ("right", "left"):
+    _cut = f"c[1:{_ROOM}]" if _side == "right" else f"c[greatest(len(c) - {_ROOM} + 1, 1):]"
+    query(f"tokenize_documents_{_side}", f"""WITH {_TOKENS}, cut AS (SELECT doc_id, list_concat(list_concat([101], {_cut}), [102]) AS i FROM ids)
+SELECT doc_id, array_to_string(list_concat(i, list_transform(range({TOKENIZER.maximum_length} - len(i)), lambda x: 0)), ' ') AS input_ids,
+       array_to_string(list_concat(list_transform(i, lambda x: 1), list_transform(range({TOKENIZER.maximum_length} - len(i)), lambda x: 0)), ' ') AS attention_mask FROM cut""")(_tokenize(_side))
+
+
+@query("tokenization_audit", f"""WITH {_TOKENS} SELECT count(*) AS examples, count(*) FILTER (WHERE len(c) > {_ROOM}) AS truncated,
+{_sum('len(c)')} AS before, {_sum(f'least(len(c), {_ROOM})')} AS after FROM ids""")
+def tokenization_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = tables.read_table(spark, folder, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    return tokens.token_audit(docs.select(_tokenizer().encode_column(F.col("text")).alias("_content")), _ROOM)
+
+
+# -- metrics -------------------------------------------------------------------------------------
+
+_HIT = f"CASE WHEN score >= CAST({THRESHOLD} AS DOUBLE) THEN 1 ELSE 0 END"
+_COUNTS = f"{_sum('h * y')} AS tp, {_sum('h * (1 - y)')} AS fp, {_sum('(1 - h) * y')} AS fn"
+_F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END"
+
+
+@query("per_label_f1", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS}, {_sum('y')} AS support FROM hits GROUP BY label_index)
+SELECT CAST(label_index AS INTEGER) AS label_index, tp, fp, fn, support, {_F1} AS f1 FROM counts""")
+def per_label_f1(spark: SparkSession, folder: str) -> DataFrame:
+    counts = metrics.label_counts(_cells(spark, folder), THRESHOLD)
+    return counts.select("label_index", "tp", "fp", "fn", "support", metrics.f1_column(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+
+
+@query("micro_macro_f1", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS} FROM hits GROUP BY label_index),
+scored AS (SELECT *, {_F1} AS f1 FROM counts), total AS (SELECT {_sum('tp')} AS tp, {_sum('fp')} AS fp, {_sum('fn')} AS fn FROM counts)
+SELECT tp, fp, fn, {_F1} AS micro_f1, (SELECT round(sum(f1) / count(*), 10) FROM scored) AS macro_f1, (SELECT count(*) FROM counts) AS label_count FROM total""")
+def micro_macro_f1(spark: SparkSession, folder: str) -> DataFrame:
+    """One pass over the cells gives both: labels' counts, then their sums."""
+    counts = metrics.label_counts(_cells(spark, folder), THRESHOLD)
+    each = metrics.f1_column(F.col("tp"), F.col("fp"), F.col("fn"))
+    total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tp", "fp", "fn")), F.round(F.sum(each) / F.count("*"), 10).alias("macro_f1"), F.count("*").alias("label_count"))
+    return total.select("tp", "fp", "fn", each.alias("micro_f1"), "macro_f1", "label_count")
+
+
+@query("precision_at_k", f"""{_CELLS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY score DESC, label_index) AS place FROM cells),
+ks AS (SELECT * FROM (VALUES {', '.join(f'({k})' for k in KS)}) k(k))
+SELECT CAST(k AS INTEGER) AS k, count(DISTINCT hadm_id) AS samples, {_sum('y')} AS hits, round(CAST(sum(y) AS DOUBLE) / k / count(DISTINCT hadm_id), 10) AS precision FROM ranked JOIN ks ON place <= k GROUP BY k""")
+def precision_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    hits = metrics.ranked_hits(_cells(spark, folder).withColumnRenamed("hadm_id", "sample_id"), KS)
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"hits_{k}").alias("h")) for k in KS))
+    total = hits.select(F.explode(pairs).alias("x")).groupBy("x.k").agg(F.count("*").alias("samples"), F.sum("x.h").alias("hits"))
+    return total.select("k", "samples", "hits", F.round(F.col("hits") / F.col("k") / F.col("samples"), 10).alias("precision"))
+
+
+_CURVE = f"""{_CELLS}, candidates AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES {', '.join(f'({t})' for t in CANDIDATES)}) c(t)),
+hits AS (SELECT threshold, y, CASE WHEN score >= threshold THEN 1 ELSE 0 END AS h FROM cells CROSS JOIN candidates), counts AS (SELECT threshold, {_COUNTS} FROM hits GROUP BY threshold),
+curve AS (SELECT threshold, tp, fp, fn, {_F1} AS micro_f1 FROM counts)"""
+
+
+def _curve(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells fall between two candidates in one aggregate; a candidate's counts are sums over at
+    most a row a candidate."""
+    edges = F.lit(list(CANDIDATES))
+    place = F.aggregate(edges, F.lit(0), lambda n, t: n + (F.col("score") >= t).cast("int"))
+    binned = _cells(spark, folder).groupBy(place.alias("place")).agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    each = binned.select(F.posexplode(edges).alias("k", "threshold"), (F.col("place") > F.col("k")).cast("int").alias("h"), "y", "n")
+    counts = each.groupBy("threshold").agg(F.sum(F.col("h") * F.col("y")).alias("tp"), F.sum(F.col("h") * (F.col("n") - F.col("y"))).alias("fp"), F.sum((1 - F.col("h")) * F.col("y")).alias("fn"))
+    return counts.withColumn("micro_f1", metrics.f1_column(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+@query("threshold_curve", f"{_CURVE} SELECT * FROM curve")
+def threshold_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return _curve(spark, folder)
+
+
+@query("threshold_selection", f"""{_CURVE} SELECT * FROM (SELECT 'lowest_threshold' AS tie_break, threshold, micro_f1 FROM curve ORDER BY micro_f1 DESC, threshold LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'highest_threshold' AS tie_break, threshold, micro_f1 FROM curve ORDER BY micro_f1 DESC, threshold DESC LIMIT 1)""")
+def threshold_selection(spark: SparkSession, folder: str) -> DataFrame:
+    curve = _curve(spark, folder)
+    first = lambda name, way: curve.orderBy(F.col("micro_f1").desc(), way).limit(1).select(F.lit(name).alias("tie_break"), "threshold", "micro_f1")
+    return first("lowest_threshold", F.col("threshold").asc()).union(first("highest_threshold", F.col("threshold").desc()))
+
+
+@query("binary_label_metrics", f"""WITH hits AS (SELECT quality AS y, 1 - toxic AS h FROM labels), counts AS (SELECT {_COUNTS}, {_sum('y')} AS support FROM hits)
+SELECT tp, fp, fn, support, {_F1} AS f1 FROM counts""")
+def binary_label_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.read_table(spark, folder, "labels").select(F.col("quality").alias("y"), (1 - F.col("toxic")).alias("h"))
+    counts = rows.agg(*(F.coalesce(c, F.lit(0)).alias(k) for k, c in zip(("tp", "fp", "fn"), metrics.confusion(F.col("h"), F.col("y")))), F.coalesce(F.sum("y"), F.lit(0)).alias("support"))
+    return counts.withColumn("f1", metrics.f1_column(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+# -- privacy, gates, model audits --------------------------------------------------------------
+
+
+def _re2(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query("secret_scan", "SELECT " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{_re2(p)}')) AS {k}" for k, p in privacy.SECRET_PATTERNS.items()) + ", count(*) AS texts FROM documents")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read_table(spark, folder, "documents").agg(*privacy.pattern_counts(F.col("text")), F.count("*").alias("texts"))
+
+
+@query("event_key_scan", """SELECT event_type, count(*) AS events, count(*) FILTER (WHERE len(list_filter(json_keys(props), lambda k: k IN ('text', 'subject_id', 'password', 'rows', 'weights'))) > 0) AS forbidden FROM events GROUP BY event_type""")
+def event_key_scan(spark: SparkSession, folder: str) -> DataFrame:
+    events = tables.read_table(spark, folder, "events").withColumn("reasons", privacy.forbidden_keys(F.col("props")))
+    return events.groupBy("event_type").agg(F.count("*").alias("events"), F.count_if(F.size("reasons") > 0).alias("forbidden"))
+
+
+@query("artifact_audit", None)
+def artifact_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer segment's totals as an artifact to publish, and each region's rows."""
+    segments = tables.read_table(spark, folder, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    flags = [F.lit(False).alias(x) for x in privacy.REQUIRED_FALSE_FLAGS]
+    good = F.to_json(F.struct(F.lit("aggregate_metrics").alias("artifact_type"), *flags, F.struct(F.col("n").alias("record_count")).alias("metrics")))
+    bad = F.to_json(F.struct(F.lit("aggregate_metrics").alias("artifact_type"), *flags, F.struct(F.col("n").alias("subject_id")).alias("metrics")))
+    both = segments.select(F.explode(F.array(F.struct(F.concat(F.lit("totals:"), "c_mktsegment").alias("artifact_id"), good.alias("artifact")), F.struct(F.concat(F.lit("ids:"), "c_mktsegment").alias("artifact_id"), bad.alias("artifact")))).alias("x"))
+    audits = privacy.artifact_audits(both.select("x.*", F.lit("public_report").alias("destination")))
+    return audits.withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    """A request for each nation and manifest of a few kinds."""
+    nation = tables.read_table(spark, folder, "nation")
+    key = F.col("n_nationkey")
+    return nation.select(
+        "n_nationkey", (key % 2 == 0).alias("fixture_only"), F.when(key % 3 == 0, "pending").otherwise("approved").alias("rights_status"),
+        F.lit(datetime.date(2030, 1, 1)).alias("rights_expires_on"), F.array(F.lit("secure-a"), F.lit("kaggle")).alias("approved_locations"),
+        F.array(F.lit("secure-a")).alias("raw_transfer_allowed_locations"), (key % 5 == 0).alias("kaggle_allowed"),
+        F.when(key % 4 == 0, " Kaggle ").when(key % 4 == 1, "Secure-A").when(key % 4 == 2, "elsewhere").otherwise(" ").alias("requested_location"),
+        (key % 7 < 3).alias("raw_transfer_requested"), F.when(key % 6 == 0, F.lit(datetime.date(2030, 1, 1))).otherwise(F.lit(datetime.date(2029, 12, 31))).alias("as_of_date"),
+    )
+
+
+@query("gate_decisions", """WITH r AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'kaggle' WHEN 1 THEN 'secure-a' WHEN 2 THEN 'elsewhere' ELSE '' END AS place FROM nation),
+d AS (SELECT k, list_filter([
+  CASE WHEN k % 2 = 0 THEN 'fixture_data_access_forbidden' END,
+  CASE WHEN k % 3 = 0 THEN 'rights_not_approved' END,
+  CASE WHEN k % 6 = 0 THEN 'rights_expired' END,
+  CASE WHEN place = '' THEN 'requested_location_invalid' END,
+  CASE WHEN place = 'elsewhere' THEN 'location_not_approved' END,
+  CASE WHEN place = 'kaggle' AND k % 5 <> 0 THEN 'kaggle_not_allowed' END,
+  CASE WHEN k % 7 < 3 AND place NOT IN ('', 'secure-a') THEN 'raw_transfer_not_allowed' END], lambda x: x IS NOT NULL) AS reasons FROM r)
+SELECT k AS n_nationkey, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS allowed FROM d""")
+def gate_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return governance.data_access_decisions(_requests(spark, folder)).select("n_nationkey", F.array_join("reasons", ",").alias("reasons"), "allowed")
+
+
+@query("training_gate", None)
+def training_gate(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = governance.RightsEnvironmentManifest.from_mapping({
+        "schema_version": 1, "fixture_only": True, "dataset_reference": "d", "source_revision": "r", "data_use_terms_reference": "t", "rights_status": "approved",
+        "rights_expires_on": "2030-01-01", "decision_reference": "x", "approved_locations": [governance.FIXTURE_LOCATION], "kaggle_allowed": False,
+        "raw_transfer_allowed_locations": [], "retention_policy_reference": "p", "artifact_policy_reference": "a",
+    })
+    good = {"location": governance.FIXTURE_LOCATION} | {x: x == "synthetic_only" for x in governance.RUNTIME_FLAGS}
+    cases = {"valid": good} | {x: good | {x: not good[x]} for x in governance.RUNTIME_FLAGS} | {"elsewhere": good | {"location": "kaggle"}}
+    rows = []
+    for name, runtime in cases.items():
+        d = governance.authorize_training(manifest, runtime, as_of_date=datetime.date(2029, 1, 1))
+        rows.append((name, d.allowed, ",".join(d.reasons)))
+    return spark.createDataFrame(rows, "name string, allowed boolean, reasons string")
+
+
+@query("registry_audit", None)
+def registry_audit(spark: SparkSession, folder: str) -> DataFrame:
+    def spec(name: str, **other) -> models.ModelSpec:
+        family, kind = models.SYSTEMS[name]
+        neural = {"tokenizer_reference": f"{family}-tokenizer", "tokenizer_revision": "commit:" + "b" * 40} if name != "rule" else {"tokenizer_reference": None, "tokenizer_revision": None}
+        return models.ModelSpec(**({"logical_system": name, "family": family, "adaptation": kind, "model_reference": f"{family}-model", "model_revision": "commit:" + "a" * 40, "label_contract_digest": "sha256:labels", "output_contract": "scores_v1"} | neural | other))
+
+    every = [spec(x) for x in models.SYSTEMS]
+    cases = {"valid": every, "missing": every[1:], "repeated": [*every, every[0]], "unpinned": [*every[:4], spec("general_full", model_revision="main")], "parity": [*every[:2], spec("domain_full", model_reference="other"), *every[3:]]}
+    audits = {k: models.validate_five_system_registry(v) for k, v in cases.items()}
+    return spark.createDataFrame([(k, a.allowed, ",".join(a.reasons), a.system_count) for k, a in audits.items()], "name string, allowed boolean, reasons string, system_count long")
+
+
+def _parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as parameters: some adapters on query and value modules, a head, the rest frozen."""
+    key = F.col("p_partkey")
+    layer = F.concat(F.lit("encoder.layer."), key.cast("string"), F.lit(".attention."), F.when(key % 2 == 0, "query").otherwise("value"))
+    name = F.when(key % 10 == 0, F.concat(F.lit("classifier."), key.cast("string"))).when(key % 3 == 0, F.concat(layer, F.lit(".lora_A.weight"))).otherwise(F.concat(layer, F.lit(".weight")))
+    return tables.read_table(spark, folder, "part").select(name.alias("name"), ((key % 10 == 0) | (key % 3 == 0)).alias("trainable"), F.col("p_size").cast("long").alias("count"))
+
+
+@query("trainability_audit", f"""WITH p AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS n FROM part)
+SELECT {_sum('n')} AS total, {_sum('CASE WHEN k % 10 = 0 OR k % 3 = 0 THEN n END')} AS trainable,
+       {_sum('CASE WHEN k % 10 <> 0 AND k % 3 = 0 THEN n END')} AS adapters, {_sum('CASE WHEN k % 10 = 0 THEN n END')} AS classifier,
+       count(*) FILTER (WHERE k % 10 <> 0 AND k % 3 = 0) AS modules, true AS allowed, '' AS reasons FROM p""")
+def trainability_audit(spark: SparkSession, folder: str) -> DataFrame:
+    a = models.audit_lora_trainability(_parameters(spark, folder), ("query", "value"), "classifier")
+    row = (a.total_parameter_count, a.trainable_parameter_count, a.adapter_parameter_count, a.classifier_parameter_count, len(a.matched_target_modules), a.allowed, ",".join(a.reasons))
+    return spark.createDataFrame([row], "total long, trainable long, adapters long, classifier long, modules long, allowed boolean, reasons string")
+
+
+@query("full_trainability_audit", f"""WITH p AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS n FROM part)
+SELECT {_sum('n')} AS total, {_sum('CASE WHEN k % 10 = 0 OR k % 3 = 0 THEN n END')} AS trainable, {_sum('CASE WHEN k % 10 = 0 THEN n END')} AS classifier,
+       false AS allowed, 'full_parameters_not_trainable' AS reasons FROM p""")
+def full_trainability_audit(spark: SparkSession, folder: str) -> DataFrame:
+    a = models.audit_full_trainability(_parameters(spark, folder), "classifier")
+    return spark.createDataFrame([(a.total_parameter_count, a.trainable_parameter_count, a.classifier_parameter_count, a.allowed, ",".join(a.reasons))], "total long, trainable long, classifier long, allowed boolean, reasons string")
+
+
+assert PARTITIONS == ("train", "validation", "test")

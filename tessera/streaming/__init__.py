@@ -1 +1 @@
-
+"""Nothing here: the blueprint has no streams, windows in time, or state to keep."""
