@@ -79,6 +79,8 @@ def radix_groups(data, starts, group, depth: int = WINDOW, digit: int = DIGIT):
     digits = stretch_hashes(data, digit)
     alive, group = np.arange(len(starts)), group.astype(U)
     for at in range(0, depth, digit):
+        if not len(alive):
+            break
         key = mix(group * U(0x2545F4914F6CDD1D) + digits[starts[alive] + at])
         order = np.argsort(key, kind="stable")
         alive, key = alive[order], key[order]

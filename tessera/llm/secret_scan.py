@@ -9,8 +9,9 @@ ASCII letters only.
 The method adds spans of kind markov: runs of 20 or more of `[A-Za-z0-9+/_=-]` with a digit
 and a letter that touch no base span, whose mean log-likelihood ratio per transition between
 two first-order character models is at least MIN_RATIO. One model is of random strings (hex,
-base64, letters and digits, drawn from hashes), the other of ordinary identifiers (words of
-at most SAMPLE_DOCS documents, those of smallest hash, without base matches). Their counts,
+base64, letters and digits, drawn from hashes), the other of ordinary identifiers (pairs of
+WORDS joined as programs do, and words of at most SAMPLE_DOCS documents, those of smallest
+hash, without base matches). Their counts,
 at most one per character pair and label, become one literal array; all else is DataFrame
 expressions.
 
@@ -35,7 +36,15 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 2000
-MIN_RATIO = 1.7
+MIN_RATIO, BACKOFF = 3.0, 20
+WORDS = (
+    "access account action address admin array base build cache call class client code config content count create data date default delete device "
+    "document element email end error event field file filter first format function get group handler header height host image index info input "
+    "item key label last length level line link list load local map message method mode model module name network node number object option order "
+    "page parent password path plugin port position process project property query read record remote report request response result role root "
+    "rule sample schema secret server service session set setting size source start state status storage string style system table tag target "
+    "task template test text time title token total type update upload url user value version view width window write"
+).split()
 BLOCK = 256
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
@@ -91,19 +100,33 @@ def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     return some.select(F.explode(F.filter(words, lambda w: F.length(w) < 20)).alias("text"), F.lit(False).alias("secret"))
 
 
+def known_identifiers(spark: SparkSession) -> DataFrame:
+    """Labelled samples of identifiers as programs have them: pairs of WORDS, joined in four ways,
+    some with a number behind."""
+    words = spark.createDataFrame([(w,) for w in WORDS], "w string").coalesce(1)
+    pairs = words.select(F.col("w").alias("a"), F.explode(F.lit(list(WORDS))).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    forms = F.array(F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat(a, F.initcap(b)), F.upper(F.concat_ws("_", a, b)), F.concat(F.initcap(a), F.initcap(b), F.lit("2")), F.concat_ws("/", a, b, F.lit("v1")))
+    return pairs.select(F.explode(forms).alias("text"), F.lit(False).alias("secret"))
+
+
 def fit_ratios(samples: DataFrame) -> list[float]:
-    """log p(b | a, random) - log p(b | a, ordinary) at [a * n + b], add-half smoothed."""
+    """log p(b | a, random) - log p(b | a, ordinary) at [a * n + b]; a pair's probability backs
+    off to its second character's where the first is rare."""
     n = len(ALPHABET)
     pairs = samples.where(F.length("text") > 1).select(
         "secret",
         F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))).alias("pair"),
     )
     counts = {(r[0], r[1]): r[2] for r in pairs.groupBy("secret", "pair").count().collect()}  # bounded by the alphabet
-    out = []
-    for a in ALPHABET:
-        rows = [[counts.get((label, a + b), 0) + 0.5 for b in ALPHABET] for label in (True, False)]
-        logs = [[math.log(x / sum(row)) for x in row] for row in rows]
-        out += [x - y for x, y in zip(*logs, strict=True)]
+
+    def logs(label: bool) -> list[list[float]]:
+        rows = [[counts.get((label, a + b), 0) for b in ALPHABET] for a in ALPHABET]
+        second = [sum(column) + 0.5 for column in zip(*rows, strict=True)]
+        total = sum(second)
+        return [[math.log((x + BACKOFF * s / total) / (sum(row) + BACKOFF)) for x, s in zip(row, second, strict=True)] for row in rows]
+
+    out = [x - y for one, two in zip(logs(True), logs(False), strict=True) for x, y in zip(one, two, strict=True)]
     assert len(out) == n * n
     return out
 
@@ -137,7 +160,8 @@ def with_spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def learn(docs: DataFrame) -> list[float]:
-    return fit_ratios(random_strings(docs.sparkSession).union(ordinary_strings(docs)))
+    spark = docs.sparkSession
+    return fit_ratios(random_strings(spark).union(known_identifiers(spark)).union(ordinary_strings(docs)))
 
 
 def _named(spans: Column) -> Column:
