@@ -1,4 +1,7 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tessera.contracts import DedupAudit, DedupPolicy, LabelConfig, LabelContract, LabelFitAudit, SplitConfig, TokenizerConfig
@@ -9,6 +12,7 @@ from tessera.operators.labels import fit_training_label_contract, long_labels, t
 from tessera.operators.split import assert_subject_disjoint, partition_manifest_digest, split_by_subject, subject_overlap
 from tessera.operators.tokens import VocabularyTokenizer, tokenize_batch
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
 POLICY = DedupPolicy("CATEGORY", "Discharge summary", "note_order", "latest", ("note_row_id",))
 NOTE = "SUBJECT_ID string, HADM_ID string, TEXT string, CATEGORY string, note_order long, note_row_id string"
 CODE = "SUBJECT_ID string, HADM_ID string, ICD9_CODE string"
