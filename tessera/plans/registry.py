@@ -225,7 +225,7 @@ def _cells(spark: SparkSession, folder: str, partition: str = "validation") -> D
     exploded once, with no join of examples and vocabulary."""
     examples = _examples(spark, folder)
     vocabulary = examples.where(F.col("partition") == "train").select(F.explode("labels").alias("label")).agg(F.array_sort(F.collect_set("label")).alias("v"))
-    rows = examples.where(F.col("partition") == partition).crossJoin(F.broadcast(vocabulary))  # one row
+    rows = examples.where(F.col("partition") == partition).withColumn("v", vocabulary.scalar())
     cell = rows.select("hadm_id", "labels", F.posexplode("v").alias("label_index", "label"))
     y = F.array_contains("labels", F.col("label")).cast("int")
     base = F.pmod(F.col("hadm_id").cast("long") * 31 + F.col("label").cast("long") * 17, F.lit(61))
@@ -236,7 +236,7 @@ def _cells(spark: SparkSession, folder: str, partition: str = "validation") -> D
 def encode_labels(spark: SparkSession, folder: str) -> DataFrame:
     examples = _examples(spark, folder)
     vocabulary = examples.where(F.col("partition") == "train").select(F.explode("labels").alias("label")).agg(F.array_sort(F.collect_set("label")).alias("v"))
-    rows = examples.where(F.col("partition") == "validation").crossJoin(F.broadcast(vocabulary))  # one row
+    rows = examples.where(F.col("partition") == "validation").withColumn("v", vocabulary.scalar())
     return rows.select("hadm_id", F.array_join(F.transform("v", lambda x: F.array_contains("labels", x).cast("int").cast("string")), "").alias("encoded"))
 
 
@@ -248,9 +248,9 @@ def unknown_label_audit(spark: SparkSession, folder: str) -> DataFrame:
     examples = _examples(spark, folder)
     training = examples.where(F.col("partition") == "train")
     n = training.agg(F.count("*").alias("n"))
-    kept = labels.label_support(training).crossJoin(F.broadcast(n)).where(F.col("support") >= F.lit(HIGH_SUPPORT) * F.col("n"))  # one row
+    kept = labels.label_support(training).where(F.col("support") >= F.lit(HIGH_SUPPORT) * n.scalar())
     vocabulary = kept.agg(F.collect_set("label").alias("v"))
-    rows = examples.where(F.col("partition") == "test").crossJoin(F.broadcast(vocabulary)).select(F.size(F.array_except("labels", "v")).alias("unknown"))  # one row
+    rows = examples.where(F.col("partition") == "test").select(F.size(F.array_except("labels", vocabulary.scalar())).alias("unknown"))
     return rows.agg(
         F.count("*").alias("example_count"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown_label_count"), F.count_if(F.col("unknown") > 0).alias("examples_with_unknown_labels"),
     )
