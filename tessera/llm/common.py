@@ -48,5 +48,16 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of df with the smallest hash of key, about; fewer than 2 n reach one task,
+    however many rows and tasks there are. (A key that many rows repeat is in or out as one,
+    and the last limit holds in any case.)"""
+    total = df.count()
+    if total > 2 * n:
+        space = 1 << 40
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(space)) < int(space * 1.2 * n / total))
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), *df.columns).limit(n)
+
+
 def parts_for(spark: SparkSession, n: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n)

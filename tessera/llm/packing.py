@@ -24,11 +24,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import parts_for, text_of, written
 
 #: Distinct words that a worker remembers before it starts anew.
 CACHE_ENTRIES = 500_000
-#: Rows ranked by one window group, about.
+#: Rows ranked by one window group, at most, about.
 RANK_ROWS = 50_000
 PIECES = "doc_id {kind}, row_key long, piece int, start long, length long, ids_crc32 long"
 
@@ -185,7 +185,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     total = sum(histogram.values())
     rules = best_fit_rules(histogram, capacity)
-    buckets = max(1, total // RANK_ROWS)
+    buckets = max(parts_for(spark), total // RANK_ROWS)
     keyed = pieces.withColumn("bucket", F.pmod("row_key", F.lit(buckets)).cast("int"))
     before = (
         keyed.groupBy("length", "bucket").count()

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, text_of
+from .common import SPACE_CLASS, hash_sample, let, text_of
 
 SAMPLE_ROWS = 4000
 WINDOW = 8
@@ -184,11 +184,8 @@ def fit_list(rows: dict, bad: object, max_rules: int = 12, max_conditions: int =
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
     import numpy as np
 
-    sample = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col("quality").cast("int").alias("_quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_quality").limit(sample_rows)
-    )
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_quality"))
+    sample = hash_sample(known, "doc_id", sample_rows)
     joined = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     # base_failed is tested after the join: as a filter it would be pushed to all documents.
     got = joined.select(F.xxhash64("doc_id").alias("_h"), "_quality", *(v.alias(k) for k, v in features().items()), "base_failed")

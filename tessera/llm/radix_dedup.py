@@ -133,5 +133,5 @@ def remove_repeats(docs: DataFrame, hot: int = repeats.HOT, bytes_too: bool = Fa
             arrays = [b.column(0), *(pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 3 + [pa.string(), pa.binary()]))]
             yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
 
-    joined = repeats.with_unidentified(docs, texts).join(stretches, "doc_id", "left").select("doc_id", "z", "stretches")
+    joined = repeats.texts_with_stretches(docs, texts, stretches)
     return joined.mapInArrow(run, f"doc_id {doc_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * bytes_too)

@@ -97,7 +97,7 @@ def anchors(tokens, at, kind: Tokens):
 
 def _anchor_rows(docs: DataFrame, kind: Tokens) -> DataFrame:
     """part, h, doc_id, first, last, n: anchors with the key they go to; n counts a batch's equal
-    ones for the one that is sent, and is 0 for the others."""
+    ones for the one that is sent, whose hash is the key itself (h is null), and is 0 for others."""
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -116,7 +116,7 @@ def _anchor_rows(docs: DataFrame, kind: Tokens) -> DataFrame:
             n[where] = counts
             part = np.where(n > 0, h, mix(h + np.arange(len(h), dtype=U)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.view(np.int64)), pa.array(h.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(n.astype(np.int32))],
+                [pa.array(part.view(np.int64)), pa.array(h.view(np.int64), mask=n > 0), b.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(n.astype(np.int32))],
                 ["part", "h", "doc_id", "first", "last", "n"],
             )
 
@@ -139,7 +139,8 @@ def _repeated(rows: DataFrame, doc_kind: str) -> DataFrame:
             sizes = np.diff(np.append(edge, len(part)))
             total = np.repeat(np.add.reduceat(n.astype(np.int64), edge), sizes)
             keep = (n == 0) | (total > 1)
-            out = x.select(["h", "doc_id", "first", "last"]).append_column("total", pa.array(total, mask=n == 0))
+            own = pa.array(np.where(n == 0, x.column("h").fill_null(0).to_numpy(), part))
+            out = x.select(["doc_id", "first", "last"]).append_column("h", own).append_column("total", pa.array(total, mask=n == 0))
             return out.filter(pa.array(keep)).select(names).combine_chunks()
 
         rest = None
@@ -321,7 +322,8 @@ def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder:
     else:
         marked = repeated.join(many.withColumn("hot", F.lit(True)), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("runs"))
-    texts = packed_texts(rows)
+    # The filter is what the inner join below asks for; stated here, both joins share one exchange.
+    texts = packed_texts(rows).where(F.col("doc_id").isNotNull())
     found = _stretches(_segments(texts, lists, doc_kind, kind, keep_first), doc_kind, kind, keep_first, finder)
     return texts, found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
 
@@ -338,6 +340,8 @@ def covered(stretches: list, n: int):
     return np.cumsum(edges[:-1]) > 0
 
 
-def with_unidentified(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """texts and the rows of docs without doc_id, which are returned untouched."""
-    return texts.union(packed_texts(docs.where(F.col("doc_id").isNull()).select("doc_id", text_of(docs).alias("text"))))
+def texts_with_stretches(docs: DataFrame, texts: DataFrame, stretches: DataFrame) -> DataFrame:
+    """doc_id, z, stretches of all rows of docs; those without doc_id have none."""
+    rest = packed_texts(docs.where(F.col("doc_id").isNull()).select("doc_id", text_of(docs).alias("text")))
+    found = texts.join(stretches, "doc_id", "left").select("doc_id", "z", "stretches")
+    return found.union(rest.select("doc_id", "z", F.lit(None).cast(stretches.schema["stretches"].dataType)))

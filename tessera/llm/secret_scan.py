@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import hash_sample, let, text_of
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -95,7 +95,7 @@ def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     text = text_of(docs)
     for pattern in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, pattern, " ")
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = hash_sample(docs.select("doc_id", "text"), "doc_id", n)
     words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), 0)
     return some.select(F.explode(F.filter(words, lambda w: F.length(w) < 20)).alias("text"), F.lit(False).alias("secret"))
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import repeats
 
@@ -149,5 +148,5 @@ def remove_repeats(docs: DataFrame, hot: int = repeats.HOT, texts_too: bool = Fa
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if texts_too else [])]
-    joined = repeats.with_unidentified(docs, texts).join(stretches, "doc_id", "left").select("doc_id", "z", F.col("stretches"))
+    joined = repeats.texts_with_stretches(docs, texts, stretches)
     return joined.mapInArrow(run, f"doc_id {doc_kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts_too)
