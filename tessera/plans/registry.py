@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..contracts import PARTITIONS, SplitConfig, TokenizerConfig
 from ..functions.hashing import boundary
 from ..functions.identifiers import is_native_code, parse_native_icd9, stripped
-from ..operators import admissions, governance, labels, metrics, models, privacy, split, tokens
+from ..operators import admissions, governance, labels, metrics, models, privacy, provenance, split, tokens
 from ..sources import tables
 
 SPLIT = SplitConfig("sha256_subject", 8408, 0.6, 0.2, 0.2)
@@ -202,6 +202,15 @@ def split_overlap_rows(spark: SparkSession, folder: str) -> DataFrame:
     return split.subject_overlap(moved).select("subject_id", F.array_join("partitions", ",").alias("partitions"))
 
 
+@query("partition_manifest_digest", f"""{_BASE}, counts AS (SELECT p.partition, place, count(DISTINCT subject_id) AS subjects, count(subject_id) AS admissions
+  FROM (VALUES (0, 'train'), (1, 'validation'), (2, 'test')) p(place, partition) LEFT JOIN examples USING (partition) GROUP BY place, p.partition)
+SELECT sha256('{{"admission_counts":[' || string_agg('["' || partition || '",' || admissions || ']', ',' ORDER BY place) || '],"algorithm":"sha256_subject","ratios":[0.6,0.2,0.2],"seed":8408,"subject_counts":['
+  || string_agg('["' || partition || '",' || subjects || ']', ',' ORDER BY place) || ']}}') AS digest FROM counts""")
+def partition_manifest_digest(spark: SparkSession, folder: str) -> DataFrame:
+    examples = _examples(spark, folder).drop("partition")
+    return spark.createDataFrame([(split.partition_manifest_digest(split.split_by_subject(examples, SPLIT)),)], "digest string")
+
+
 # -- labels --------------------------------------------------------------------------------------
 
 
@@ -358,6 +367,27 @@ def threshold_selection(spark: SparkSession, folder: str) -> DataFrame:
     return first("lowest_threshold", F.col("threshold").asc()).union(first("highest_threshold", F.col("threshold").desc()))
 
 
+@query("multilabel_metrics", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS}, {_sum('y')} AS support FROM hits GROUP BY label_index),
+scored AS (SELECT *, {_F1} AS f1 FROM counts), total AS (SELECT {_sum('tp')} AS tp, {_sum('fp')} AS fp, {_sum('fn')} AS fn FROM counts)
+SELECT {_F1} AS micro_f1, (SELECT round(sum(f1) / count(*), 10) FROM scored) AS macro_f1, (SELECT string_agg(support, ',' ORDER BY label_index) FROM counts) AS supports,
+       (SELECT count(DISTINCT hadm_id) FROM cells) AS sample_count FROM total""")
+def multilabel_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole evaluation through a one-use session, with its checks of the matrices."""
+    cells = _cells(spark, folder).withColumnRenamed("hadm_id", "sample_id")
+    session = metrics.UntouchedTestSession()
+    r = session.evaluate_once(lambda: metrics.multilabel_metrics(cells.select("sample_id", "label_index", "y"), cells.select("sample_id", "label_index", "score"), THRESHOLD, KS, "available"))
+    return spark.createDataFrame([(r.micro_f1, round(r.macro_f1, 10), ",".join(map(str, r.per_label_support)), r.sample_count)], "micro_f1 double, macro_f1 double, supports string, sample_count long")
+
+
+@query("score_matrix_audit", f"""{_CELLS} SELECT count(*) AS cells, count(*) FILTER (WHERE y NOT IN (0, 1)) AS bad_bits, count(*) FILTER (WHERE score NOT BETWEEN 0 AND 1) AS bad_scores,
+count(DISTINCT hadm_id) * count(DISTINCT label_index) AS expected FROM cells""")
+def score_matrix_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return _cells(spark, folder).agg(
+        F.count("*").alias("cells"), F.count_if(~F.col("y").isin(0, 1)).alias("bad_bits"), F.count_if(~F.col("score").between(0.0, 1.0)).alias("bad_scores"),
+        (F.count_distinct("hadm_id") * F.count_distinct("label_index")).alias("expected"),
+    )
+
+
 @query("binary_label_metrics", f"""WITH hits AS (SELECT quality AS y, 1 - toxic AS h FROM labels), counts AS (SELECT {_COUNTS}, {_sum('y')} AS support FROM hits)
 SELECT tp, fp, fn, support, {_F1} AS f1 FROM counts""")
 def binary_label_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -439,6 +469,22 @@ def training_gate(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, allowed boolean, reasons string")
 
 
+@query("provenance_digest", None)
+def provenance_digest(spark: SparkSession, folder: str) -> DataFrame:
+    run = {
+        "schema_version": 1, "fixture_only": True, "command": ["python", "-m", "unittest", "discover"], "versions": {"spark": "4"}, "seeds": {"split": SPLIT.seed}, "hashes": {"config": "sha256:" + "0" * 64},
+        "device": {"environment": "local-offline-synthetic", "kind": "cpu"}, "artifact_paths": ["artifacts/synthetic/metrics.json"],
+    }
+    cases = {"valid": {}, "command": {"command": ["bash"]}, "device": {"device": {"kind": "gpu"}}, "path": {"artifact_paths": ["/tmp/x"]}, "seed": {"seeds": {"a": -1}}}
+    rows = []
+    for name, change in cases.items():
+        try:
+            rows.append((name, provenance.RunProvenance.from_mapping(run | change).digest(), None))
+        except ValueError as e:
+            rows.append((name, None, str(e)))
+    return spark.createDataFrame(rows, "name string, digest string, reason string")
+
+
 @query("registry_audit", None)
 def registry_audit(spark: SparkSession, folder: str) -> DataFrame:
     def spec(name: str, **other) -> models.ModelSpec:
