@@ -163,7 +163,7 @@ def _verified(pairs: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        for x in batches:
+        for x in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             keep = []
             left, right = (shingle_sets(pa.array([expand(z) for z in x.column(k).to_pylist()], pa.binary()), n) for k in (2, 3))
             for (_, s), (_, t) in zip(left, right, strict=True):

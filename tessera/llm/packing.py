@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import parts_for, text_of, written
 
 #: Distinct words that a worker remembers before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Rows ranked by one window group, at most, about.
 RANK_ROWS = 50_000
 PIECES = "doc_id {kind}, row_key long, piece int, start long, length long, ids_crc32 long"

@@ -103,8 +103,8 @@ def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
 def known_identifiers(spark: SparkSession) -> DataFrame:
     """Labelled samples of identifiers as programs have them: pairs of WORDS, joined in four ways,
     some with a number behind."""
-    words = spark.createDataFrame([(w,) for w in WORDS], "w string").coalesce(1)
-    pairs = words.select(F.col("w").alias("a"), F.explode(F.lit(list(WORDS))).alias("b"))
+    words = F.lit(list(WORDS))
+    pairs = spark.range(1, numPartitions=1).select(F.explode(words).alias("a")).select("a", F.explode(words).alias("b"))
     a, b = F.col("a"), F.col("b")
     forms = F.array(F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat(a, F.initcap(b)), F.upper(F.concat_ws("_", a, b)), F.concat(F.initcap(a), F.initcap(b), F.lit("2")), F.concat_ws("/", a, b, F.lit("v1")))
     return pairs.select(F.explode(forms).alias("text"), F.lit(False).alias("secret"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 SPACE, LINE = "▁", "\n"
 
 
