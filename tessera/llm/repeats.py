@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,26 +179,23 @@ SEGMENT = "h long, k2 long, doc_id {}, first int, last int, body binary"
 
 def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool) -> DataFrame:
     """Segments (body given), lone windows of hot anchors (k2 given), and stretches settled in
-    the task (neither; h is then any number)."""
+    the task (neither; h then spreads them). Texts come sorted by doc_id and runs are sorted here,
+    so a task that runs again after a loss sends the same rows to the same places."""
 
     def run(batches: Iterator) -> Iterator:
-        import os
-
         import pyarrow as pa
         import xxhash
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
         names = ["h", "k2", "doc_id", "first", "last", "body"]
-        salt = int.from_bytes(os.urandom(7), "little")
         known: dict = {}
         out: list[tuple] = []
         doc_type = None
 
         def settle(doc, first: int, last: int) -> None:
-            nonlocal salt
-            salt += 1
-            out.append((salt, None, doc, first, last, None))
+            spread = xxhash.xxh3_64_intdigest(f"{doc}:{first}") >> 1
+            out.append((spread, None, doc, first, last, None))
 
         def see(key: tuple, h: int, k2, doc, first: int, last: int, body) -> None:
             before = known.get(key)
@@ -229,7 +227,7 @@ def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, k
             for doc, z, runs in zip(*(b.column(k).to_pylist() for k in range(3))):
                 text = expand(z)
                 cut, keys = kind.cut(text), None
-                for r in runs:
+                for r in sorted(runs, key=itemgetter("first", "last")):
                     if r["hot"]:
                         keys = keys if keys is not None else kind.keys(text)
                         for w in range(r["first"], r["last"] + 1):
@@ -242,7 +240,8 @@ def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, k
                     yield from flush(False)
         yield from flush(True)
 
-    return texts.join(lists, "doc_id").select("doc_id", "z", "runs").mapInArrow(run, SEGMENT.format(doc_kind))
+    joined = texts.join(lists, "doc_id").select("doc_id", "z", "runs").sortWithinPartitions("doc_id")  # no extra sort where the join has sorted
+    return joined.mapInArrow(run, SEGMENT.format(doc_kind))
 
 
 def _stretches(segments: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool, finder: Callable) -> DataFrame:
