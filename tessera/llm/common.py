@@ -48,6 +48,18 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+#: Bytes of an Arrow batch, about; Spark's own bound is eight times that.
+BATCH_BYTES = 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Ask for smaller Arrow batches in this session, as whole texts make wide rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of df with the smallest hash of key, about; fewer than 2 n reach one task,
     however many rows and tasks there are. (A key that many rows repeat is in or out as one,

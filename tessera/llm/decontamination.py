@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import modest_batches, text_of
 
 SEEDS = ((0, 3, 7, 8, 9, 10), (0, 1, 2, 3, 5, 6))
 WINDOW, SUBSTITUTIONS, MIN_ITEM = 13, 2, 7
@@ -123,6 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words, n_agree: the longest overlap of each row of docs
     and item that overlap."""
     spark = docs.sparkSession
+    modest_batches(spark)
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, first_word long, n_words long, n_agree long"
     out = spark.createDataFrame([], schema)
@@ -153,6 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
     spark, columns = docs.sparkSession, docs.columns
+    modest_batches(spark)
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
 

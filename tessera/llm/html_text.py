@@ -22,6 +22,8 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 _TAG = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S,
@@ -385,6 +387,7 @@ def visible_text(page: str) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text, n_chars and n_lines of each row of pages."""
+    modest_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:

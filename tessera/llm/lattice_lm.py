@@ -31,7 +31,7 @@ from itertools import chain, count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import modest_batches, text_of, written
 
 BLOCK_WORDS = 2_000_000
 SPACE = "▁"
@@ -153,6 +153,7 @@ def _scored(words: DataFrame, model_file: str, counts: dict[int, int], ends: int
 def lm_scores(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    modest_batches(docs.sparkSession)
     encoded = written(_encoded(docs, model_file), "blocks")
     counts = {r[0]: r[1] for r in encoded.where(F.col("piece").isNotNull()).groupBy("piece").agg(F.sum("n")).collect()}  # bounded by the vocabulary
     ends = encoded.where(F.col("places").isNotNull() & ~F.col("held_out")).count()

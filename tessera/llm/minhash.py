@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import modest_batches, text_of, written
 from .graph import components
 from .repeats import packed_texts
 
@@ -276,6 +276,7 @@ def _within(members: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
+    modest_batches(docs.sparkSession)
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
     packed = packed_texts(docs.select("doc_id", text_of(docs).alias("text")))

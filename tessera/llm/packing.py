@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, text_of, written
+from .common import modest_batches, parts_for, text_of, written
 
 #: Distinct words that a worker remembers before it starts anew.
 CACHE_ENTRIES = 250_000
@@ -175,6 +175,7 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int)
                 arrays = [b.column(0).take(at), b.column(1).take(at), p.cast(pa.int32()), start, length, crc]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
 
+    modest_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("doc_id").alias("row_key"), text_of(docs).alias("text"))
     return rows.mapInArrow(run, PIECES.format(kind=kind))
 

@@ -27,11 +27,11 @@ from operator import itemgetter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import modest_batches, text_of, written
 
 HOT = 20_000
 #: Bytes of segments that a Finder gets at once, about, and segments a task remembers.
-GROUP_BYTES, REMEMBERED = 4_000_000, 200_000
+GROUP_BYTES, REMEMBERED = 2_000_000, 100_000
 _BITS = 21
 CHUNK_TOKENS = 1 << 20
 
@@ -313,6 +313,7 @@ def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder:
     keep_first: remove all but the first of equal windows (by doc_id, then place); else all.
     finder(bodies, anchors, doc_ids, firsts) gives (segment, window) arrays, sorted."""
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
+    modest_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of(docs).alias("text"))
     repeated = written(_repeated(_anchor_rows(rows, kind), doc_kind), "repeated")
     many = written(repeated.where(F.col("total") > hot).select("h").distinct(), "hot")

@@ -66,12 +66,11 @@ class SuffixTree:
         import numpy as np
 
         _, rank = np.unique(tokens, return_inverse=True)
-        rank = rank.astype(np.int64)
-        ranks, have = {1: rank}, 1
+        ranks, have = {1: rank.astype(np.int32)}, 1
         while 2 * have <= depth:  # ranks of stretches of 2, 4, ... tokens
             last = ranks[have]
-            pair = last[: len(last) - have] * (len(tokens) + 1) + last[have:]
-            _, ranks[2 * have] = np.unique(pair, return_inverse=True)
+            pair = last[: len(last) - have].astype(np.int64) * (len(tokens) + 1) + last[have:]
+            ranks[2 * have] = np.unique(pair, return_inverse=True)[1].astype(np.int32)
             have *= 2
         steps, at = [], 0
         for size in sorted(ranks, reverse=True):

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import modest_batches, text_of
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 CACHE_ENTRIES = 250_000
@@ -113,6 +113,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
             n = [shortcut.count(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    modest_batches(docs.sparkSession)
     text = text_of(docs)
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
