@@ -68,4 +68,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_radix_sort_dedup": op10_radix_sort_dedup,
 }
-ORACLE: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: SQL for the operators whose whole result it can express. The others need a tokenizer, a trained
+#: model, a renderer or approximate alignment; tests hold them to brute force.
+ORACLE: dict[str, str] = {
+    "op3_suffix_tree_dedup": f"""WITH split AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM split),
+windows AS (SELECT *, string_agg(word, ' ') OVER f AS win, count(*) OVER f AS n FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+starts AS (SELECT doc_id, pos, word, CASE WHEN n = 20 AND row_number() OVER (PARTITION BY win, n ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS again FROM windows),
+covered AS (SELECT doc_id, pos, word, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM starts),
+kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM covered GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)""",
+    "op9_minhash_near_dedup": f"""WITH RECURSIVE split AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')")} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS total FROM split),
+windows AS (SELECT doc_id, pos, total, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+shingles AS (SELECT DISTINCT doc_id, s FROM windows WHERE n = 5 OR (total < 5 AND pos = 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)""",
+    "op10_radix_sort_dedup": """WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM docs WHERE len(h) >= 800),
+keyed AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM windows),
+again AS (SELECT doc_id, i FROM keyed QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM again),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS s, max(i) + 400 AS e FROM numbered GROUP BY ALL),
+pieces AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS z FROM spans UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, CASE WHEN z IS NULL THEN len(h) ELSE 2 * (z - a) END), '' ORDER BY a) AS kept FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS removed FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+}
