@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 _SPACE_CHARS = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = "0123456789"
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper", "n_digits")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_same_as_before", "n_marks", "n_upper", "n_digits")
 
 
 def _repeated(words: Column) -> Column:
@@ -61,6 +61,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     words = F.array_remove(F.split(text, SPACE_CLASS + "+", -1), "")
     of_words = let(words, lambda w: F.struct(
         F.size(w).alias("n_words"), _repeated(w).alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).alias("n_same_as_before"),
     ))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _SPACE_CHARS, "")) > 0)
     counts = {
@@ -73,7 +74,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     }
     named = {"_of_words": of_words} | {k: v.cast("long") for k, v in counts.items()}
     got = docs.withColumns(named)
-    got = got.withColumns({k: F.col("_of_words")[k].cast("long") for k in ("n_words", "n_repeat_words")}).drop("_of_words")
+    got = got.withColumns({k: F.col("_of_words")[k].cast("long") for k in ("n_words", "n_repeat_words", "n_same_as_before")}).drop("_of_words")
     return got.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -89,7 +90,7 @@ def features() -> dict[str, Column]:
         "upper_share": _per("n_upper", "word_chars"),
         "digit_share": _per("n_digits", "word_chars"),
         "repeat_share": _per("n_repeat_words", "n_words"),
-        "mean_word": _per("word_chars", "n_words"),
+        "run_share": _per("n_same_as_before", "n_words"),
         "dup_lines_per_word": _per("n_dup_lines", "n_words"),
     }
 
@@ -176,7 +177,10 @@ def fit_list(rows: dict, bad: object, max_rules: int = 12, max_conditions: int =
         precision = float(((hit & bad).sum() + 1) / (n + 2))
         if precision < min_precision or worth(conditions, check) < 2 * min_precision - 1:
             break
-        rules.append(Rule(tuple(conditions), n, precision))
+        tight = {}
+        for c in conditions:  # a later condition on the same side of a feature is the tighter one
+            tight[c.feature, c.above] = c
+        rules.append(Rule(tuple(tight.values()), n, precision))
         left &= ~hit
     return tuple(rules)
 
@@ -187,9 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_quality"))
     sample = hash_sample(known, "doc_id", sample_rows)
     joined = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    # base_failed is tested after the join: as a filter it would be pushed to all documents.
-    got = joined.select(F.xxhash64("doc_id").alias("_h"), "_quality", *(v.alias(k) for k, v in features().items()), "base_failed")
-    rows = sorted(r for r in got.limit(4 * sample_rows).collect() if not r["base_failed"])
+    got = joined.select(F.xxhash64("doc_id").alias("_h"), "_quality", *(v.alias(k) for k, v in features().items()))
+    rows = sorted(got.limit(4 * sample_rows).collect())
     if not rows:
         return ()
     columns = {k: np.array([r[k] for r in rows], float) for k in features()}
