@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import on_workers
+
 # What may be published, and names and patterns that may not appear.
 PUBLIC_DESTINATIONS = ("public_model_card", "public_report", "public_repository")
 REQUIRED_FALSE_FLAGS = ("contains_checkpoints", "contains_identifiers", "contains_raw_data", "contains_row_level_data")
@@ -154,6 +156,7 @@ def validate_public_artifact(value: object, destination: str) -> PrivacyAudit:
 def artifact_audits(artifacts: DataFrame) -> DataFrame:
     """artifact_id, allowed, reasons and finding_count for rows of artifact_id, artifact (JSON
     text) and destination. Text that is no JSON has an invalid root."""
+    on_workers(artifacts.sparkSession)
     kind = artifacts.schema["artifact_id"].dataType.simpleString()
 
     def run(batches):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import on_workers
 from ..contracts import TokenizationAudit, TokenizedBatch, TokenizerConfig, require
 
 
@@ -49,6 +50,8 @@ def _content(tokenizer: object, texts: DataFrame, column: str) -> Column:
     if hasattr(tokenizer, "encode_column"):
         return tokenizer.encode_column(F.col(column))
 
+    on_workers(texts.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
