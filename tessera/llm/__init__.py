@@ -1,12 +1 @@
 """Training-data operators. Nothing else in the library imports this subpackage."""
-
-import os
-import sys
-from pathlib import Path
-
-_ROOT = str(Path(__file__).resolve().parents[2])
-if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-    # Workers cannot import this package by name, so functions travel by value.
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import on_workers
+
 #: Word separators in bytes and as a Java character class: \x20 and \x09-\x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -53,7 +55,9 @@ BATCH_BYTES = 8 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Ask for smaller Arrow batches in this session, as whole texts make wide rows."""
+    """Ask for smaller Arrow batches in this session, as whole texts make wide rows. All operators
+    with Python on executors start here, so workers are told where this package is, too."""
+    on_workers(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     if now is None or not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
