@@ -214,4 +214,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    return with_statistics(docs.select(*docs.columns)).where(verdict(learn(docs, labels))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # apart from statistics of the same name
+    return with_statistics(whole).where(verdict(learn(docs, labels))).select("_row.*")

@@ -198,8 +198,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         )
         return let(reach, lambda r: F.array_join(between(r), mark))
 
-    found = with_spans(docs, learn(docs))
-    done = found.withColumn("text", F.when(F.size("_spans") > 0, cut(F.col("_spans"))).otherwise(text))
+    found = with_spans(docs.select(F.struct(*columns).alias("_row"), "text"), learn(docs))
+    some, own = F.size("_spans") > 0, F.col("_row")
+    done = found.withColumn("text", F.when(some, cut(F.col("_spans"))).otherwise(text))
+    new = {"text": F.col("text")}
     if "n_chars" in columns:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*columns)
+        new["n_chars"] = F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return done.select(*(new.get(c, own[c]).alias(c) for c in columns))

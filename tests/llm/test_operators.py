@@ -286,6 +286,12 @@ def test_quality_statistics(spark, docs, texts, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if x[6]}
 
 
+def test_clashing_columns_keep_their_values(spark):
+    df = spark.createDataFrame([(1, "word " * 30 + "deadbeefdeadbeef01", "mine", [9], 5)], "doc_id long, text string, n_words string, _spans array<int>, base_failed int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert secret_scan.redact(df).first()[2:] == ("mine", [9], 5) and quality_rules.keep_good(df.withColumn("text", F.lit(" ".join(f"w{k}" for k in range(40)))), labels).first()[2:] == ("mine", [9], 5)
+
+
 def test_decision_list_learns_and_prunes():
     import numpy as np
 
