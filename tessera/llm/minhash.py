@@ -17,7 +17,8 @@ full sets are compared. Two texts at the threshold share no bucket with
 probability (1 - t**ROWS)**BANDS, 3e-6 at 0.8 and 2e-8 at 0.85.
 
 Defined results: null texts, empty ones and ones without words have the empty set and are
-linked with nothing; fewer words than a shingle make one shingle of all of them; rows that
+linked with nothing; fewer words than a shingle make one shingle of all of them; a row without doc_id is kept and takes
+no part; rows that
 repeat a doc_id give a row each, and the links of any of them are that doc_id's; other columns
 are ignored.
 """
@@ -281,7 +282,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     docs = docs.select("doc_id", "text")
     packed = packed_texts(docs.select("doc_id", text_of(docs).alias("text")))
     sketches = written(_sketches(docs, shingle), "sketches")
-    full = sketches.where(F.col("n_shingles") > 0)
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    full = sketches.where(takes_part)
     reps = written(full.groupBy(*KEY).agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select(*KEY, F.col("r.doc_id").alias("id"), "r.bands", "r.sig"), "classes")
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), "id")
     shared = written(buckets.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
@@ -298,8 +300,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
         final = components(links.union(more))
     class_of = written(reps.select(*KEY, "id").join(final, "id", "left").select(*KEY, F.coalesce("component", "id").alias("component_id")), "components")
     own = full.select("doc_id", *KEY).join(class_of, KEY).select("doc_id", "n_shingles", "component_id")
-    none = sketches.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return own.union(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = sketches.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return own.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -476,6 +476,12 @@ def test_near_duplicates(docs, texts, empty, monkeypatch, block):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
+def test_rows_without_id_are_no_copies(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e f"), (None, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(None, None, True), (2, 2, True), (3, 2, False)} and minhash.keep_one(df).count() == 3
+
+
 def test_circulant_signatures_estimate_similarity():
     import numpy as np
 
