@@ -286,7 +286,7 @@ def _stretches(segments: DataFrame, doc_kind: str, kind: Tokens, keep_first: boo
 
         rest: list = []
         size = 0
-        for b in batches:
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             rest.append(b)
             size += b.column(5).nbytes
             if size > GROUP_BYTES:
