@@ -229,18 +229,53 @@ def test_suffix_tree_nodes():
 # -- 4 language model ----------------------------------------------------------------------------
 
 
-def test_lm_scores(docs, texts, empty):
+def all_paths(word, pieces, by_byte):
+    """Summed probability of all segmentations of a word, from its end."""
+    s = "▁" + word
+    rest = [0.0] * len(s) + [1.0]
+    for i in reversed(range(len(s))):
+        rest[i] = sum(pieces[s[i:j]] * rest[j] for j in range(i + 1, min(len(s), i + 40) + 1) if s[i:j] in pieces)
+        if s[i] not in pieces:
+            rest[i] += math.prod(by_byte[x] for x in s[i].encode()) * rest[i + 1]
+    return rest[0]
+
+
+@pytest.mark.parametrize("common, piece, held", [(100_000, 1 << 20, 200_000), (40, 64, 30), (0, 1 << 20, 5)])
+def test_lm_scores(spark, docs, texts, empty, monkeypatch, common, piece, held):
+    import sentencepiece
+
+    for name, x in (("COMMON", common), ("PIECE", piece), ("HELD", held)):
+        monkeypatch.setattr(lattice_lm, name, x)
     model = vocabulary("piece_bpe_32k.model")
-    got = rows_of(lattice_lm.lm_scores(docs, model), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = list(lattice_lm.lm_scores(docs.union(docs.where("doc_id in (3, 20)")), model).collect())
+    got = {r.doc_id: [r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score] for r in rows}
+    copies = collections.Counter(r.doc_id for r in rows)
+    assert all(copies[i] == 1 + (i in (3, 20)) for i in texts)
     tokens = {i: [*WORD.findall(lower(t)), None] for i, t in texts.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    fold = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    c = collections.Counter(w for i, ws in tokens.items() if not fold[i] for w in ws * copies[i])
     n, v = sum(c.values()), len(c)
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    seen = collections.Counter()
+    for w, k in c.items():
+        if w is not None:
+            for x in library.encode(w):
+                seen[x] += k
+    total = sum(seen.values()) + c[None] + library.get_piece_size() + 1
+    share = {library.id_to_piece(k): (seen[k] + 1) / total for k in range(library.get_piece_size())}
+    by_byte = [share[f"<0x{k:02X}>"] for k in range(256)]
+    pieces = {x: p for x, p in share.items() if not re.fullmatch(r"<(unk|s|/s|0x[0-9A-F]{2})>", x)}
     for i, ws in tokens.items():
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
-        assert got[i][:4] == [held[i], len(ws), sum(c[w] > 0 for w in ws), n]
-        assert got[i][4] == pytest.approx(base, rel=1e-9) and -math.inf < got[i][5] < 0
+        assert got[i][:4] == [fold[i], len(ws), sum(c[w] > 0 for w in ws), n]
+        assert got[i][4] == pytest.approx(base, rel=1e-9)
+        if all(len(w or "") < 100 for w in ws):  # a float holds such a product of plain probabilities
+            score = sum(math.log10(all_paths(w, pieces, by_byte)) for w in ws[:-1]) + math.log10((c[None] + 1) / total)
+            assert got[i][5] == pytest.approx(score, rel=1e-9)
+        assert -math.inf < got[i][5] < 0
     assert lattice_lm.lm_scores(empty, model).count() == 0
+    odd = spark.createDataFrame([(None, "a b", 1), (None, None, 2)], "doc_id long, text string, row int")
+    assert sorted(r.n_tokens for r in lattice_lm.lm_scores(odd, model).collect()) == [1, 3]
 
 
 def test_lattice_sums_all_segmentations():
