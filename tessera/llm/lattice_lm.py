@@ -14,8 +14,8 @@ Steps, all bounded in memory by PIECE bytes of text or HELD words, however long
 
 1. Count words. Tasks add up HELD distinct words before they send any, and Spark sums by word.
 2. Each distinct word is cut once for the piece counts, and scored once on the lattice.
-3. The COMMON words with the most occurrences are broadcast (never more, and none over COMMON_BYTES
-   long), so documents are scored where they are read, but for their other words. Those leave
+3. The words with the most occurrences are broadcast, COMMON at most and none over COMMON_BYTES
+   long, so documents are scored where they are read, but for their other words. Those leave
    as (word, row, times), meet the word table in a join by word, and come back as sums by row.
    No word of that join occurs as often as the common ones, so no key of it is hot.
 
@@ -182,6 +182,21 @@ def _scored(words: DataFrame, model_file: str, counts: dict[int, int], ends: int
     return words.where(F.length("word") > 0).select("word", "n", "m").mapInArrow(run, "word binary, n long, m long, log_p double")
 
 
+def _common(words: DataFrame) -> list[tuple[bytes, int, float]]:
+    """word, n and log_p of at most COMMON words, which occur more often than any other. Their least
+    count comes from a histogram in steps of an eighth, so no task or driver holds more."""
+    step = F.floor(F.log2(F.col("m").cast("double")) * 8).cast("int").alias("step")
+    least, total = None, 0
+    for r in words.where(F.col("m") > 1).groupBy(step).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        total += r.n
+        if total > COMMON:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return [(bytes(r.word), r.n, r.log_p) for r in words.where((F.col("m") > 1) & (step >= least)).select("word", "n", "log_p").collect()]
+
+
 PARTS = "row long, doc_id {}, held_out boolean, words long, known long, base double, score double, word binary, times long"
 
 
@@ -253,8 +268,7 @@ def lm_scores(docs: DataFrame, model_file: str) -> DataFrame:
     n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
     pieces = {r[0]: r[1] for r in _piece_counts(words, model_file).collect()}  # bounded by the vocabulary
     scored = written(_scored(words, model_file, pieces, ends), "scored")
-    short = scored.where((F.length("word") <= COMMON_BYTES) & (F.col("m") > 1))
-    common = [(bytes(r.word), r.n, r.log_p) for r in short.orderBy(F.desc("m"), "word").select("word", "n", "log_p").limit(COMMON).collect()]
+    common = _common(scored.where(F.length("word") <= COMMON_BYTES))
     parts = written(_parts(rows, common), "parts")
     floor, end = math.log10(n + v + 1), Lattice(model_file, pieces, ends).end
 
