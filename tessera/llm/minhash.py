@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     modest_batches(docs.sparkSession)
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
-    packed = packed_texts(docs.select("doc_id", text_of(docs).alias("text")))
+    packed = packed_texts(docs.select("doc_id", text_of(docs).cast("binary").alias("text")))
     sketches = written(_sketches(docs, shingle), "sketches")
     takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     full = sketches.where(takes_part)

@@ -1,16 +1,20 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Suffixes are the windows of WINDOW bytes whose anchor occurs twice (`repeats`); others cannot
-repeat. Each task sorts the suffixes of its groups from the most significant digit on: a
-digit is a stretch of DIGIT bytes, by its 64-bit hash, each pass splits groups by their next
-digit, groups of one leave at once, and after WINDOW / DIGIT passes the groups left are
-exactly the repeated windows. Nothing is ordered beyond WINDOW bytes. All occurrences go, in
-whichever documents.
-
-Defined results: null texts count as empty (0 bytes, the hash of the empty string); texts under
-WINDOW bytes stay; a row without doc_id stays and takes no part; doc_id identifies a
-document; bytes are removed wherever a window says so, even inside a character, as the
-contract counts bytes; other columns are ignored.
+repeat. Each task sorts the suffixes of a memory-sized set of groups from the most significant
+digit on. A digit is a stretch of DIGIT bytes; the order of digits is that of their 64-bit
+hashes, as a radix sort may take any order of its alphabet. A pass orders each group of the
+pass before by its next digit, groups of one leave at once, and after WINDOW / DIGIT passes the
+groups left are the repeated windows. Nothing is ordered beyond WINDOW bytes. Then the members
+of each group are compared byte by byte; should two digits have shared a hash, the set is sorted
+again by digits of eight bytes as they are. All occurrences go, in whichever documents.
+
+Defined results: null and empty texts have 0 bytes (and the hash of the empty string); texts
+under WINDOW bytes stay; a text of any length is read whole; rows that repeat doc_id and text are
+one document, and each gets its result (so they aren't repeats of one another); rows that
+share a doc_id only are documents of their own; a row without doc_id stays whole and takes no
+part; bytes are removed wherever a window says so, even inside a character, as the contract
+counts bytes; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 
-WINDOW, GRAM, DIGIT = 400, 32, 100
+WINDOW, GRAMS, DIGIT = 400, (32, 216, 308, 354, 400), 100
 
 
 def _bytes(column) -> Iterator:
@@ -32,7 +36,7 @@ def _bytes(column) -> Iterator:
         yield a, z, data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
 
 
-def stretch_hashes(data, size: int, seed: int = 0):
+def stretch_hashes(data, size: int):
     """64-bit hashes of the `size` bytes from each byte on."""
     import numpy as np
 
@@ -41,9 +45,8 @@ def stretch_hashes(data, size: int, seed: int = 0):
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    eight = np.lib.stride_tricks.as_strided(np.frombuffer(data.tobytes(), np.uint8)[: len(data) - 7].view(np.uint8), (len(data) - 7, 8), (1, 1))
-    word = np.ascontiguousarray(eight).view(U).ravel()
-    out = np.full(n, U(seed))
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(U)
+    out = np.zeros(n, U)
     for at in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
         out *= U(0x9E3779B97F4A7C15)
         out += word[at : at + n]
@@ -51,48 +54,70 @@ def stretch_hashes(data, size: int, seed: int = 0):
     return mix(out)
 
 
-def _grams(data):
-    return stretch_hashes(data, GRAM)
-
-
 def _cut(text: bytes):
     return lambda a, z: text[a:z]
 
 
-def _keys(text: bytes):
-    import numpy as np
+def _part(body: bytes, a: int, z: int) -> bytes:
+    return body[a:z]
 
-    data = np.frombuffer(text, np.uint8)
-    return tuple(stretch_hashes(data, WINDOW, seed).view(np.int64) for seed in (1, 2))
 
+BYTES = repeats.Tokens(WINDOW, GRAMS, _bytes, stretch_hashes, _cut, _part)
+
+
+def eight_bytes(data):
+    """The eight bytes from each byte on, as a number in their order."""
+    import numpy as np
 
-BYTES = repeats.Tokens(WINDOW, GRAM, _bytes, _grams, _cut, _keys)
+    padded = np.concatenate([data, np.zeros(7, np.uint8)])
+    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
-def radix_groups(data, starts, group, depth: int = WINDOW, digit: int = DIGIT):
-    """Indices of starts whose `depth` bytes equal another's of the same group; by
-    most-significant-digit passes."""
+def radix_groups(digits, starts, places):
+    """(index of starts, group) of the suffixes whose digits at all `places` equal another's, in
+    order: a pass for each place, most significant first. A pass orders each group of the pass
+    before by its next digit; groups of one leave at once."""
     import numpy as np
 
-    from .words import U, mix
+    from .words import U
 
-    digits = stretch_hashes(data, digit)
-    alive, group = np.arange(len(starts)), group.astype(U)
-    for at in range(0, depth, digit):
+    alive, group = np.arange(len(starts)), np.zeros(len(starts), U)
+    for at in places:
         if not len(alive):
             break
-        key = mix(group * U(0x2545F4914F6CDD1D) + digits[starts[alive] + at])
-        order = np.argsort(key, kind="stable")
-        alive, key = alive[order], key[order]
-        same = key[1:] == key[:-1]
+        digit = digits[starts[alive] + at]
+        key = group << U(40) | digit >> U(24)  # the group, then the leading bits of the digit
+        order = np.argsort(key)
+        key, d = key[order], digit[order]
+        same = (key[1:] == key[:-1]) & (d[1:] == d[:-1])
+        if len(alive) >> 24 or np.count_nonzero(key[1:] == key[:-1]) != np.count_nonzero(same):  # bits that follow decide
+            order = np.lexsort((digit, group))
+            g, d = group[order], digit[order]
+            same = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
         keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        alive, key = alive[keep], key[keep]
-        group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))).astype(U) if len(key) else key
-    return alive
+        alive = alive[order][keep]
+        fresh = np.concatenate(([True], ~same))[keep]
+        group = (np.cumsum(fresh) - 1).astype(U)
+    return alive, group.astype(np.int64)
+
+
+def _equal(text: bytes, starts, alive, group) -> bool:
+    """Whether all suffixes of each group agree in WINDOW bytes, compared run by run: neighbours
+    whose groups' first members are neighbours, too, are one comparison."""
+    import numpy as np
+
+    lead = np.concatenate(([True], group[1:] != group[:-1]))
+    leader = starts[alive[np.flatnonzero(lead)[np.cumsum(lead) - 1]]]
+    at = starts[alive]
+    order = np.argsort(at)
+    at, leader = at[order], leader[order]
+    edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (leader[1:] != leader[:-1] + 1))))
+    last = np.append(edge[1:], len(at)) - 1
+    return all(text[a : z + WINDOW] == text[b : b + z - a + WINDOW] for a, z, b in zip(at[edge].tolist(), at[last].tolist(), leader[edge].tolist()) if a != b)
 
 
-def find_all(bodies, anchor, doc_ids, firsts):
-    """(segment, window in it) of the windows that start more than once."""
+def find_repeats(bodies):
+    """(group, segment, window in it) of the windows that equal another of the segments."""
     import numpy as np
 
     from .words import raw
@@ -101,14 +126,17 @@ def find_all(bodies, anchor, doc_ids, firsts):
     n = np.diff(offsets) - WINDOW + 1
     segment = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-    hit = np.sort(radix_groups(data, offsets[segment] + place, anchor.view(np.uint64)[segment]))
-    return segment[hit], place[hit]
+    starts = offsets[segment] + place
+    alive, group = radix_groups(stretch_hashes(data, DIGIT), starts, range(0, WINDOW, DIGIT))
+    if len(alive) and not _equal(data.tobytes(), starts, alive, group):  # two digits of one hash
+        alive, group = radix_groups(eight_bytes(data), starts, range(0, WINDOW, 8))
+    return group, segment[alive], place[alive]
 
 
-def remove_repeats(docs: DataFrame, hot: int = repeats.HOT, bytes_too: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int | None = None, bytes_too: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with bytes_too the kept bytes."""
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    texts, stretches = repeats.repeated_stretches(docs, BYTES, False, find_all, hot)
+    texts, stretches = repeats.repeated_stretches(docs, BYTES, False, find_repeats, hot)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if bytes_too else [])]
 
     def run(batches: Iterator) -> Iterator:

@@ -1,21 +1,29 @@
 """Repeated windows of tokens over a whole table: what substring and radix dedup share.
 
 A window is `width` tokens in a row of one text. Its anchor is the least hash among the
-`gram`-token stretches in it (the leftmost of equal ones), so equal windows have equal anchors
-at equal places, and neighbouring windows mostly share one. Steps:
+stretches of some shorter length in it (the leftmost of equal ones), so equal windows have
+equal anchors at equal places, and neighbouring windows mostly share one. Steps:
 
 1. Each text's anchors, with the run of windows each stands for, go to their hash's task,
    which keeps those that occur twice. Within a batch, equal hashes are known to repeat, so
    one of them is sent and the others pass by, spread over all tasks: no key gets more rows
-   than there are batches.
-2. Texts join their repeated anchors, and each run of windows becomes a segment, the text
-   under it. Equal segments of a task are settled on the spot, and one of them is sent.
-3. Segments meet by anchor; a `Finder` decides which windows count as repeats, a memory-sized
-   set of whole groups at a time. Groups of more than HOT anchors are split by the longest
-   prefix: each of their windows travels alone, as a 128-bit hash of all its tokens.
-4. Texts join the stretches to remove.
-
-Texts travel compressed. doc_id identifies a text; rows without doc_id take no part.
+   than there are batches. An anchor that occurs once has no repeated window.
+2. Texts join their repeated anchors, and each run of windows becomes a segment: the text under
+   it. Before segments leave a task, a `Finder` looks for equal windows among those at hand, a
+   memory-sized set at a time; all but one of equal windows end here, and segments lose them.
+3. Segments meet by anchor, and the Finder settles whole groups, a memory-sized set at a time.
+   A group of more than `hot` anchors is dealt to several tasks first; what each leaves of it
+   goes on under the anchors of longer stretches (`Tokens.grams`, the last being whole windows),
+   until no group is larger. Equal windows shrink by the number a task holds, and different
+   ones part, so this ends; the Finder decides in the same way each time.
+4. Texts join the stretches to remove: runs of neighbouring windows, not windows.
+
+Anchors and their hashes only decide what meets; that windows are equal is the Finder's to
+say, on the tokens themselves. Texts travel compressed.
+
+A document is a (doc_id, text): rows that repeat both are one document, read once and
+each given its result; rows that share a doc_id but not the text are documents of their own
+(ordered by a hash of the text). Rows without doc_id take no part.
 """
 
 from __future__ import annotations
@@ -30,24 +38,26 @@ from pyspark.sql import functions as F
 from .common import modest_batches, text_of, written
 
 HOT = 20_000
-#: Bytes of segments that a Finder gets at once, about, and segments a task remembers.
-GROUP_BYTES, REMEMBERED = 2_000_000, 100_000
+#: Bytes of segments that a Finder gets at once, about (whole groups), and that a task gathers
+#: before it looks for equal windows among them.
+GROUP_BYTES, GATHERED = 2_000_000, 6_000_000
 _BITS = 21
 CHUNK_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Tokens:
-    """How texts are cut. `hashes(column)` yields (first row, end row, token hashes or bytes,
-    where rows start); `grams(tokens)` the hash of the stretch from each token on; `cut(text)`
-    a function from token positions to bytes; `keys(text)` two hashes of the window at each token."""
+    """How texts are cut. `grams` are the lengths of stretches that anchor windows, from the first
+    to the whole window; `hashes(column)` yields (first row, end row, token hashes or bytes, where
+    rows start); `stretches(tokens, n)` the hash of the n tokens from each on; `cut(text)` a function
+    from token positions to bytes; `part(body, a, z)` the same for a segment."""
 
     width: int
-    gram: int
+    grams: tuple[int, ...]
     hashes: Callable
-    grams: Callable
+    stretches: Callable
     cut: Callable
-    keys: Callable
+    part: Callable
 
 
 def sliding_min(x, n: int):
@@ -60,15 +70,16 @@ def sliding_min(x, n: int):
     return np.minimum(x[: len(x) - (n - have)], x[n - have :]) if have < n else x
 
 
-def anchors(tokens, at, kind: Tokens):
+def anchors(tokens, at, kind: Tokens, level: int = 0):
     """(text, hash, first window, last window) arrays; tokens of texts in a row, `at` where they
     start, with the end."""
     import numpy as np
 
-    from .words import U
+    from .words import U, mix
 
     found = []
-    reach = kind.width - kind.gram + 1
+    gram = kind.grams[min(level, len(kind.grams) - 1)]
+    reach = kind.width - gram + 1
     total = len(tokens)
     live = np.zeros(total + 1, np.int32)
     sizes = np.diff(at)
@@ -79,7 +90,7 @@ def anchors(tokens, at, kind: Tokens):
     mask = U((1 << _BITS) - 1)
     for s in range(0, total, CHUNK_TOKENS):
         part = tokens[s : s + CHUNK_TOKENS + kind.width - 1]
-        g = kind.grams(part)
+        g = kind.stretches(part, gram)
         if len(g) < reach:
             break
         least = sliding_min((g & ~mask) | np.arange(len(g), dtype=U), reach)[:CHUNK_TOKENS]
@@ -90,16 +101,24 @@ def anchors(tokens, at, kind: Tokens):
         last = np.concatenate((edge, [len(place)])) - 1
         first, last = first[ok[first]], last[ok[first]]
         text = np.searchsorted(at, s + first, "right") - 1
-        found.append((text, g[place[first]], s + first - at[text], s + last - at[text]))
+        h = g[place[first]]
+        found.append((text, mix(h + U(level)) if level else h, s + first - at[text], s + last - at[text]))
     if not found:
         return (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _anchor_rows(docs: DataFrame, kind: Tokens) -> DataFrame:
-    """part, h, doc_id, first, last, n: anchors with the key they go to; n counts a batch's equal
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, v, text (bytes) of the rows with a doc_id; v tells apart texts that share one."""
+    rows = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"], text_of(docs).cast("binary").alias("text"))
+    shared = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return rows.select("doc_id", (F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64("text")).alias("v"), "text")
+
+
+def _anchor_rows(rows: DataFrame, kind: Tokens) -> DataFrame:
+    """part, h, doc_id, v, first, last, n: anchors with the key they go to; n counts a batch's equal
     ones for the one that is sent, whose hash is the key itself (h is null), and is 0 for others."""
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+    doc_kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -108,40 +127,41 @@ def _anchor_rows(docs: DataFrame, kind: Tokens) -> DataFrame:
         from .words import U, mix
 
         for b in batches:
-            got = [(a + t, h, x, y) for a, _, tokens, at in kind.hashes(b.column(1)) for t, h, x, y in [anchors(tokens, at, kind)] if len(t)]
+            got = [(a + t, h, x, y) for a, _, tokens, at in kind.hashes(b.column(2)) for t, h, x, y in [anchors(tokens, at, kind)] if len(t)]
             if not got:
                 continue
             row, h, first, last = (np.concatenate(x) for x in zip(*got))
-            _, where, inverse, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            _, where, counts = np.unique(h, return_index=True, return_counts=True)
             n = np.zeros(len(h), np.int64)
             n[where] = counts
             part = np.where(n > 0, h, mix(h + np.arange(len(h), dtype=U)))
+            row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.view(np.int64)), pa.array(h.view(np.int64), mask=n > 0), b.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["part", "h", "doc_id", "first", "last", "n"],
+                [pa.array(part.view(np.int64)), pa.array(h.view(np.int64), mask=n > 0), b.column(0).take(row), b.column(1).take(row), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["part", "h", "doc_id", "v", "first", "last", "n"],
             )
 
-    return docs.mapInArrow(run, f"part long, h long, doc_id {doc_kind}, first int, last int, n int")
+    return rows.mapInArrow(run, f"part long, h long, doc_id {doc_kind}, v long, first int, last int, n int")
 
 
 def _repeated(rows: DataFrame, doc_kind: str) -> DataFrame:
-    """h, doc_id, first, last, total of the anchors that occur twice or more; total is null for
+    """h, doc_id, v, first, last, total of the anchors that occur twice or more; total is null for
     those that passed by."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["h", "doc_id", "first", "last", "total"]
+        names = ["h", "doc_id", "v", "first", "last", "total"]
 
-        def decided(x: pa.Table) -> pa.RecordBatch:
+        def decided(x: pa.Table) -> pa.Table:
             part, n = x.column("part").to_numpy(), x.column("n").to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             sizes = np.diff(np.append(edge, len(part)))
             total = np.repeat(np.add.reduceat(n.astype(np.int64), edge), sizes)
             keep = (n == 0) | (total > 1)
             own = pa.array(np.where(n == 0, x.column("h").fill_null(0).to_numpy(), part))
-            out = x.select(["doc_id", "first", "last"]).append_column("h", own).append_column("total", pa.array(total, mask=n == 0))
+            out = x.select(["doc_id", "v", "first", "last"]).append_column("h", own).append_column("total", pa.array(total, mask=n == 0))
             return out.filter(pa.array(keep)).select(names).combine_chunks()
 
         rest = None
@@ -156,12 +176,12 @@ def _repeated(rows: DataFrame, doc_kind: str) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from decided(rest).to_batches()
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"h long, doc_id {doc_kind}, first int, last int, total long")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"h long, doc_id {doc_kind}, v long, first int, last int, total long")
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the zstd-compressed text z of each row of docs (doc_id, text without nulls)."""
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """The rows with their last column, a text without nulls, compressed by zstd as z."""
+    *others, text = rows.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,163 +189,280 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
         squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze(t.as_py().encode()) for t in b.column(1)], pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([squeeze(t.as_py()) for t in b.column(len(others))], pa.binary())], [*others, "z"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.select(*others, F.col(text).cast("binary")).mapInArrow(run, ", ".join([*kinds, "z binary"]))
+
+
+#: A segment to look at, or (body is null) a stretch of windows to remove, with any h.
+SEGMENT = "h long, salt int, salts int, doc_id {}, v long, first int, last int, body binary"
+NAMES = ["h", "salt", "salts", "doc_id", "v", "first", "last", "body"]
+
 
-    return docs.mapInArrow(run, f"doc_id {doc_kind}, z binary")
+def _types(doc_type) -> list:
+    import pyarrow as pa
 
+    return [pa.int64(), pa.int32(), pa.int32(), doc_type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _runs(segment, window):
+    """Where runs of neighbouring windows of a segment start and end; the arrays are sorted."""
+    import numpy as np
+
+    edge = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1))))
+    return edge, np.append(edge[1:], len(segment)) - 1
+
+
+def _stretch_rows(x, segment, first, last):
+    """Rows of stretches to remove: of table x's segments, windows first to last."""
+    import numpy as np
+    import pyarrow as pa
 
-SEGMENT = "h long, k2 long, doc_id {}, first int, last int, body binary"
+    from .words import U, mix
 
+    own = pa.array(segment)
+    ids, v = x.column("doc_id").combine_chunks().take(own), x.column("v").combine_chunks().take(own)
+    spread = mix(v.to_numpy().astype(U) + first.astype(U) * U(0x9E3779B97F4A7C15) + np.arange(len(first), dtype=U))
+    cols = [pa.array(spread.view(np.int64)), pa.array(np.zeros(len(first), np.int32)), pa.array(np.ones(len(first), np.int32)), ids, v]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.nulls(len(first), pa.binary())], NAMES)
 
-def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool) -> DataFrame:
-    """Segments (body given), lone windows of hot anchors (k2 given), and stretches settled in
-    the task (neither; h then spreads them). Texts come sorted by doc_id and runs are sorted here,
-    so a task that runs again after a loss sends the same rows to the same places."""
+
+def _order_of(x):
+    """The order of each segment's document among those of table x, equal documents alike."""
+    import numpy as np
+
+    _, rank = np.unique(x.column("doc_id").to_numpy(), return_inverse=True)
+    v = x.column("v").to_numpy()
+    order = np.lexsort((v, rank))
+    new = np.concatenate(([0], (rank[order][1:] != rank[order][:-1]) | (v[order][1:] != v[order][:-1])))
+    out = np.empty(len(v), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _settled(x, kind: Tokens, keep_first: bool, finder: Callable):
+    """(stretches to remove or None, table of the segments with one of each of equal windows)."""
+    import numpy as np
+    import pyarrow as pa
+
+    node, s, w = finder(x.column("body").combine_chunks())
+    if not len(node):
+        return None, x
+    first = x.column("first").to_numpy()
+    doc, place = _order_of(x)[s], first[s] + w
+    order = np.lexsort((place, doc, node))
+    node, s, w, doc, place = (y[order] for y in (node, s, w, doc, place))
+    start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    leader = np.repeat(start, np.diff(np.append(start, len(node))))
+    same = (doc == doc[leader]) & (place == place[leader])  # the first itself, or a repeated row's
+    gone = ~same if keep_first else np.repeat(np.logical_or.reduceat(~same, start), np.diff(np.append(start, len(node))))
+    stretches = None
+    if gone.any():
+        a, b = s[gone], w[gone]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        i, j = _runs(a, b)
+        stretches = _stretch_rows(x, a[i], first[a[i]] + b[i], first[a[i]] + b[j])
+
+    sizes = x.column("last").to_numpy() - first + 1
+    base = np.cumsum(sizes) - sizes
+    left = np.ones(int(sizes.sum()), bool)
+    left[base[s] + w] = False
+    left[base[s[start]] + w[start]] = True
+    at = np.flatnonzero(left)
+    segment = np.repeat(np.arange(len(sizes)), sizes)[at]
+    at = at - base[segment]
+    i, j = _runs(segment, at) if len(at) else (at, at)
+    own, a, b = segment[i], at[i], at[j]
+    kept = x.take(pa.array(own))
+    bodies, whole = kept.column("body").to_pylist(), (b - a + 1 == sizes[own]).tolist()
+    bodies = [y if all_of else kind.part(y, p, q + kind.width) for y, all_of, p, q in zip(bodies, whole, a.tolist(), b.tolist())]
+    cols = [kept.column(c) for c in NAMES[:5]] + [pa.array((first[own] + a).astype(np.int32)), pa.array((first[own] + b).astype(np.int32)), pa.array(bodies, pa.binary())]
+    return stretches, pa.table(cols, names=NAMES)
+
+
+def _sets(x) -> Iterator:
+    """Table x, sorted by h and salt, in whole groups of two segments or more, about GROUP_BYTES at
+    a time; and the segments that are alone, as (table, alone)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    h, salt = x.column("h").to_numpy(), x.column("salt").to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))))
+    sizes = np.diff(np.append(edge, len(h)))
+    many = np.repeat(sizes > 1, sizes)
+    if not many.all():
+        yield x.filter(pa.array(~many)), True
+    if not many.any():
+        return
+    x, sizes = x.filter(pa.array(many)).combine_chunks(), sizes[sizes > 1]
+    nbytes = np.cumsum(pc.binary_length(x.column("body")).to_numpy().astype(np.int64))
+    ends = np.cumsum(sizes)
+    at = done = 0
+    while at < len(ends):
+        to = max(int(np.searchsorted(nbytes[ends - 1], done + GROUP_BYTES)), at + 1)
+        start = ends[at - 1] if at else 0
+        yield x.slice(start, ends[to - 1] - start), False
+        at, done = to, nbytes[ends[to - 1] - 1]
+
+
+def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool, finder: Callable) -> DataFrame:
+    """Segments, with stretches that are settled in the task. Texts come sorted and runs are sorted
+    here, so a task that runs again after a loss sends the same rows to the same places."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         import xxhash
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        names = ["h", "k2", "doc_id", "first", "last", "body"]
-        known: dict = {}
-        out: list[tuple] = []
-        doc_type = None
-
-        def settle(doc, first: int, last: int) -> None:
-            spread = xxhash.xxh3_64_intdigest(f"{doc}:{first}") >> 1
-            out.append((spread, None, doc, first, last, None))
-
-        def see(key: tuple, h: int, k2, doc, first: int, last: int, body) -> None:
-            before = known.get(key)
-            if before is None:
-                known[key] = [h, k2, doc, first, last, body, False]
-            elif not keep_first:
-                before[6] = True
-                settle(doc, first, last)
-            elif (before[2], before[3]) <= (doc, first):
-                settle(doc, first, last)
-            else:
-                settle(before[2], before[3], before[4])
-                before[2:5] = [doc, first, last]
-
-        def flush(everything: bool) -> Iterator:
-            if everything or len(known) >= REMEMBERED:
-                for h, k2, doc, first, last, body, again in known.values():
-                    if again:
-                        settle(doc, first, last)
-                    out.append((h, k2, doc, first, last, body))
-                known.clear()
-            for at in range(0, len(out), 10_000):
-                part = list(zip(*out[at : at + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, [pa.int64(), pa.int64(), doc_type, pa.int32(), pa.int32(), pa.binary()])], names)
-            out.clear()
+        rows, size, doc_type = [], 0, None
+
+        def combined() -> Iterator:
+            if not rows:
+                return
+            x = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _types(doc_type))], names=NAMES)
+            rows.clear()
+            # Salts part what is sent, but all that is here can be looked at together.
+            x = x.take(pa.array(np.argsort(x.column("h").to_numpy(), kind="stable")))
+            plain = x.set_column(1, "salt", pa.array(np.zeros(x.num_rows, np.int32)))
+            salts = iter(x.column("salt").to_pylist()) if x.column("salts").to_numpy().max() > 1 else None
+            for part, alone in _sets(plain):
+                stretches, kept = (None, part) if alone else _settled(part, kind, keep_first, finder)
+                if stretches is not None:
+                    yield stretches
+                if salts is not None:
+                    n = kept.column("salts").to_numpy()
+                    place = [xxhash.xxh3_64_intdigest(f"{d}:{v}:{f}") >> 1 for d, v, f in zip(*(kept.column(c).to_pylist() for c in ("doc_id", "v", "first")))]
+                    kept = kept.set_column(1, "salt", pa.array((np.array(place, np.int64) % n).astype(np.int32)))
+                yield from kept.combine_chunks().to_batches(max_chunksize=10_000)
 
         for b in batches:
             doc_type = b.schema.field(0).type
-            for doc, z, runs in zip(*(b.column(k).to_pylist() for k in range(3))):
-                text = expand(z)
-                cut, keys = kind.cut(text), None
+            for doc, v, z, runs in zip(*(b.column(k).to_pylist() for k in range(4))):
+                cut = kind.cut(expand(z))
                 for r in sorted(runs, key=itemgetter("first", "last")):
-                    if r["hot"]:
-                        keys = keys if keys is not None else kind.keys(text)
-                        for w in range(r["first"], r["last"] + 1):
-                            k = keys[0][w].item(), keys[1][w].item()
-                            see(k, k[0], k[1], doc, w, w, None)
-                    else:
-                        body = cut(r["first"], r["last"] + kind.width)
-                        see((r["h"], xxhash.xxh3_128_digest(body)), r["h"], None, doc, r["first"], r["last"], body)
-                if len(out) > 10_000 or len(known) >= REMEMBERED:
-                    yield from flush(False)
-        yield from flush(True)
-
-    joined = texts.join(lists, "doc_id").select("doc_id", "z", "runs").sortWithinPartitions("doc_id")  # no extra sort where the join has sorted
+                    body = cut(r["first"], r["last"] + kind.width)
+                    rows.append((r["h"], 0, r["salts"], doc, v, r["first"], r["last"], body))
+                    size += len(body) + 100
+                    if size > GATHERED:
+                        yield from combined()
+                        size = 0
+        yield from combined()
+
+    joined = texts.join(lists, ["doc_id", "v"]).select("doc_id", "v", "z", "runs").sortWithinPartitions("doc_id", "v")  # no extra sort where the join has sorted
     return joined.mapInArrow(run, SEGMENT.format(doc_kind))
 
 
-def _stretches(segments: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool, finder: Callable) -> DataFrame:
-    """doc_id, start, end: tokens to remove."""
+def _found(segments: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool, finder: Callable, level: int) -> DataFrame:
+    """Stretches to remove, and of groups that were dealt to several tasks what is left, as segments
+    by the anchors of the next level."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        names = ["doc_id", "start", "end"]
-
-        def result(ids, first, last) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(first, pa.int32()), pa.array(last + kind.width, pa.int32())], names)
-
-        def windows(x: pa.Table, one, two, ids) -> pa.RecordBatch:
-            """Of single windows, the repeats by two keys; ids: numpy doc_ids."""
-            first = x.column("first").to_numpy()
-            order = np.lexsort((first, ids, two, one))
-            same = np.concatenate(([False], (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])))
-            if not keep_first:
-                same[:-1] |= same[1:]
-            hit = order[same]
-            return result(x.column("doc_id").combine_chunks().take(pa.array(hit)), first[hit], first[hit])
+        def onward(x) -> Iterator:
+            column = x.column("body").combine_chunks()
+            bodies, base = column.to_pylist(), x.column("first").to_numpy()
+            for a, _, tokens, at in kind.hashes(column):
+                text, h, first, last = anchors(tokens, at, kind, level)
+                own = a + text
+                cut = [kind.part(bodies[s], p, q + kind.width) for s, p, q in zip(own.tolist(), first.tolist(), last.tolist())]
+                zero = np.zeros(len(own), np.int32)
+                ids = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(zero), pa.array(zero + 1), x.column("doc_id").combine_chunks().take(ids), x.column("v").combine_chunks().take(ids), pa.array((base[own] + first).astype(np.int32)), pa.array((base[own] + last).astype(np.int32)), pa.array(cut, pa.binary())],
+                    NAMES,
+                )
 
         def settled(x: pa.Table) -> Iterator:
-            no_body, no_key = pc.is_null(x.column("body")), pc.is_null(x.column("k2"))
-            done = x.filter(pc.and_(no_body, no_key))
-            if done.num_rows:
-                yield result(done.column("doc_id").combine_chunks(), done.column("first").to_numpy(), done.column("last").to_numpy())
-            lone = x.filter(pc.invert(no_key))
-            if lone.num_rows:
-                yield windows(lone, lone.column("h").to_numpy(), lone.column("k2").to_numpy(), lone.column("doc_id").to_numpy())
-            whole = x.filter(pc.invert(no_body))
-            if whole.num_rows > 1:
-                s, w = finder(whole.column("body").combine_chunks(), whole.column("h").to_numpy(), whole.column("doc_id").to_numpy(), whole.column("first").to_numpy())
-                if len(s):  # (segment, window in it), sorted: runs of neighbours become stretches
-                    edge = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (w[1:] != w[:-1] + 1))))
-                    last = np.append(edge[1:], len(s)) - 1
-                    base = whole.column("first").to_numpy()[s[edge]]
-                    yield result(whole.column("doc_id").combine_chunks().take(pa.array(s[edge])), base + w[edge], base + w[last])
+            done = pc.is_null(x.column("body"))
+            yield from x.filter(done).combine_chunks().to_batches()
+            x = x.filter(pc.invert(done))
+            if not x.num_rows:
+                return
+            for part, alone in _sets(x):
+                stretches, kept = (None, part) if alone else _settled(part, kind, keep_first, finder)
+                if stretches is not None:
+                    yield stretches
+                kept = kept.filter(pc.greater(kept.column("salts"), 1))
+                if kept.num_rows:
+                    yield from onward(kept)
 
         rest: list = []
         size = 0
         for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             rest.append(b)
-            size += b.column(5).nbytes
+            size += b.column(7).nbytes
             if size > GROUP_BYTES:
                 x = pa.Table.from_batches(rest).combine_chunks()
-                h = x.column("h").to_numpy()
-                edge = int(np.searchsorted(h, h[-1]))
-                if edge:
+                h, salt = x.column("h").to_numpy(), x.column("salt").to_numpy()
+                other = np.flatnonzero((h != h[-1]) | (salt != salt[-1]))
+                if len(other):
+                    edge = int(other[-1]) + 1
                     yield from settled(x.slice(0, edge))
-                    tail = x.slice(edge)
-                    rest = tail.combine_chunks().to_batches()
-                    size = sum(r.column(5).nbytes for r in rest)
+                    rest = x.slice(edge).combine_chunks().to_batches()
+                    size = sum(r.column(7).nbytes for r in rest)
         if rest:
             x = pa.Table.from_batches(rest).combine_chunks()
             if x.num_rows:
                 yield from settled(x)
 
-    return segments.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"doc_id {doc_kind}, start int, end int")
+    return segments.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, SEGMENT.format(doc_kind))
+
 
+def _dealt(rows: DataFrame, totals: DataFrame, hot: int) -> DataFrame:
+    """rows with salts: to how many tasks their group is dealt. totals has h and total."""
+    salts = F.ceil(F.col("total") / hot).cast("int")
+    if totals.isEmpty():
+        return rows.withColumn("salts", F.lit(1))
+    return rows.join(totals.select("h", salts.alias("salts")), "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
 
-def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder: Callable, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(texts: doc_id and zstd-compressed UTF-8 z, stretches: doc_id and its list of (start, end)
-    tokens to remove), both by doc_id.
 
-    keep_first: remove all but the first of equal windows (by doc_id, then place); else all.
-    finder(bodies, anchors, doc_ids, firsts) gives (segment, window) arrays, sorted."""
+def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder: Callable, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(texts: doc_id, v and zstd-compressed UTF-8 z; stretches: doc_id, v and the list of (start,
+    end) tokens to remove), both by document.
+
+    keep_first: remove all but the first of equal windows (by document, then place); else all
+    that occur at two places. finder(bodies) gives (class, segment, window in it) arrays of the
+    windows that are equal to another of the segments."""
+    hot = max(hot or HOT, 2)  # of two or more in a task, equal ones become one, so each level has fewer
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     modest_batches(docs.sparkSession)
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of(docs).alias("text"))
+    rows = keyed(docs)
     repeated = written(_repeated(_anchor_rows(rows, kind), doc_kind), "repeated")
-    many = written(repeated.where(F.col("total") > hot).select("h").distinct(), "hot")
-    if many.isEmpty():
-        marked = repeated.withColumn("hot", F.lit(False))
-    else:
-        marked = repeated.join(many.withColumn("hot", F.lit(True)), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("runs"))
+    many = written(repeated.where(F.col("total") > hot).groupBy("h").agg(F.max("total").alias("total")), "hot")
+    marked = _dealt(repeated.select("h", "doc_id", "v", "first", "last"), many, hot)
+    lists = marked.groupBy("doc_id", "v").agg(F.collect_list(F.struct("h", "first", "last", "salts")).alias("runs"))
     # The filter is what the inner join below asks for; stated here, both joins share one exchange.
     texts = packed_texts(rows).where(F.col("doc_id").isNotNull())
-    found = _stretches(_segments(texts, lists, doc_kind, kind, keep_first), doc_kind, kind, keep_first, finder)
-    return texts, found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
+    segments, found, level = _segments(texts, lists, doc_kind, kind, keep_first, finder), [], 0
+    parted = not many.isEmpty()
+    while True:
+        level += 1
+        step = _found(segments, doc_kind, kind, keep_first, finder, level)
+        if not parted:
+            found.append(step)
+            break
+        step = written(step, f"step-{level}")
+        found.append(step.where(F.col("body").isNull()))
+        left = step.where(F.col("body").isNotNull())
+        if left.isEmpty():
+            break
+        many = written(left.groupBy("h").agg(F.count("*").alias("total")).where(F.col("total") > hot), f"hot-{level}")
+        parted = not many.isEmpty()
+        spread = F.pmod(F.xxhash64("doc_id", "v", "first"), F.col("salts")).cast("int")
+        segments = _dealt(left.drop("salts"), many, hot).withColumn("salt", spread).select(*NAMES)
+    ends = [x.select("doc_id", "v", F.col("first").alias("start"), (F.col("last") + kind.width).alias("end")) for x in found]
+    every = ends[0]
+    for x in ends[1:]:
+        every = every.union(x)
+    return texts, every.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
 
 
 def covered(stretches: list, n: int):
@@ -342,6 +479,6 @@ def covered(stretches: list, n: int):
 
 def texts_with_stretches(docs: DataFrame, texts: DataFrame, stretches: DataFrame) -> DataFrame:
     """doc_id, z, stretches of all rows of docs; those without doc_id have none."""
-    rest = packed_texts(docs.where(F.col("doc_id").isNull()).select("doc_id", text_of(docs).alias("text")))
-    found = texts.join(stretches, "doc_id", "left").select("doc_id", "z", "stretches")
+    rest = packed_texts(docs.where(docs["doc_id"].isNull()).select(docs["doc_id"], text_of(docs).cast("binary").alias("text")))
+    found = texts.join(stretches, ["doc_id", "v"], "left").select("doc_id", "z", "stretches")
     return found.union(rest.select("doc_id", "z", F.lit(None).cast(stretches.schema["stretches"].dataType)))

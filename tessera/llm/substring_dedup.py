@@ -1,19 +1,25 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-Suffixes start at the windows that may repeat (`repeats` finds them by the anchors of all
-windows: a suffix whose first WINDOW words occur once hangs as a lone leaf above depth WINDOW
-and cannot lie under a deep internal node). Suffixes are dealt by variable-length prefixes:
-by the GRAM-word stretch that anchors them, and where that group would exceed a task, by all
-WINDOW words. Each task builds the suffix tree of a memory-sized set of whole groups, as the
-sorted suffixes with the lengths of their common prefixes: internal nodes are runs of leaves,
-and the topmost ones of WINDOW words or deeper hold the maximal repeats. Of the leaves under
-one, all but the first (smallest doc_id, then place) are repeats, and their words go.
-
-Words are compared by 64-bit hashes, windows by all their words'.
-
-Defined results: null texts have no words (0 removed, the hash of the empty string); texts
-shorter than WINDOW words stay; a row without doc_id stays and takes no part; doc_id identifies
-a document; other columns are ignored.
+A suffix whose first WINDOW words occur once is a lone leaf above depth WINDOW and can't lie
+under a deep internal node, so suffixes go on only where the stretch that anchors their window
+occurs twice (`repeats`). They are dealt by prefixes of the suffixes that start at anchors, of
+variable length: the anchor's GRAMS[0] words, and where such a group would exceed a task, 14
+words, then all WINDOW; neighbouring windows of one anchor travel together, as one segment.
+(Dealing every suffix by its own first words would send each with words of its own, some five
+times the text.) Each task builds the suffix tree of a memory-sized set of whole groups: sorted
+suffixes, the full lengths of their common prefixes, and from these the internal nodes. The topmost
+nodes of WINDOW words or deeper hold the repeats: of the leaves under one, all but the first
+(smallest doc_id, then place) go, WINDOW words each. A maximal repeat of n words is n - 19 such
+nodes, one for each of its suffixes that is long enough, so its leaves join to one stretch.
+
+Words are compared as they are (in a word of over LONG_WORD bytes, a 128-bit hash stands for it).
+
+Defined results: null and empty texts have no words (0 removed, the hash of the empty string);
+texts shorter than WINDOW words stay; a text of any length is read whole; rows that repeat
+doc_id and text are one document, and each gets its result (so they aren't repeats of one
+another); rows that share a doc_id only are documents of their own; a row without doc_id
+stays whole and takes no part; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAMS, LONG_WORD = 20, (8, 14, 20), 64
 
 
 def _words(column) -> Iterator:
@@ -33,97 +39,108 @@ def _words(column) -> Iterator:
     return word_hashes(column)
 
 
-def _grams(h):
+def _stretches(h, n: int):
     from .words import shingle_hashes
 
-    return shingle_hashes(h, GRAM)
+    return shingle_hashes(h, n)
+
+
+def _short(word: bytes) -> bytes:
+    import xxhash
+
+    return b"\xff" + xxhash.xxh3_128_hexdigest(word).encode()  # no text holds the byte \xff
 
 
 def _cut(text: bytes):
     words = text.split()
+    if len(text) > LONG_WORD:
+        words = [w if len(w) <= LONG_WORD else _short(w) for w in words]
     return lambda a, z: b" ".join(words[a:z])
 
 
-def _keys(text: bytes, width: int = WINDOW):
-    import numpy as np
-    import pyarrow as pa
-
-    from .words import U, mix, shingle_hashes, word_hashes
-
-    h = np.concatenate([x for _, _, x, _ in word_hashes(pa.array([text], pa.binary()))])
-    return shingle_hashes(h, width).view(np.int64), shingle_hashes(mix(h + U(1)), width).view(np.int64)
+def _part(body: bytes, a: int, z: int) -> bytes:
+    return b" ".join(body.split(b" ")[a:z])
 
 
-WORDS = repeats.Tokens(WINDOW, GRAM, _words, _grams, _cut, _keys)
+WORDS = repeats.Tokens(WINDOW, GRAMS, _words, _stretches, _cut, _part)
 
 
 class SuffixTree:
-    """The suffixes of several token rows, from given starts on, as sorted leaves with the
-    lengths `common` of the prefix that each shares with the one before it (counted up to
-    `depth` tokens, which every given suffix has)."""
+    """The tree of the suffixes of token rows that start at `starts`; rows end in tokens that occur
+    nowhere else. Leaves are in order; `common` is how many tokens each shares with the one before
+    it. An internal node is a range of leaves with the length of their common prefix."""
 
-    def __init__(self, tokens, starts, depth: int):
+    def __init__(self, tokens, starts, longest: int):
         import numpy as np
 
-        _, rank = np.unique(tokens, return_inverse=True)
-        ranks, have = {1: rank.astype(np.int32)}, 1
-        while 2 * have <= depth:  # ranks of stretches of 2, 4, ... tokens
+        ranks, have = {1: np.unique(tokens, return_inverse=True)[1].astype(np.int64)}, 1
+        while have < longest:  # the order of stretches of 2, 4, ... tokens
             last = ranks[have]
-            pair = last[: len(last) - have].astype(np.int64) * (len(tokens) + 1) + last[have:]
-            ranks[2 * have] = np.unique(pair, return_inverse=True)[1].astype(np.int32)
+            pair = last * (len(tokens) + 1)
+            pair[: len(last) - have] += last[have:] + 1
+            ranks[2 * have] = np.unique(pair, return_inverse=True)[1]
             have *= 2
-        steps, at = [], 0
-        for size in sorted(ranks, reverse=True):
-            if depth - at >= size:
-                steps.append((at, size))
-                at += size
-        columns = [ranks[size][starts + at] for at, size in steps]
-        self.order = np.lexsort(columns[::-1])
-        one, two = starts[self.order[1:]], starts[self.order[:-1]]
-        self.common = np.zeros(len(starts), np.int64)
+        self.order = np.argsort(ranks[have][starts], kind="stable")
+        self.starts = starts[self.order]
+        one, two = self.starts[1:], self.starts[:-1]
         grown = np.zeros(len(one), np.int64)
-        for size in sorted(ranks, reverse=True):  # the common prefix, a power of two at a time
-            for _ in range(2 if size == max(ranks) and 2 * size <= depth else 1):
-                fits = np.flatnonzero(grown + size <= depth)
-                r = ranks[size]
-                same = r[one[fits] + grown[fits]] == r[two[fits] + grown[fits]]
-                grown[fits[same]] += size
-        self.common[1:] = grown
+        for size in sorted(ranks, reverse=True):
+            a, b = one + grown, two + grown
+            inside = np.flatnonzero(np.maximum(a, b) < len(tokens))
+            same = inside[ranks[size][a[inside]] == ranks[size][b[inside]]]
+            grown[same] += size
+        self.common = np.concatenate(([0], grown)) if len(starts) else grown
 
     def deep_nodes(self, depth: int):
-        """The topmost internal nodes at `depth` or deeper: for each sorted leaf the number of
-        its node, and whether the node has two leaves or more."""
+        """The topmost internal nodes of `depth` tokens or deeper: (first leaf, last leaf, length of
+        the common prefix of all between)."""
         import numpy as np
 
-        node = np.cumsum(self.common < depth) - 1
-        return node, np.bincount(node)[node] > 1
+        inside = np.flatnonzero(self.common >= depth)
+        if not len(inside):
+            return (np.zeros(0, np.int64),) * 3
+        edge = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1] + 1)))
+        last = np.append(edge[1:], len(inside)) - 1
+        return inside[edge] - 1, inside[last], np.minimum.reduceat(self.common[inside], edge)
 
 
-def find_later(bodies, anchor, doc_ids, firsts):
-    """(segment, window in it) of the windows that also start earlier."""
+def find_repeats(bodies):
+    """(node, segment, window in it) of the windows under a deep node; bodies are words parted by
+    single spaces."""
     import numpy as np
+    import pyarrow as pa
 
-    from .words import word_hashes
-
-    parts = [(h, a + np.repeat(np.arange(len(at) - 1), np.diff(at)), np.concatenate([np.arange(x) for x in np.diff(at)] or [np.zeros(0, int)])) for a, _, h, at in word_hashes(bodies)]
-    tokens, segment, place = (np.concatenate(x) for x in zip(*parts))
-    sizes = np.bincount(segment, minlength=len(anchor))
-    starts = np.flatnonzero(place + WINDOW <= sizes[segment])
-    tree = SuffixTree(tokens, starts, WINDOW)
-    node, repeated = tree.deep_nodes(WINDOW)
-    leaf = starts[tree.order[repeated]]
-    node, s, w = node[repeated], segment[leaf], place[leaf]
-    order = np.lexsort((firsts[s] + w, doc_ids[s], node))
-    later = order[1:][node[order][1:] == node[order][:-1]]
-    s, w = s[later], w[later]
-    order = np.lexsort((w, s))
-    return s[order], w[order]
-
-
-def remove_repeats(docs: DataFrame, hot: int = repeats.HOT, texts_too: bool = False) -> DataFrame:
+    from .words import raw, spans
+
+    data, offsets = raw(bodies)
+    start, end = spans(data, offsets[:-1])
+    letters = data[data != 32]
+    cuts = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(letters.tobytes())])
+    number = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    at = np.searchsorted(start, offsets)
+    sizes = np.diff(at)
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(number)) - at[segment]
+    tokens = np.empty(len(number) + len(sizes), np.int64)  # each row with an end of its own
+    tokens[np.arange(len(number)) + segment] = number
+    ends = at[1:] + np.arange(len(sizes))
+    tokens[ends] = len(number) + np.arange(len(sizes))
+    own = np.flatnonzero(place + WINDOW <= sizes[segment])
+    leaf_of = np.empty(len(tokens), np.int64)
+    leaf_of[own + segment[own]] = own
+    tree = SuffixTree(tokens, own + segment[own], int(sizes.max()) if len(sizes) else 1)
+    first, last, _ = tree.deep_nodes(WINDOW)
+    n = last - first + 1
+    leaf = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    own = leaf_of[tree.starts[leaf]]
+    return np.repeat(np.arange(len(n)), n), segment[own], place[own]
+
+
+def remove_repeats(docs: DataFrame, hot: int | None = None, texts_too: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with texts_too the kept text."""
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    texts, stretches = repeats.repeated_stretches(docs, WORDS, True, find_later, hot)
+    texts, stretches = repeats.repeated_stretches(docs, WORDS, True, find_repeats, hot)
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -143,7 +160,7 @@ def remove_repeats(docs: DataFrame, hot: int = repeats.HOT, texts_too: bool = Fa
             n, gone, sha, kept = zip(*rows) if rows else ((),) * 4
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             if texts_too:
-                cols.append(pa.array([x.decode() for x in kept], pa.string()))
+                cols.append(pa.array([x.decode(errors="replace") for x in kept], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if texts_too else [])]

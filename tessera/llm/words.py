@@ -1,9 +1,9 @@
 """Words of many texts at once: spans and 64-bit hashes from UTF-8 bytes, with numpy.
 
 A word is a run of bytes other than \\x20 and \\x09-\\x0D, which never lie inside a UTF-8
-character. A word's hash is a polynomial over its bytes modulo 2**64, from running sums and
-inverse powers of an odd base, then mixed. Texts go through in chunks of about CHUNK bytes,
-long ones cut between words, so memory does not follow the length of a text.
+character. Texts go through in chunks of about CHUNK bytes, long ones cut between words, so
+memory follows a text by its hashes only. Hashes choose candidates; what must be equal is
+compared on the words themselves by those who ask.
 """
 
 from __future__ import annotations
@@ -24,27 +24,10 @@ NOT_ALNUM[:128] = [not chr(x).isalnum() for x in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(n, U)
-    done = 1
-    while done < n:
-        k = min(done, n - done)
-        out[done : done + k] = out[:k] * U(pow(base, done, 1 << 64))
-        done += k
-    return out
-
-
-_tables: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
-        _tables[:] = [powers(_BASE, n), powers(_INVERSE, n)]
-    return _tables[0], _tables[1]
+#: What is left of eight bytes when a word has fewer, by how many it has.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words over this many bytes are hashed by the library, one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,12 +56,24 @@ def spans(data: np.ndarray, text_starts: np.ndarray, separators: np.ndarray = _I
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, of eight bytes at a time, mixed in between."""
     if not len(starts):
         return np.zeros(0, U)
-    up, down = _powers(max(len(data), CHUNK + 1))
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix((eight[starts] & _KEEP[np.minimum(size, 8)]) ^ mix(size.astype(U)))
+    rest, at = np.flatnonzero(size > 8), 8
+    while len(rest) and at < _LONG:
+        left = size[rest] - at
+        out[rest] = mix(out[rest] * U(_BASE) + (eight[starts[rest] + at] & _KEEP[np.minimum(left, 8)]))
+        rest, at = rest[left > 8], at + 8
+    if len(rest):
+        import xxhash
+
+        text = data.tobytes()
+        out[rest] = [xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]]) for k in rest]
+    return out
 
 
 def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -12,7 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, graph, html_text, lattice_lm, minhash, packing, quality_rules, radix_dedup, secret_scan, substring_dedup, token_counts
+from tessera.llm import decontamination, graph, html_text, lattice_lm, minhash, packing, quality_rules, radix_dedup, repeats, secret_scan, substring_dedup, token_counts
 from tessera.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,15 +168,21 @@ def repeated_bytes(texts, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_tree_dedup(docs, texts, empty, hot):
+@pytest.mark.parametrize("hot, memory", [(20_000, None), (2, None), (3, 3000)])
+def test_suffix_tree_dedup(docs, texts, empty, monkeypatch, hot, memory):
+    if memory:
+        monkeypatch.setattr(repeats, "GATHERED", memory)
+        monkeypatch.setattr(repeats, "GROUP_BYTES", memory)
     got = rows_of(substring_dedup.remove_repeats(docs, hot), "n_words", "n_removed", "kept_sha256")
     assert got == later_words(texts, 20) and any(x[1] for x in got.values())
     assert substring_dedup.remove_repeats(empty, hot).count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_radix_dedup(docs, texts, empty, hot):
+@pytest.mark.parametrize("hot, memory", [(20_000, None), (2, None), (3, 6000)])
+def test_radix_dedup(docs, texts, empty, monkeypatch, hot, memory):
+    if memory:
+        monkeypatch.setattr(repeats, "GATHERED", memory)
+        monkeypatch.setattr(repeats, "GROUP_BYTES", memory)
     got = rows_of(radix_dedup.remove_repeats(docs, hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == repeated_bytes(texts, 400) and any(x[1] for x in got.values())
     assert radix_dedup.remove_repeats(empty, hot).count() == 0
@@ -192,6 +198,68 @@ def test_rows_without_id_stay(spark):
     assert {(r.doc_id, r.n_removed > 0) for r in radix_dedup.remove_repeats(df).collect()} == {(None, False), (1, True), (2, False)}
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_rows_that_repeat_an_id(spark, hot):
+    a, b = (" ".join(f"{x}{k}" for k in range(160)) for x in "ab")
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda f, rows: sorted((r.doc_id, r.n_removed) for r in f(table(rows), hot).collect())
+    words, data = substring_dedup.remove_repeats, radix_dedup.remove_repeats
+    same = [(1, a), (1, a)]  # one document
+    assert found(words, same) == [(1, 0), (1, 0)] and found(data, same) == [(1, 0), (1, 0)]
+    assert found(words, [*same, (0, a)]) == [(0, 0), (1, 160), (1, 160)] and found(data, [*same, (0, a)]) == [(0, len(a)), (1, len(a)), (1, len(a))]
+    mixed = [(1, a), (1, "short text"), (0, a), (1, None)]
+    assert found(words, mixed) == [(0, 0), (1, 0), (1, 0), (1, 160)] and found(data, mixed) == [(0, len(a)), (1, 0), (1, 0), (1, len(a))]
+    both = found(words, [(1, a + " " + b), (1, b)])  # two documents: one of them is the first
+    assert sum(n for _, n in both) == 160
+    assert sum(n for _, n in found(data, [(1, a + " " + b), (1, b)])) == 2 * len(b)
+    named = spark.createDataFrame([("x", a), ("y", a)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in words(named, hot).collect()) == [("x", 0), ("y", 160)]
+
+
+def test_hot_groups_make_no_row_a_window(spark, monkeypatch):
+    written = []
+    found = repeats._found
+    monkeypatch.setattr(repeats, "_found", lambda segments, *a: written.append(segments) or found(segments, *a))
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(1200))
+    rows = [(k, f"{k} {passage} {k * 7919}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = repeated_bytes(dict(rows), 400)
+    counts = []
+    for hot in (20_000, 10):
+        written.clear()
+        assert rows_of(radix_dedup.remove_repeats(df, hot), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+        counts.append(sum(x.count() for x in written))
+    assert counts[1] < 5 * counts[0], counts
+
+
+def test_words_of_equal_hashes(spark, monkeypatch):
+    """Hashes choose what meets; equality is decided on the words."""
+    import numpy as np
+
+    from tessera.llm import words as w
+
+    pattern = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    pair = [pattern, pattern.translate(str.maketrans("ab", "ba"))]
+    data = np.frombuffer((pair[0] + " " + pair[1]).encode(), np.uint8)
+    h = w.hashes(data, *w.spans(data, np.array([0])))
+    assert h[0] != h[1]
+    rest = " ".join(f"w{k}" for k in range(12))
+    texts = {k: f"{rest} {x} {rest}x" for k, x in enumerate(pair)} | {2: "y " * 40, 3: "z " * 40}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert rows_of(substring_dedup.remove_repeats(df), "n_words", "n_removed", "kept_sha256") == later_words(texts, 20)
+    # A hash that tells nothing apart still gives right groups.
+    import pyarrow as pa
+
+    bodies = [x.encode() * 90 for x in ("abcde", "abcdf", "abcde")]
+    monkeypatch.setattr(radix_dedup, "stretch_hashes", lambda data, size: np.zeros(len(data) - size + 1, np.uint64))
+    group, segment, window = radix_dedup.find_repeats(pa.array(bodies, pa.binary()))
+    seen = collections.defaultdict(set)
+    for g, s, k in zip(group, segment, window):
+        seen[bodies[s][k : k + 400]].add(g)
+    assert all(len(x) == 1 for x in seen.values()) and len(group) == sum(51 for _ in bodies)
+
+
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     from tessera.llm import repeats, words
 
@@ -216,14 +284,13 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
 def test_suffix_tree_nodes():
     import numpy as np
 
-    tokens = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8, 2, 3, 4, 9])
-    starts = np.array([0, 1, 5, 6, 10])
-    tree = substring_dedup.SuffixTree(tokens, starts, 3)
-    node, deep = tree.deep_nodes(3)
-    groups = {}
-    for leaf, n in zip(starts[tree.order], node):
-        groups.setdefault(n, set()).add(int(leaf))
-    assert sorted(map(sorted, groups.values())) == [[0, 5], [1, 6, 10]] and deep.all()
+    tokens = np.array([1, 2, 3, 4, 9, 100, 1, 2, 3, 4, 8, 101, 2, 3, 4, 9, 102])
+    starts = np.array([0, 1, 6, 7, 12])
+    tree = substring_dedup.SuffixTree(tokens, starts, 5)
+    first, last, length = tree.deep_nodes(3)
+    groups = {(tuple(sorted(tree.starts[a : z + 1].tolist())), n) for a, z, n in zip(first.tolist(), last.tolist(), length.tolist())}
+    assert groups == {((0, 6), 4), ((1, 7, 12), 3)}
+    assert tree.common.tolist()[1:].count(4) == 2  # 1 2 3 4, and 2 3 4 9
 
 
 # -- 4 language model ----------------------------------------------------------------------------
