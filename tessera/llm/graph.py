@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     links has columns a and b. Each round points the larger neighbours of a node, then its
     smaller ones, to the smallest (large and small star); the link table never grows, and a
-    chain halves each round. A node's neighbours are never gathered: its least neighbour is a
+    chain halves each round; most_rounds is a guard that no table should meet, and meeting it raises.
+    A node's neighbours are never gathered: its least neighbour is a
     map-side combined minimum, joined back."""
 
     def star(edges: DataFrame, name: str, large: bool) -> DataFrame:
@@ -24,7 +25,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return written(out.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        out = written(out.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        forget(least, edges)
+        return out
 
     edges = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
@@ -37,4 +40,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if n == sources and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
         edges = star(star(edges, f"large-{k}", True), f"small-{k}", False)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -3,8 +3,8 @@
 A document's set holds hashes of its distinct word shingles. Two permutations make all
 signature coordinates: sigma spreads a shingle over 2**32 places, pi (a bijection of these)
 ranks them, and coordinate k is the least pi(sigma(x) + k mod 2**32), pi shifted circularly
-by k. Documents with equal sets form one class; classes that agree in a band of ROWS
-coordinates share a bucket.
+by k. Documents of the same words form one class (by a 128-bit hash of them); classes that
+agree in a band of ROWS coordinates share a bucket.
 
 Candidates, without all pairs of a bucket: first each member with the bucket's smallest
 (a star), verified on full sets and joined into components; then, in buckets that still
@@ -13,14 +13,15 @@ bucket, in blocks of about BLOCK members. A block takes a pair in the first band
 share, leaves out pairs that are connected already, compares full sets itself and emits only
 links that join components, so no list of pairs is ever made. Candidates whose signatures
 agree in too few places (five standard deviations under the threshold) are dropped before
-full sets are compared. Two texts at the threshold share no bucket with
-probability (1 - t**ROWS)**BANDS, 3e-6 at 0.8 and 2e-8 at 0.85.
+full sets are compared. Two texts share no bucket with probability (1 - t**ROWS)**BANDS:
+7e-7 at a similarity t of 0.85 and 1e-4 at 0.8; texts half alike share one in 4 cases of 10.
+Sets are compared by hashes first, and a link is confirmed on the shingles' own words.
 
 Defined results: null texts, empty ones and ones without words have the empty set and are
-linked with nothing; fewer words than a shingle make one shingle of all of them; a row without doc_id is kept and takes
-no part; rows that
-repeat a doc_id give a row each, and the links of any of them are that doc_id's; other columns
-are ignored.
+linked with nothing; fewer words than a shingle make one shingle of all of them; a text of any
+length is read whole; a row without doc_id is kept and takes no part; rows that repeat a
+doc_id give a row each, and the links of any of them are that doc_id's; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ from .common import modest_batches, text_of, written
 from .graph import components
 from .repeats import packed_texts
 
-SHINGLE, BANDS, ROWS, BLOCK = 5, 24, 4, 512
+SHINGLE, BANDS, ROWS, BLOCK = 5, 30, 6, 512
 PLACES = BANDS * ROWS
-KEY = ["n_shingles", "h1", "h2"]
+KEY = ["n_shingles", "t1", "t2"]
 
 
 def shingle_sets(column, n: int) -> Iterator[tuple[int, object]]:
@@ -58,6 +59,19 @@ def shingle_sets(column, n: int) -> Iterator[tuple[int, object]]:
                 yield a + k, np.zeros(0, U)
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()  # both by ASCII rules
+
+
+def exactly_similar(a: bytes, b: bytes, percent: int, n: int) -> bool:
+    """Whether the sets of word shingles of two texts have percent of their union in common."""
+    sets = []
+    for words in (words_of(a), words_of(b)):
+        sets.append({tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()})
+    both = len(sets[0] & sets[1])
+    return both > 0 and 100 * both >= percent * len(sets[0] | sets[1])
+
+
 def signatures(sets: list) -> object:
     """PLACES coordinates (columns) of each non-empty set (rows)."""
     import numpy as np
@@ -97,21 +111,19 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        from .words import U, mix
-
-        def made(ids, part: list) -> pa.RecordBatch:
+        def made(b, part: list) -> pa.RecordBatch:
             rows, sets = [r for r, _ in part], [s for _, s in part]
             full = [s for s in sets if len(s)]
             sig = signatures(full) if full else np.zeros((0, PLACES), np.uint32)
             bands = iter(band_keys(sig).astype(np.int64).tolist())
             low = iter((sig & np.uint32(255)).astype(np.uint8))
-            h1 = [int(s.sum(dtype=U)) for s in sets]
-            h2 = [int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) for s in sets]
+            same = [xxhash.xxh3_128_digest(b" ".join(words_of(b.column(1)[r].as_py()))) for r in rows]
+            t = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(np.array(h1, U).astype(np.int64)), pa.array(np.array(h2, U).astype(np.int64)),
+                    b.column(0).take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array(t[:, 0]), pa.array(t[:, 1]),
                     pa.array([next(bands) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     pa.array([next(low).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                 ],
@@ -124,13 +136,13 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
                 part.append((row, s))
                 size += len(s)
                 if size > 150_000:
-                    yield made(b.column(0), part)
+                    yield made(b, part)
                     part, size = [], 0
             if part:
-                yield made(b.column(0), part)
+                yield made(b, part)
 
-    schema = f"doc_id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, n_shingles long, t1 long, t2 long, bands array<long>, sig binary"
+    return docs.select("doc_id", text_of(docs).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def least_agreement(threshold: float) -> int:
@@ -166,10 +178,11 @@ def _verified(pairs: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
         expand = zstandard.ZstdDecompressor().decompress
         for x in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             keep = []
-            left, right = (shingle_sets(pa.array([expand(z) for z in x.column(k).to_pylist()], pa.binary()), n) for k in (2, 3))
-            for (_, s), (_, t) in zip(left, right, strict=True):
+            one, two = ([expand(z) for z in x.column(k).to_pylist()] for k in (2, 3))
+            left, right = (shingle_sets(pa.array(y, pa.binary()), n) for y in (one, two))
+            for (k, s), (_, t) in zip(left, right, strict=True):
                 both = np.intersect1d(s, t, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
+                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both) and exactly_similar(one[k], two[k], percent, n))
             yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(packed.toDF("b", "z_b"), "b").join(packed.toDF("a", "z_a"), "a").select("a", "b", "z_a", "z_b")
@@ -190,15 +203,16 @@ class _Block:
         self.cross, self.band = x.column("t")[0].as_py() == 0, x.column("band")[0].as_py()
         self.sig = np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
         self.bands = x.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        self.sets = [s for _, s in shingle_sets(pa.array([expand(z) for z in x.column("z").to_pylist()], pa.binary()), n)]
-        self.percent, self.least = percent, least
+        self.texts = [expand(z) for z in x.column("z").to_pylist()]
+        self.sets = [s for _, s in shingle_sets(pa.array(self.texts, pa.binary()), n)]
+        self.percent, self.least, self.n = percent, least, n
 
     def similar(self, i: int, j: int) -> bool:
         import numpy as np
 
         s, t = self.sets[i], self.sets[j]
         both = np.intersect1d(s, t, assume_unique=True).size
-        return both > 0 and 100 * both >= self.percent * (len(s) + len(t) - both)
+        return both > 0 and 100 * both >= self.percent * (len(s) + len(t) - both) and exactly_similar(self.texts[i], self.texts[j], self.percent, self.n)
 
     def links(self) -> Iterator[tuple[int, int]]:
         import numpy as np

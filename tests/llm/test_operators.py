@@ -595,6 +595,38 @@ def test_circulant_signatures_estimate_similarity():
     assert abs((a == b).mean() - truth) < 0.2 and minhash.least_agreement(0.85) < 0.75 * minhash.PLACES
 
 
+def test_links_are_confirmed_on_words(spark):
+    pattern = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = pattern.translate(str.maketrans("ab", "ba"))
+    texts = {1: f"one two {pattern} three four", 2: f"one two {other} three four", 3: f"ONE two\n{pattern} three four", 4: "a b c d e f a b c d e f", 5: "a b c d e f a b c d e f a b c d e f"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert rows_of(minhash.near_duplicates(df, 85), "n_shingles", "component_id", "kept") == groups(texts, 85)
+    assert groups(texts, 85)[5][1] == 4 and groups(texts, 85)[2][1] == 2
+    a, b = b"one two three four five six", b"all of them are other words"
+    assert minhash.exactly_similar(a, a.upper(), 85, 5) and not minhash.exactly_similar(a, b, 85, 5) and not minhash.exactly_similar(b"", b" ", 85, 5)
+
+
+def test_components_say_when_they_do_not_settle(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(chain, 1)
+
+
+def test_tables_are_cleaned_up(spark):
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    df = common.written(spark.range(3), "a")
+    folder = Path(df._written.removeprefix("file:"))
+    assert df.count() == 3 and folder.exists()
+    common.forget(df, spark.range(1))
+    assert not folder.exists() and folder.parent.exists()
+    common.written(spark.range(3), "b")
+    common.clean_up(spark)
+    assert not folder.parent.exists()
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
