@@ -36,8 +36,9 @@ def _bytes(column) -> Iterator:
         yield a, z, data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
 
 
-def stretch_hashes(data, size: int):
-    """64-bit hashes of the `size` bytes from each byte on."""
+def stretch_hashes(data, size: int, mixed: bool = True):
+    """64-bit hashes of the `size` bytes from each byte on: of 8 bytes, then of twice as many at a
+    time, the last two overlapping."""
     import numpy as np
 
     from .words import U, mix
@@ -45,13 +46,16 @@ def stretch_hashes(data, size: int):
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(U)
-    out = np.zeros(n, U)
-    for at in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        out *= U(0x9E3779B97F4A7C15)
-        out += word[at : at + n]
-        out ^= out >> U(29)
-    return mix(out)
+    out = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(U)
+    have = 8
+    while have < size:
+        step = min(have, size - have)
+        pair = out[: len(out) - step] * U(0x9E3779B97F4A7C15)
+        pair ^= pair >> U(32)
+        pair *= U(0xD6E8FEB86659FD93 + 2 * have)
+        pair += out[step:]
+        out, have = pair, have + step
+    return mix(out) if mixed else out
 
 
 def _cut(text: bytes):
@@ -86,11 +90,12 @@ def radix_groups(digits, starts, places):
         if not len(alive):
             break
         digit = digits[starts[alive] + at]
-        key = group << U(40) | digit >> U(24)  # the group, then the leading bits of the digit
+        bits = int(group[-1]).bit_length()
+        key = group << U(64 - bits) | digit >> U(bits) if bits else digit  # the group, then the leading bits of the digit
         order = np.argsort(key)
         key, d = key[order], digit[order]
         same = (key[1:] == key[:-1]) & (d[1:] == d[:-1])
-        if len(alive) >> 24 or np.count_nonzero(key[1:] == key[:-1]) != np.count_nonzero(same):  # bits that follow decide
+        if np.count_nonzero(key[1:] == key[:-1]) != np.count_nonzero(same):  # bits that follow decide
             order = np.lexsort((digit, group))
             g, d = group[order], digit[order]
             same = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
@@ -106,8 +111,8 @@ def _equal(text: bytes, starts, alive, group) -> bool:
     whose groups' first members are neighbours, too, are one comparison."""
     import numpy as np
 
-    lead = np.concatenate(([True], group[1:] != group[:-1]))
-    leader = starts[alive[np.flatnonzero(lead)[np.cumsum(lead) - 1]]]
+    edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    leader = np.repeat(np.minimum.reduceat(starts[alive], edge), np.diff(np.append(edge, len(group))))
     at = starts[alive]
     order = np.argsort(at)
     at, leader = at[order], leader[order]
@@ -117,20 +122,19 @@ def _equal(text: bytes, starts, alive, group) -> bool:
 
 
 def find_repeats(bodies):
-    """(group, segment, window in it) of the windows that equal another of the segments."""
+    """(group, number of the window) of the windows that equal another; the windows of all bodies
+    are numbered in order."""
     import numpy as np
 
     from .words import raw
 
     data, offsets = raw(bodies)
     n = np.diff(offsets) - WINDOW + 1
-    segment = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-    starts = offsets[segment] + place
-    alive, group = radix_groups(stretch_hashes(data, DIGIT), starts, range(0, WINDOW, DIGIT))
+    starts = np.arange(int(n.sum())) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)
+    alive, group = radix_groups(stretch_hashes(data, DIGIT, False), starts, range(0, WINDOW, DIGIT))
     if len(alive) and not _equal(data.tobytes(), starts, alive, group):  # two digits of one hash
         alive, group = radix_groups(eight_bytes(data), starts, range(0, WINDOW, 8))
-    return group, segment[alive], place[alive]
+    return group, alive
 
 
 def remove_repeats(docs: DataFrame, hot: int | None = None, bytes_too: bool = False) -> DataFrame:

@@ -246,35 +246,37 @@ def _settled(x, kind: Tokens, keep_first: bool, finder: Callable):
     import numpy as np
     import pyarrow as pa
 
-    node, s, w = finder(x.column("body").combine_chunks())
+    doc, first = _order_of(x), x.column("first").to_numpy()
+    order = np.lexsort((first, doc))  # so windows are numbered in the order of documents and places
+    x, doc, first = x.take(pa.array(order)).combine_chunks(), doc[order], first[order]
+    node, window = finder(x.column("body").combine_chunks())
     if not len(node):
         return None, x
-    first = x.column("first").to_numpy()
-    doc, place = _order_of(x)[s], first[s] + w
-    order = np.lexsort((place, doc, node))
-    node, s, w, doc, place = (y[order] for y in (node, s, w, doc, place))
+    key = np.sort(node << 32 | window)
+    node, window = key >> 32, key & 0xFFFFFFFF
+    sizes = x.column("last").to_numpy() - first + 1
+    base = np.cumsum(sizes) - sizes
+    place = np.repeat((doc << 32) + first - base, sizes)
+    place += np.arange(len(place))
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    leader = np.repeat(start, np.diff(np.append(start, len(node))))
-    same = (doc == doc[leader]) & (place == place[leader])  # the first itself, or a repeated row's
-    gone = ~same if keep_first else np.repeat(np.logical_or.reduceat(~same, start), np.diff(np.append(start, len(node))))
+    counts = np.diff(np.append(start, len(node)))
+    same = place[window] == np.repeat(place[window[start]], counts)  # the first itself, or a repeated row's
+    gone = ~same if keep_first else np.repeat(np.logical_or.reduceat(~same, start), counts)
+    segment = np.repeat(np.arange(len(sizes)), sizes)
     stretches = None
     if gone.any():
-        a, b = s[gone], w[gone]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        i, j = _runs(a, b)
-        stretches = _stretch_rows(x, a[i], first[a[i]] + b[i], first[a[i]] + b[j])
-
-    sizes = x.column("last").to_numpy() - first + 1
-    base = np.cumsum(sizes) - sizes
-    left = np.ones(int(sizes.sum()), bool)
-    left[base[s] + w] = False
-    left[base[s[start]] + w[start]] = True
+        at = np.sort(window[gone])
+        i, j = _runs(segment[at], at)
+        own = segment[at[i]]
+        stretches = _stretch_rows(x, own, first[own] + at[i] - base[own], first[own] + at[j] - base[own])
+
+    left = np.ones(len(place), bool)
+    left[window] = False
+    left[window[start]] = True
     at = np.flatnonzero(left)
-    segment = np.repeat(np.arange(len(sizes)), sizes)[at]
-    at = at - base[segment]
-    i, j = _runs(segment, at) if len(at) else (at, at)
-    own, a, b = segment[i], at[i], at[j]
+    i, j = _runs(segment[at], at) if len(at) else (at, at)
+    own = segment[at[i]]
+    a, b = at[i] - base[own], at[j] - base[own]
     kept = x.take(pa.array(own))
     bodies, whole = kept.column("body").to_pylist(), (b - a + 1 == sizes[own]).tolist()
     bodies = [y if all_of else kind.part(y, p, q + kind.width) for y, all_of, p, q in zip(bodies, whole, a.tolist(), b.tolist())]
@@ -429,8 +431,8 @@ def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder:
     end) tokens to remove), both by document.
 
     keep_first: remove all but the first of equal windows (by document, then place); else all
-    that occur at two places. finder(bodies) gives (class, segment, window in it) arrays of the
-    windows that are equal to another of the segments."""
+    that occur at two places. finder(bodies) gives the (class, number) arrays of the windows that
+    are equal to another of the segments', all windows of all bodies being numbered in order."""
     hot = max(hot or HOT, 2)  # of two or more in a task, equal ones become one, so each level has fewer
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     modest_batches(docs.sparkSession)

@@ -105,8 +105,8 @@ class SuffixTree:
 
 
 def find_repeats(bodies):
-    """(node, segment, window in it) of the windows under a deep node; bodies are words parted by
-    single spaces."""
+    """(node, number of the window) of the windows under a deep node; bodies are words parted by
+    single spaces, and their windows are numbered in order."""
     import numpy as np
     import pyarrow as pa
 
@@ -127,14 +127,11 @@ def find_repeats(bodies):
     ends = at[1:] + np.arange(len(sizes))
     tokens[ends] = len(number) + np.arange(len(sizes))
     own = np.flatnonzero(place + WINDOW <= sizes[segment])
-    leaf_of = np.empty(len(tokens), np.int64)
-    leaf_of[own + segment[own]] = own
     tree = SuffixTree(tokens, own + segment[own], int(sizes.max()) if len(sizes) else 1)
     first, last, _ = tree.deep_nodes(WINDOW)
     n = last - first + 1
     leaf = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    own = leaf_of[tree.starts[leaf]]
-    return np.repeat(np.arange(len(n)), n), segment[own], place[own]
+    return np.repeat(np.arange(len(n)), n), tree.order[leaf]
 
 
 def remove_repeats(docs: DataFrame, hot: int | None = None, texts_too: bool = False) -> DataFrame:
