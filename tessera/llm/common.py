@@ -97,12 +97,18 @@ def modest_batches(spark: SparkSession) -> None:
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of df with the smallest hash of key, about; fewer than 2 n reach one task,
     however many rows and tasks there are. (A key that many rows repeat is in or out as one,
-    and the last limit holds in any case.)"""
+    and the last limit holds in any case.) For rows of a few numbers: they are sorted whole."""
+    df = hash_share(df, n, key)
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), *df.columns).limit(n)
+
+
+def hash_share(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About n rows of df (1.2 n), by a bound on the hash of keys; nothing is moved or sorted."""
     total = df.count()
     if total > 2 * n:
         space = 1 << 40
-        df = df.where(F.pmod(F.xxhash64(key), F.lit(space)) < int(space * 1.2 * n / total))
-    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), *df.columns).limit(n)
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(space)) < int(space * 1.2 * n / total))
+    return df
 
 
 def parts_for(spark: SparkSession, n: int = 0) -> int:

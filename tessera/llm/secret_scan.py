@@ -10,13 +10,16 @@ The method adds spans of kind markov: runs of 20 or more of `[A-Za-z0-9+/_=-]` w
 and a letter that touch no base span, whose mean log-likelihood ratio per transition between
 two first-order character models is at least MIN_RATIO. One model is of random strings (hex,
 base64, letters and digits, drawn from hashes), the other of ordinary identifiers (pairs of
-WORDS joined as programs do, and words of at most SAMPLE_DOCS documents, those of smallest
-hash, without base matches). Their counts,
+WORDS joined as programs do, and words of about SAMPLE_DOCS documents, those of smallest
+hash, without base matches; nothing of them is collected but counts). Their counts,
 at most one per character pair and label, become one literal array; all else is DataFrame
-expressions.
+expressions. Arrays of spans are built, compared and cut in blocks, so work follows a text's
+length, not its square.
 
-Defined results: null text counts as empty (no spans; the hash of the empty string); ties
-and repeated rows are scanned alike; other columns are ignored.
+Defined results: null and empty texts have no spans (the hash of the empty string; `redact`
+leaves a null null); a text of any length is scanned whole; ties and repeated rows are scanned
+alike, each with its row, and a null doc_id stays null; an empty table gives no rows; other
+columns are ignored by the report and pass `redact` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, let, text_of
+from .common import hash_share, let, text_of
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -45,33 +48,47 @@ WORDS = (
     "rule sample schema secret server service session set setting size source start state status storage string style system table tag target "
     "task template test text time title token total type update upload url user value version view width window write"
 ).split()
-BLOCK = 256
+BLOCK, PIECE = 256, 4096
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
+def _scan(items: Column, step, kind: str) -> Column:
+    """Each item's result where step(state, item) gives the next state and a result; the state is
+    an int, 0 at first. Results are gathered in blocks, so that no array is copied once per item."""
+    state = lambda a: a["state"]
+    none = F.array().cast(f"array<{kind}>")
+
+    def of_block(before: Column, part: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            new, out = step(state(acc), x)
+            return F.struct(new.cast("int").alias("state"), F.concat(acc["out"], F.array(out.cast(kind))).alias("out")).cast(f"struct<state:int,out:array<{kind}>>")
+
+        return F.aggregate(part, F.struct(before.alias("state"), none.alias("out")).cast(f"struct<state:int,out:array<{kind}>>"), one)
+
+    blocks = F.transform(F.sequence(F.lit(1), F.size(items), F.lit(BLOCK)), lambda b: F.slice(items, b, BLOCK))
+    whole = f"struct<state:int,out:array<array<{kind}>>>"
+    gathered = F.aggregate(
+        blocks, F.struct(F.lit(0).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")).cast(whole),
+        lambda acc, part: let(of_block(state(acc), part), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out"))).cast(whole),
+    )
+    return F.when(F.size(items) > 0, F.flatten(gathered["out"])).otherwise(none)
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Spans (start, kind, end) of the matches, with i the match's place among them."""
+    """Spans (start, kind, end) of the matches, in order."""
     p = F.lit(pattern)
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, p, 0)
+    after = lambda at, x: (at + x["g"] + x["w"], F.struct((at + x["g"]).alias("s"), F.lit(kind).alias("k"), (at + x["g"] + x["w"]).alias("e")))
+    sized = let(F.struct(gaps.alias("g"), hits.alias("h")), lambda x: F.transform(x["h"], lambda h, i: F.struct(F.length(F.get(x["g"], i)).alias("g"), F.length(h).alias("w"))))
+    return F.when(F.regexp_like(text, p), let(sized, lambda x: _scan(x, after, "struct<s:int,k:int,e:int>"))).otherwise(F.array().cast(SPAN))
 
-    def placed(items: Column) -> Column:
-        # Running sums in blocks, so that no array is copied once per match.
-        step = lambda acc, x: F.struct(
-            (acc["pos"] + x["g"] + x["w"]).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct((acc["pos"] + x["g"]).alias("s"), F.lit(kind).alias("k"), (acc["pos"] + x["g"] + x["w"]).alias("e")).cast("struct<s:int,k:int,e:int>"))).cast(SPAN).alias("out"),
-        ).cast(f"struct<pos:int,out:{SPAN}>")
-        none = F.array().cast(SPAN)
-        block = lambda pos, part: F.aggregate(part, F.struct(pos.alias("pos"), none.alias("out")).cast(f"struct<pos:int,out:{SPAN}>"), step)
-        blocks = F.transform(F.sequence(F.lit(1), F.size(items), F.lit(BLOCK)), lambda b: F.slice(items, b, BLOCK))
-        whole = F.aggregate(
-            blocks,
-            F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(f"struct<pos:int,out:array<{SPAN}>>"),
-            lambda acc, part: let(block(acc["pos"], part), lambda r: F.struct(r["pos"].alias("pos"), F.concat(acc["out"], F.array(r["out"])).alias("out"))).cast(f"struct<pos:int,out:array<{SPAN}>>"),
-        )
-        return F.flatten(whole["out"])
 
-    sized = let(F.struct(gaps.alias("g"), hits.alias("h")), lambda x: F.transform(x["h"], lambda h, i: F.struct(F.length(F.get(x["g"], i)).alias("g"), F.length(h).alias("w"))))
-    return F.when(F.regexp_like(text, p), let(sized, placed)).otherwise(F.array().cast(SPAN))
+def _touches(spans: Column):
+    """A function that says whether a stretch (s, e) touches one of spans, which are sorted by start;
+    blocks of them are looked at first."""
+    blocks = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK)), lambda b: let(F.slice(spans, b, BLOCK), lambda x: F.struct(F.get(x, F.lit(0))["s"].alias("s"), F.array_max(F.transform(x, lambda y: y["e"])).alias("e"), x.alias("x"))))
+    near = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
+    return F.when(F.size(spans) > 0, blocks), lambda blocks, s: F.coalesce(F.exists(blocks, lambda b: near(b, s) & F.exists(b["x"], lambda x: near(x, s))), F.lit(False))
 
 
 def base_spans(text: Column) -> Column:
@@ -90,12 +107,12 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled samples of identifiers: the words of 4 to 19 characters of n documents, base
+    """Labelled samples of identifiers: the words of 4 to 19 characters of about n documents, base
     matches left out (longer ones are the candidates that the model is to judge)."""
     text = text_of(docs)
     for pattern in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, pattern, " ")
-    some = hash_sample(docs.select("doc_id", "text"), "doc_id", n)
+    some = hash_share(docs.select("doc_id", "text"), n, "doc_id", "text")
     words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), 0)
     return some.select(F.explode(F.filter(words, lambda w: F.length(w) < 20)).alias("text"), F.lit(False).alias("secret"))
 
@@ -145,8 +162,10 @@ def _markov(text: Column, base: Column, ratios: list[float]) -> Column:
     words = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
     mixed = lambda w: F.regexp_like(w, F.lit("[0-9]")) & F.regexp_like(w, F.lit("[A-Za-z]"))
 
+    blocks, touches = _touches(base)
+
     def kept(w: Column, spans: Column) -> Column:
-        return F.filter(spans, lambda s, i: mixed(F.get(w, i)) & (_ratio(F.get(w, i), table) >= MIN_RATIO) & ~F.exists(base, lambda b: (b["s"] < s["e"]) & (s["s"] < b["e"])))
+        return let(blocks, lambda b: F.filter(spans, lambda s, i: mixed(F.get(w, i)) & (_ratio(F.get(w, i), table) >= MIN_RATIO) & ~touches(b, s)))
 
     some = F.regexp_like(text, F.lit(CANDIDATE))
     return F.when(some, let(words, lambda w: let(_spans(text, CANDIDATE, 3), lambda s: kept(w, s)))).otherwise(F.array().cast(SPAN))
@@ -178,25 +197,43 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _stretches(spans: Column) -> Column:
+    """The stretches (s, e) that spans, sorted by start, cover."""
+    kind = "struct<first:boolean,s:int,e:int>"
+    reach = lambda end, x: (F.greatest(end, x["e"]), F.struct((x["s"] >= end).alias("first"), x["s"].alias("s"), F.greatest(end, x["e"]).alias("e")))
+
+    def joined(marks: Column) -> Column:
+        starts = F.filter(marks, lambda x, i: x["first"] | (i == 0))
+        ends = F.filter(marks, lambda x, i: F.coalesce(F.get(marks, i + 1)["first"], F.lit(True)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a["s"].alias("s"), b["e"].alias("e")))
+
+    return let(_scan(spans, reach, kind), joined)
+
+
+def _cutter(pieces: Column):
+    """A function that gives the characters from a to b of a text in pieces of PIECE characters."""
+    def cut(a: Column, b: Column) -> Column:
+        one, two = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        head = F.coalesce(F.get(pieces, one), F.lit(""))
+        tail = F.substring(F.coalesce(F.get(pieces, two), F.lit("")), F.lit(1), (b - two * PIECE).cast("int"))
+        between = F.array_join(F.slice(pieces, one + 2, F.greatest(two - one - 1, F.lit(0))), "")
+        return F.when(one == two, F.substring(head, (a - one * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise(F.concat(F.substring(head, (a - one * PIECE + 1).cast("int"), F.lit(PIECE)), between, tail))
+
+    return cut
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each stretch covered by spans replaced by mark, and n_chars to match."""
     columns = docs.columns
     text = F.col("text")
 
     def cut(spans: Column) -> Column:
-        # Where a span starts beyond all ends before it, a stretch starts.
-        reach = F.aggregate(
-            spans, F.array().cast("array<struct<s:int,e:int>>"),
-            lambda a, x: let(F.get(a, F.size(a) - 1), lambda z: F.when(
-                (F.size(a) > 0) & (x["s"] < z["e"]),
-                F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(z["s"].alias("s"), F.greatest(z["e"], x["e"]).alias("e")))),
-            ).otherwise(F.concat(a, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))).cast("array<struct<s:int,e:int>>"),
-        )
-        between = lambda r: F.concat(
-            F.transform(r, lambda x, i: let(F.coalesce(F.get(r, i - 1)["e"], F.lit(0)), lambda a: F.substring(text, a + 1, x["s"] - a))),
-            F.array(F.substring(text, F.get(r, F.size(r) - 1)["e"] + 1, F.length(text))),
+        between = lambda r, piece: F.concat(
+            F.transform(r, lambda x, i: let(F.coalesce(F.get(r, i - 1)["e"], F.lit(0)), lambda a: piece(a, x["s"]))),
+            F.array(piece(F.get(r, F.size(r) - 1)["e"], F.length(text))),
         )
-        return let(reach, lambda r: F.array_join(between(r), mark))
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+        return let(_stretches(spans), lambda r: let(pieces, lambda p: F.array_join(between(r, _cutter(p)), mark)))
 
     found = with_spans(docs.select(F.struct(*columns).alias("_row"), "text"), learn(docs))
     some, own = F.size("_spans") > 0, F.col("_row")
