@@ -2,17 +2,20 @@
 
 `with_statistics` adds counts in one pass over each text, with array expressions and no
 shuffle. `learn` fits an ordered list of threshold conjunctions by sequential covering on at
-most `SAMPLE_ROWS` labelled rows (those with the smallest hash of doc_id): each rule grows by
+most `SAMPLE_ROWS` labelled documents (those with the smallest hash of doc_id, each once): each rule grows by
 the condition of greatest information gain (thresholds halfway between neighbouring values)
 on two thirds of the rows left, is pruned on the other third, is kept if its precision
 (Laplace estimate) is at least 0.9, and the rows it covers leave. `verdict` turns
 the list into one conditional expression: the first rule that holds rejects, else a text
 stays.
 
-Defined results: null text counts as empty (no words, so it fails the base rules); a null
-label or a label of a missing document is not used; without labels of both kinds the list is
-empty and only the base rules decide; other columns pass `with_statistics` untouched
-(columns of the same name as a statistic are replaced).
+Defined results: null and empty texts have no words, so they fail the base rules; a text of any
+length is counted whole; rows that repeat a doc_id are judged one by one, and one of them (least
+hash of the text, then the lower label) stands for it when rules are learned; a null label, a label
+without doc_id or of a missing document is not used, and a null doc_id has none; without labels of
+both kinds the list is empty and only the base rules decide; an empty table gives no rows; other
+columns pass `keep_good` untouched, whatever their names (`with_statistics` replaces columns of
+the same name as a statistic).
 """
 
 from __future__ import annotations
@@ -191,8 +194,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_quality"))
     sample = hash_sample(known, "doc_id", sample_rows)
     joined = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    got = joined.select(F.xxhash64("doc_id").alias("_h"), "_quality", *(v.alias(k) for k, v in features().items()))
-    rows = sorted(got.limit(4 * sample_rows).collect())
+    # One row for each doc_id, so there are as many as in the sample at most.
+    got = joined.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "_quality", *(v.alias(k) for k, v in features().items())).alias("x"))
+    rows = [r.x for r in got.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     if not rows:
         return ()
     columns = {k: np.array([r[k] for r in rows], float) for k in features()}
