@@ -8,12 +8,19 @@ holds an item where WINDOW words in a row agree in all but SUBSTITUTIONS places
 fewer words, MIN_ITEM at least, must occur whole and unchanged). The two masks were chosen so
 that every such window has an agreeing seed (a test tries all substitutions).
 
-The test side is broadcast in blocks of at most BLOCK_WORDS words (or one item), each with a
-pass over the documents; so its size is bounded, and documents are never shuffled or grouped.
+The test side meets the documents as a hash join whose smaller side is in memory: equal items are
+taken once, and their distinct texts are dealt by hash into blocks of about BLOCK_WORDS words,
+each broadcast in turn (an item of more than ITEM_CHARS characters in parts that overlap by
+OVERLAP_CHARS). One block is one pass over the documents, which are never shuffled or
+grouped. Where there are more, a first pass drops the documents that share no seed with any
+block, by a broadcast map of 2**MAP_BITS seeds, and only the others, which are few, meet the
+blocks one by one; a block's broadcast is freed before the next.
 
 Defined results: null texts and items count as empty and match nothing; items under MIN_ITEM
-words are not searched; repeated rows of documents are judged alike, repeated items by id and
-text; other columns pass `clean` untouched.
+words are not searched; a text of any length is searched whole; repeated rows of documents are
+judged alike, each with its row, repeated items by id and text (a row each); an overlap that
+spans a cut of a long item is reported by its longer part; empty tables give no overlaps and
+drop nothing; other columns, whatever their names, and null ids pass `clean` untouched.
 """
 
 from __future__ import annotations
@@ -23,11 +30,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest_batches, text_of
+from .common import forget, modest_batches, text_of, written
 
 SEEDS = ((0, 3, 7, 8, 9, 10), (0, 1, 2, 3, 5, 6))
 WINDOW, SUBSTITUTIONS, MIN_ITEM = 13, 2, 7
-BLOCK_WORDS = 200_000
+BLOCK_WORDS, ITEM_CHARS, OVERLAP_CHARS, MAP_BITS = 200_000, 400_000, 4096, 26
 _FILTER_BITS = 22
 
 
@@ -108,15 +115,59 @@ class Index:
             yield t, i, -start, n, agree
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The items, a bounded number of words at a time."""
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    words = F.length("text") / 2 + 1  # words and separators take a character each at least
-    n = int((items.agg(F.sum(words)).first()[0] or 0) // BLOCK_WORDS) + 1
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        if rows:
-            yield [(r[0], r[1]) for r in rows]
+def _items(benchmark: DataFrame) -> DataFrame:
+    """k, item_id of the rows of benchmark; k stands for their text."""
+    return benchmark.where(benchmark["text"].isNotNull()).select(F.sha2(benchmark["text"].cast("string"), 256).alias("k"), benchmark["item_id"])
+
+
+class Blocks:
+    """The distinct texts of a benchmark, a bounded number of words at a time."""
+
+    def __init__(self, benchmark: DataFrame):
+        text, long, step = F.col("text"), F.length("text") > ITEM_CHARS, ITEM_CHARS - OVERLAP_CHARS
+        parts = F.transform(F.sequence(F.lit(1), F.length("text"), F.lit(step)), lambda at: F.substring(text, at, F.lit(ITEM_CHARS)))
+        texts = benchmark.where(benchmark["text"].isNotNull()).select(benchmark["text"].cast("string").alias("text")).distinct()
+        self.texts = texts.select(F.sha2("text", 256).alias("k"), F.explode(F.when(long, parts).otherwise(F.array("text"))).alias("text"))
+        words = F.length("text") / 2 + 1  # words and separators take a character each at least
+        self.n = int((self.texts.agg(F.sum(words)).first()[0] or 0) // BLOCK_WORDS) + 1
+        self.spark = benchmark.sparkSession
+
+    def __iter__(self) -> Iterator[list[tuple]]:
+        for k in range(self.n):
+            rows = self.texts.where(F.pmod(F.xxhash64("k", "text"), F.lit(self.n)) == k).orderBy("k", "text").collect()
+            if rows:
+                yield [(r[0], r[1]) for r in rows]
+
+    def suspects(self, docs: DataFrame, those: bool = True) -> DataFrame:
+        """The rows of docs that share a seed with a block, about, or else the others."""
+        import numpy as np
+
+        from .words import U
+
+        seen = [np.zeros(1 << MAP_BITS, bool) for _ in SEEDS]
+        for block in self:
+            for (_, h, *_), own in zip(Index(block).seeds, seen):
+                own[(h >> U(64 - MAP_BITS)).astype(np.int64)] = True
+        shared = self.spark.sparkContext.broadcast([np.packbits(x) for x in seen])
+        place = docs.columns.index("text")
+
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            from .words import NOT_ALNUM, U, word_hashes
+
+            maps = [np.unpackbits(x).view(bool) for x in shared.value]
+            for b in batches:
+                hit = np.zeros(b.num_rows, bool)
+                for a, _, h, at in word_hashes(b.column(place).fill_null(""), True, NOT_ALNUM):
+                    for mask, own in zip(SEEDS, maps):
+                        g = seed_hashes(h, mask)
+                        here = np.flatnonzero(own[(g >> U(64 - MAP_BITS)).astype(np.int64)])
+                        hit[a + np.searchsorted(at, here, "right") - 1] = True
+                yield b.filter(pa.array(hit == those))
+
+        return docs.mapInArrow(run, docs.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -124,10 +175,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and item that overlap."""
     spark = docs.sparkSession
     modest_batches(spark)
-    rows = docs.select("doc_id", text_of(docs).alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, first_word long, n_words long, n_agree long"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"], text_of(docs).alias("text"))
+    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, k string, first_word long, n_words long, n_agree long"
+    blocks = Blocks(benchmark)
+    if blocks.n > 1:
+        rows = written(blocks.suspects(rows), "suspects")
+    found = None
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator, shared=shared) -> Iterator:
@@ -137,25 +191,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             index = Index(shared.value)
             for b in batches:
-                ids = b.column(0)
-                for a, _, h, at in word_hashes(b.column(1), True, NOT_ALNUM):
+                for a, _, h, at in word_hashes(b.column(2), True, NOT_ALNUM):
                     got = list(index.overlaps(h, at))
                     if got:
                         t, i, first, n, agree = zip(*got)
+                        own = pa.array([a + x for x in t])
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([a + x for x in t])), pa.array([index.keys[x] for x in i]), *(pa.array(x, pa.int64()) for x in (first, n, agree))],
-                            ["doc_id", "item_id", "first_word", "n_words", "n_agree"],
+                            [b.column(0).take(own), b.column(1).take(own), pa.array([index.keys[x] for x in i]), *(pa.array(x, pa.int64()) for x in (first, n, agree))],
+                            ["row", "doc_id", "k", "first_word", "n_words", "n_agree"],
                         )
 
-        out = out.union(rows.mapInArrow(run, schema))
-    return out
+        part = rows.mapInArrow(run, schema)
+        if blocks.n > 1:
+            part = written(part, "overlaps")
+            shared.destroy()
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    # Parts of a long item, and items of equal texts.
+    best = F.max(F.struct("n_words", "n_agree", (-F.col("first_word")).alias("at"))).alias("best")
+    one = found.groupBy("row", "k").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), best)
+    return one.join(_items(benchmark), "k").select("doc_id", "item_id", (-F.col("best.at")).alias("first_word"), "best.n_words", "best.n_agree")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    spark, columns = docs.sparkSession, docs.columns
+    spark, place = docs.sparkSession, docs.columns.index("text")
     modest_batches(spark)
-    for block in _blocks(benchmark):
+    blocks, passed = Blocks(benchmark), None
+    left = docs
+    if blocks.n > 1:
+        passed, left = blocks.suspects(docs, False), written(blocks.suspects(docs), "suspects")
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator, shared=shared) -> Iterator:
@@ -167,10 +234,14 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = Index(shared.value)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                text = b.column(columns.index("text")).fill_null("")
-                for a, _, h, at in word_hashes(text, True, NOT_ALNUM):
+                for a, _, h, at in word_hashes(b.column(place).fill_null(""), True, NOT_ALNUM):
                     keep[[a + t for t, *_ in index.overlaps(h, at)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        rest = left.mapInArrow(run, docs.schema)
+        if blocks.n > 1:
+            rest = written(rest, "left")
+            forget(left)
+            shared.destroy()
+        left = rest
+    return left if passed is None else passed.union(left)
