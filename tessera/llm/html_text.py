@@ -9,14 +9,24 @@ content), joins runs of white space except in preformatted text, sets blocks on
 their own with a blank line around paragraphs, headings, lists and tables, marks and indents
 list items, and pads table cells so that columns line up (row and column spans included).
 
+Time and text are in proportion to the page, however it nests: lines are indented by MOST_INDENT
+places at most, a column is taken for MOST_WIDTH places wide at most and lined up within the
+first MOST_LINE, a span counts for MOST_SPAN cells at most, and tables in more than MOST_NEST
+others are laid out as blocks. Text itself is never cut.
+
 Defined results: a null or empty page has an empty text; markup that never closes ends with the
-page; repeated rows are rendered alike; other columns are ignored.
+page; a page of any length is rendered whole; repeated rows are rendered alike, each with its
+row, and a null page_id stays null; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -58,7 +68,10 @@ IMPLIED = {
 IMPLIED |= {k: IMPLIED["tbody"] for k in ("thead", "tfoot", "caption", "colgroup")} | {"rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"})}
 IMPLIED |= {k: (HEADINGS, BLOCKS - HEADINGS) for k in HEADINGS}
 WALLS = frozenset(("td", "th", "table", "caption"))
-MOST_SPAN = 1000
+CLOSED_IN = WALLS | {"button"}
+#: Whose end tags reach out of a cell, but not out of the table.
+TABLE_PARTS = WALLS - {"table"} | frozenset("tr tbody thead tfoot html body".split())
+MOST_SPAN, MOST_INDENT, MOST_WIDTH, MOST_LINE, MOST_NEST = 100, 40, 80, 400, 20
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -83,7 +96,7 @@ class _Flow:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = self.space = False
-        self.indent: list[str] = []
+        self.indent = 0
         self.marker: str | None = None
 
     def text(self, s: str) -> None:
@@ -104,9 +117,9 @@ class _Flow:
             self.lines.append("")
         self.gap = False
         if self.marker is not None:
-            head, self.marker = "".join(self.indent[:-1]) + self.marker, None
+            head, self.marker = " " * min(self.indent - len(self.marker), MOST_INDENT) + self.marker, None
         else:
-            head = "".join(self.indent)
+            head = " " * min(self.indent, MOST_INDENT)
         self.lines.append((head + s).rstrip())
 
     def end_line(self, always: bool = False) -> None:
@@ -152,27 +165,29 @@ class _Table:
             spans = {c: n - 1 for c, n in spans.items() if n > 1}
             grid.append(here)
         columns = max((c + 1 for g in grid for c in g), default=0)
-        width = [single.get(c, 0) for c in range(columns)]
+        width = [min(single.get(c, 0), MOST_WIDTH) for c in range(columns)]
         for at, across, need in wide:
             last = min(at + across, columns) - 1
             have = sum(width[at : last + 1]) + 2 * (last - at)
             if need > have:
-                width[last] += need - have
-        start = [sum(width[:c]) + 2 * c for c in range(columns)]
+                width[last] = max(width[last], min(width[last] + need - have, MOST_WIDTH))
+        start = [min(x, MOST_LINE) for x in accumulate(width, lambda a, w: a + w + 2, initial=0)]
         out = []
         for here in grid:
             for k in range(max((len(x) for x in here.values()), default=0)):
                 line = ""
                 for c, cell in sorted(here.items()):
                     if k < len(cell) and cell[k]:
-                        line = line.ljust(start[c]) + cell[k]
+                        line = (line + "  " * bool(line)).ljust(start[c]) + cell[k]
                 out.append(line)
         return out
 
 
 class _Page:
     def __init__(self):
-        self.open: list[tuple] = []  # (tag, seen before, extra)
+        self.open: list[tuple] = []  # (tag, hides, extra)
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag that is open, in `open`
+        self.nested = 0  # tables beyond MOST_NEST
         self.flows = [_Flow()]
         self.tables: list[_Table] = []
         self.unseen = self.pre = 0
@@ -202,35 +217,31 @@ class _Page:
 
     def close_to(self, index: int) -> None:
         while len(self.open) > index:
+            self.places[self.open[-1][0]].pop()
             self._leave(self.open.pop())
 
+    def last(self, tags: Iterable[str]) -> int:
+        """Where the innermost open one of tags is, or -1."""
+        return max((x[-1] for t in tags if (x := self.places.get(t))), default=-1)
+
     def start(self, tag: str, source: str) -> None:
         names = self.open
-        if tag in ("html", "body") and any(x[0] == tag for x in names):
+        if tag in ("html", "body") and self.places.get(tag):
             return
         if names and names[-1][0] == "head" and tag not in UNSEEN:
             self.close_to(len(names) - 1)
         if tag in CLOSE_P or tag in HEADINGS:
-            for k in range(len(names) - 1, -1, -1):
-                if names[k][0] == "p":
-                    self.close_to(k)
-                    break
-                if names[k][0] in WALLS or names[k][0] == "button":
-                    break
+            at = self.last(("p",))
+            if at > self.last(CLOSED_IN):
+                self.close_to(at)
         if tag in IMPLIED:
             closes, walls = IMPLIED[tag]
-            at = None
-            for k in range(len(names) - 1, -1, -1):
-                if names[k][0] in walls:
-                    break
-                if names[k][0] in closes:
-                    at = k
-            if at is not None:
-                self.close_to(at)
-        if tag in ("td", "th") and self.tables and (not names or names[-1][0] != "tr"):
-            inside = next((x[0] for x in reversed(names) if x[0] in ("tr", "table")), "")
-            if inside == "table":
-                self._enter("tr", {})
+            wall = self.last(walls)
+            inside = [x[k] for t in closes if (x := self.places.get(t)) and (k := bisect_right(x, wall)) < len(x)]
+            if inside:
+                self.close_to(min(inside))
+        if tag in ("td", "th") and self.tables and (not names or names[-1][0] != "tr") and self.last(("table",)) > self.last(("tr",)):
+            self._enter("tr", {})
         self._enter(tag, _attributes(source))
         if tag in VOID:
             self.close_to(len(names) - 1)
@@ -238,15 +249,10 @@ class _Page:
     def end(self, tag: str) -> None:
         if tag == "br":
             return self.start("br", "")
-        names = self.open
-        for k in range(len(names) - 1, -1, -1):
-            if names[k][0] == tag or tag in HEADINGS and names[k][0] in HEADINGS:
-                return self.close_to(k)
-            if names[k][0] in WALLS and tag not in WALLS and tag not in ("tr", "tbody", "thead", "tfoot", "html", "body"):
-                return
-            if names[k][0] == "table" and tag != "table":
-                return
-        return
+        at = self.last(HEADINGS if tag in HEADINGS else (tag,))
+        wall = self.last(() if tag == "table" else ("table",) if tag in TABLE_PARTS else WALLS)
+        if at > wall:
+            self.close_to(at)
 
     def _enter(self, tag: str, got: dict[str, str]) -> None:
         parent = self.open[-1][0] if self.open else ""
@@ -262,12 +268,15 @@ class _Page:
             extra = "closed"
         if not self.unseen:
             extra = self._show(tag, got) or extra
+        self.places[tag].append(len(self.open))
         self.open.append((tag, hide, extra))
 
     def _show(self, tag: str, got: dict[str, str]):
         flow = self.flows[-1]
         if tag == "br":
             flow.end_line(True)
+        elif tag in ("td", "th", "caption") and self.nested:
+            flow.block(False)
         elif tag in ("td", "th", "caption") and self.tables:
             if tag != "caption" and not self.tables[-1].rows:
                 self.tables[-1].rows.append([])
@@ -276,9 +285,12 @@ class _Page:
             return ("cell", max(1, min(MOST_SPAN, _number(got.get("colspan"), 1))), max(1, min(MOST_SPAN, down)))
         elif tag == "table":
             flow.block(True)
+            if len(self.tables) >= MOST_NEST:
+                self.nested += 1
+                return ("nested",)
             self.tables.append(_Table())
             return ("table",)
-        elif tag == "tr" and self.tables:
+        elif tag == "tr" and self.tables and not self.nested:
             self.tables[-1].rows.append([])
         elif tag in BLOCKS:
             nested = tag in LISTS and bool(self.lists)
@@ -294,11 +306,11 @@ class _Page:
                 if flow.marker is not None:
                     flow.end_line(True)
                 flow.marker = mark
-                flow.indent.append(" " * len(mark))
-                return ("indent", flow)
+                flow.indent += len(mark)
+                return ("indent", flow, len(mark))
             if tag in ("dd", "blockquote"):
-                flow.indent.append("  ")
-                return ("indent", flow)
+                flow.indent += 2
+                return ("indent", flow, 2)
             if tag in ("pre", "xmp", "textarea"):
                 self.pre += 1
                 return ("pre",)
@@ -327,6 +339,9 @@ class _Page:
                 flow.end_line()
                 flow.verbatim(self.tables.pop().lines())
                 flow.gap = True
+            elif what == "nested":
+                flow.block(True)
+                self.nested -= 1
             elif tag == "q":
                 flow.text('"')
             elif tag in BLOCKS:
@@ -338,7 +353,7 @@ class _Page:
                 if what == "indent":
                     if tag == "li" and flow.marker is not None:
                         flow.end_line(True)
-                    extra[1].indent.pop()
+                    extra[1].indent -= extra[2]
         if hide:
             self.unseen -= 1
 
