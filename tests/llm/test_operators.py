@@ -136,6 +136,60 @@ def test_redaction(docs, texts, empty):
     assert got[max(texts)][2] == 1 and secret_scan.redact(empty).count() == 0 and secret_scan.redact(docs).columns == docs.columns
 
 
+def random_ratio(word, ratios):
+    n, alphabet = len(secret_scan.ALPHABET), secret_scan.ALPHABET
+    return sum(ratios[alphabet.index(a) * n + alphabet.index(b)] for a, b in zip(word, word[1:])) / (len(word) - 1)
+
+
+def covered_parts(spans):
+    out = []
+    for s, _, e in spans:
+        if out and s < out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def test_all_spans_and_cuts_of_long_texts(spark, monkeypatch):
+    """Every span, the models' own included, and the redacted text, against a plain version."""
+    monkeypatch.setattr(secret_scan, "BLOCK", 3)
+    monkeypatch.setattr(secret_scan, "PIECE", 50)
+    r = random.Random(11)
+    made = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(20, 40)))
+    odd = ["AKIA" + "A1" * 9, "deadbeef01deadbeef01", "password= " + "x1Y2" * 4, "🙂é", "\n", "plain", "secret: token", "getUserNameFromRequest2Handler"]
+    texts = {k: " ".join(r.choice(odd) if r.random() < 0.5 else made() if r.random() < 0.5 else "word" for _ in range(n)) for k, n in enumerate((0, 1, 2, 5, 40, 300, 300))}
+    docs = spark.createDataFrame(list(texts.items()) + [(None, None)], "doc_id long, text string")
+    ratios = secret_scan.learn(docs)
+    spans = {r.doc_id: r.spans for r in secret_scan.with_spans(docs, ratios).select("doc_id", secret_scan._named(F.col("_spans")).alias("spans")).collect()}
+    cut = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i, t in texts.items():
+        base = base_spans(t)
+        added = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.CANDIDATE, t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and random_ratio(m[0], ratios) >= secret_scan.MIN_RATIO]
+        every = sorted(base + [(s, k, e) for s, k, e in added if not any(a < e and s < b for a, _, b in base)])
+        assert spans[i] == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in every)
+        want, at = [], 0
+        for s, e in covered_parts(every):
+            want.append(t[at:s])
+            at = e
+        assert cut[i] == "[SECRET]".join([*want, t[at:]])
+    assert cut[None] is None and any("markov" in x for x in spans.values())
+
+
+def test_work_follows_the_length_of_a_text(spark):
+    import time
+
+    took = []
+    for n in (3000, 12000):
+        df = spark.createDataFrame([(1, "deadbeef01deadbeef01 some words here " * n)], "doc_id long, text string").cache()
+        df.count()
+        began = time.perf_counter()
+        assert secret_scan.redact(df).first().text == "[SECRET] some words here " * n
+        took.append(time.perf_counter() - began)
+        df.unpersist()
+    assert took[1] < 8 * took[0] + 2, took
+
+
 # -- 3 and 10 repeats ------------------------------------------------------------------------------
 
 
@@ -252,11 +306,11 @@ def test_words_of_equal_hashes(spark, monkeypatch):
     import pyarrow as pa
 
     bodies = [x.encode() * 90 for x in ("abcde", "abcdf", "abcde")]
-    monkeypatch.setattr(radix_dedup, "stretch_hashes", lambda data, size: np.zeros(len(data) - size + 1, np.uint64))
-    group, segment, window = radix_dedup.find_repeats(pa.array(bodies, pa.binary()))
+    monkeypatch.setattr(radix_dedup, "stretch_hashes", lambda data, size, mixed=True: np.zeros(len(data) - size + 1, np.uint64))
+    group, window = radix_dedup.find_repeats(pa.array(bodies, pa.binary()))
     seen = collections.defaultdict(set)
-    for g, s, k in zip(group, segment, window):
-        seen[bodies[s][k : k + 400]].add(g)
+    for g, k in zip(group, window):
+        seen[bodies[k // 51][k % 51 : k % 51 + 400]].add(g)
     assert all(len(x) == 1 for x in seen.values()) and len(group) == sum(51 for _ in bodies)
 
 
@@ -425,13 +479,17 @@ def plain(text):
     return [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", lower(text)) if w]
 
 
-@pytest.mark.parametrize("block", [200_000, 40])
-def test_decontamination(spark, texts, monkeypatch, block):
+@pytest.mark.parametrize("block, chars", [(200_000, 400_000), (60, 250)])
+def test_decontamination(spark, texts, monkeypatch, block, chars):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontamination, "ITEM_CHARS", chars)
+    monkeypatch.setattr(decontamination, "OVERLAP_CHARS", 130)
+    monkeypatch.setattr(decontamination, "MAP_BITS", 16)
     r = random.Random(5)
     items = [(k, " ".join(f"Item{r.randrange(400)}{'.' * (j % 5 == 0)}" for j in range(n))) for k, n in enumerate((30, 13, 8, 5, 60))] + [(5, None), (6, "")]
+    items += [(7, items[0][1]), (7, items[0][1]), (None, items[1][1])]  # equal texts, a repeated row, a null id
     every = dict(texts)
-    for k, t in items:
+    for k, t in items[:7]:
         for subs in range(4):
             words = (t or "").split()
             for j in range(subs):
@@ -450,8 +508,14 @@ def test_decontamination(spark, texts, monkeypatch, block):
                 miss = 2 if need == 13 else 0
                 if any(sum(x == y for x, y in zip(d[p : p + need], w[q : q + need])) >= need - miss for p in range(len(d) - need + 1) for q in range(len(w) - need + 1)):
                     want.add((i, k))
-    got = {(x.doc_id, x.item_id) for x in decontamination.contamination(docs, bench).collect()}
-    assert got == want and len(want) > 8
+    rows = decontamination.contamination(docs, bench).collect()
+    got = {(x.doc_id, x.item_id) for x in rows}
+    assert got == want and len(want) > 8 and {7, None} <= {k for _, k in got}
+    assert all(x.n_agree <= x.n_words and x.first_word >= 0 for x in rows)
+    odd = docs.select("doc_id", "text", F.lit("mine").alias("k"), F.lit(9).alias("item_id"), F.lit(3).alias("row"))
+    assert {(x.doc_id, x.item_id) for x in decontamination.contamination(odd, bench).collect()} == want
+    clean = decontamination.clean(odd, bench)
+    assert clean.columns == odd.columns and {(x.k, x.item_id, x.row) for x in clean.collect()} == {("mine", 9, 3)}
     kept = {x.doc_id for x in decontamination.clean(docs, bench).collect()}
     assert kept == set(every) - {i for i, _ in want}
     assert decontamination.contamination(docs, bench.where("false")).count() == 0 and decontamination.clean(docs.where("false"), bench).count() == 0
@@ -545,6 +609,57 @@ def test_html_table_and_deep_nesting(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def drawn_page(r):
+    """Markup of a random tree, and what a reader sees of it: words with a bar where a line must end."""
+    words = itertools.count()
+
+    def node(depth, shown, inside):
+        kind = r.choice(["words", "words", "b", "span", "div", "p", "li", "br", "hidden", "script", "comment", "h2", "section"] if depth else ["div", "p", "ul", "section"])
+        if inside and kind in ("p", "h2", "div", "li", "section") or depth > 5:
+            kind = "words"  # a paragraph holds no blocks
+        if kind == "words":
+            some = [f"w{next(words)}" for _ in range(r.randint(1, 3))]
+            return " " + r.choice([" ", "\n", "\t "]).join(some) + " ", list(some) if shown else []
+        if kind == "br":
+            return "<br>" + r.choice(["", "\n"]), ["|"] if shown else []
+        if kind == "script":
+            return "<script>if (a < b) x</script>", []
+        if kind == "comment":
+            return "<!-- <p>not seen -->", []
+        show = shown and kind != "hidden"
+        flow = kind in ("p", "h2", "b", "span") and (inside or kind not in ("b", "span"))
+        parts = [node(depth + 1, show, inside or flow or kind in ("b", "span", "hidden")) for _ in range(r.randint(1, 4))]
+        body, seen = "".join(m for m, _ in parts), [x for _, s in parts for x in s]
+        tag = {"hidden": "span style='display:none'", "li": "ul><li"}.get(kind, kind)
+        end = {"hidden": "</span>", "li": r.choice(["</li></ul>", "</ul>"]), "p": r.choice(["</p>", "</p>"])}.get(kind, f"</{kind}>")
+        bar = ["|"] if show and kind in ("div", "p", "li", "h2", "section", "ul") else []
+        return f"<{tag}>{body}{end}", bar + seen + bar
+
+    parts = [node(0, True, False) for _ in range(r.randint(1, 5))]
+    return "".join(m for m, _ in parts), [x for _, s in parts for x in s]
+
+
+def test_pages_against_their_trees():
+    r = random.Random(6)
+    for _ in range(400):
+        page, seen = drawn_page(r)
+        want = [x.split() for x in " ".join(seen).split("|") if x.strip()]
+        lines = [re.sub(r"^(\s*- )+", "", x).split() for x in html_text.visible_text(page).split("\n")]
+        assert [x for x in lines if x and x != ["-"]] == want, page
+
+
+@pytest.mark.parametrize("part", ["<blockquote>x", "<ul><li>x", "<div>x", "<b>x</i>", "<table><tr><td>x", "<td colspan=1000>x", "<h1>a<div>", "<tr><td rowspan=900>a"])
+def test_rendering_follows_the_length_of_a_page(part):
+    import time
+
+    took, sizes = [], []
+    for n in (2000, 8000):
+        began = time.perf_counter()
+        sizes.append(len(html_text.visible_text(("<table>" if part[1] == "t" else "") + part * n)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.5 and sizes[1] < 5 * sizes[0] and sizes[1] < 500 * 8000
+
+
 # -- 9 near duplicates ---------------------------------------------------------------------------
 
 
