@@ -66,7 +66,7 @@ def _part(body: bytes, a: int, z: int) -> bytes:
     return body[a:z]
 
 
-BYTES = repeats.Tokens(WINDOW, GRAMS, _bytes, stretch_hashes, _cut, _part)
+BYTES = repeats.Tokens(WINDOW, GRAMS, _bytes, stretch_hashes, _cut, _part, at_once=800_000, hot=1_500)
 
 
 def eight_bytes(data):

@@ -12,7 +12,7 @@ equal anchors at equal places, and neighbouring windows mostly share one. Steps:
    it. Before segments leave a task, a `Finder` looks for equal windows among those at hand, a
    memory-sized set at a time; all but one of equal windows end here, and segments lose them.
 3. Segments meet by anchor, and the Finder settles whole groups, a memory-sized set at a time.
-   A group of more than `hot` anchors is dealt to several tasks first; what each leaves of it
+   A group of more than `Tokens.hot` anchors is dealt to several tasks first; what each leaves of it
    goes on under the anchors of longer stretches (`Tokens.grams`, the last being whole windows),
    until no group is larger. Equal windows shrink by the number a task holds, and different
    ones part, so this ends; the Finder decides in the same way each time.
@@ -37,10 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import modest_batches, text_of, written
 
-HOT = 20_000
-#: Bytes of segments that a Finder gets at once, about (whole groups), and that a task gathers
-#: before it looks for equal windows among them.
-GROUP_BYTES, GATHERED = 2_000_000, 6_000_000
+#: Bytes of segments that a task gathers before it looks for equal windows among them.
+GATHERED = 4_000_000
 _BITS = 21
 CHUNK_TOKENS = 1 << 20
 
@@ -50,7 +48,9 @@ class Tokens:
     """How texts are cut. `grams` are the lengths of stretches that anchor windows, from the first
     to the whole window; `hashes(column)` yields (first row, end row, token hashes or bytes, where
     rows start); `stretches(tokens, n)` the hash of the n tokens from each on; `cut(text)` a function
-    from token positions to bytes; `part(body, a, z)` the same for a segment."""
+    from token positions to bytes; `part(body, a, z)` the same for a segment. A Finder gets about
+    `at_once` bytes of segments (whole groups) at a time; groups of more than `hot` anchors are dealt
+    to several tasks first."""
 
     width: int
     grams: tuple[int, ...]
@@ -58,6 +58,8 @@ class Tokens:
     stretches: Callable
     cut: Callable
     part: Callable
+    at_once: int
+    hot: int
 
 
 def sliding_min(x, n: int):
@@ -284,8 +286,8 @@ def _settled(x, kind: Tokens, keep_first: bool, finder: Callable):
     return stretches, pa.table(cols, names=NAMES)
 
 
-def _sets(x) -> Iterator:
-    """Table x, sorted by h and salt, in whole groups of two segments or more, about GROUP_BYTES at
+def _sets(x, at_once: int) -> Iterator:
+    """Table x, sorted by h and salt, in whole groups of two segments or more, about at_once bytes at
     a time; and the segments that are alone, as (table, alone)."""
     import numpy as np
     import pyarrow as pa
@@ -304,7 +306,7 @@ def _sets(x) -> Iterator:
     ends = np.cumsum(sizes)
     at = done = 0
     while at < len(ends):
-        to = max(int(np.searchsorted(nbytes[ends - 1], done + GROUP_BYTES)), at + 1)
+        to = max(int(np.searchsorted(nbytes[ends - 1], done + at_once)), at + 1)
         start = ends[at - 1] if at else 0
         yield x.slice(start, ends[to - 1] - start), False
         at, done = to, nbytes[ends[to - 1] - 1]
@@ -332,7 +334,7 @@ def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, k
             x = x.take(pa.array(np.argsort(x.column("h").to_numpy(), kind="stable")))
             plain = x.set_column(1, "salt", pa.array(np.zeros(x.num_rows, np.int32)))
             salts = iter(x.column("salt").to_pylist()) if x.column("salts").to_numpy().max() > 1 else None
-            for part, alone in _sets(plain):
+            for part, alone in _sets(plain, kind.at_once):
                 stretches, kept = (None, part) if alone else _settled(part, kind, keep_first, finder)
                 if stretches is not None:
                     yield stretches
@@ -388,7 +390,7 @@ def _found(segments: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool, f
             x = x.filter(pc.invert(done))
             if not x.num_rows:
                 return
-            for part, alone in _sets(x):
+            for part, alone in _sets(x, kind.at_once):
                 stretches, kept = (None, part) if alone else _settled(part, kind, keep_first, finder)
                 if stretches is not None:
                     yield stretches
@@ -401,7 +403,7 @@ def _found(segments: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool, f
         for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             rest.append(b)
             size += b.column(7).nbytes
-            if size > GROUP_BYTES:
+            if size > kind.at_once:
                 x = pa.Table.from_batches(rest).combine_chunks()
                 h, salt = x.column("h").to_numpy(), x.column("salt").to_numpy()
                 other = np.flatnonzero((h != h[-1]) | (salt != salt[-1]))
@@ -433,7 +435,7 @@ def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder:
     keep_first: remove all but the first of equal windows (by document, then place); else all
     that occur at two places. finder(bodies) gives the (class, number) arrays of the windows that
     are equal to another of the segments', all windows of all bodies being numbered in order."""
-    hot = max(hot or HOT, 2)  # of two or more in a task, equal ones become one, so each level has fewer
+    hot = max(hot or kind.hot, 2)  # of two or more in a task, equal ones become one, so each level has fewer
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     modest_batches(docs.sparkSession)
     rows = keyed(docs)

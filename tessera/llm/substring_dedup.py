@@ -62,7 +62,7 @@ def _part(body: bytes, a: int, z: int) -> bytes:
     return b" ".join(body.split(b" ")[a:z])
 
 
-WORDS = repeats.Tokens(WINDOW, GRAMS, _words, _stretches, _cut, _part)
+WORDS = repeats.Tokens(WINDOW, GRAMS, _words, _stretches, _cut, _part, at_once=2_000_000, hot=10_000)
 
 
 class SuffixTree:
