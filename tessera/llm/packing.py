@@ -10,9 +10,10 @@ documents each, just as one document at a time would go. Each placement is a rul
 ranks, first bin, documents per bin, offset); executors rank the documents of a length and
 join them to the rules. The rules are bounded by the capacity, never by the documents.
 
-Defined results: null text counts as empty, whose document is the end id alone; no rows give
-no rows; repeated doc_ids are packed as separate documents (told apart by row content only
-where they differ); other columns are ignored.
+Defined results: null and empty texts are documents of the end id alone; a text of any length is
+encoded whole and cut only where it is over the capacity; rows that repeat a doc_id, or all of a
+row, are documents of their own, and so are rows without doc_id; of pieces of equal length any may
+come first; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int)
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
 
     modest_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("row_key"), text_of(docs).alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(F.monotonically_increasing_id()).alias("row_key"), text_of(docs).alias("text"))
     return rows.mapInArrow(run, PIECES.format(kind=kind))
 
 
@@ -187,13 +188,14 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     total = sum(histogram.values())
     rules = best_fit_rules(histogram, capacity)
     buckets = max(parts_for(spark), total // RANK_ROWS)
-    keyed = pieces.withColumn("bucket", F.pmod("row_key", F.lit(buckets)).cast("int"))
+    # A row's pieces, and rows that repeat, part like any others.
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row_key", "piece"), F.lit(buckets)).cast("int"))
     before = (
         keyed.groupBy("length", "bucket").count()
         .withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     )
-    own = Window.partitionBy("length", "bucket").orderBy("row_key", "doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("row_key", "piece")
     ranked = (
         keyed.withColumn("own_rank", F.row_number().over(own) - 1)
         .join(before, ["length", "bucket"])

@@ -8,8 +8,9 @@ proves, by encoding each vocabulary string alone, which pre-tokens are one token
 counted by a table lookup. Only other pre-tokens are merged, by the library itself, and
 each distinct one once while the bounded cache holds it.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated
-rows; other columns are ignored.
+Defined results: null and empty texts have 0 bytes and 0 tokens; a text of any length is counted
+whole; rows that repeat give a row each, and a null doc_id stays null; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
