@@ -2,6 +2,7 @@
 
 import bisect
 import collections
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -226,7 +227,7 @@ def repeated_bytes(texts, width):
 def test_suffix_tree_dedup(docs, texts, empty, monkeypatch, hot, memory):
     if memory:
         monkeypatch.setattr(repeats, "GATHERED", memory)
-        monkeypatch.setattr(repeats, "GROUP_BYTES", memory)
+        monkeypatch.setattr(substring_dedup, "WORDS", dataclasses.replace(substring_dedup.WORDS, at_once=memory))
     got = rows_of(substring_dedup.remove_repeats(docs, hot), "n_words", "n_removed", "kept_sha256")
     assert got == later_words(texts, 20) and any(x[1] for x in got.values())
     assert substring_dedup.remove_repeats(empty, hot).count() == 0
@@ -236,7 +237,7 @@ def test_suffix_tree_dedup(docs, texts, empty, monkeypatch, hot, memory):
 def test_radix_dedup(docs, texts, empty, monkeypatch, hot, memory):
     if memory:
         monkeypatch.setattr(repeats, "GATHERED", memory)
-        monkeypatch.setattr(repeats, "GROUP_BYTES", memory)
+        monkeypatch.setattr(radix_dedup, "BYTES", dataclasses.replace(radix_dedup.BYTES, at_once=memory))
     got = rows_of(radix_dedup.remove_repeats(docs, hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == repeated_bytes(texts, 400) and any(x[1] for x in got.values())
     assert radix_dedup.remove_repeats(empty, hot).count() == 0

@@ -38,5 +38,32 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed} == {*range(60), 93} and all(r.offset + r.length <= 4096 for r in packed)
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables; then null ids, null texts, repeated rows and columns of the stages' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _row int, component_id string, k string, row int, piece string"
+    words = lambda k: " ".join(f"word{k}x{j}" for j in range(60))
+    own = ("en", "s", 1, "mine", 7, "c", "key", 3, "p")
+    rows = [(1, words(1), *own), (1, words(1), *own), (1, words(2), *own), (None, words(3), *own), (None, words(3), *own), (2, None, *own), (3, "", *own), (4, words(1), *own), (5, words(5) + " token=abcdefabcdef0123456789", *own)]
+    for name, some in (("none", []), ("odd", rows)):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        docs, seen = spark.read.parquet(f"{path}/documents.parquet"), {}
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, path)
+            assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+            seen[stage] = docs.collect()
+            assert all((r.n_words, r._row, r.component_id, r.k, r.row, r.piece) == ("mine", 7, "c", "key", 3, "p") for r in seen[stage])
+        ids = lambda stage: sorted((r.doc_id or 0 for r in seen[stage]))
+        packed = corpus_pipeline.run(spark, path).collect()
+        if not some:
+            assert not any(seen.values()) and not packed
+            continue
+        assert ids("quality") == [0, 0, 1, 1, 1, 4, 5] and ids("near_dedup") == ids("decontaminate") == ids("redact_secrets") == [0, 0, 1, 1, 1, 5]
+        assert [r.text for r in seen["redact_secrets"] if r.doc_id == 5] == [words(5) + " [SECRET]"]
+        assert sorted(r.doc_id or 0 for r in packed) == ids("redact_secrets")
+
+
 def test_every_operator_is_registered():
     assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
