@@ -34,6 +34,35 @@ def admission_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_hadm").agg(F.count("*").alias("n"), (~F.min("_subject").eqNullSafe(F.max("_subject"))).alias("conflict"))
 
 
+def _dedup_audit(records: DataFrame, policy: DedupPolicy, keys: tuple[str, ...]) -> DedupAudit:
+    """All counts and checks by one plan: rows by admission and keys, then by admission, then all;
+    each step is combined map-side. Rows of other categories are one group."""
+    chosen = F.col(policy.category_field).eqNullSafe(F.lit(policy.category_value))
+    subject, hadm = stripped(F.col("SUBJECT_ID")), F.col("HADM_ID").cast("string")
+    floats = [x for x in policy.tie_break_fields if isinstance(records.schema[x].dataType, (T.FloatType, T.DoubleType))]
+    bad = {"SUBJECT_ID": ~is_canonical(subject), "HADM_ID": ~is_canonical(hadm)} | {x: F.isnan(x) | (F.abs(x) == float("inf")) for x in floats}
+    own = records.select(
+        chosen.alias("_chosen"), *(F.when(chosen, x).alias(name) for x, name in ((subject, "_subject"), (hadm, "_hadm"), (F.struct(*keys), "_keys"))),
+        *(F.coalesce(chosen & v, F.lit(False)).alias(f"_bad{i}") for i, v in enumerate(bad.values())),
+    )
+    marks = [f"_bad{i}" for i in range(len(bad))]
+    ends = [F.min("_subject").alias("_a"), F.max("_subject").alias("_z")]
+    by_keys = own.groupBy("_chosen", "_hadm", "_keys").agg(F.count("*").alias("_n"), *ends, *(F.count_if(m).alias(m) for m in marks))
+    best = (F.max if policy.keep == "latest" else F.min)(F.struct("_keys", "_n"))
+    by_hadm = by_keys.groupBy("_chosen", "_hadm").agg(F.sum("_n").alias("_n"), F.min("_a").alias("_a"), F.max("_z").alias("_z"), best["_n"].alias("_best"), *(F.sum(m).alias(m) for m in marks))
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    got = by_hadm.agg(
+        sums("_n").alias("n"), sums(F.when(F.col("_chosen"), F.col("_n"))).alias("eligible"), F.count_if("_chosen").alias("admissions"), F.count_if(F.col("_chosen") & (F.col("_n") > 1)).alias("repeated"),
+        F.count_if(F.col("_chosen") & ~F.col("_a").eqNullSafe(F.col("_z"))).alias("conflicts"), F.count_if(F.col("_chosen") & (F.col("_best") > 1)).alias("tied"), *(sums(m).alias(m) for m in marks),
+    ).first()
+    require(
+        (got.n > 0, "records must not be empty"), *((got[m] == 0, f"{k}: {got[m]} records have no canonical value") for k, m in zip(bad, marks)),
+        (got.conflicts == 0, f"ownership conflict: {got.conflicts} admissions map to several subjects"),
+        (got.tied == 0, f"ambiguous tie: {got.tied} admissions have several rows with the winning order and tie-break values"),
+    )
+    return DedupAudit(got.n, got.eligible, got.admissions, got.eligible - got.admissions, got.repeated)
+
+
 def deduplicate_admissions(records: DataFrame, policy: DedupPolicy, ordered: bool = False) -> DedupResult:
     """One note for each admission: the latest or earliest by the policy's keys.
 
@@ -49,28 +78,14 @@ def deduplicate_admissions(records: DataFrame, policy: DedupPolicy, ordered: boo
     for name in policy.tie_break_fields:
         kind = records.schema[name].dataType
         require((not isinstance(kind, (T.BooleanType, T.ArrayType, T.MapType, T.StructType)), f"tie-break field {name!r}: type {kind.simpleString()} is not accepted"))
-    rows = eligible_notes(records, policy)
-    bad = {"SUBJECT_ID": ~is_canonical(F.col("_subject")), "HADM_ID": ~is_canonical(F.col("_hadm"))}
-    floats = [x for x in policy.tie_break_fields if isinstance(records.schema[x].dataType, (T.FloatType, T.DoubleType))]
-    bad |= {x: F.isnan(x) | (F.abs(x) == float("inf")) for x in floats}
-    n, *counts = records.agg(F.count("*"), F.count_if(F.col(policy.category_field) == F.lit(policy.category_value))).first()
-    require((n > 0, "records must not be empty"))
-    found = rows.agg(*(F.count_if(v).alias(k) for k, v in bad.items())).first()
-    require(*((found[k] == 0, f"{k}: {found[k]} records have no canonical value") for k in bad))
-    admissions, repeated, conflicts = admission_counts(rows).agg(F.count("*"), F.count_if(F.col("n") > 1), F.count_if("conflict")).first()
-    require((conflicts == 0, f"ownership conflict: {conflicts} admissions map to several subjects"))
-    best = winners(rows, policy)
-    if repeated:
-        tied = best.groupBy("_hadm").count().where(F.col("count") > 1).count()
-        require((tied == 0, f"ambiguous tie: {tied} admissions have several rows with the winning order and tie-break values"))
-    eligible = counts[0]
-    audit = DedupAudit(n, eligible, admissions, eligible - admissions, repeated)
+    audit = _dedup_audit(records, policy, keys)
+    best = winners(eligible_notes(records, policy), policy)
     out = best.select(
         F.col("_subject").alias("subject_id"), F.col("_hadm").alias("hadm_id"), F.col("TEXT").cast("string").alias("text"),
         F.col(policy.category_field).cast("string").alias("category"), F.col(policy.order_field).alias("order_value"),
         (F.struct(*policy.tie_break_fields) if policy.tie_break_fields else F.struct()).alias("tie_break_values"),
     )
-    return DedupResult(out.orderBy("hadm_id") if ordered else out, audit)
+    return DedupResult(out.orderBy("hadm_id") if ordered else out, audit, checked=True)
 
 
 def _notes(notes: DataFrame) -> DataFrame:
@@ -106,16 +121,24 @@ def build_admission_examples(notes: DataFrame, diagnoses: DataFrame, ordered: bo
     ValueError on empty inputs, a repeated admission, a code row of another subject, or a note
     without a valid code. Codes of unknown admissions are ignored."""
     require((not notes.isEmpty(), "notes must not be empty"), (not diagnoses.isEmpty(), "diagnosis list must not be empty"))
-    left = _notes(notes)
-    repeated = left.groupBy("hadm_id").count().where(F.col("count") > 1)
-    require((repeated.isEmpty(), "duplicate admission found in notes: deduplicate them first"))
-    if "SUBJECT_ID" in diagnoses.columns:
-        wrong = ownership_conflicts(notes, diagnoses).select("hadm_id").limit(1).collect()
-        require((not wrong, f"ownership conflict: a diagnosis of admission {wrong[0][0]!r} names another subject" if wrong else ""))
-    labels = admission_labels(diagnoses)
-    bare = left.join(labels, "hadm_id", "left_anti").orderBy("hadm_id").limit(1).collect()
-    require((not bare, f"no diagnosis rows with a valid code for admission {bare[0]['hadm_id']!r}" if bare else ""))
-    bad = left.agg(F.count_if(~is_canonical(F.col("subject_id"))), F.count_if(~is_canonical(F.col("hadm_id")))).first()
-    require((bad[0] == 0, "subject_id: must be non-empty with no surrounding whitespace"), (bad[1] == 0, "hadm_id: must be non-empty with no surrounding whitespace"))
+    left, labels = _notes(notes), admission_labels(diagnoses)
+    codes = _codes(diagnoses)
+    owner = F.col("owner") if "owner" in codes.columns else F.lit(None).cast("string")
+    # Each admission's notes and codes in one row, and all checks from these.
+    owners = codes.groupBy("hadm_id").agg(F.min(owner).alias("a"), F.max(owner).alias("z"), F.count_if(owner.isNull()).alias("none"), F.count_if(is_native_code(F.col("code"))).alias("valid"))
+    own = left.groupBy("hadm_id").agg(F.count("*").alias("n"), F.min("subject_id").alias("subject_id"), F.count_if(~is_canonical(F.col("subject_id"))).alias("odd")).join(owners, "hadm_id", "left")
+    known = "owner" in codes.columns
+    wrong = F.lit(known) & F.col("valid").isNotNull() & (~F.col("a").eqNullSafe(F.col("subject_id")) | ~F.col("z").eqNullSafe(F.col("subject_id")) | ((F.col("none") > 0) & F.col("subject_id").isNotNull()))
+    bare = F.coalesce(F.col("valid"), F.lit(0)) == 0
+    where = lambda c: F.min(F.when(c, F.col("hadm_id")))
+    many, clash, without, odd_subject, odd_hadm = own.agg(
+        F.count_if(F.col("n") > 1), where(wrong), F.min(F.when(bare, F.struct(F.col("hadm_id")))), F.sum("odd"), F.count_if(~is_canonical(F.col("hadm_id"))),
+    ).first()
+    require(
+        (many == 0, "duplicate admission found in notes: deduplicate them first"),
+        (clash is None, f"ownership conflict: a diagnosis of admission {clash!r} names another subject"),
+        (without is None, f"no diagnosis rows with a valid code for admission {without[0]!r}" if without else ""),
+        (odd_subject == 0, "subject_id: must be non-empty with no surrounding whitespace"), (odd_hadm == 0, "hadm_id: must be non-empty with no surrounding whitespace"),
+    )
     out = left.join(labels, "hadm_id").select("subject_id", "hadm_id", "text", "labels", F.lit(None).cast("string").alias("partition"))
     return out.orderBy("hadm_id") if ordered else out

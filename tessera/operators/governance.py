@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import require
+from ..functions.identifiers import stripped
 
 # Fixed values
 RIGHTS_STATUSES = ("approved", "pending", "denied", "revoked", "expired")
@@ -161,7 +162,7 @@ def data_access_decisions(requests: DataFrame) -> DataFrame:
     """requests with allowed and reasons. A request has fixture_only, rights_status,
     rights_expires_on (date), approved_locations and raw_transfer_allowed_locations (arrays of
     lower-case names), kaggle_allowed, requested_location, raw_transfer_requested, as_of_date."""
-    place = F.lower(F.trim(F.coalesce("requested_location", F.lit(""))))
+    place = F.lower(stripped(F.coalesce("requested_location", F.lit(""))))
     given = place != ""
     rules = [
         (F.col("fixture_only"), "fixture_data_access_forbidden"),

@@ -58,4 +58,4 @@ def transform_labels(examples: DataFrame, contract: LabelContract) -> EncodedLab
     known = examples.withColumn("_clean", clean).withColumn("_unknown", F.size(F.array_except("_clean", names)))
     n, unknown, some = known.agg(F.count("*"), F.coalesce(F.sum("_unknown"), F.lit(0)), F.count_if(F.col("_unknown") > 0)).first()
     rows = known.withColumn("encoded", F.transform(names, lambda x: F.array_contains("_clean", x).cast("int"))).drop("_clean", "_unknown")
-    return EncodedLabels(rows, contract.vocabulary_hash, LabelTransformAudit(n, unknown, some))
+    return EncodedLabels(rows, contract.vocabulary_hash, LabelTransformAudit(n, unknown, some), checked=True)

@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identifiers import stripped
+
 # Each system's family and adaptation.
 SYSTEMS = {
     "rule": ("rule", "rule"),
@@ -98,6 +100,10 @@ def validate_five_system_registry(specs: Iterable[ModelSpec]) -> RegistryAudit:
     return RegistryAudit(not unique, unique, len(items), tuple(sorted(names)))
 
 
+#: Names of parameters that an audit lists at most; all are counted.
+MOST_NAMES = 1000
+
+
 @dataclass(frozen=True)
 class TrainabilityAudit:
     allowed: bool
@@ -122,7 +128,7 @@ def _is_module(module: Column, suffixes: Iterable[str]) -> Column:
 
 
 def _parameters(parameters: DataFrame) -> DataFrame:
-    valid = F.coalesce((F.length(F.trim("name")) > 0) & F.col("trainable").isNotNull() & (F.col("count") > 0), F.lit(False))
+    valid = F.coalesce((F.length(stripped(F.col("name"))) > 0) & F.col("trainable").isNotNull() & (F.col("count") > 0), F.lit(False))
     return parameters.select("name", "trainable", "count", valid.alias("valid"))
 
 
@@ -148,7 +154,8 @@ def _head_reason(members: int, frozen: int) -> list[str]:
 
 
 def audit_lora_trainability(parameters: DataFrame, target_suffixes: Iterable[str], classifier_path: str) -> TrainabilityAudit:
-    """Adapters on all targets and nowhere else train, the classifier trains, the rest is frozen."""
+    """Adapters on all targets and nowhere else train, the classifier trains, the rest is frozen.
+    Of parameters that train and should not, the first MOST_NAMES are named."""
     raw = list(target_suffixes) if isinstance(target_suffixes, Iterable) and not isinstance(target_suffixes, str) else list(target_suffixes or "")
     suffixes = [x.strip() for x in raw if _filled(x)]
     path = _path(classifier_path)
@@ -162,8 +169,9 @@ def audit_lora_trainability(parameters: DataFrame, target_suffixes: Iterable[str
         F.count_if(on & adapter).alias("n_adapters"), F.count_if(~on & adapter & target).alias("frozen_targets"), F.count_if(on & adapter & ~target).alias("elsewhere"),
         F.count_if(head).alias("members"), F.count_if(head & ~on).alias("frozen_head"),
         F.array_sort(F.collect_set(F.when(on & adapter & target, module))).alias("matched"),
-        F.array_sort(F.collect_list(F.when(on & ~adapter & ~head, name))).alias("unexpected"),
+        F.count_if(on & ~adapter & ~head).alias("unexpected"),
     ).first()
+    named = p.where(F.col("valid") & on & ~adapter & ~head).select("name").orderBy("name").limit(MOST_NAMES).collect() if g["unexpected"] else []
     missed = any(not any(m == s or m.endswith("." + s) for m in g["matched"]) for s in suffixes)
     config = bool(suffixes) and len(set(suffixes)) == len(raw) and bool(path)
     reasons = [
@@ -177,7 +185,7 @@ def audit_lora_trainability(parameters: DataFrame, target_suffixes: Iterable[str
         *(["unexpected_trainable_base"] if g["unexpected"] else []),
         *(["lora_scope_not_bounded"] if g["n"] and g["on"] >= g["total"] else []),
     ]
-    return TrainabilityAudit(not reasons, tuple(reasons), g["total"], g["on"], g["adapters"], g["head"], tuple(g["matched"]), tuple(g["unexpected"]))
+    return TrainabilityAudit(not reasons, tuple(reasons), g["total"], g["on"], g["adapters"], g["head"], tuple(g["matched"]), tuple(r[0] for r in named))
 
 
 def audit_full_trainability(parameters: DataFrame, classifier_path: str) -> TrainabilityAudit:

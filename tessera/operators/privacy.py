@@ -28,11 +28,11 @@ ARTIFACT_KEYS = {
 METRIC_FIELDS = ("macro_f1", "micro_f1", "parameter_count", "precision_at_10", "precision_at_5", "record_count", "runtime_seconds", "uncertainty")
 PROVENANCE_FIELDS = ("artifact_digest", "command_digest", "config_digest", "created_on", "manifest_digest", "model_revision", "runtime", "seed", "tokenizer_revision")
 FORBIDDEN_KEYS = {
-    "note_text_forbidden": "clinical_note clinical_text discharge_summary note note_content note_text notes raw_note raw_notes text".split(),
-    "identifier_forbidden": "admission_id admission_ids hadm_id hadm_ids mrn patient_id patient_ids record_id record_ids subject_id subject_ids".split(),
-    "secret_forbidden": "access_token api_key apikey auth_token client_secret credentials hf_token password private_key secret wandb_api_key".split(),
-    "row_membership_forbidden": "content membership partition_membership row_ids row_membership rows split_membership".split(),
-    "checkpoint_forbidden": "checkpoint checkpoint_path checkpoints model_state optimizer_state state_dict weight_path weights".split(),
+    "note_text_forbidden": ("clinical_note", "clinical_text", "discharge_summary", "note", "note_content", "note_text", "notes", "raw_note", "raw_notes", "text"),
+    "identifier_forbidden": ("admission_id", "admission_ids", "hadm_id", "hadm_ids", "mrn", "patient_id", "patient_ids", "record_id", "record_ids", "subject_id", "subject_ids"),
+    "secret_forbidden": ("access_token", "api_key", "apikey", "auth_token", "client_secret", "credentials", "hf_token", "password", "private_key", "secret", "wandb_api_key"),
+    "row_membership_forbidden": ("content", "membership", "partition_membership", "row_ids", "row_membership", "rows", "split_membership"),
+    "checkpoint_forbidden": ("checkpoint", "checkpoint_path", "checkpoints", "model_state", "optimizer_state", "state_dict", "weight_path", "weights"),
 }
 CHECKPOINT_SUFFIXES = (".bin", ".ckpt", ".h5", ".hdf5", ".onnx", ".pt", ".pth", ".safetensors")
 NOTE_PATTERN = r"(?i)SYNTHETIC_NOTE_TEXT_CANARY"

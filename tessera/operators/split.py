@@ -36,16 +36,19 @@ def split_by_subject(examples: DataFrame, config: SplitConfig, ordered: bool = F
     """Every admission of a subject in the partition of the subject's hash.
 
     Raises ValueError on an empty input, a repeated admission, or one of several subjects."""
-    require((not examples.isEmpty(), "split examples cannot be empty"))
-    owners = examples.groupBy("hadm_id").agg(F.count("*").alias("n"), F.min("subject_id").alias("a"), F.max("subject_id").alias("z"))
-    wrong = owners.where(F.col("n") > 1).orderBy("hadm_id").limit(1).collect()
-    if wrong:
-        clash = wrong[0]["a"] != wrong[0]["z"]
-        raise ValueError(f"{'conflicting admission ownership for' if clash else 'duplicate admission before split:'} {wrong[0]['hadm_id']}")
     dealt = examples.withColumn("partition", partition_of(F.col("subject_id"), config))
-    counts = sorted(partition_counts(dealt).collect())
-    audit = SplitAudit(config.algorithm, config.seed, config.ratios, tuple((r["partition"], r["subjects"]) for r in counts), tuple((r["partition"], r["admissions"]) for r in counts))
-    return SplitAssignment(dealt.orderBy("partition", "subject_id", "hadm_id") if ordered else dealt, audit)
+    # Admissions, then subjects, then partitions, by one plan that ends in three rows.
+    admissions = dealt.groupBy("hadm_id").agg(F.count("*").alias("n"), F.min("subject_id").alias("subject_id"), F.max("subject_id").alias("z"), F.min("partition").alias("partition"))
+    wrong = F.min(F.when(F.col("n") > 1, F.struct("hadm_id", (~F.col("subject_id").eqNullSafe(F.col("z"))).alias("clash")))).alias("wrong")
+    subjects = admissions.groupBy("partition", "subject_id").agg(F.sum("n").alias("n"), wrong)
+    rows = {r.partition: r for r in subjects.groupBy("partition").agg(F.count("*").alias("subjects"), F.sum("n").alias("admissions"), F.min("wrong").alias("wrong")).collect()}
+    require((len(rows) > 0, "split examples cannot be empty"))
+    first = min((r.wrong for r in rows.values() if r.wrong), default=None)
+    if first:
+        raise ValueError(f"{'conflicting admission ownership for' if first.clash else 'duplicate admission before split:'} {first.hadm_id}")
+    counts = lambda what: tuple((p, rows[p][what] if p in rows else 0) for p in PARTITIONS)
+    audit = SplitAudit(config.algorithm, config.seed, config.ratios, counts("subjects"), counts("admissions"))
+    return SplitAssignment(dealt.orderBy("partition", "subject_id", "hadm_id") if ordered else dealt, audit, checked=True)
 
 
 def assert_subject_disjoint(assignment: SplitAssignment) -> None:

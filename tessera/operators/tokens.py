@@ -116,4 +116,4 @@ def tokenize_batch(texts: DataFrame, tokenizer: object, config: TokenizerConfig,
     special = len(prefix) + len(suffix)
     audit = token_audit(encoded, config.maximum_length - special).first()
     rows = encoded.withColumns(tokenized(F.col("_content"), config, prefix, suffix, pad)).drop("_content")
-    return TokenizedBatch(rows, TokenizationAudit(config.identifier, config.revision, config.maximum_length, config.truncation_side, config.padding, *audit, special))
+    return TokenizedBatch(rows, TokenizationAudit(config.identifier, config.revision, config.maximum_length, config.truncation_side, config.padding, *audit, special), checked=True)
