@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import require
@@ -158,13 +158,11 @@ def authorize_training(manifest: object, runtime: object, *, as_of_date: date) -
     )
 
 
-def data_access_decisions(requests: DataFrame) -> DataFrame:
-    """requests with allowed and reasons. A request has fixture_only, rights_status,
-    rights_expires_on (date), approved_locations and raw_transfer_allowed_locations (arrays of
-    lower-case names), kaggle_allowed, requested_location, raw_transfer_requested, as_of_date."""
+def _access_rules(raw: Column) -> list[tuple[Column, str]]:
+    """evaluate_data_access as expressions over a request's columns; raw: whether raw data is asked for."""
     place = F.lower(stripped(F.coalesce("requested_location", F.lit(""))))
     given = place != ""
-    rules = [
+    return [
         (F.col("fixture_only"), "fixture_data_access_forbidden"),
         (~F.col("rights_status").eqNullSafe("approved"), "rights_not_approved"),
         (F.col("as_of_date").isNull(), "as_of_date_invalid"),
@@ -172,8 +170,38 @@ def data_access_decisions(requests: DataFrame) -> DataFrame:
         (~given, "requested_location_invalid"),
         (given & ~F.array_contains("approved_locations", place), "location_not_approved"),
         (((place == "kaggle") | place.startswith("kaggle:")) & ~F.col("kaggle_allowed"), "kaggle_not_allowed"),
-        (F.col("raw_transfer_requested").isNull(), "raw_transfer_request_invalid"),
-        (F.col("raw_transfer_requested") & given & ~F.array_contains("raw_transfer_allowed_locations", place), "raw_transfer_not_allowed"),
+        (raw.isNull(), "raw_transfer_request_invalid"),
+        (raw & given & ~F.array_contains("raw_transfer_allowed_locations", place), "raw_transfer_not_allowed"),
+    ]
+
+
+def _reasons(rules: list[tuple[Column, str]]) -> Column:
+    return F.array_compact(F.array(*(F.when(objects, F.lit(reason)) for objects, reason in rules)))
+
+
+def data_access_decisions(requests: DataFrame) -> DataFrame:
+    """requests with allowed and reasons. A request has fixture_only, rights_status,
+    rights_expires_on (date), approved_locations and raw_transfer_allowed_locations (arrays of
+    lower-case names), kaggle_allowed, requested_location, raw_transfer_requested, as_of_date."""
+    return requests.withColumn("reasons", _reasons(_access_rules(F.col("raw_transfer_requested")))).withColumn("allowed", F.size("reasons") == 0)
+
+
+def training_decisions(requests: DataFrame) -> DataFrame:
+    """authorize_training for each row: a request as above whose runtime is requested_location and
+    the booleans RUNTIME_FLAGS; a null among these makes the runtime invalid."""
+    place = F.lower(stripped(F.col("requested_location")))
+    rules = [x for x in _access_rules(F.lit(False)) if x[1] != "fixture_data_access_forbidden"] + [
+        (~F.coalesce("fixture_only", F.lit(False)), "live_manifest_training_forbidden"),
+        (place != FIXTURE_LOCATION, "fixture_location_forbidden"),
+        (F.col("network_enabled"), "network_must_be_disabled"),
+        (F.col("external_logging"), "external_logging_forbidden"),
+        (F.col("raw_transfer_requested"), "training_raw_transfer_forbidden"),
+        (~F.col("synthetic_only"), "synthetic_only_required"),
+        (F.col("gpu_job"), "gpu_job_forbidden"),
+        (F.col("restricted_runtime_authorized"), "restricted_runtime_forbidden"),
     ]
-    reasons = F.array_compact(F.array(*(F.when(objects, F.lit(reason)) for objects, reason in rules)))
+    whole = F.lit(True)
+    for name in ("requested_location", *RUNTIME_FLAGS):
+        whole = whole & F.col(name).isNotNull()
+    reasons = F.when(whole, _reasons(rules)).otherwise(F.array(F.lit("runtime_invalid")))
     return requests.withColumn("reasons", reasons).withColumn("allowed", F.size("reasons") == 0)

@@ -100,6 +100,44 @@ def validate_five_system_registry(specs: Iterable[ModelSpec]) -> RegistryAudit:
     return RegistryAudit(not unique, unique, len(items), tuple(sorted(names)))
 
 
+def registry_audits(specs: DataFrame) -> DataFrame:
+    """validate_five_system_registry for each registry_id of a table of specs, by one combined
+    aggregate: registry_id, allowed, reasons (in a fixed order) and system_count. Where a system is
+    there twice, all its revisions count in its family."""
+    text = lambda c: F.length(stripped(F.col(c))) > 0
+    system, fields = F.col("logical_system"), list(ModelSpec.__dataclass_fields__)
+    valid = F.lit(True)
+    for name in fields:
+        if not name.startswith("tokenizer_"):
+            valid = valid & F.coalesce(text(name), F.lit(False))
+    pinned = lambda c: F.coalesce(F.regexp_like(F.lower(stripped(F.col(c))), F.lit(f"^(?:{PINNED.pattern})\z")), F.lit(False))
+    defined, neural = F.lit(False), system.isin(*(x for x in SYSTEMS if x != "rule"))
+    for name, (family, kind) in SYSTEMS.items():
+        defined = defined | ((system == name) & (F.col("family") == family) & (F.col("adaptation") == kind))
+    ready = F.coalesce(text("tokenizer_reference"), F.lit(False)) & pinned("model_revision") & pinned("tokenizer_revision")
+    revisions = F.struct("model_reference", "model_revision", "tokenizer_reference", "tokenizer_revision")
+    families = sorted({f for f, _ in SYSTEMS.values() if f != "rule"})
+    of = lambda f: F.when(valid & system.isin(*(k for k, x in SYSTEMS.items() if x[0] == f)), revisions)
+    apart = lambda name, x: [F.min(x).alias(f"{name}_a"), F.max(x).alias(f"{name}_z")]
+    got = specs.groupBy("registry_id").agg(
+        F.count("*").alias("n"), F.count_if(valid).alias("valid"), F.count_distinct(F.when(valid, system)).alias("names"), F.count_distinct(F.when(valid & system.isin(*SYSTEMS), system)).alias("known"),
+        F.count_if(valid & ~defined).alias("odd"), F.count_if(valid & (system == "rule") & (F.col("tokenizer_reference").isNotNull() | F.col("tokenizer_revision").isNotNull())).alias("ruled"),
+        F.count_if(valid & neural & ~ready).alias("loose"), *apart("label", F.when(valid, F.col("label_contract_digest"))), *apart("output", F.when(valid, F.col("output_contract"))),
+        *(c for f in families for c in apart(f, of(f))),
+    )
+    differ = lambda name: ~F.col(f"{name}_a").eqNullSafe(F.col(f"{name}_z"))
+    mixed = F.lit(False)
+    for f in families:
+        mixed = mixed | differ(f)
+    rules = [
+        (F.col("valid") < F.col("n"), "registry_invalid"), (F.col("names") < F.col("valid"), "duplicate_logical_system"),
+        ((F.col("known") < len(SYSTEMS)) | (F.col("names") > F.col("known")), "exact_system_set_required"), (F.col("odd") > 0, "logical_system_definition_invalid"),
+        (F.col("ruled") > 0, "rule_tokenizer_forbidden"), (F.col("loose") > 0, "neural_revision_not_immutable"), (differ("label"), "label_contract_mismatch"), (differ("output"), "output_contract_mismatch"), (mixed, "family_revision_mismatch"),
+    ]
+    reasons = F.array_compact(F.array(*(F.when(c, F.lit(reason)) for c, reason in rules)))
+    return got.select("registry_id", reasons.alias("reasons"), F.col("n").alias("system_count")).withColumn("allowed", F.size("reasons") == 0)
+
+
 #: Names of parameters that an audit lists at most; all are counted.
 MOST_NAMES = 1000
 

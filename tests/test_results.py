@@ -126,3 +126,39 @@ def test_checks_of_examples(spark):
         admissions.build_admission_examples(notes.union(notes), codes(*good))
     plain = spark.createDataFrame([("1", "4019"), ("2", "4019")], "HADM_ID string, ICD9_CODE string")
     assert admissions.build_admission_examples(notes, plain).count() == 2
+
+
+def test_batch_training_gate(spark):
+    day = datetime.date(2029, 1, 1)
+    fixed = governance.FIXTURE_LOCATION
+    manifest = lambda fixture: governance.RightsEnvironmentManifest(1, fixture, "d", "r", "t", "approved", datetime.date(2030, 1, 1), "x", frozenset({fixed, "kaggle"}), False, frozenset(), "p", "a")
+    good = {"location": fixed} | {x: x == "synthetic_only" for x in governance.RUNTIME_FLAGS}
+    cases = [(f, good | change) for f in (True, False) for change in ({}, *({x: not good[x]} for x in governance.RUNTIME_FLAGS), {"location": " Kaggle "}, {"location": "x"}, {"location": None}, {"gpu_job": None})]
+    rows = [(k, f, "approved", datetime.date(2030, 1, 1), [fixed, "kaggle"], False, [], r["location"], day, *(r[x] for x in governance.RUNTIME_FLAGS)) for k, (f, r) in enumerate(cases)]
+    schema = "k int, fixture_only boolean, rights_status string, rights_expires_on date, approved_locations array<string>, kaggle_allowed boolean, raw_transfer_allowed_locations array<string>, requested_location string, as_of_date date, " + ", ".join(f"{x} boolean" for x in governance.RUNTIME_FLAGS)
+    got = {r.k: (r.allowed, tuple(r.reasons)) for r in governance.training_decisions(spark.createDataFrame(rows, schema)).collect()}
+    for k, (fixture, runtime) in enumerate(cases):
+        want = governance.authorize_training(manifest(fixture), runtime, as_of_date=day)
+        assert got[k] == (want.allowed, want.reasons), (fixture, runtime)
+
+
+def test_batch_registries(spark):
+    def spec(name, **other):
+        family, kind = models.SYSTEMS[name]
+        own = {"tokenizer_reference": None, "tokenizer_revision": None} if name == "rule" else {"tokenizer_reference": f"{family}-t", "tokenizer_revision": "commit:" + "b" * 40}
+        return models.ModelSpec(**({"logical_system": name, "family": family, "adaptation": kind, "model_reference": f"{family}-m", "model_revision": "commit:" + "a" * 40, "label_contract_digest": "l", "output_contract": "o"} | own | other))
+
+    every = [spec(x) for x in models.SYSTEMS]
+    changed = lambda name, **other: [spec(x, **(other if x == name else {})) for x in models.SYSTEMS]
+    cases = {
+        "valid": every, "missing": every[1:], "twice": [*every, every[2]], "loose": changed("general_full", model_revision="main"), "family": changed("domain_full", model_reference="x"), "label": changed("rule", label_contract_digest="z"),
+        "output": changed("rule", output_contract="z"), "blank": changed("rule", output_contract=" "), "ruled": changed("rule", tokenizer_reference="t"), "odd": changed("rule", family="domain"), "none": changed("rule", model_reference=None),
+        "other": [*every[:4], models.ModelSpec(**(every[4].as_mapping() | {"logical_system": "new"}))], "case": changed("general_lora", model_revision=" COMMIT:" + "A" * 40),
+    }
+    names = list(every[0].as_mapping())
+    rows = [(k, *(s.as_mapping()[x] for x in names)) for k, specs in cases.items() for s in specs]
+    table = spark.createDataFrame(rows, "registry_id string, " + ", ".join(f"{x} string" for x in names))
+    got = {r.registry_id: (r.allowed, set(r.reasons), r.system_count) for r in models.registry_audits(table).collect()}
+    for k, specs in cases.items():
+        want = models.validate_five_system_registry(specs)
+        assert got[k] == (want.allowed, set(want.reasons), want.system_count), k
