@@ -120,7 +120,6 @@ def build_admission_examples(notes: DataFrame, diagnoses: DataFrame, ordered: bo
     notes are raw (SUBJECT_ID, HADM_ID, TEXT) or what deduplicate_admissions returns. Raises
     ValueError on empty inputs, a repeated admission, a code row of another subject, or a note
     without a valid code. Codes of unknown admissions are ignored."""
-    require((not notes.isEmpty(), "notes must not be empty"), (not diagnoses.isEmpty(), "diagnosis list must not be empty"))
     left, labels = _notes(notes), admission_labels(diagnoses)
     codes = _codes(diagnoses)
     owner = F.col("owner") if "owner" in codes.columns else F.lit(None).cast("string")
@@ -131,9 +130,10 @@ def build_admission_examples(notes: DataFrame, diagnoses: DataFrame, ordered: bo
     wrong = F.lit(known) & F.col("valid").isNotNull() & (~F.col("a").eqNullSafe(F.col("subject_id")) | ~F.col("z").eqNullSafe(F.col("subject_id")) | ((F.col("none") > 0) & F.col("subject_id").isNotNull()))
     bare = F.coalesce(F.col("valid"), F.lit(0)) == 0
     where = lambda c: F.min(F.when(c, F.col("hadm_id")))
-    many, clash, without, odd_subject, odd_hadm = own.agg(
-        F.count_if(F.col("n") > 1), where(wrong), F.min(F.when(bare, F.struct(F.col("hadm_id")))), F.sum("odd"), F.count_if(~is_canonical(F.col("hadm_id"))),
+    notes_seen, many, clash, without, odd_subject, odd_hadm = own.agg(
+        F.count("*"), F.count_if(F.col("n") > 1), where(wrong), F.min(F.when(bare, F.struct(F.col("hadm_id")))), F.sum("odd"), F.count_if(~is_canonical(F.col("hadm_id"))),
     ).first()
+    require((notes_seen > 0, "notes must not be empty"), (without is None or not diagnoses.isEmpty(), "diagnosis list must not be empty"))
     require(
         (many == 0, "duplicate admission found in notes: deduplicate them first"),
         (clash is None, f"ownership conflict: a diagnosis of admission {clash!r} names another subject"),

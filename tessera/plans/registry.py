@@ -101,10 +101,10 @@ for _keep in ("latest", "earliest"):
     query(f"dedup_{_keep}", f"WITH {_NOTES}, {_winner_sql(_keep)} SELECT subject_id, hadm_id, text, category, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate, l_linenumber, l_partkey, l_suppkey FROM best")(_dedup(_keep))
 
 
-def _held(result: DataFrame, *kept: DataFrame) -> DataFrame:
+def _held(result: DataFrame, kept: list[DataFrame]) -> DataFrame:
     """result; the tables kept for it are released with it."""
     for df in kept:
-        weakref.finalize(result, df.unpersist)
+        weakref.finalize(result, df.unpersist).atexit = False
     return result
 
 
@@ -174,23 +174,27 @@ def parse_codes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "raw string, code string")
 
 
-def _examples(spark: SparkSession, folder: str) -> DataFrame:
-    """Winners that have a valid code, with their labels; others would be refused."""
-    codes = tables.diagnoses(spark, folder)
-    labelled = codes.where(is_native_code(F.col("ICD9_CODE"))).select(F.col("HADM_ID").alias("hadm_id"))
-    notes = _winners(spark, folder).records.join(labelled, "hadm_id", "left_semi")
-    return admissions.build_admission_examples(notes, codes)
+def _examples(spark: SparkSession, folder: str, text: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """Winners that have a valid code, with their labels (others would be refused); and the tables
+    kept for them."""
+    codes = tables.diagnoses(spark, folder).persist()
+    labelled = codes.where(is_native_code(F.col("ICD9_CODE"))).select(F.col("HADM_ID").alias("hadm_id")).distinct()
+    winners = _winners(spark, folder).records.select("subject_id", "hadm_id", "text" if text else F.lit("").alias("text"))
+    notes = winners.join(labelled, "hadm_id", "left_semi").persist()
+    return admissions.build_admission_examples(notes, codes), [codes, notes]
 
 
-def _assigned(spark: SparkSession, folder: str) -> tuple[SplitAssignment, DataFrame]:
-    """The labelled admissions by partition, without text; and the table kept for them."""
-    kept = _examples(spark, folder).select("subject_id", "hadm_id", "labels").persist()
-    return split.split_by_subject(kept, SPLIT), kept
+def _assigned(spark: SparkSession, folder: str) -> tuple[SplitAssignment, list[DataFrame]]:
+    """The labelled admissions by partition, without text; and the tables kept for them."""
+    examples, kept = _examples(spark, folder)
+    narrow = examples.select("subject_id", "hadm_id", "labels").persist()
+    return split.split_by_subject(narrow, SPLIT), [*kept, narrow]
 
 
 @query("admission_labels", f"{_BASE} SELECT subject_id, hadm_id, text, labels FROM examples")
 def admission_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return _examples(spark, folder).select("subject_id", "hadm_id", "text", F.array_join("labels", ",").alias("labels"))
+    examples, kept = _examples(spark, folder, text=True)
+    return _held(examples.select("subject_id", "hadm_id", "text", F.array_join("labels", ",").alias("labels")), kept)
 
 
 @query("admissions_without_labels", f"{_BASE} SELECT hadm_id FROM best WHERE hadm_id NOT IN (SELECT hadm_id FROM label_sets)")
@@ -220,7 +224,7 @@ def split_audit(spark: SparkSession, folder: str) -> DataFrame:
 _DEALT = "dealt AS (SELECT subject_id, CASE WHEN hadm_id LIKE '%7' THEN 'test' ELSE partition END AS partition FROM examples)"
 
 
-def _moved(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _moved(spark: SparkSession, folder: str) -> tuple[DataFrame, list[DataFrame]]:
     assigned, kept = _assigned(spark, folder)
     return assigned.examples.withColumn("partition", F.when(F.col("hadm_id").like("%7"), F.lit("test")).otherwise(F.col("partition"))), kept
 
@@ -268,13 +272,13 @@ def label_vocabulary_digest(spark: SparkSession, folder: str) -> DataFrame:
     return _held(spark.createDataFrame([(contract.audit.vocabulary_size, contract.vocabulary_hash)], "labels long, digest string"), kept)
 
 
-def _encoded(spark: SparkSession, folder: str) -> tuple[DataFrame, LabelContract, DataFrame]:
+def _encoded(spark: SparkSession, folder: str) -> tuple[DataFrame, LabelContract, list[DataFrame]]:
     assigned, kept = _assigned(spark, folder)
     contract = _contract(assigned)
     return labels.transform_labels(assigned.validation, contract).rows, contract, kept
 
 
-def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, list[DataFrame]]:
     """hadm_id, label_index, y, score over the vocabulary: encoded rows are exploded once, with no
     join of examples and vocabulary."""
     rows, contract, kept = _encoded(spark, folder)
@@ -396,7 +400,7 @@ def threshold_selection(spark: SparkSession, folder: str) -> DataFrame:
     cells = cells.withColumnRenamed("hadm_id", "sample_id").persist()
     scores = metrics.TaggedScores("validation", cells.select("sample_id", "label_index", "y"), cells.select("sample_id", "label_index", "score"))
     chosen = [metrics.select_global_threshold(scores, CANDIDATES, "micro_f1", way) for way in ("lowest_threshold", "highest_threshold")]
-    return _held(spark.createDataFrame([(x.tie_break, x.threshold, x.objective_value) for x in chosen], "tie_break string, threshold double, micro_f1 double"), kept, cells)
+    return _held(spark.createDataFrame([(x.tie_break, x.threshold, x.objective_value) for x in chosen], "tie_break string, threshold double, micro_f1 double"), [*kept, cells])
 
 
 @query("multilabel_metrics", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS}, {_sum('y')} AS support FROM hits GROUP BY label_index),
@@ -410,7 +414,7 @@ def multilabel_metrics(spark: SparkSession, folder: str) -> DataFrame:
     session = metrics.UntouchedTestSession()
     r = session.evaluate_once(lambda: metrics.multilabel_metrics(cells.select("sample_id", "label_index", "y"), cells.select("sample_id", "label_index", "score"), THRESHOLD, KS, "available"))
     row = (r.micro_f1, round(r.macro_f1, 10), ",".join(map(str, r.per_label_support)), r.sample_count)
-    return _held(spark.createDataFrame([row], "micro_f1 double, macro_f1 double, supports string, sample_count long"), kept, cells)
+    return _held(spark.createDataFrame([row], "micro_f1 double, macro_f1 double, supports string, sample_count long"), [*kept, cells])
 
 
 @query("score_matrix_audit", f"""{_CELLS} SELECT count(*) AS cells, count(*) FILTER (WHERE y NOT IN (0, 1)) AS bad_bits, count(*) FILTER (WHERE score NOT BETWEEN 0 AND 1) AS bad_scores,
