@@ -443,6 +443,38 @@ def test_quality_statistics(spark, docs, texts, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if x[6]}
 
 
+def test_verdicts_of_a_learned_list(spark):
+    """kept, against the rules read one by one over plain counts; a doc_id that repeats counts once."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("er on an ti nd ou ing re".split()) for _ in range(2))
+    good = [" ".join(word() for _ in range(r.randint(25, 80))) for _ in range(260)]
+    bad = [" ".join(w + r.choice(["", "#", "##"]) for w in x.split()) for x in good[:120]] + [x.upper() for x in good[120:200]]
+    texts = dict(enumerate(good + bad + ["short", "", "a b c d e f g h " * 30]))
+    rows = list(texts.items()) + [(5, bad[0]), (None, good[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 260)) for i in range(460)] + [(7, 1)], "doc_id long, quality int")
+    rules = quality_rules.learn(docs, labels)
+    assert rules and quality_rules.learn(docs.repartition(7), labels.repartition(5)) == rules
+
+    def features(text):
+        n, chars, symbols, dup, repeat, failed = stats(text)
+        words = WORD.findall(text)
+        share = lambda a, b: a / b if b else 0.0
+        return failed, {
+            "symbols_per_word": share(symbols, n), "marks_per_word": share(sum(x in "!?|" for x in text), n), "upper_share": share(len(re.findall("[A-Z]", text)), chars), "digit_share": share(len(re.findall("[0-9]", text)), chars),
+            "repeat_share": share(repeat, n), "run_share": share(sum(a == b for a, b in zip(words, words[1:])), n), "dup_lines_per_word": share(dup, n),
+        }
+
+    want = []
+    for i, t in rows:
+        failed, x = features(t)
+        want.append((-1 if i is None else i, not failed and not any(all(c.holds(x) for c in rule.conditions) for rule in rules)))
+    got = [(-1 if x.doc_id is None else x.doc_id, x.kept) for x in quality_rules.quality_report(docs, labels).collect()]
+    assert sorted(got) == sorted(want)
+    kept = dict(want)
+    assert all(kept[i] for i in range(260) if i != 5) and sum(not kept[i] for i in range(260, 460)) > 180
+
+
 def test_clashing_columns_keep_their_values(spark):
     df = spark.createDataFrame([(1, "word " * 30 + "deadbeefdeadbeef01", "mine", [9], 5)], "doc_id long, text string, n_words string, _spans array<int>, base_failed int")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
