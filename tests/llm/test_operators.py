@@ -512,7 +512,7 @@ def plain(text):
     return [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", lower(text)) if w]
 
 
-@pytest.mark.parametrize("block, chars", [(200_000, 400_000), (60, 250)])
+@pytest.mark.parametrize("block, chars", [(200_000, 400_000), (200, 250)])
 def test_decontamination(spark, texts, monkeypatch, block, chars):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
     monkeypatch.setattr(decontamination, "ITEM_CHARS", chars)
