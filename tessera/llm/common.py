@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import on_workers
+from ..sources.staging import clean_up, forget, materialized, shared_dir  # noqa: F401
 
 #: Word separators in bytes and as a Java character class: \x20 and \x09-\x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -19,56 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    global _own
-    _own = _own or tempfile.mkdtemp(prefix="tessera-")
-    return _own
-
-
-_own = ""
-
-
-def _folder(spark: SparkSession):
-    """The application's own folder in the shared one, and its file system."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and a lost executor loses nothing.
     The application's tables go when it ends, or by `forget` or `clean_up` before."""
-    spark = df.sparkSession
-    folder, files = _folder(spark)
-    files.mkdirs(folder)
-    files.deleteOnExit(folder)
-    path = f"{folder.toString()}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables that `written` made and nothing will read again."""
-    for df in tables:
-        path = getattr(df, "_written", None)
-        if path:
-            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete all tables that this application's operators have written; their results, being
-    lazy, can't be read after."""
-    folder, files = _folder(spark)
-    files.delete(folder, True)
+    return materialized(df, name)
 
 
 def let(value: Column, body) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, html_text, lattice_lm, minhash, packing, quality_rules, radix_dedup, secret_scan, substring_dedup, token_counts
+from . import decontamination, fill_middle, flac, html_text, lattice_lm, minhash, packing, quality_rules, radix_dedup, resampling, secret_scan, substring_dedup, token_counts
 from .common import table
 
 
@@ -56,6 +57,19 @@ def op10_radix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.report(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return resampling.resample(table(spark, sf_dir, "documents"), target)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -67,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_radix_sort_dedup": op10_radix_sort_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_flac_columns": op12_flac_columns,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -107,4 +124,30 @@ kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, CASE WHEN z IS NULL THEN
 counts AS (SELECT doc_id, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS removed FROM spans GROUP BY doc_id)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+    "op11_fill_in_middle": """WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS d FROM documents),
+drawn AS (SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS y,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+       WHEN CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM texts),
+cut AS (SELECT *, least(x, y) AS lo, greatest(x, y) AS hi FROM drawn),
+made AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, lo) || '<S>' || substr(t, hi + 1) || '<M>' || substr(t, lo + 1, hi - lo)
+  ELSE '<S>' || substr(t, hi + 1) || '<P>' || substr(t, 1, lo) || '<M>' || substr(t, lo + 1, hi - lo) END AS output FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(lo AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(hi - lo AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM made""",
+    "op13_importance_resampling": rf"""WITH RECURSIVE rounds AS (SELECT n, n AS c, 0 AS k FROM range(256) r(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM rounds WHERE k < 8),
+steps AS (SELECT list(c ORDER BY n) AS t FROM rounds WHERE k = 8),
+every AS (SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, text, false FROM benchmark),
+found AS (SELECT doc_id, own, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM every),
+words AS (SELECT doc_id, own, unnest(w) AS word FROM found),
+spelled AS (SELECT word, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS b
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM words)),
+buckets AS (SELECT word, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM spelled, steps),
+counts AS (SELECT bucket, count(*) FILTER (WHERE own) AS s, count(*) FILTER (WHERE NOT own) AS t FROM words JOIN buckets USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM counts),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((c.t + 1) * (a.s + 10000) AS DOUBLE) / CAST((c.s + 1) * (a.t + 10000) AS DOUBLE))) AS BIGINT) AS g FROM counts c, totals a),
+weighed AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM words JOIN buckets USING (word) JOIN gain USING (bucket) WHERE own GROUP BY doc_id),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM found LEFT JOIN weighed USING (doc_id) WHERE own),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM ranked) THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
