@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..contracts import DedupAudit, DedupPolicy, DedupResult, require
+from ..contracts import DedupAudit, DedupPolicy, DedupResult, one_of, require
 from ..functions.identifiers import is_canonical, is_native_code, require_id_type, stripped
+from ..sources.staging import audited
 
 
 def _require_columns(df: DataFrame, *names: str) -> None:
@@ -34,58 +37,63 @@ def admission_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_hadm").agg(F.count("*").alias("n"), (~F.min("_subject").eqNullSafe(F.max("_subject"))).alias("conflict"))
 
 
-def _dedup_audit(records: DataFrame, policy: DedupPolicy, keys: tuple[str, ...]) -> DedupAudit:
-    """All counts and checks by one plan: rows by admission and keys, then by admission, then all;
-    each step is combined map-side. Rows of other categories are one group."""
-    chosen = F.col(policy.category_field).eqNullSafe(F.lit(policy.category_value))
-    subject, hadm = stripped(F.col("SUBJECT_ID")), F.col("HADM_ID").cast("string")
+def _checked_columns(records: DataFrame, policy: DedupPolicy) -> None:
+    _require_columns(records, policy.category_field, policy.order_field, *policy.tie_break_fields, "TEXT", "SUBJECT_ID", "HADM_ID")
+    require_id_type(records, "SUBJECT_ID")
+    require_id_type(records, "HADM_ID")
+    for name in policy.tie_break_fields:
+        kind = records.schema[name].dataType
+        require((not isinstance(kind, (T.BooleanType, T.ArrayType, T.MapType, T.StructType)), f"tie-break field {name!r}: type {kind.simpleString()} is not accepted"))
+
+
+def _observed_winners(records: DataFrame, policy: DedupPolicy, seen: Observation) -> DataFrame:
+    """The winners, and in `seen` all that the audit needs. One exchange by admission and one sort
+    serve rank, tie, count and owners."""
+    keys = F.struct(policy.order_field, *policy.tie_break_fields)
+    order = [F.col(x).desc() if policy.keep == "latest" else F.col(x).asc() for x in (policy.order_field, *policy.tie_break_fields)]
+    whole = Window.partitionBy("_hadm")
+    best = whole.orderBy(*order)
+    rows = eligible_notes(records, policy).select("_subject", "_hadm", F.col("TEXT").cast("string").alias("_text"), policy.category_field, policy.order_field, *policy.tie_break_fields)
+    rows = rows.withColumns({
+        "_place": F.row_number().over(best), "_tied": F.lead(keys).over(best).eqNullSafe(keys), "_n": F.count("*").over(whole), "_a": F.min("_subject").over(whole), "_z": F.max("_subject").over(whole),
+    })
     floats = [x for x in policy.tie_break_fields if isinstance(records.schema[x].dataType, (T.FloatType, T.DoubleType))]
-    bad = {"SUBJECT_ID": ~is_canonical(subject), "HADM_ID": ~is_canonical(hadm)} | {x: F.isnan(x) | (F.abs(x) == float("inf")) for x in floats}
-    own = records.select(
-        chosen.alias("_chosen"), *(F.when(chosen, x).alias(name) for x, name in ((subject, "_subject"), (hadm, "_hadm"), (F.struct(*keys), "_keys"))),
-        *(F.coalesce(chosen & v, F.lit(False)).alias(f"_bad{i}") for i, v in enumerate(bad.values())),
+    bad = {"SUBJECT_ID": ~is_canonical(F.col("_subject")), "HADM_ID": ~is_canonical(F.col("_hadm"))} | {x: F.isnan(x) | (F.abs(x) == float("inf")) for x in floats}
+    first = F.col("_place") == 1
+    rows = rows.observe(
+        seen, F.count(F.lit(1)).alias("eligible"), F.count_if(first).alias("admissions"), F.count_if(first & (F.col("_n") > 1)).alias("repeated"),
+        F.count_if(first & ~F.col("_a").eqNullSafe(F.col("_z"))).alias("conflicts"), F.count_if(first & F.col("_tied")).alias("tied"), *(F.count_if(v).alias(f"bad:{k}") for k, v in bad.items()),
+    )
+    return rows.where(first).select(
+        F.col("_subject").alias("subject_id"), F.col("_hadm").alias("hadm_id"), F.col("_text").alias("text"), F.col(policy.category_field).cast("string").alias("category"),
+        F.col(policy.order_field).alias("order_value"), (F.struct(*policy.tie_break_fields) if policy.tie_break_fields else F.struct()).alias("tie_break_values"),
     )
-    marks = [f"_bad{i}" for i in range(len(bad))]
-    ends = [F.min("_subject").alias("_a"), F.max("_subject").alias("_z")]
-    by_keys = own.groupBy("_chosen", "_hadm", "_keys").agg(F.count("*").alias("_n"), *ends, *(F.count_if(m).alias(m) for m in marks))
-    best = (F.max if policy.keep == "latest" else F.min)(F.struct("_keys", "_n"))
-    by_hadm = by_keys.groupBy("_chosen", "_hadm").agg(F.sum("_n").alias("_n"), F.min("_a").alias("_a"), F.max("_z").alias("_z"), best["_n"].alias("_best"), *(F.sum(m).alias(m) for m in marks))
-    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    got = by_hadm.agg(
-        sums("_n").alias("n"), sums(F.when(F.col("_chosen"), F.col("_n"))).alias("eligible"), F.count_if("_chosen").alias("admissions"), F.count_if(F.col("_chosen") & (F.col("_n") > 1)).alias("repeated"),
-        F.count_if(F.col("_chosen") & ~F.col("_a").eqNullSafe(F.col("_z"))).alias("conflicts"), F.count_if(F.col("_chosen") & (F.col("_best") > 1)).alias("tied"), *(sums(m).alias(m) for m in marks),
-    ).first()
+
+
+def _accepted_winners(got: dict, total: int) -> DedupAudit:
     require(
-        (got.n > 0, "records must not be empty"), *((got[m] == 0, f"{k}: {got[m]} records have no canonical value") for k, m in zip(bad, marks)),
-        (got.conflicts == 0, f"ownership conflict: {got.conflicts} admissions map to several subjects"),
-        (got.tied == 0, f"ambiguous tie: {got.tied} admissions have several rows with the winning order and tie-break values"),
+        (total > 0, "records must not be empty"), *((n == 0, f"{k[4:]}: {n} records have no canonical value") for k, n in got.items() if k.startswith("bad:")),
+        (got["conflicts"] == 0, f"ownership conflict: {got['conflicts']} admissions map to several subjects"),
+        (got["tied"] == 0, f"ambiguous tie: {got['tied']} admissions have several rows with the winning order and tie-break values"),
+        (got["admissions"] > 0, "records: empty"),
     )
-    return DedupAudit(got.n, got.eligible, got.admissions, got.eligible - got.admissions, got.repeated)
+    return DedupAudit(total, got["eligible"], got["admissions"], got["eligible"] - got["admissions"], got["repeated"])
 
 
-def deduplicate_admissions(records: DataFrame, policy: DedupPolicy, ordered: bool = False) -> DedupResult:
+def deduplicate_admissions(records: DataFrame, policy: DedupPolicy, ordered: bool = False, path: str | None = None) -> DedupResult:
     """One note for each admission: the latest or earliest by the policy's keys.
 
     Raises ValueError on an empty input, a missing field, an identifier that is not canonical
     (SUBJECT_ID may be padded, HADM_ID may not), an admission of several subjects, or a tie
     at the winning keys. Rows of other categories are not checked. Null keys sort as Spark
-    sorts them, first in ascending order. The checks run at once; records is lazy, and sorted
-    by hadm_id if ordered."""
-    keys = (policy.order_field, *policy.tie_break_fields)
-    _require_columns(records, policy.category_field, *keys, "TEXT", "SUBJECT_ID", "HADM_ID")
-    require_id_type(records, "SUBJECT_ID")
-    require_id_type(records, "HADM_ID")
-    for name in policy.tie_break_fields:
-        kind = records.schema[name].dataType
-        require((not isinstance(kind, (T.BooleanType, T.ArrayType, T.MapType, T.StructType)), f"tie-break field {name!r}: type {kind.simpleString()} is not accepted"))
-    audit = _dedup_audit(records, policy, keys)
-    best = winners(eligible_notes(records, policy), policy)
-    out = best.select(
-        F.col("_subject").alias("subject_id"), F.col("_hadm").alias("hadm_id"), F.col("TEXT").cast("string").alias("text"),
-        F.col(policy.category_field).cast("string").alias("category"), F.col(policy.order_field).alias("order_value"),
-        (F.struct(*policy.tie_break_fields) if policy.tie_break_fields else F.struct()).alias("tie_break_values"),
-    )
-    return DedupResult(out.orderBy("hadm_id") if ordered else out, audit, checked=True)
+    sorts them, first in ascending order. The winners are written by one job that observes what is
+    checked, at path if one is given; where a check fails nothing stays written."""
+    _checked_columns(records, policy)
+    seen, audit = Observation(), []
+    out = _observed_winners(records, policy, seen)
+    total = records.count()
+    kept = audited(out, [seen], lambda got: audit.append(_accepted_winners(got, total)), path)
+    return DedupResult(kept.orderBy("hadm_id") if ordered else kept, audit[0], checked=True)
 
 
 def _notes(notes: DataFrame) -> DataFrame:
@@ -114,31 +122,78 @@ def ownership_conflicts(notes: DataFrame, diagnoses: DataFrame) -> DataFrame:
     return _codes(diagnoses).join(owners, "hadm_id").where(~F.col("owner").eqNullSafe(F.col("subject_id")))
 
 
-def build_admission_examples(notes: DataFrame, diagnoses: DataFrame, ordered: bool = False) -> DataFrame:
-    """subject_id, hadm_id, text, labels and a null partition for each note.
+UNLABELLED = ("refuse", "drop")
 
-    notes are raw (SUBJECT_ID, HADM_ID, TEXT) or what deduplicate_admissions returns. Raises
-    ValueError on empty inputs, a repeated admission, a code row of another subject, or a note
-    without a valid code. Codes of unknown admissions are ignored."""
-    left, labels = _notes(notes), admission_labels(diagnoses)
+
+def _observed_examples(left: DataFrame, diagnoses: DataFrame, unlabelled: str, seen: Observation) -> DataFrame:
+    """Notes (subject_id, hadm_id, text, _times) with their labels, and in `seen` what is checked.
+    Codes are grouped once, for labels, owners and counts alike."""
     codes = _codes(diagnoses)
-    owner = F.col("owner") if "owner" in codes.columns else F.lit(None).cast("string")
-    # Each admission's notes and codes in one row, and all checks from these.
-    owners = codes.groupBy("hadm_id").agg(F.min(owner).alias("a"), F.max(owner).alias("z"), F.count_if(owner.isNull()).alias("none"), F.count_if(is_native_code(F.col("code"))).alias("valid"))
-    own = left.groupBy("hadm_id").agg(F.count("*").alias("n"), F.min("subject_id").alias("subject_id"), F.count_if(~is_canonical(F.col("subject_id"))).alias("odd")).join(owners, "hadm_id", "left")
     known = "owner" in codes.columns
-    wrong = F.lit(known) & F.col("valid").isNotNull() & (~F.col("a").eqNullSafe(F.col("subject_id")) | ~F.col("z").eqNullSafe(F.col("subject_id")) | ((F.col("none") > 0) & F.col("subject_id").isNotNull()))
-    bare = F.coalesce(F.col("valid"), F.lit(0)) == 0
-    where = lambda c: F.min(F.when(c, F.col("hadm_id")))
-    notes_seen, many, clash, without, odd_subject, odd_hadm = own.agg(
-        F.count("*"), F.count_if(F.col("n") > 1), where(wrong), F.min(F.when(bare, F.struct(F.col("hadm_id")))), F.sum("odd"), F.count_if(~is_canonical(F.col("hadm_id"))),
-    ).first()
-    require((notes_seen > 0, "notes must not be empty"), (without is None or not diagnoses.isEmpty(), "diagnosis list must not be empty"))
+    owner = F.col("owner") if known else F.lit(None).cast("string")
+    grouped = codes.groupBy("hadm_id").agg(
+        F.min(owner).alias("_a"), F.max(owner).alias("_z"), F.count_if(owner.isNull()).alias("_none"), F.array_sort(F.collect_set(F.when(is_native_code(F.col("code")), F.col("code")))).alias("labels"),
+    )
+    both = left.join(grouped, "hadm_id", "left")
+    subject, hadm = F.col("subject_id"), F.col("hadm_id")
+    wrong = F.lit(known) & F.col("labels").isNotNull() & (~F.col("_a").eqNullSafe(subject) | ~F.col("_z").eqNullSafe(subject) | ((F.col("_none") > 0) & subject.isNotNull()))
+    bare = F.coalesce(F.size("labels"), F.lit(0)) < 1
+    where = lambda c: F.min(F.when(c, hadm))
+    both = both.observe(
+        seen, F.count(F.lit(1)).alias("notes"), F.count_if(F.col("_times") > 1).alias("many"), where(wrong).alias("clash"), F.count_if(bare).alias("bare"), where(bare).alias("without"),
+        F.count_if(~is_canonical(subject)).alias("odd_subject"), F.count_if(~is_canonical(hadm)).alias("odd_hadm"),
+    )
+    rows = both.where(~bare) if unlabelled == "drop" else both
+    return rows.select("subject_id", "hadm_id", "text", "labels", F.lit(None).cast("string").alias("partition"))
+
+
+def _accepted_examples(got: dict, diagnoses: DataFrame, unlabelled: str) -> None:
+    refused = unlabelled == "refuse" and got["bare"] > 0
+    require((got["notes"] > 0, "notes must not be empty"), (not refused or not diagnoses.isEmpty(), "diagnosis list must not be empty"))
     require(
-        (many == 0, "duplicate admission found in notes: deduplicate them first"),
-        (clash is None, f"ownership conflict: a diagnosis of admission {clash!r} names another subject"),
-        (without is None, f"no diagnosis rows with a valid code for admission {without[0]!r}" if without else ""),
-        (odd_subject == 0, "subject_id: must be non-empty with no surrounding whitespace"), (odd_hadm == 0, "hadm_id: must be non-empty with no surrounding whitespace"),
+        (got["many"] == 0, "duplicate admission found in notes: deduplicate them first"),
+        (got["clash"] is None, f"ownership conflict: a diagnosis of admission {got['clash']!r} names another subject"),
+        (not refused, f"no diagnosis rows with a valid code for admission {got['without']!r}"),
+        (got["odd_subject"] == 0, "subject_id: must be non-empty with no surrounding whitespace"), (got["odd_hadm"] == 0, "hadm_id: must be non-empty with no surrounding whitespace"),
     )
-    out = left.join(labels, "hadm_id").select("subject_id", "hadm_id", "text", "labels", F.lit(None).cast("string").alias("partition"))
+
+
+def build_admission_examples(notes: DataFrame, diagnoses: DataFrame, ordered: bool = False, unlabelled: str = "refuse", path: str | None = None) -> DataFrame:
+    """subject_id, hadm_id, text, labels and a null partition for each note.
+
+    notes are raw (SUBJECT_ID, HADM_ID, TEXT) or what deduplicate_admissions returns. Raises
+    ValueError on empty inputs, a repeated admission, a code row of another subject, or, unless
+    unlabelled is "drop", a note without a valid code. Codes of unknown admissions are ignored. The
+    examples are written by one job that observes what is checked, at path if one is given."""
+    require(one_of(unlabelled, UNLABELLED, "unlabelled"))
+    seen = Observation()
+    left = _notes(notes).withColumn("_times", F.count("*").over(Window.partitionBy("hadm_id")))
+    out = audited(_observed_examples(left, diagnoses, unlabelled, seen), [seen], lambda got: _accepted_examples(got, diagnoses, unlabelled), path)
     return out.orderBy("hadm_id") if ordered else out
+
+
+@dataclass(frozen=True)
+class PreparedExamples:
+    """Labelled admissions straight from notes and codes; unlabelled_count of the winners had no
+    valid code and were dropped."""
+
+    examples: DataFrame
+    audit: DedupAudit
+    unlabelled_count: int
+
+
+def prepare_examples(records: DataFrame, policy: DedupPolicy, diagnoses: DataFrame, unlabelled: str = "refuse", path: str | None = None) -> PreparedExamples:
+    """deduplicate_admissions and build_admission_examples as one job, with all checks of both: notes
+    are exchanged by admission once, for winners, label join and ownership; so are codes."""
+    _checked_columns(records, policy)
+    require(one_of(unlabelled, UNLABELLED, "unlabelled"))
+    winners_seen, examples_seen, audit = Observation(), Observation(), []
+    left = _observed_winners(records, policy, winners_seen).select("subject_id", "hadm_id", "text", F.lit(1).alias("_times"))
+    total = records.count()
+
+    def accept(got: dict) -> None:
+        audit.extend((_accepted_winners({k: got[k] for k in winners_seen.get}, total), got["bare"]))
+        _accepted_examples(got, diagnoses, unlabelled)
+
+    out = audited(_observed_examples(left, diagnoses, unlabelled, examples_seen), [winners_seen, examples_seen], accept, path)
+    return PreparedExamples(out, *audit)

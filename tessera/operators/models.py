@@ -110,7 +110,7 @@ def registry_audits(specs: DataFrame) -> DataFrame:
     for name in fields:
         if not name.startswith("tokenizer_"):
             valid = valid & F.coalesce(text(name), F.lit(False))
-    pinned = lambda c: F.coalesce(F.regexp_like(F.lower(stripped(F.col(c))), F.lit(f"^(?:{PINNED.pattern})\z")), F.lit(False))
+    pinned = lambda c: F.coalesce(F.regexp_like(F.lower(stripped(F.col(c))), F.lit(rf"^(?:{PINNED.pattern})\z")), F.lit(False))
     defined, neural = F.lit(False), system.isin(*(x for x in SYSTEMS if x != "rule"))
     for name, (family, kind) in SYSTEMS.items():
         defined = defined | ((system == name) & (F.col("family") == family) & (F.col("adaptation") == kind))

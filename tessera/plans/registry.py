@@ -1,7 +1,7 @@
 """Registered queries over the driver tables and their SQL equivalents.
 
 Queries call the public operators, whose checks run at once; examples that several steps read are
-kept for as long as the query's result is. Where an operator would refuse an input that was
+a table that was written with its audit. Where an operator would refuse an input that was
 spoilt on purpose, its query gives the rows or counts that it would refuse by.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime
 import math
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +19,7 @@ from ..functions.hashing import boundary, canonical_json
 from ..functions.identifiers import is_native_code, parse_native_icd9, stripped
 from ..operators import admissions, governance, labels, metrics, models, privacy, provenance, split, tokens
 from ..sources import tables
+from ..sources.staging import materialized
 
 SPLIT = SplitConfig("sha256_subject", 8408, 0.6, 0.2, 0.2)
 SUPPORT = 1
@@ -101,13 +101,6 @@ for _keep in ("latest", "earliest"):
     query(f"dedup_{_keep}", f"WITH {_NOTES}, {_winner_sql(_keep)} SELECT subject_id, hadm_id, text, category, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate, l_linenumber, l_partkey, l_suppkey FROM best")(_dedup(_keep))
 
 
-def _held(result: DataFrame, kept: list[DataFrame]) -> DataFrame:
-    """result; the tables kept for it are released with it."""
-    for df in kept:
-        weakref.finalize(result, df.unpersist).atexit = False
-    return result
-
-
 def _row(spark: SparkSession, audit: object) -> DataFrame:
     """An audit's whole numbers as a row."""
     counts = {k: v for k, v in vars(audit).items() if type(v) is int}
@@ -174,27 +167,20 @@ def parse_codes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "raw string, code string")
 
 
-def _examples(spark: SparkSession, folder: str, text: bool = False) -> tuple[DataFrame, list[DataFrame]]:
-    """Winners that have a valid code, with their labels (others would be refused); and the tables
-    kept for them."""
-    codes = tables.diagnoses(spark, folder).persist()
-    labelled = codes.where(is_native_code(F.col("ICD9_CODE"))).select(F.col("HADM_ID").alias("hadm_id")).distinct()
-    winners = _winners(spark, folder).records.select("subject_id", "hadm_id", "text" if text else F.lit("").alias("text"))
-    notes = winners.join(labelled, "hadm_id", "left_semi").persist()
-    return admissions.build_admission_examples(notes, codes), [codes, notes]
+def _examples(spark: SparkSession, folder: str, text: bool = False) -> DataFrame:
+    """Winners that have a valid code, with their labels."""
+    notes = tables.notes(spark, folder) if text else tables.notes(spark, folder).withColumn("TEXT", F.lit(""))
+    return admissions.prepare_examples(notes, tables.policy(), tables.diagnoses(spark, folder), "drop").examples
 
 
-def _assigned(spark: SparkSession, folder: str) -> tuple[SplitAssignment, list[DataFrame]]:
-    """The labelled admissions by partition, without text; and the tables kept for them."""
-    examples, kept = _examples(spark, folder)
-    narrow = examples.select("subject_id", "hadm_id", "labels").persist()
-    return split.split_by_subject(narrow, SPLIT), [*kept, narrow]
+def _assigned(spark: SparkSession, folder: str) -> SplitAssignment:
+    """The labelled admissions by partition, without text."""
+    return split.split_by_subject(_examples(spark, folder), SPLIT)
 
 
 @query("admission_labels", f"{_BASE} SELECT subject_id, hadm_id, text, labels FROM examples")
 def admission_labels(spark: SparkSession, folder: str) -> DataFrame:
-    examples, kept = _examples(spark, folder, text=True)
-    return _held(examples.select("subject_id", "hadm_id", "text", F.array_join("labels", ",").alias("labels")), kept)
+    return _examples(spark, folder, text=True).select("subject_id", "hadm_id", "text", F.array_join("labels", ",").alias("labels"))
 
 
 @query("admissions_without_labels", f"{_BASE} SELECT hadm_id FROM best WHERE hadm_id NOT IN (SELECT hadm_id FROM label_sets)")
@@ -207,40 +193,40 @@ def admissions_without_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("subject_split", f"{_BASE} SELECT subject_id, hadm_id, partition FROM examples")
 def subject_split(spark: SparkSession, folder: str) -> DataFrame:
-    assigned, kept = _assigned(spark, folder)
-    return _held(assigned.examples.select("subject_id", "hadm_id", "partition"), kept)
+    assigned = _assigned(spark, folder)
+    return assigned.examples.select("subject_id", "hadm_id", "partition")
 
 
 @query("split_audit", f"""{_BASE} SELECT CAST(place AS INTEGER) AS place, p.partition, count(DISTINCT subject_id) AS subjects, count(subject_id) AS admissions
 FROM (VALUES (0, 'train'), (1, 'validation'), (2, 'test')) p(place, partition) LEFT JOIN examples USING (partition) GROUP BY place, p.partition""")
 def split_audit(spark: SparkSession, folder: str) -> DataFrame:
-    assigned, kept = _assigned(spark, folder)
+    assigned = _assigned(spark, folder)
     audit = assigned.audit
     rows = [(place, p, n, m) for place, ((p, n), (_, m)) in enumerate(zip(audit.subject_counts, audit.admission_counts))]
-    return _held(spark.createDataFrame(rows, "place int, partition string, subjects long, admissions long"), kept)
+    return spark.createDataFrame(rows, "place int, partition string, subjects long, admissions long")
 
 
 # Admissions whose number ends in 7 are moved to the test partition.
 _DEALT = "dealt AS (SELECT subject_id, CASE WHEN hadm_id LIKE '%7' THEN 'test' ELSE partition END AS partition FROM examples)"
 
 
-def _moved(spark: SparkSession, folder: str) -> tuple[DataFrame, list[DataFrame]]:
-    assigned, kept = _assigned(spark, folder)
-    return assigned.examples.withColumn("partition", F.when(F.col("hadm_id").like("%7"), F.lit("test")).otherwise(F.col("partition"))), kept
+def _moved(spark: SparkSession, folder: str) -> DataFrame:
+    assigned = _assigned(spark, folder)
+    return assigned.examples.withColumn("partition", F.when(F.col("hadm_id").like("%7"), F.lit("test")).otherwise(F.col("partition")))
 
 
 @query("subject_overlap", f"""{_BASE}, {_DEALT} SELECT count(*) AS overlapping, {_sum('n')} AS partitions
 FROM (SELECT subject_id, count(DISTINCT partition) AS n FROM dealt GROUP BY subject_id HAVING count(DISTINCT partition) > 1)""")
 def subject_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    moved, kept = _moved(spark, folder)
-    return _held(split.subject_overlap(moved).agg(F.count("*").alias("overlapping"), F.coalesce(F.sum(F.size("partitions")), F.lit(0)).cast("long").alias("partitions")), kept)
+    moved = _moved(spark, folder)
+    return split.subject_overlap(moved).agg(F.count("*").alias("overlapping"), F.coalesce(F.sum(F.size("partitions")), F.lit(0)).cast("long").alias("partitions"))
 
 
 @query("split_overlap_rows", f"""{_BASE}, {_DEALT}
 SELECT subject_id, string_agg(DISTINCT partition, ',' ORDER BY partition) AS partitions FROM dealt GROUP BY subject_id HAVING count(DISTINCT partition) > 1""")
 def split_overlap_rows(spark: SparkSession, folder: str) -> DataFrame:
-    moved, kept = _moved(spark, folder)
-    return _held(split.subject_overlap(moved).select("subject_id", F.array_join("partitions", ",").alias("partitions")), kept)
+    moved = _moved(spark, folder)
+    return split.subject_overlap(moved).select("subject_id", F.array_join("partitions", ",").alias("partitions"))
 
 
 @query("partition_manifest_digest", f"""{_BASE}, counts AS (SELECT p.partition, place, count(DISTINCT subject_id) AS subjects, count(subject_id) AS admissions
@@ -248,8 +234,8 @@ def split_overlap_rows(spark: SparkSession, folder: str) -> DataFrame:
 SELECT sha256('{{"admission_counts":[' || string_agg('["' || partition || '",' || admissions || ']', ',' ORDER BY place) || '],"algorithm":"sha256_subject","ratios":[0.6,0.2,0.2],"seed":8408,"subject_counts":['
   || string_agg('["' || partition || '",' || subjects || ']', ',' ORDER BY place) || ']}}') AS digest FROM counts""")
 def partition_manifest_digest(spark: SparkSession, folder: str) -> DataFrame:
-    assigned, kept = _assigned(spark, folder)
-    return _held(spark.createDataFrame([(split.partition_manifest_digest(assigned),)], "digest string"), kept)
+    assigned = _assigned(spark, folder)
+    return spark.createDataFrame([(split.partition_manifest_digest(assigned),)], "digest string")
 
 
 # -- labels --------------------------------------------------------------------------------------
@@ -261,37 +247,37 @@ def _contract(assigned: SplitAssignment, minimum: int = SUPPORT) -> LabelContrac
 
 @query("label_support", f"{_BASE}, {_SUPPORT} SELECT CAST(label_index AS INTEGER) AS label_index, label, support FROM vocabulary")
 def label_support(spark: SparkSession, folder: str) -> DataFrame:
-    assigned, kept = _assigned(spark, folder)
-    return _held(labels.indexed(labels.label_support(assigned.train), SUPPORT).select("label_index", "label", "support"), kept)
+    assigned = _assigned(spark, folder)
+    return labels.indexed(labels.label_support(assigned.train), SUPPORT).select("label_index", "label", "support")
 
 
 @query("label_vocabulary_digest", f"""{_BASE}, {_SUPPORT} SELECT count(*) AS labels, sha256('["' || string_agg(label, '","' ORDER BY label) || '"]') AS digest FROM vocabulary""")
 def label_vocabulary_digest(spark: SparkSession, folder: str) -> DataFrame:
-    assigned, kept = _assigned(spark, folder)
+    assigned = _assigned(spark, folder)
     contract = _contract(assigned)
-    return _held(spark.createDataFrame([(contract.audit.vocabulary_size, contract.vocabulary_hash)], "labels long, digest string"), kept)
+    return spark.createDataFrame([(contract.audit.vocabulary_size, contract.vocabulary_hash)], "labels long, digest string")
 
 
-def _encoded(spark: SparkSession, folder: str) -> tuple[DataFrame, LabelContract, list[DataFrame]]:
-    assigned, kept = _assigned(spark, folder)
+def _encoded(spark: SparkSession, folder: str) -> tuple[DataFrame, LabelContract]:
+    assigned = _assigned(spark, folder)
     contract = _contract(assigned)
-    return labels.transform_labels(assigned.validation, contract).rows, contract, kept
+    return labels.transform_labels(assigned.validation, contract).rows, contract
 
 
-def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, list[DataFrame]]:
+def _cells(spark: SparkSession, folder: str) -> DataFrame:
     """hadm_id, label_index, y, score over the vocabulary: encoded rows are exploded once, with no
     join of examples and vocabulary."""
-    rows, contract, kept = _encoded(spark, folder)
+    rows, contract = _encoded(spark, folder)
     cell = rows.select("hadm_id", F.posexplode("encoded").alias("label_index", "y"))
     label = F.element_at(F.lit([int(x) for x in contract.vocabulary]), F.col("label_index") + 1)
     base = F.pmod(F.col("hadm_id").cast("long") * 31 + label.cast("long") * 17, F.lit(61))
-    return cell.select("hadm_id", "label_index", "y", ((base + 40 * F.col("y")).cast("double") / F.lit(100.0)).alias("score")), kept
+    return cell.select("hadm_id", "label_index", "y", ((base + 40 * F.col("y")).cast("double") / F.lit(100.0)).alias("score"))
 
 
 @query("encode_labels", f"{_CELLS} SELECT hadm_id, string_agg(CAST(y AS VARCHAR), '' ORDER BY label_index) AS encoded FROM cells GROUP BY hadm_id")
 def encode_labels(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _, kept = _encoded(spark, folder)
-    return _held(rows.select("hadm_id", F.array_join(F.col("encoded").cast("array<string>"), "").alias("encoded")), kept)
+    rows, _ = _encoded(spark, folder)
+    return rows.select("hadm_id", F.array_join(F.col("encoded").cast("array<string>"), "").alias("encoded"))
 
 
 @query("unknown_label_audit", f"""{_BASE}, {_SUPPORT}, kept AS (SELECT label FROM support WHERE support >= {HIGH_SUPPORT} * (SELECT count(*) FROM examples WHERE partition = 'train')),
@@ -299,9 +285,9 @@ by_example AS (SELECT e.hadm_id, count(p.code) FILTER (WHERE p.code NOT IN (SELE
   FROM examples e JOIN pairs p USING (hadm_id) WHERE partition = 'test' GROUP BY e.hadm_id)
 SELECT count(*) AS example_count, {_sum('unknown')} AS unknown_label_count, count(*) FILTER (WHERE unknown > 0) AS examples_with_unknown_labels FROM by_example""")
 def unknown_label_audit(spark: SparkSession, folder: str) -> DataFrame:
-    assigned, kept = _assigned(spark, folder)
+    assigned = _assigned(spark, folder)
     contract = _contract(assigned, math.ceil(HIGH_SUPPORT * dict(assigned.audit.admission_counts)["train"]))
-    return _held(_row(spark, labels.transform_labels(assigned.test, contract).audit), kept)
+    return _row(spark, labels.transform_labels(assigned.test, contract).audit)
 
 
 # -- tokens --------------------------------------------------------------------------------------
@@ -353,9 +339,9 @@ _F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(2 * tp AS
 @query("per_label_f1", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS}, {_sum('y')} AS support FROM hits GROUP BY label_index)
 SELECT CAST(label_index AS INTEGER) AS label_index, tp, fp, fn, support, {_F1} AS f1 FROM counts""")
 def per_label_f1(spark: SparkSession, folder: str) -> DataFrame:
-    cells, kept = _cells(spark, folder)
+    cells = _cells(spark, folder)
     counts = metrics.label_counts(cells, THRESHOLD)
-    return _held(counts.select("label_index", "tp", "fp", "fn", "support", metrics.f1_column(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1")), kept)
+    return counts.select("label_index", "tp", "fp", "fn", "support", metrics.f1_column(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
 
 
 @query("micro_macro_f1", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS} FROM hits GROUP BY label_index),
@@ -363,22 +349,22 @@ scored AS (SELECT *, {_F1} AS f1 FROM counts), total AS (SELECT {_sum('tp')} AS
 SELECT tp, fp, fn, {_F1} AS micro_f1, (SELECT round(sum(f1) / count(*), 10) FROM scored) AS macro_f1, (SELECT count(*) FROM counts) AS label_count FROM total""")
 def micro_macro_f1(spark: SparkSession, folder: str) -> DataFrame:
     """One pass over the cells gives both: labels' counts, then their sums."""
-    cells, kept = _cells(spark, folder)
+    cells = _cells(spark, folder)
     counts = metrics.label_counts(cells, THRESHOLD)
     each = metrics.f1_column(F.col("tp"), F.col("fp"), F.col("fn"))
     total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tp", "fp", "fn")), F.round(F.sum(each) / F.count("*"), 10).alias("macro_f1"), F.count("*").alias("label_count"))
-    return _held(total.select("tp", "fp", "fn", each.alias("micro_f1"), "macro_f1", "label_count"), kept)
+    return total.select("tp", "fp", "fn", each.alias("micro_f1"), "macro_f1", "label_count")
 
 
 @query("precision_at_k", f"""{_CELLS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY score DESC, label_index) AS place FROM cells),
 ks AS (SELECT * FROM (VALUES {', '.join(f'({k})' for k in KS)}) k(k))
 SELECT CAST(k AS INTEGER) AS k, count(DISTINCT hadm_id) AS samples, {_sum('y')} AS hits, round(CAST(sum(y) AS DOUBLE) / k / count(DISTINCT hadm_id), 10) AS precision FROM ranked JOIN ks ON place <= k GROUP BY k""")
 def precision_at_k(spark: SparkSession, folder: str) -> DataFrame:
-    cells, kept = _cells(spark, folder)
+    cells = _cells(spark, folder)
     hits = metrics.ranked_hits(cells.withColumnRenamed("hadm_id", "sample_id"), KS)
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"hits_{k}").alias("h")) for k in KS))
     total = hits.select(F.explode(pairs).alias("x")).groupBy("x.k").agg(F.count("*").alias("samples"), F.sum("x.h").alias("hits"))
-    return _held(total.select("k", "samples", "hits", F.round(F.col("hits") / F.col("k") / F.col("samples"), 10).alias("precision")), kept)
+    return total.select("k", "samples", "hits", F.round(F.col("hits") / F.col("k") / F.col("samples"), 10).alias("precision"))
 
 
 _CURVE = f"""{_CELLS}, candidates AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES {', '.join(f'({t})' for t in CANDIDATES)}) c(t)),
@@ -388,19 +374,19 @@ curve AS (SELECT threshold, tp, fp, fn, {_F1} AS micro_f1 FROM counts)"""
 
 @query("threshold_curve", f"{_CURVE} SELECT * FROM curve")
 def threshold_curve(spark: SparkSession, folder: str) -> DataFrame:
-    cells, kept = _cells(spark, folder)
+    cells = _cells(spark, folder)
     rows = [(t, tp, fp, fn, metrics.f1(tp, fp, fn)) for t, tp, fp, fn in metrics.candidate_counts(cells, sorted(CANDIDATES))]
-    return _held(spark.createDataFrame(rows, "threshold double, tp long, fp long, fn long, micro_f1 double"), kept)
+    return spark.createDataFrame(rows, "threshold double, tp long, fp long, fn long, micro_f1 double")
 
 
 @query("threshold_selection", f"""{_CURVE} SELECT * FROM (SELECT 'lowest_threshold' AS tie_break, threshold, micro_f1 FROM curve ORDER BY micro_f1 DESC, threshold LIMIT 1)
 UNION ALL SELECT * FROM (SELECT 'highest_threshold' AS tie_break, threshold, micro_f1 FROM curve ORDER BY micro_f1 DESC, threshold DESC LIMIT 1)""")
 def threshold_selection(spark: SparkSession, folder: str) -> DataFrame:
-    cells, kept = _cells(spark, folder)
-    cells = cells.withColumnRenamed("hadm_id", "sample_id").persist()
+    cells = _cells(spark, folder)
+    cells = materialized(cells.withColumnRenamed("hadm_id", "sample_id"))
     scores = metrics.TaggedScores("validation", cells.select("sample_id", "label_index", "y"), cells.select("sample_id", "label_index", "score"))
     chosen = [metrics.select_global_threshold(scores, CANDIDATES, "micro_f1", way) for way in ("lowest_threshold", "highest_threshold")]
-    return _held(spark.createDataFrame([(x.tie_break, x.threshold, x.objective_value) for x in chosen], "tie_break string, threshold double, micro_f1 double"), [*kept, cells])
+    return spark.createDataFrame([(x.tie_break, x.threshold, x.objective_value) for x in chosen], "tie_break string, threshold double, micro_f1 double")
 
 
 @query("multilabel_metrics", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS}, {_sum('y')} AS support FROM hits GROUP BY label_index),
@@ -409,22 +395,22 @@ SELECT {_F1} AS micro_f1, (SELECT round(sum(f1) / count(*), 10) FROM scored) AS
        (SELECT count(DISTINCT hadm_id) FROM cells) AS sample_count FROM total""")
 def multilabel_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The whole evaluation through a one-use session, with its checks of the matrices."""
-    cells, kept = _cells(spark, folder)
-    cells = cells.withColumnRenamed("hadm_id", "sample_id").persist()
+    cells = _cells(spark, folder)
+    cells = materialized(cells.withColumnRenamed("hadm_id", "sample_id"))
     session = metrics.UntouchedTestSession()
     r = session.evaluate_once(lambda: metrics.multilabel_metrics(cells.select("sample_id", "label_index", "y"), cells.select("sample_id", "label_index", "score"), THRESHOLD, KS, "available"))
     row = (r.micro_f1, round(r.macro_f1, 10), ",".join(map(str, r.per_label_support)), r.sample_count)
-    return _held(spark.createDataFrame([row], "micro_f1 double, macro_f1 double, supports string, sample_count long"), [*kept, cells])
+    return spark.createDataFrame([row], "micro_f1 double, macro_f1 double, supports string, sample_count long")
 
 
 @query("score_matrix_audit", f"""{_CELLS} SELECT count(*) AS cells, count(*) FILTER (WHERE y NOT IN (0, 1)) AS bad_bits, count(*) FILTER (WHERE score NOT BETWEEN 0 AND 1) AS bad_scores,
 count(DISTINCT hadm_id) * count(DISTINCT label_index) AS expected FROM cells""")
 def score_matrix_audit(spark: SparkSession, folder: str) -> DataFrame:
-    cells, kept = _cells(spark, folder)
-    return _held(cells.agg(
+    cells = _cells(spark, folder)
+    return cells.agg(
         F.count("*").alias("cells"), F.count_if(~F.col("y").isin(0, 1)).alias("bad_bits"), F.count_if(~F.col("score").between(0.0, 1.0)).alias("bad_scores"),
         (F.count_distinct("hadm_id") * F.count_distinct("label_index")).alias("expected"),
-    ), kept)
+    )
 
 
 @query("binary_label_metrics", f"""WITH hits AS (SELECT quality AS y, 1 - toxic AS h FROM labels), counts AS (SELECT {_COUNTS}, {_sum('y')} AS support FROM hits)

@@ -1,15 +1,17 @@
 """Tables written on the way, where driver and executors both see them.
 
 They stand in spark.checkpoint.dir under the application's id. Lineage ends at them, so a lost
-executor costs no recomputation of what led there. The application deletes them when it ends.
+executor costs no recomputation of what led there. The application deletes them when it ends. A table can
+be audited as it is written, and is seen only if its audit is accepted.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own = ""
 
@@ -64,3 +66,37 @@ def clean_up(spark: SparkSession) -> None:
     them can't be read after."""
     folder, files = scratch(spark)
     files.delete(folder, True)
+
+
+def audited(df: DataFrame, observations: list[Observation], accept: Callable[[dict], None], path: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a table, by one job, once accept has seen what was observed while its rows were
+    written. accept raises to refuse them; nothing is left then. With a path the table is moved there
+    after it was accepted, whole, and never over one that is there; else it stays in the
+    application's folder.
+
+    Observations must stand behind the last exchange of df's plan: tasks of the last stage count
+    once, however often executors are lost."""
+    spark = df.sparkSession
+    if path:
+        target, files = path_of(spark, path)
+        if files.exists(target):
+            raise FileExistsError(path)
+        staged = f"{target.getParent().toString()}/.staged-{uuid.uuid4().hex}"
+    else:
+        folder, files = scratch(spark)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        staged = f"{folder.toString()}/{uuid.uuid4().hex}-audited"
+    place, files = path_of(spark, staged)
+    try:
+        df.write.partitionBy(*partition_by).parquet(staged)
+        accept({k: v for o in observations for k, v in o.get.items()})
+        if path and not files.rename(place, target):
+            raise OSError(f"{path}: the accepted table could not be moved there")
+    except BaseException:
+        files.delete(place, True)
+        raise
+    out = spark.read.schema(df.schema).parquet(path or staged)
+    if not path:
+        out._written = staged
+    return out
