@@ -51,19 +51,22 @@ def _observed_winners(records: DataFrame, policy: DedupPolicy, seen: Observation
     serve rank, tie, count and owners."""
     keys = F.struct(policy.order_field, *policy.tie_break_fields)
     order = [F.col(x).desc() if policy.keep == "latest" else F.col(x).asc() for x in (policy.order_field, *policy.tie_break_fields)]
-    whole = Window.partitionBy("_hadm")
-    best = whole.orderBy(*order)
+    best = Window.partitionBy("_hadm").orderBy(*order)
     rows = eligible_notes(records, policy).select("_subject", "_hadm", F.col("TEXT").cast("string").alias("_text"), policy.category_field, policy.order_field, *policy.tie_break_fields)
+    # An admission's rows stand one after the other, so neighbours tell of a tie, of more rows and of another owner.
     rows = rows.withColumns({
-        "_place": F.row_number().over(best), "_tied": F.lead(keys).over(best).eqNullSafe(keys), "_n": F.count("*").over(whole), "_a": F.min("_subject").over(whole), "_z": F.max("_subject").over(whole),
+        "_place": F.row_number().over(best), "_next": F.lead(keys).over(best), "_more": F.lead(F.lit(1)).over(best), "_before": F.lag(F.struct("_subject")).over(best),
     })
     floats = [x for x in policy.tie_break_fields if isinstance(records.schema[x].dataType, (T.FloatType, T.DoubleType))]
     bad = {"SUBJECT_ID": ~is_canonical(F.col("_subject")), "HADM_ID": ~is_canonical(F.col("_hadm"))} | {x: F.isnan(x) | (F.abs(x) == float("inf")) for x in floats}
     first = F.col("_place") == 1
-    rows = rows.observe(
-        seen, F.count(F.lit(1)).alias("eligible"), F.count_if(first).alias("admissions"), F.count_if(first & (F.col("_n") > 1)).alias("repeated"),
-        F.count_if(first & ~F.col("_a").eqNullSafe(F.col("_z"))).alias("conflicts"), F.count_if(first & F.col("_tied")).alias("tied"), *(F.count_if(v).alias(f"bad:{k}") for k, v in bad.items()),
-    )
+    marks = {
+        "admissions": first, "repeated": first & F.col("_more").isNotNull(), "tied": first & F.col("_next").eqNullSafe(keys) & F.col("_more").isNotNull(),
+        "conflicts": ~first & ~F.col("_before._subject").eqNullSafe(F.col("_subject")),
+    } | {f"bad:{k}": F.coalesce(v, F.lit(False)) for k, v in bad.items()}
+    # Marks are set by generated code; what is observed only adds them up.
+    rows = rows.withColumns({f"_mark_{i}": v.cast("int") for i, v in enumerate(marks.values())})
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("eligible"), *(F.coalesce(F.sum(f"_mark_{i}"), F.lit(0)).alias(k) for i, k in enumerate(marks)))
     return rows.where(first).select(
         F.col("_subject").alias("subject_id"), F.col("_hadm").alias("hadm_id"), F.col("_text").alias("text"), F.col(policy.category_field).cast("string").alias("category"),
         F.col(policy.order_field).alias("order_value"), (F.struct(*policy.tie_break_fields) if policy.tie_break_fields else F.struct()).alias("tie_break_values"),
@@ -73,7 +76,7 @@ def _observed_winners(records: DataFrame, policy: DedupPolicy, seen: Observation
 def _accepted_winners(got: dict, total: int) -> DedupAudit:
     require(
         (total > 0, "records must not be empty"), *((n == 0, f"{k[4:]}: {n} records have no canonical value") for k, n in got.items() if k.startswith("bad:")),
-        (got["conflicts"] == 0, f"ownership conflict: {got['conflicts']} admissions map to several subjects"),
+        (got["conflicts"] == 0, f"ownership conflict: {got['conflicts']} records name another subject than their admission's record before"),
         (got["tied"] == 0, f"ambiguous tie: {got['tied']} admissions have several rows with the winning order and tie-break values"),
         (got["admissions"] > 0, "records: empty"),
     )
@@ -138,12 +141,12 @@ def _observed_examples(left: DataFrame, diagnoses: DataFrame, unlabelled: str, s
     subject, hadm = F.col("subject_id"), F.col("hadm_id")
     wrong = F.lit(known) & F.col("labels").isNotNull() & (~F.col("_a").eqNullSafe(subject) | ~F.col("_z").eqNullSafe(subject) | ((F.col("_none") > 0) & subject.isNotNull()))
     bare = F.coalesce(F.size("labels"), F.lit(0)) < 1
-    where = lambda c: F.min(F.when(c, hadm))
+    marks = {"many": F.col("_times") > 1, "bare": bare, "odd_subject": ~is_canonical(subject), "odd_hadm": ~is_canonical(hadm)}
+    both = both.withColumns({f"_mark_{i}": v.cast("int") for i, v in enumerate(marks.values())} | {"_clash": F.when(wrong, hadm), "_without": F.when(bare, hadm)})
     both = both.observe(
-        seen, F.count(F.lit(1)).alias("notes"), F.count_if(F.col("_times") > 1).alias("many"), where(wrong).alias("clash"), F.count_if(bare).alias("bare"), where(bare).alias("without"),
-        F.count_if(~is_canonical(subject)).alias("odd_subject"), F.count_if(~is_canonical(hadm)).alias("odd_hadm"),
+        seen, F.count(F.lit(1)).alias("notes"), F.min("_clash").alias("clash"), F.min("_without").alias("without"), *(F.coalesce(F.sum(f"_mark_{i}"), F.lit(0)).alias(k) for i, k in enumerate(marks)),
     )
-    rows = both.where(~bare) if unlabelled == "drop" else both
+    rows = both.where("_without IS NULL") if unlabelled == "drop" else both
     return rows.select("subject_id", "hadm_id", "text", "labels", F.lit(None).cast("string").alias("partition"))
 
 
