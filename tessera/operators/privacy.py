@@ -6,16 +6,15 @@ Then its root is held against the contract of its type. Results name reasons, ne
 
 from __future__ import annotations
 
-import json
 import math
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import on_workers
+from ..functions.identifiers import stripped
 
 # What may be published, and names and patterns that may not appear.
 PUBLIC_DESTINATIONS = ("public_model_card", "public_report", "public_repository")
@@ -153,25 +152,167 @@ def validate_public_artifact(value: object, destination: str) -> PrivacyAudit:
     return PrivacyAudit(not findings, tuple(dict.fromkeys(findings)), len(findings))
 
 
+# -- tables of artifacts, by expressions ---------------------------------------------------------
+
+#: Stand for an escaped backslash and an escaped quote; JSON has no such characters as they are.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+_TOKEN = r'"[^"]*"|[{}\[\]:,]|[^\s{}\[\]:,"]+'
+_BAD = "artifact_structure_invalid"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once per row however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _tokens(text: Column) -> Column:
+    """A JSON text's strings, marks and literals in order. Without escaped quotes a string ends at
+    the next quote, so one pattern finds all."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    return F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0))
+
+
+def _content(token: Column) -> Column:
+    """What a string token says."""
+    written = F.replace(F.replace(token, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    return F.when(F.contains(written, F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), written, F.lit("]")), "array<string>"), F.lit(0))).otherwise(F.substr(token, F.lit(2), F.length(token) - 2))
+
+
+def _some(*found: Column) -> Column:
+    return F.array_compact(F.array(*found))
+
+
+def _key_reason(key: Column) -> Column:
+    name = F.regexp_replace(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "_"), "^_|_$", "")
+    out = F.lit(None).cast("string")
+    for reason, keys in FORBIDDEN_KEYS.items():
+        out = F.when(name.isin(*keys), F.lit(reason)).otherwise(out)
+    return out
+
+
+def _value_reasons(value: Column) -> list[Column]:
+    secret, lower = F.lit(False), F.lower(value)
+    for p in SECRET_PATTERNS.values():
+        secret = secret | F.regexp_like(value, F.lit(p))
+    weights = F.lit(False)
+    for x in CHECKPOINT_SUFFIXES:
+        weights = weights | F.endswith(lower, F.lit(x))
+    return [F.when(F.regexp_like(value, F.lit(NOTE_PATTERN)), F.lit("note_text_forbidden")), F.when(secret, F.lit("secret_forbidden")), F.when(weights, F.lit("checkpoint_forbidden"))]
+
+
+def _infinite(number: Column) -> Column:
+    """Whether a literal is a number that floating point can't hold; whole numbers have no bound."""
+    return ~F.regexp_like(number, F.lit("^-?[0-9]+$")) & F.coalesce(F.abs(number.try_cast("double")) == float("inf"), F.lit(False))
+
+
+def walk_findings(tokens: Column) -> Column:
+    """The reasons that keys and values give, in the order of the text, which is that of a walk depth
+    first: a string before a colon is a key, any other a value, at whatever depth they stand."""
+
+    def of(all_: Column) -> Column:
+        def one(token: Column, i: Column) -> Column:
+            is_key = F.get(all_, i + 1).eqNullSafe(F.lit(":"))
+            named = _let(_content(token), lambda x: F.when(is_key, _some(_key_reason(x))).otherwise(_some(*_value_reasons(x))))
+            literal = F.when(_infinite(token), F.array(F.lit("unsupported_artifact_value"))).otherwise(F.array().cast("array<string>"))
+            return F.when(F.startswith(token, F.lit('"')), named).otherwise(literal)
+
+        return F.flatten(F.transform(all_, one))
+
+    return _let(tokens, of)
+
+
+def _one_value(tokens: Column) -> Column:
+    """Whether brackets close just at the last token, so that nothing follows the value."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
+    open_, shut = (lambda t: t.isin("{", "[")), (lambda t: t.isin("}", "]"))
+
+    def step(x: Column, t: Column) -> Column:
+        depth = x["depth"] + F.when(open_(t), 1).when(shut(t), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (x["ends"] + (depth == 0).cast("int")).alias("ends"))
+
+    return F.aggregate(tokens, start, step)["ends"] == 1
+
+
+def _is(kind: str, value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == kind, F.lit(False))
+
+
+def _is_number(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    finite = F.coalesce(F.abs(F.try_variant_get(value, "$", "double")) < float("inf"), F.lit(True))
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), F.lit(False)) & finite
+
+
+def _is_scalar(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return ~(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))) & (~kind.isin("DOUBLE", "FLOAT") | _is_number(value))
+
+
+def _fields(value: Column) -> Column:
+    """An object's fields; null of anything else."""
+    return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.try_variant_get(value, "$", "map<string,variant>"))
+
+
+def root_findings(root: Column) -> Column:
+    """What the contract of its type finds in an artifact's fields (a map of variants)."""
+
+    def of(fields: Column) -> Column:
+        value = lambda name: F.try_element_at(fields, F.lit(name))
+        kind = F.when(_is("STRING", value("artifact_type")), F.try_variant_get(value("artifact_type"), "$", "string"))
+        known = F.coalesce(kind.isin(*ARTIFACT_KEYS), F.lit(False))
+        found = [F.when(~known, F.lit("artifact_type_not_allowed"))]
+        for flag in REQUIRED_FALSE_FLAGS:
+            x = value(flag)
+            found.append(F.when(~_is("BOOLEAN", x), F.lit("artifact_flags_invalid")).when(F.try_variant_get(x, "$", "boolean"), F.lit(flag.removeprefix("contains_") + "_flag_forbidden")))
+        own = F.array().cast("array<string>")
+        for name, keys in ARTIFACT_KEYS.items():
+            own = F.when(kind == name, F.lit(list(keys))).otherwise(own)
+        bad = F.lit(_BAD)
+        extra = F.array_except(F.map_keys(fields), F.concat(F.lit(["artifact_type", *REQUIRED_FALSE_FLAGS]), own))
+        found.append(F.when(F.size(extra) > 0, bad))
+
+        def metrics() -> Column:
+            odd = lambda m: F.aggregate(F.map_entries(m), F.lit(0), lambda n, e: n + (~e["key"].isin(*METRIC_FIELDS)).cast("int") + (~_is_number(e["value"])).cast("int"))
+            counted = _let(_fields(value("metrics")), lambda m: F.when(m.isNull(), F.array(bad)).otherwise(F.array_repeat(bad, odd(m))))
+            return F.concat(counted, _some(F.when(value("limitations").isNotNull() & ~_is("STRING", value("limitations")), bad)))
+
+        def documentation() -> Column:
+            keys = ARTIFACT_KEYS["documentation"]
+            none, odd = F.lit(True), F.lit(False)
+            for k in keys:
+                none, odd = none & value(k).isNull(), odd | (value(k).isNotNull() & ~_is("STRING", value(k)))
+            return _some(F.when(none, bad), F.when(odd, bad))
+
+        def provenance() -> Column:
+            given = lambda m: F.when(m.isNull(), F.array(bad)).otherwise(_some(
+                F.when(F.size(F.array_except(F.map_keys(m), F.lit(list(PROVENANCE_FIELDS)))) > 0, bad), F.when(F.exists(F.map_values(m), lambda x: ~_is_scalar(x)), bad),
+            ))
+            return _let(_fields(value("provenance")), given)
+
+        none = F.array().cast("array<string>")
+        by_kind = F.when(kind == "aggregate_metrics", metrics()).when(kind == "documentation", documentation()).when(kind == "non_sensitive_provenance", provenance()).otherwise(none)
+        return F.concat(_some(*found), by_kind)
+
+    return _let(root, of)
+
+
 def artifact_audits(artifacts: DataFrame) -> DataFrame:
     """artifact_id, allowed, reasons and finding_count for rows of artifact_id, artifact (JSON
-    text) and destination. Text that is no JSON has an invalid root."""
-    on_workers(artifacts.sparkSession)
-    kind = artifacts.schema["artifact_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text, destination in zip(pdf["artifact"], pdf["destination"]):
-                try:
-                    value = json.loads(text)
-                except (TypeError, ValueError):
-                    value = ()
-                a = validate_public_artifact(value, destination)
-                out.append((a.allowed, list(a.reasons), a.finding_count))
-            yield pdf[["artifact_id"]].assign(**{k: [x[i] for x in out] for i, k in enumerate(("allowed", "reasons", "finding_count"))})
-
-    return artifacts.select("artifact_id", "artifact", "destination").mapInPandas(run, f"artifact_id {kind}, allowed boolean, reasons array<string>, finding_count long")
+    text) and destination, as validate_public_artifact has them for the parsed value; in the JVM.
+
+    A text that is no JSON value, names a key twice, holds NaN or Infinity, or is nested beyond what
+    the JVM's parser takes (1,000 levels) is no artifact: it is refused with an unsupported value and
+    an invalid root. Keys are compared in lower case, where Python folds some letters further."""
+    text = F.col("artifact").cast("string")
+    public = F.lower(stripped(F.col("destination"))).isin(*PUBLIC_DESTINATIONS)
+    target = _some(F.when(~F.coalesce(public, F.lit(False)), F.lit("destination_not_public")))
+    parsed = artifacts.select("artifact_id", target.alias("_target"), _tokens(text).alias("_tokens"), F.try_parse_json(text).alias("_value"))
+    sound = F.col("_value").isNotNull() & _one_value(F.col("_tokens"))
+    root = _let(_fields(F.col("_value")), lambda m: F.when(m.isNull(), F.array(F.lit("artifact_root_invalid"))).otherwise(root_findings(m)))
+    found = F.when(F.coalesce(sound, F.lit(False)), F.concat(walk_findings(F.col("_tokens")), root)).otherwise(F.array(F.lit("unsupported_artifact_value"), F.lit("artifact_root_invalid")))
+    # The findings are an array of their own before they are counted, so that they are found once.
+    out = parsed.select("artifact_id", F.explode(F.array(F.concat("_target", found))).alias("_found"))
+    return out.select("artifact_id", (F.size("_found") == 0).alias("allowed"), F.array_distinct("_found").alias("reasons"), F.size("_found").cast("long").alias("finding_count"))
 
 
 def pattern_counts(text: Column) -> list[Column]:
