@@ -32,6 +32,12 @@ def parse_native_icd9(raw: str) -> str:
     return code
 
 
+def native_code(column: Column) -> Column:
+    """parse_native_icd9 for a column; null where that would raise."""
+    code = stripped(column)
+    return F.when(is_native_code(code), code)
+
+
 def require_id_type(df: DataFrame, name: str) -> None:
     """Identifiers are strings or whole numbers; a column has one type, so the schema tells."""
     kind = df.schema[name].dataType

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import require
+from ..sources.staging import materialized
+from .ordering import carried
 
 KEYS = ["sample_id", "label_index"]
 
@@ -161,6 +163,99 @@ def select_global_threshold(validation_scores: TaggedScores, candidates: Iterabl
     return ThresholdSelection(tied[0] if tie_break == "lowest_threshold" else tied[-1], objective, best, tie_break, curve)
 
 
+# -- sparse truth and scores -----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class SparseMetrics:
+    """per_label has label_index, tp, fp, fn, support and f1 of the labels that are true or hit
+    anywhere; the others have zeros."""
+
+    micro_f1: float
+    macro_f1: float
+    precision_at_k: tuple[tuple[int, float], ...]
+    sample_count: int
+    label_count: int
+    per_label: DataFrame
+
+
+def sparse_label_counts(truth: DataFrame, hits: DataFrame) -> DataFrame:
+    """label_index, tp, fp, fn and support from the cells (sample_id, label_index) that are true and
+    those that are hit. Cells that are neither aren't there and count nothing."""
+    marked = truth.select(*KEYS, F.lit(1).alias("y"), F.lit(0).alias("h")).unionByName(hits.select(*KEYS, F.lit(0).alias("y"), F.lit(1).alias("h")))
+    cells = marked.groupBy(*KEYS).agg(F.max("y").alias("y"), F.max("h").alias("h"))
+    return cells.groupBy("label_index").agg(*confusion(F.col("h"), F.col("y")), F.sum("y").alias("support"))
+
+
+def sparse_ranked_hits(samples: DataFrame, truth: DataFrame, scores: DataFrame, ks: Iterable[int], width: int) -> DataFrame:
+    """ranked_hits where a label without a score has 0. Only the first max(ks) scores of a sample are
+    kept; where it has fewer, labels without a score follow in order of index, and a true one among
+    them is a hit if few enough stand before it."""
+    top_k = max(ks)
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.col("score").desc(), F.col("label_index").asc()))
+    first = scores.where("score > 0").withColumn("_place", place).where(F.col("_place") <= top_k)
+    tops = first.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("_place", "label_index"))).alias("_top"))
+    own = truth.groupBy("sample_id").agg(F.collect_set("label_index").alias("_own"))
+    none = F.array().cast("array<int>")
+    both = samples.select("sample_id").join(tops, "sample_id", "left").join(own, "sample_id", "left").select(
+        "sample_id", F.coalesce(F.transform("_top", lambda x: x["label_index"].cast("int")), none).alias("_top"), F.coalesce(F.transform("_own", lambda x: x.cast("int")), none).alias("_own"),
+    )
+
+    def hits(k: int) -> Column:
+        scored = F.size(F.filter(F.slice("_top", 1, k), lambda x: F.array_contains("_own", x)))
+        room = F.greatest(F.lit(0), F.lit(min(k, width)) - F.size("_top"))
+        filled = F.filter("_own", lambda x: ~F.array_contains("_top", x) & (x - F.size(F.filter("_top", lambda t: t < x)) < room))
+        return (scored + F.size(filled)).cast("long")
+
+    return both.select("sample_id", *(hits(k).alias(f"hits_{k}") for k in ks))
+
+
+def sparse_metrics(samples: DataFrame, truth: DataFrame, scores: DataFrame, width: int, threshold: float, ks: Iterable[int], short_label_policy: str) -> SparseMetrics:
+    """multilabel_metrics over samples (sample_id), true cells (sample_id, label_index) and scored ones
+    (with score; a cell without has 0). The threshold is over 0, as 0 hits every cell."""
+    at, ks = probability(threshold, "threshold_invalid"), _ks(ks)
+    require((at > 0, "threshold_invalid"), (short_label_policy in ("available", "k"), "short_label_policy_invalid"), (type(width) is int and width > 0, "metric_matrix_invalid"))
+    n, distinct = samples.agg(F.count("*"), F.count_distinct("sample_id")).first()
+    cells = [truth.select("label_index", F.lit(1.0).alias("score")), scores.select("label_index", "score")]
+    ok = F.col("label_index").between(0, width - 1) & F.col("score").between(0.0, 1.0) & ~F.isnan("score")
+    odd = cells[0].unionByName(cells[1]).agg(F.count_if(~F.coalesce(ok, F.lit(False)))).first()[0]
+    strange = truth.select("sample_id").unionByName(scores.select("sample_id")).join(samples, "sample_id", "left_anti").limit(1).count()
+    twice = truth.groupBy(*KEYS).count().where("count > 1").select(*KEYS).unionByName(scores.groupBy(*KEYS).count().where("count > 1").select(*KEYS)).limit(1).count()
+    require((n > 0 and n == distinct and odd == 0 and strange == 0 and twice == 0, "metric_matrix_invalid"))
+    counts = sparse_label_counts(truth, scores.where(F.col("score") >= at)).withColumn("f1", f1_column(F.col("tp"), F.col("fp"), F.col("fn")))
+    tp, fp, fn, total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("tp", "fp", "fn", "f1"))).first()
+    hits = sparse_ranked_hits(samples, truth, scores, ks, width)
+    sums = hits.agg(*(F.sum(f"hits_{k}") for k in ks)).first()
+    precision = tuple((k, h / (min(k, width) if short_label_policy == "available" else k) / n) for k, h in zip(ks, sums))
+    return SparseMetrics(f1(tp, fp, fn), total / width, precision, n, width, counts)
+
+
+# -- every cut point -------------------------------------------------------------------------------
+
+
+def score_curve(paired: DataFrame) -> DataFrame:
+    """threshold, tp, fp, fn and micro_f1 at each distinct score: sums over what lies at or above it,
+    carried over ranges of scores, so neither the driver nor a task sees all of them."""
+    each = paired.groupBy("score").agg(F.sum("y").alias("_y"), F.count("*").alias("_n"))
+    summed = materialized(carried(each, [F.col("score").desc()], {"_y_before": F.col("_y"), "_n_before": F.col("_n")}), "curve")
+    positive = summed.agg(F.sum("_y")).first()[0] or 0
+    tp, taken = F.col("_y_before") + F.col("_y"), F.col("_n_before") + F.col("_n")
+    curve = summed.select(F.col("score").alias("threshold"), tp.alias("tp"), (taken - tp).alias("fp"), (F.lit(positive) - tp).alias("fn"))
+    return curve.withColumn("micro_f1", f1_column(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def select_exact_threshold(validation_scores: TaggedScores, tie_break: str) -> tuple[float, float]:
+    """The threshold of best micro-F1 among all scores, and that F1."""
+    require(
+        (isinstance(validation_scores, TaggedScores), "validation_scores_invalid"), (getattr(validation_scores, "partition", None) == "validation", "validation_partition_required"),
+        (tie_break in ("lowest_threshold", "highest_threshold"), "tie_break_not_supported"),
+    )
+    sign = 1 if tie_break == "highest_threshold" else -1
+    curve = score_curve(_paired(validation_scores.y_true, validation_scores.scores, "score_matrix_invalid"))
+    best = curve.agg(F.max(F.struct("micro_f1", (sign * F.col("threshold")).alias("signed")))).first()[0]
+    return sign * best.signed, best.micro_f1
+
+
 class UntouchedTestSession:
     """Lets one evaluator run, once; it is used up before the evaluator is even looked at."""
 

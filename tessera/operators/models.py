@@ -138,8 +138,6 @@ def registry_audits(specs: DataFrame) -> DataFrame:
     return got.select("registry_id", reasons.alias("reasons"), F.col("n").alias("system_count")).withColumn("allowed", F.size("reasons") == 0)
 
 
-#: Names of parameters that an audit lists at most; all are counted.
-MOST_NAMES = 1000
 
 
 @dataclass(frozen=True)
@@ -193,7 +191,7 @@ def _head_reason(members: int, frozen: int) -> list[str]:
 
 def audit_lora_trainability(parameters: DataFrame, target_suffixes: Iterable[str], classifier_path: str) -> TrainabilityAudit:
     """Adapters on all targets and nowhere else train, the classifier trains, the rest is frozen.
-    Of parameters that train and should not, the first MOST_NAMES are named."""
+    Of parameters that train and should not, all are named, so the audit is as long as these are."""
     raw = list(target_suffixes) if isinstance(target_suffixes, Iterable) and not isinstance(target_suffixes, str) else list(target_suffixes or "")
     suffixes = [x.strip() for x in raw if _filled(x)]
     path = _path(classifier_path)
@@ -209,7 +207,7 @@ def audit_lora_trainability(parameters: DataFrame, target_suffixes: Iterable[str
         F.array_sort(F.collect_set(F.when(on & adapter & target, module))).alias("matched"),
         F.count_if(on & ~adapter & ~head).alias("unexpected"),
     ).first()
-    named = p.where(F.col("valid") & on & ~adapter & ~head).select("name").orderBy("name").limit(MOST_NAMES).collect() if g["unexpected"] else []
+    named = p.where(F.col("valid") & on & ~adapter & ~head).select("name").orderBy("name").collect() if g["unexpected"] else []
     missed = any(not any(m == s or m.endswith("." + s) for m in g["matched"]) for s in suffixes)
     config = bool(suffixes) and len(set(suffixes)) == len(raw) and bool(path)
     reasons = [

@@ -1,3 +1,3 @@
 """Registered queries: `registry` has them all once this package is imported."""
 
-from . import registry, streams  # noqa: F401
+from . import registry, rules, streams  # noqa: F401

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import PARTITIONS, DedupResult, LabelConfig, LabelContract, SplitAssignment, SplitConfig, TokenizerConfig
-from ..functions.hashing import boundary, canonical_json
-from ..functions.identifiers import is_native_code, parse_native_icd9, stripped
-from ..operators import admissions, governance, labels, metrics, models, privacy, provenance, split, tokens
+from ..functions.hashing import boundary
+from ..functions.identifiers import is_native_code, stripped
+from ..operators import admissions, governance, labels, metrics, models, privacy, split, tokens
 from ..sources import tables
 from ..sources.staging import materialized
 
@@ -152,21 +152,6 @@ def native_code_filter(spark: SparkSession, folder: str) -> DataFrame:
     return codes.groupBy("code").agg(F.count("*").alias("n")).select("code", is_native_code(F.col("code")).alias("native"), "n")
 
 
-_RAW = (" 250.00", "V10.1\t", "E800", "4019", "25", "a41", "250.123")
-
-
-@query("parse_codes", rf"""WITH given AS (SELECT raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS code FROM (VALUES {', '.join(f"('{x}')" for x in _RAW)}) v(raw))
-SELECT raw, CASE WHEN {_VALID} THEN code END AS code FROM given""")
-def parse_codes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = []
-    for raw in _RAW:
-        try:
-            rows.append((raw, parse_native_icd9(raw)))
-        except ValueError:
-            rows.append((raw, None))
-    return spark.createDataFrame(rows, "raw string, code string")
-
-
 def _examples(spark: SparkSession, folder: str, text: bool = False) -> DataFrame:
     """Winners that have a valid code, with their labels."""
     notes = tables.notes(spark, folder) if text else tables.notes(spark, folder).withColumn("TEXT", F.lit(""))
@@ -274,6 +259,36 @@ def _cells(spark: SparkSession, folder: str) -> DataFrame:
     return cell.select("hadm_id", "label_index", "y", ((base + 40 * F.col("y")).cast("double") / F.lit(100.0)).alias("score"))
 
 
+def _label_table(spark: SparkSession, folder: str) -> tuple[SplitAssignment, labels.LabelTable]:
+    assigned = _assigned(spark, folder)
+    return assigned, labels.fit_label_table(assigned.train, LabelConfig("all_training_labels", SUPPORT))
+
+
+@query("label_table_digest", ORACLE["label_vocabulary_digest"])
+def label_table_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """The same digest without the vocabulary on the driver."""
+    _, table = _label_table(spark, folder)
+    return spark.createDataFrame([(table.audit.vocabulary_size, table.vocabulary_hash)], "labels long, digest string")
+
+
+def _sparse(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Samples, true cells, scored cells and the number of labels: the cells of `_cells`, of which
+    those that score nothing are left out."""
+    assigned, table = _label_table(spark, folder)
+    found = labels.sparse_labels(assigned.validation, table)
+    samples = found.rows.select(F.col("hadm_id").alias("sample_id"))
+    truth = materialized(found.rows.select(F.col("hadm_id").alias("sample_id"), F.explode("indices").alias("label_index")))
+    every = _cells(spark, folder).where("score > 0").select(F.col("hadm_id").alias("sample_id"), "label_index", "score")
+    return samples, truth, materialized(every), found.width
+
+
+@query("encode_sparse_labels", f"{_CELLS} SELECT hadm_id, coalesce(string_agg(CAST(label_index AS VARCHAR), ',' ORDER BY label_index) FILTER (WHERE y = 1), '') AS indices FROM cells GROUP BY hadm_id")
+def encode_sparse_labels(spark: SparkSession, folder: str) -> DataFrame:
+    assigned, table = _label_table(spark, folder)
+    rows = labels.sparse_labels(assigned.validation, table).rows
+    return rows.select("hadm_id", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
+
+
 @query("encode_labels", f"{_CELLS} SELECT hadm_id, string_agg(CAST(y AS VARCHAR), '' ORDER BY label_index) AS encoded FROM cells GROUP BY hadm_id")
 def encode_labels(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = _encoded(spark, folder)
@@ -367,6 +382,37 @@ def precision_at_k(spark: SparkSession, folder: str) -> DataFrame:
     return total.select("k", "samples", "hits", F.round(F.col("hits") / F.col("k") / F.col("samples"), 10).alias("precision"))
 
 
+@query("sparse_metrics", f"""{_CELLS}, hits AS (SELECT *, {_HIT} AS h FROM cells), counts AS (SELECT label_index, {_COUNTS} FROM hits GROUP BY label_index),
+scored AS (SELECT *, {_F1} AS f1 FROM counts), total AS (SELECT {_sum('tp')} AS tp, {_sum('fp')} AS fp, {_sum('fn')} AS fn FROM counts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY score DESC, label_index) AS place FROM cells)
+SELECT {_F1} AS micro_f1, (SELECT round(sum(f1) / count(*), 10) FROM scored) AS macro_f1, (SELECT count(DISTINCT hadm_id) FROM cells) AS sample_count, (SELECT count(*) FROM counts) AS label_count,
+       {', '.join(f"(SELECT round(CAST(sum(y) AS DOUBLE) / {k} / count(DISTINCT hadm_id), 10) FROM ranked WHERE place <= {k}) AS precision_at_{k}" for k in KS)} FROM total""")
+def sparse_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation from cells that are true or score anything."""
+    samples, truth, scores, width = _sparse(spark, folder)
+    r = metrics.sparse_metrics(samples, truth, scores, width, THRESHOLD, KS, "available")
+    row = (r.micro_f1, round(r.macro_f1, 10), r.sample_count, r.label_count, *(round(p, 10) for _, p in r.precision_at_k))
+    return spark.createDataFrame([row], "micro_f1 double, macro_f1 double, sample_count long, label_count long, " + ", ".join(f"precision_at_{k} double" for k in KS))
+
+
+_ALL_CUTS = f"""{_CELLS}, each AS (SELECT score, sum(y) AS y, count(*) AS n FROM cells GROUP BY score),
+summed AS (SELECT score AS threshold, CAST(sum(y) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w - sum(y) OVER w AS BIGINT) AS fp, CAST(sum(y) OVER () - sum(y) OVER w AS BIGINT) AS fn FROM each WINDOW w AS (ORDER BY score DESC)),
+curve AS (SELECT threshold, tp, fp, fn, {_F1} AS micro_f1 FROM summed)"""
+
+
+@query("exact_threshold_curve", f"{_ALL_CUTS} SELECT * FROM curve")
+def exact_threshold_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.score_curve(_cells(spark, folder))
+
+
+@query("exact_threshold_selection", f"""{_ALL_CUTS} SELECT * FROM (SELECT 'lowest_threshold' AS tie_break, threshold, micro_f1 FROM curve ORDER BY micro_f1 DESC, threshold LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'highest_threshold' AS tie_break, threshold, micro_f1 FROM curve ORDER BY micro_f1 DESC, threshold DESC LIMIT 1)""")
+def exact_threshold_selection(spark: SparkSession, folder: str) -> DataFrame:
+    cells = materialized(_cells(spark, folder).withColumnRenamed("hadm_id", "sample_id"))
+    scores = metrics.TaggedScores("validation", cells.select("sample_id", "label_index", "y"), cells.select("sample_id", "label_index", "score"))
+    return spark.createDataFrame([(x, *metrics.select_exact_threshold(scores, x)) for x in ("lowest_threshold", "highest_threshold")], "tie_break string, threshold double, micro_f1 double")
+
+
 _CURVE = f"""{_CELLS}, candidates AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES {', '.join(f'({t})' for t in CANDIDATES)}) c(t)),
 hits AS (SELECT threshold, y, CASE WHEN score >= threshold THEN 1 ELSE 0 END AS h FROM cells CROSS JOIN candidates), counts AS (SELECT threshold, {_COUNTS} FROM hits GROUP BY threshold),
 curve AS (SELECT threshold, tp, fp, fn, {_F1} AS micro_f1 FROM counts)"""
@@ -504,63 +550,6 @@ def gate_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return governance.data_access_decisions(_requests(spark, folder)).select("n_nationkey", F.array_join("reasons", ",").alias("reasons"), "allowed")
 
 
-@query("training_gate", f"""WITH flags AS (SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in ('valid', 'elsewhere', *governance.RUNTIME_FLAGS))}) f(name)),
-runtime AS (SELECT name, CASE WHEN name = 'elsewhere' THEN 'kaggle' ELSE '{governance.FIXTURE_LOCATION}' END AS place, name <> 'synthetic_only' AS synthetic FROM flags),
-d AS (SELECT name, list_filter([
-  CASE WHEN place <> '{governance.FIXTURE_LOCATION}' THEN 'location_not_approved' END, CASE WHEN place = 'kaggle' THEN 'kaggle_not_allowed' END,
-  CASE WHEN place <> '{governance.FIXTURE_LOCATION}' THEN 'fixture_location_forbidden' END,
-  CASE WHEN name = 'network_enabled' THEN 'network_must_be_disabled' END, CASE WHEN name = 'external_logging' THEN 'external_logging_forbidden' END,
-  CASE WHEN name = 'raw_transfer_requested' THEN 'training_raw_transfer_forbidden' END, CASE WHEN NOT synthetic THEN 'synthetic_only_required' END,
-  CASE WHEN name = 'gpu_job' THEN 'gpu_job_forbidden' END, CASE WHEN name = 'restricted_runtime_authorized' THEN 'restricted_runtime_forbidden' END], lambda x: x IS NOT NULL) AS reasons FROM runtime)
-SELECT name, len(reasons) = 0 AS allowed, array_to_string(reasons, ',') AS reasons FROM d""")
-def training_gate(spark: SparkSession, folder: str) -> DataFrame:
-    manifest = governance.RightsEnvironmentManifest.from_mapping({
-        "schema_version": 1, "fixture_only": True, "dataset_reference": "d", "source_revision": "r", "data_use_terms_reference": "t", "rights_status": "approved",
-        "rights_expires_on": "2030-01-01", "decision_reference": "x", "approved_locations": [governance.FIXTURE_LOCATION], "kaggle_allowed": False,
-        "raw_transfer_allowed_locations": [], "retention_policy_reference": "p", "artifact_policy_reference": "a",
-    })
-    good = {"location": governance.FIXTURE_LOCATION} | {x: x == "synthetic_only" for x in governance.RUNTIME_FLAGS}
-    cases = {"valid": good} | {x: good | {x: not good[x]} for x in governance.RUNTIME_FLAGS} | {"elsewhere": good | {"location": "kaggle"}}
-    rows = []
-    for name, runtime in cases.items():
-        d = governance.authorize_training(manifest, runtime, as_of_date=datetime.date(2029, 1, 1))
-        rows.append((name, d.allowed, ",".join(d.reasons)))
-    return spark.createDataFrame(rows, "name string, allowed boolean, reasons string")
-
-
-_RUN = {
-    "schema_version": 1, "fixture_only": True, "command": ["python", "-m", "unittest", "discover"], "versions": {"spark": "4"}, "seeds": {"split": SPLIT.seed}, "hashes": {"config": "sha256:" + "0" * 64},
-    "device": {"environment": "local-offline-synthetic", "kind": "cpu"}, "artifact_paths": ["artifacts/synthetic/metrics.json"],
-}
-_CHANGED = {"command": ({"command": ["bash"]}, "command_not_allowed"), "device": ({"device": {"kind": "gpu"}}, "device_scope_invalid"), "path": ({"artifact_paths": ["/tmp/x"]}, "artifact_paths_invalid"), "seed": ({"seeds": {"a": -1}}, "seeds_invalid")}
-
-
-@query("provenance_digest", f"""SELECT 'valid' AS name, 'sha256:' || sha256('{canonical_json(_RUN)}') AS digest, NULL AS reason
-UNION ALL SELECT * FROM (VALUES {', '.join(f"('{k}', CAST(NULL AS VARCHAR), '{reason}')" for k, (_, reason) in _CHANGED.items())}) v(name, digest, reason)""")
-def provenance_digest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = []
-    for name, change in {"valid": {}, **{k: x for k, (x, _) in _CHANGED.items()}}.items():
-        try:
-            rows.append((name, provenance.RunProvenance.from_mapping(_RUN | change).digest(), None))
-        except ValueError as e:
-            rows.append((name, None, str(e)))
-    return spark.createDataFrame(rows, "name string, digest string, reason string")
-
-
-@query("registry_audit", """SELECT name, reasons = '' AS allowed, reasons, CAST(n AS BIGINT) AS system_count FROM (VALUES ('valid', '', 5), ('missing', 'exact_system_set_required', 4),
-  ('repeated', 'duplicate_logical_system', 6), ('unpinned', 'neural_revision_not_immutable,family_revision_mismatch', 5), ('parity', 'family_revision_mismatch', 5)) v(name, reasons, n)""")
-def registry_audit(spark: SparkSession, folder: str) -> DataFrame:
-    def spec(name: str, **other) -> models.ModelSpec:
-        family, kind = models.SYSTEMS[name]
-        neural = {"tokenizer_reference": f"{family}-tokenizer", "tokenizer_revision": "commit:" + "b" * 40} if name != "rule" else {"tokenizer_reference": None, "tokenizer_revision": None}
-        return models.ModelSpec(**({"logical_system": name, "family": family, "adaptation": kind, "model_reference": f"{family}-model", "model_revision": "commit:" + "a" * 40, "label_contract_digest": "sha256:labels", "output_contract": "scores_v1"} | neural | other))
-
-    every = [spec(x) for x in models.SYSTEMS]
-    cases = {"valid": every, "missing": every[1:], "repeated": [*every, every[0]], "unpinned": [*every[:4], spec("general_full", model_revision="main")], "parity": [*every[:2], spec("domain_full", model_reference="other"), *every[3:]]}
-    audits = {k: models.validate_five_system_registry(v) for k, v in cases.items()}
-    return spark.createDataFrame([(k, a.allowed, ",".join(a.reasons), a.system_count) for k, a in audits.items()], "name string, allowed boolean, reasons string, system_count long")
-
-
 def _parameters(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as parameters: some adapters on query and value modules, a head, the rest frozen."""
     key = F.col("p_partkey")
