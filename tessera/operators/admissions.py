@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,8 +155,8 @@ def _accepted_examples(got: dict, diagnoses: DataFrame, unlabelled: str) -> None
     require((got["notes"] > 0, "notes must not be empty"), (not refused or not diagnoses.isEmpty(), "diagnosis list must not be empty"))
     require(
         (got["many"] == 0, "duplicate admission found in notes: deduplicate them first"),
-        (got["clash"] is None, f"ownership conflict: a diagnosis of admission {got['clash']!r} names another subject"),
-        (not refused, f"no diagnosis rows with a valid code for admission {got['without']!r}"),
+        (got.get("clash") is None, f"ownership conflict: a diagnosis of admission {got.get('clash')!r} names another subject"),
+        (not refused, f"no diagnosis rows with a valid code for admission {got.get('without')!r}"),
         (got["odd_subject"] == 0, "subject_id: must be non-empty with no surrounding whitespace"), (got["odd_hadm"] == 0, "hadm_id: must be non-empty with no surrounding whitespace"),
     )
 
@@ -195,8 +195,53 @@ def prepare_examples(records: DataFrame, policy: DedupPolicy, diagnoses: DataFra
     total = records.count()
 
     def accept(got: dict) -> None:
-        audit.extend((_accepted_winners({k: got[k] for k in winners_seen.get}, total), got["bare"]))
+        audit.extend((_accepted_winners(got, total), got["bare"]))
         _accepted_examples(got, diagnoses, unlabelled)
 
     out = audited(_observed_examples(left, diagnoses, unlabelled, examples_seen), [winners_seen, examples_seen], accept, path)
     return PreparedExamples(out, *audit)
+
+
+# -- notes without column types -------------------------------------------------------------------
+
+_KINDS = {"BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "STRING": "str", "BOOLEAN": "bool", "VOID": "null"}
+
+
+def value_kind(value: Column) -> Column:
+    """int, float, str, bool, null, list or dict: what a variant's value is, whatever its width."""
+    schema = F.schema_of_variant(value)
+    out = F.when(F.startswith(schema, F.lit("OBJECT")), "dict").when(F.startswith(schema, F.lit("ARRAY")), "list").when(F.startswith(schema, F.lit("DECIMAL")), F.when(F.endswith(schema, F.lit(",0)")), "int").otherwise("float"))
+    for name, kind in _KINDS.items():
+        out = out.when(schema == name, kind)
+    return out
+
+
+def type_conflicts(records: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """key, field, kinds and schema of each group whose variant field holds values of several kinds.
+    Kinds are seven, so what is collected a group is bounded; schemas merge map-side."""
+    aggregates = [x for f in fields for x in (F.array_sort(F.collect_set(value_kind(F.col(f)))).alias(f"_kinds_{f}"), F.schema_of_variant_agg(f).alias(f"_schema_{f}"))]
+    each = records.groupBy(key).agg(*aggregates)
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_kinds_{f}").alias("kinds"), F.col(f"_schema_{f}").alias("schema")) for f in fields))
+    return each.select(key, F.explode(rows).alias("x")).select(key, "x.*").where(F.size("kinds") > 1)
+
+
+def notes_from_variants(records: DataFrame, value: str, policy: DedupPolicy) -> tuple[DataFrame, DedupPolicy]:
+    """Notes of the policy's category from a column of variant objects, and the policy to deduplicate
+    them by. Raises ValueError where a field is missing, or where an admission's order or tie-break
+    values are of several kinds; admissions may differ. Each such field becomes two columns, _number
+    and _text, one of them null, which order as the values do within a kind."""
+    keys = (policy.order_field, *policy.tie_break_fields)
+    needed = ("SUBJECT_ID", "HADM_ID", "TEXT", *keys)
+    at = lambda name, kind: F.try_variant_get(value, f"$['{name}']", kind)
+    chosen = records.where(at(policy.category_field, "string") == F.lit(policy.category_value)).select(*(at(x, "variant").alias(x) for x in needed))
+    hadm = F.try_variant_get("HADM_ID", "$", "string").alias("HADM_ID")
+    missing = chosen.agg(*(F.count_if(F.col(x).isNull()).alias(x) for x in needed)).first()
+    require(*((missing[x] == 0, f"records miss the required field {x!r}") for x in needed))
+    mixed = type_conflicts(chosen.select(hadm, *keys), "HADM_ID", keys).limit(1).collect()
+    require((not mixed, f"type inconsistency for field {mixed[0].field!r}: {', '.join(mixed[0].kinds)} in admission {mixed[0].HADM_ID!r}" if mixed else ""))
+    text = lambda x: F.try_variant_get(x, "$", "string")
+    number = lambda x: F.coalesce(F.try_variant_get(x, "$", "decimal(38,10)"), F.try_variant_get(x, "$", "boolean").cast("int").cast("decimal(38,10)"))
+    columns = [c for x in keys for c in (F.when(value_kind(F.col(x)) != "str", number(x)).alias(f"{x}_number"), F.when(value_kind(F.col(x)) == "str", text(x)).alias(f"{x}_text"))]
+    rows = chosen.select(text("SUBJECT_ID").alias("SUBJECT_ID"), hadm, text("TEXT").alias("TEXT"), F.lit(policy.category_value).alias(policy.category_field), *columns)
+    names = [f"{x}_{part}" for x in keys for part in ("number", "text")]
+    return rows, DedupPolicy(policy.category_field, policy.category_value, names[0], policy.keep, tuple(names[1:]))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..contracts import PARTITIONS, SplitAssignment, SplitAudit, SplitConfig, require
 from ..functions.hashing import below, canonical_json, sha256_hex, subject_hash
+from ..sources.staging import audited
 
 
 def partition_of(subject: Column, config: SplitConfig) -> Column:
@@ -51,6 +52,23 @@ def split_by_subject(examples: DataFrame, config: SplitConfig, ordered: bool = F
     return SplitAssignment(dealt.orderBy("partition", "subject_id", "hadm_id") if ordered else dealt, audit, checked=True)
 
 
+def write_split(assignment: SplitAssignment, path: str) -> DataFrame:
+    """The examples at path, a folder a partition, by one job that counts them as it writes: unless
+    they are as the audit says, nothing is left there."""
+    seen = Observation()
+    tag = F.col("partition")
+    counted = assignment.examples.observe(seen, F.count(F.lit(1)).alias("all"), *(F.count_if(tag == p).alias(p) for p in PARTITIONS))
+    want = dict(assignment.audit.admission_counts)
+
+    def accept(got: dict) -> None:
+        require(
+            (got["all"] == sum(want.values()), f"audit: {sum(want.values())} admissions counted, {got['all']} written"),
+            *((got[p] == want[p], f"audit: {want[p]} admissions of {p} counted, {got[p]} written") for p in PARTITIONS),
+        )
+
+    return audited(counted, [seen], accept, path, ("partition",))
+
+
 def assert_subject_disjoint(assignment: SplitAssignment) -> None:
     bad = subject_overlap(assignment.examples).select("partitions").limit(1).collect()
     require((not bad, f"subject overlap between {' and '.join(bad[0][0][:2])}" if bad else ""))
@@ -60,3 +78,44 @@ def partition_manifest_digest(assignment: SplitAssignment) -> str:
     """SHA-256 of the audit as canonical JSON; nothing but counts and the configuration."""
     assert_subject_disjoint(assignment)
     return sha256_hex(canonical_json(asdict(assignment.audit)))
+
+
+# -- across runs ---------------------------------------------------------------------------------
+
+#: Entries of a theta sketch, as a power of two: its estimates err by some 1 / sqrt(2**SKETCH_BITS).
+SKETCH_BITS = 14
+
+
+def subject_sketches(examples: DataFrame, run: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """run, partition and a mergeable sketch of its subjects: some 8 * 2**bits bytes a row, whatever
+    the run's size. Kept per run, they tell of overlaps without the runs' rows."""
+    return examples.groupBy("partition").agg(F.theta_sketch_agg("subject_id", bits).alias("subjects")).select(F.lit(run).alias("run"), "partition", "subjects")
+
+
+def partition_estimates(sketches: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """partition and its subjects over all runs, about: sketches merge, a subject of several runs
+    counts once."""
+    return sketches.groupBy("partition").agg(F.theta_sketch_estimate(F.theta_union_agg("subjects", bits)).alias("subjects"))
+
+
+def touching(sketches: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """run, partition, other_partition and shared (about): where a run's partition may share a subject
+    with another partition of any run. Sketches of up to 2**bits subjects hold them all and miss
+    nothing; fuller ones are samples, so where one takes part the pair is named whatever they share.
+    Each run is held against the merged sketch of each partition, not against each run."""
+    merged = sketches.groupBy("partition").agg(F.theta_union_agg("subjects", bits).alias("_all")).withColumnRenamed("partition", "other_partition")
+    both = sketches.join(F.broadcast(merged), F.col("partition") != F.col("other_partition"))  # a row a partition
+    shared = F.theta_sketch_estimate(F.theta_intersection("subjects", "_all"))
+    sampled = F.greatest(F.theta_sketch_estimate("subjects"), F.theta_sketch_estimate("_all")) > F.lit(1 << bits)
+    return both.select("run", "partition", "other_partition", shared.alias("shared"), sampled.alias("_sampled")).where("shared > 0 OR _sampled").drop("_sampled")
+
+
+def confirmed_overlap(examples: DataFrame, touched: DataFrame) -> DataFrame:
+    """subject_overlap of examples (with their run) over what touches alone: rows of the named runs'
+    partitions, and of the partitions that these touch."""
+    own = touched.select("run", "partition").distinct()
+    others = touched.select(F.col("other_partition").alias("partition")).distinct()
+    rows = examples.select("run", "partition", "subject_id")
+    named = rows.join(F.broadcast(own), ["run", "partition"], "left_semi")  # three rows a run at most
+    beside = rows.join(F.broadcast(others), "partition", "left_semi").select("run", "partition", "subject_id")
+    return subject_overlap(named.unionByName(beside))

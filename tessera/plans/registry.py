@@ -214,6 +214,30 @@ def split_overlap_rows(spark: SparkSession, folder: str) -> DataFrame:
     return split.subject_overlap(moved).select("subject_id", F.array_join("partitions", ",").alias("partitions"))
 
 
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The moved examples as four runs."""
+    return materialized(_moved(spark, folder).select("subject_id", "partition", F.concat(F.lit("run "), F.col("hadm_id").cast("long") % 4).alias("run")))
+
+
+def _run_sketches(rows: DataFrame) -> DataFrame:
+    made = [split.subject_sketches(rows.where(F.col("run") == f"run {k}"), f"run {k}") for k in range(4)]
+    return materialized(made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]))
+
+
+@query("sketched_subject_counts", f"{_BASE}, {_DEALT} SELECT partition, count(DISTINCT subject_id) AS subjects FROM dealt GROUP BY partition")
+def sketched_subject_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """From four runs' sketches alone; exact up to 16,384 subjects a partition, then within some 1 %."""
+    return split.partition_estimates(_run_sketches(_runs(spark, folder)))
+
+
+@query("sketched_overlap_rows", ORACLE["split_overlap_rows"])
+def sketched_overlap_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches tell which runs touch; the subjects are looked up in these."""
+    rows = _runs(spark, folder)
+    found = split.confirmed_overlap(rows, split.touching(_run_sketches(rows)))
+    return found.select("subject_id", F.array_join("partitions", ",").alias("partitions"))
+
+
 @query("partition_manifest_digest", f"""{_BASE}, counts AS (SELECT p.partition, place, count(DISTINCT subject_id) AS subjects, count(subject_id) AS admissions
   FROM (VALUES (0, 'train'), (1, 'validation'), (2, 'test')) p(place, partition) LEFT JOIN examples USING (partition) GROUP BY place, p.partition)
 SELECT sha256('{{"admission_counts":[' || string_agg('["' || partition || '",' || admissions || ']', ',' ORDER BY place) || '],"algorithm":"sha256_subject","ratios":[0.6,0.2,0.2],"seed":8408,"subject_counts":['

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import admissions
 from ..sources.tables import read_table
 from ..streaming import latest, replay, windows
 from .registry import query
@@ -89,3 +90,14 @@ def event_latest_streamed(spark: SparkSession, folder: str) -> DataFrame:
     stream = _stream(spark, folder).select("user_id", "day", "event_id", "event_type", "value", "at")
     found = replay.run(latest.latest_per_key(stream, "at", ["user_id", "day"], ["at", "event_id"], DAY_S * 1000))
     return found.withColumn("at_us", F.unix_micros("at")).drop("at")
+
+
+# Orders that come as texts or as fractions now and then.
+@query("event_type_conflicts", """WITH typed AS (SELECT user_id, CASE event_id % 40 WHEN 3 THEN 'str' WHEN 4 THEN 'float' WHEN 5 THEN 'null' ELSE 'int' END AS kind FROM events)
+SELECT user_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM typed GROUP BY user_id HAVING count(DISTINCT kind) > 1""")
+def event_type_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    case = F.col("event_id") % 40
+    shown = F.when(case == 3, F.concat(F.lit('"'), k, F.lit('"'))).when(case == 4, F.concat(k, F.lit(".5"))).when(case == 5, F.lit("null")).otherwise(k)
+    rows = read_table(spark, folder, "events").select("user_id", F.parse_json(shown).alias("order"))
+    return admissions.type_conflicts(rows, "user_id", ("order",)).select("user_id", F.array_join("kinds", ",").alias("kinds"))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own = ""
@@ -68,6 +69,23 @@ def clean_up(spark: SparkSession) -> None:
     files.delete(folder, True)
 
 
+class _Seen(dict):
+    """Observed metrics; what Spark didn't observe, as it knew that there are no rows, counts 0."""
+
+    def __missing__(self, name: str) -> int:
+        return 0
+
+
+def _seen(observations: list[Observation]) -> dict:
+    found = _Seen()
+    for o in observations:
+        try:
+            found.update(o.get)
+        except Py4JJavaError:  # a row without a schema stands for no metrics
+            pass
+    return found
+
+
 def audited(df: DataFrame, observations: list[Observation], accept: Callable[[dict], None], path: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a table, by one job, once accept has seen what was observed while its rows were
     written. accept raises to refuse them; nothing is left then. With a path the table is moved there
@@ -90,7 +108,7 @@ def audited(df: DataFrame, observations: list[Observation], accept: Callable[[di
     place, files = path_of(spark, staged)
     try:
         df.write.partitionBy(*partition_by).parquet(staged)
-        accept({k: v for o in observations for k, v in o.get.items()})
+        accept(_seen(observations))
         if path and not files.rename(place, target):
             raise OSError(f"{path}: the accepted table could not be moved there")
     except BaseException:
