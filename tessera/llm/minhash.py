@@ -1,6 +1,7 @@
 """Near-duplicate groups by circulant MinHash, bands and exact Jaccard similarity.
 
-A document's set holds hashes of its distinct word shingles. Two permutations make all
+A document's set holds hashes of its distinct word shingles; its size counts shingles that differ in
+words, even where their hashes are equal. Two permutations make all
 signature coordinates: sigma spreads a shingle over 2**32 places, pi (a bijection of these)
 ranks them, and coordinate k is the least pi(sigma(x) + k mod 2**32), pi shifted circularly
 by k. Documents of the same words form one class (by a 128-bit hash of them); classes that
@@ -15,7 +16,8 @@ links that join components, so no list of pairs is ever made. Candidates whose s
 agree in too few places (five standard deviations under the threshold) are dropped before
 full sets are compared. Two texts share no bucket with probability (1 - t**ROWS)**BANDS:
 7e-7 at a similarity t of 0.85 and 1e-4 at 0.8; texts half alike share one in 4 cases of 10.
-Sets are compared by hashes first, and a link is confirmed on the shingles' own words.
+Sets are compared by hashes first, unless two shingles of one text share a hash, and a link is
+confirmed on the shingles' own words.
 
 Defined results: null texts, empty ones and ones without words have the empty set and are
 linked with nothing; fewer words than a shingle make one shingle of all of them; a text of any
@@ -41,8 +43,9 @@ PLACES = BANDS * ROWS
 KEY = ["n_shingles", "t1", "t2"]
 
 
-def shingle_sets(column, n: int) -> Iterator[tuple[int, object]]:
-    """(row, sorted distinct shingle hashes) of a string column without nulls."""
+def shingle_sets(column, n: int) -> Iterator[tuple[int, object, int]]:
+    """(row, sorted distinct shingle hashes, distinct shingles) of a string column without nulls.
+    Windows of different hashes differ; of those that share a hash, the words are compared."""
     import numpy as np
 
     from .words import U, mix, shingle_hashes, word_hashes
@@ -52,11 +55,36 @@ def shingle_sets(column, n: int) -> Iterator[tuple[int, object]]:
         for k in range(len(at) - 1):
             s, e = int(at[k]), int(at[k + 1])
             if e - s >= n:
-                yield a + k, np.unique(every[s : e - n + 1])
+                own = every[s : e - n + 1]
+                found = np.unique(own)
+                yield a + k, found, len(own) if len(found) == len(own) else distinct_shingles(own, words_of(column[a + k].as_py()), n)
             elif e > s:
-                yield a + k, mix(shingle_hashes(h[s:e], e - s) + U(e - s))
+                yield a + k, mix(shingle_hashes(h[s:e], e - s) + U(e - s)), 1
             else:
-                yield a + k, np.zeros(0, U)
+                yield a + k, np.zeros(0, U), 0
+
+
+def distinct_shingles(hashes, words: list[bytes], n: int) -> int:
+    """How many different windows a text has: those of a hash of their own, and of the others each
+    run of words once."""
+    import numpy as np
+
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    same = ordered[1:] == ordered[:-1]
+    shared = np.r_[same, False] | np.r_[False, same]
+    return int(len(order) - shared.sum()) + len({b" ".join(words[i : i + n]) for i in order[shared].tolist()})
+
+
+def may_be_similar(s, size_s: int, t, size_t: int, percent: int) -> bool:
+    """False only if two sets can't have percent of their union in common: where each shingle of a text
+    has a hash of its own, common hashes are no fewer than common shingles."""
+    import numpy as np
+
+    if size_s != len(s) or size_t != len(t):
+        return True
+    both = np.intersect1d(s, t, assume_unique=True).size
+    return both > 0 and 100 * both >= percent * (size_s + size_t - both)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -114,7 +142,7 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
         import xxhash
 
         def made(b, part: list) -> pa.RecordBatch:
-            rows, sets = [r for r, _ in part], [s for _, s in part]
+            rows, sets = [r for r, _, _ in part], [s for _, s, _ in part]
             full = [s for s in sets if len(s)]
             sig = signatures(full) if full else np.zeros((0, PLACES), np.uint32)
             bands = iter(band_keys(sig).astype(np.int64).tolist())
@@ -123,7 +151,7 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
             t = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).take(pa.array(rows)), pa.array([len(s) for s in sets], pa.int64()), pa.array(t[:, 0]), pa.array(t[:, 1]),
+                    b.column(0).take(pa.array(rows)), pa.array([size for _, _, size in part], pa.int64()), pa.array(t[:, 0]), pa.array(t[:, 1]),
                     pa.array([next(bands) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     pa.array([next(low).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                 ],
@@ -132,9 +160,9 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
 
         for b in batches:
             part, size = [], 0
-            for row, s in shingle_sets(b.column(1), n):
-                part.append((row, s))
-                size += len(s)
+            for found in shingle_sets(b.column(1), n):
+                part.append(found)
+                size += len(found[1])
                 if size > 150_000:
                     yield made(b, part)
                     part, size = [], 0
@@ -171,7 +199,6 @@ def _verified(pairs: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
     """Those pairs (a, b) whose full sets have percent of their union in common."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
         import zstandard
 
@@ -180,9 +207,8 @@ def _verified(pairs: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
             keep = []
             one, two = ([expand(z) for z in x.column(k).to_pylist()] for k in (2, 3))
             left, right = (shingle_sets(pa.array(y, pa.binary()), n) for y in (one, two))
-            for (k, s), (_, t) in zip(left, right, strict=True):
-                both = np.intersect1d(s, t, assume_unique=True).size
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both) and exactly_similar(one[k], two[k], percent, n))
+            for (k, *s), (_, *t) in zip(left, right, strict=True):
+                keep.append(may_be_similar(*s, *t, percent) and exactly_similar(one[k], two[k], percent, n))
             yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(packed.toDF("b", "z_b"), "b").join(packed.toDF("a", "z_a"), "a").select("a", "b", "z_a", "z_b")
@@ -204,15 +230,11 @@ class _Block:
         self.sig = np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
         self.bands = x.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         self.texts = [expand(z) for z in x.column("z").to_pylist()]
-        self.sets = [s for _, s in shingle_sets(pa.array(self.texts, pa.binary()), n)]
+        self.sets = [s for _, *s in shingle_sets(pa.array(self.texts, pa.binary()), n)]
         self.percent, self.least, self.n = percent, least, n
 
     def similar(self, i: int, j: int) -> bool:
-        import numpy as np
-
-        s, t = self.sets[i], self.sets[j]
-        both = np.intersect1d(s, t, assume_unique=True).size
-        return both > 0 and 100 * both >= self.percent * (len(s) + len(t) - both) and exactly_similar(self.texts[i], self.texts[j], self.percent, self.n)
+        return may_be_similar(*self.sets[i], *self.sets[j], self.percent) and exactly_similar(self.texts[i], self.texts[j], self.percent, self.n)
 
     def links(self) -> Iterator[tuple[int, int]]:
         import numpy as np
