@@ -13,8 +13,9 @@ taken once, and their distinct texts are dealt by hash into blocks of about BLOC
 each broadcast in turn (an item of more than ITEM_CHARS characters in parts that overlap by
 OVERLAP_CHARS). One block is one pass over the documents, which are never shuffled or
 grouped. Where there are more, a first pass drops the documents that share no seed with any
-block, by a broadcast map of 2**MAP_BITS seeds, and only the others, which are few, meet the
-blocks one by one; a block's broadcast is freed before the next.
+block, by a broadcast map of 2**MAP_BITS seeds, and only the others meet the
+blocks one by one; a block's broadcast is freed before the next. The more seeds there are, the more
+documents meet the map, and with very many items most do, so each block is then nearly a pass.
 
 Defined results: null texts and items count as empty and match nothing; items under MIN_ITEM
 words are not searched; a text of any length is searched whole; repeated rows of documents are

@@ -17,7 +17,8 @@ Steps, all bounded in memory by PIECE bytes of text or HELD words, however long
 3. The words with the most occurrences are broadcast, COMMON at most and none over COMMON_BYTES
    long, so documents are scored where they are read, but for their other words. Those leave
    as (word, row, times), meet the word table in a join by word, and come back as sums by row.
-   No word of that join occurs as often as the common ones, so no key of it is hot.
+   No word of up to COMMON_BYTES in that join occurs as often as the common ones; a longer word may,
+   and is then a hot key, which AQE splits.
 
 Defined results: null text counts as empty (the end alone); a null doc_id counts as the empty
 text when folds are dealt; repeated rows are documents of their own, each with its row; texts
