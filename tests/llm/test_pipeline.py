@@ -66,4 +66,4 @@ def test_stages_on_odd_tables(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
