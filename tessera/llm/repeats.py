@@ -2,7 +2,11 @@
 
 A window is `width` tokens in a row of one text. Its anchor is the least hash among the
 stretches of some shorter length in it (the leftmost of equal ones), so equal windows have
-equal anchors at equal places, and neighbouring windows mostly share one. Steps:
+equal anchors at equal places, and neighbouring windows mostly share one. Where a text repeats itself
+at a short distance (a ruler, zeros, padding), neighbouring windows have different anchors of one
+hash; they are one run, too, of RUN times the windows of one anchor at most. Such a run can hold
+equal windows itself, so the Finder looks at it even where it is alone, and what is left to send of
+it is one window for each place of the period. Steps:
 
 1. Each text's anchors, with the run of windows each stands for, go to their hash's task,
    which keeps those that occur twice. Within a batch, equal hashes are known to repeat, so
@@ -41,6 +45,8 @@ from .common import modest_batches, text_of, written
 GATHERED = 4_000_000
 _BITS = 21
 CHUNK_TOKENS = 1 << 20
+#: How many times the windows of one anchor a run of anchors of one hash has at most.
+RUN = 64
 
 
 @dataclass(frozen=True)
@@ -72,16 +78,21 @@ def sliding_min(x, n: int):
     return np.minimum(x[: len(x) - (n - have)], x[n - have :]) if have < n else x
 
 
+def reach(kind: Tokens, level: int = 0) -> int:
+    """How many windows in a row one anchor can stand for."""
+    return kind.width - kind.grams[min(level, len(kind.grams) - 1)] + 1
+
+
 def anchors(tokens, at, kind: Tokens, level: int = 0):
-    """(text, hash, first window, last window) arrays; tokens of texts in a row, `at` where they
-    start, with the end."""
+    """(text, hash, first window, last window, places of anchors) arrays; tokens of texts in a row, `at`
+    where they start, with the end."""
     import numpy as np
 
     from .words import U, mix
 
     found = []
     gram = kind.grams[min(level, len(kind.grams) - 1)]
-    reach = kind.width - gram + 1
+    most = reach(kind, level)
     total = len(tokens)
     live = np.zeros(total + 1, np.int32)
     sizes = np.diff(at)
@@ -93,20 +104,29 @@ def anchors(tokens, at, kind: Tokens, level: int = 0):
     for s in range(0, total, CHUNK_TOKENS):
         part = tokens[s : s + CHUNK_TOKENS + kind.width - 1]
         g = kind.stretches(part, gram)
-        if len(g) < reach:
+        if len(g) < most:
             break
-        least = sliding_min((g & ~mask) | np.arange(len(g), dtype=U), reach)[:CHUNK_TOKENS]
+        least = sliding_min((g & ~mask) | np.arange(len(g), dtype=U), most)[:CHUNK_TOKENS]
         place = (least & mask).astype(np.int64)
         ok = live[s : s + len(place)]
-        edge = np.flatnonzero((place[1:] != place[:-1]) | (ok[1:] != ok[:-1])) + 1
-        first = np.concatenate(([0], edge))
-        last = np.concatenate((edge, [len(place)])) - 1
-        first, last = first[ok[first]], last[ok[first]]
+        moved = np.concatenate(([True], (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])))
+        edge = np.flatnonzero(moved)
+        h = g[place[edge]]
+        same = np.concatenate(([False], (h[1:] == h[:-1]) & ok[edge[1:]] & ok[edge[1:] - 1]))
+        if same.any():  # one run, cut where it would be too long
+            start = np.maximum.accumulate(np.where(same, 0, edge))
+            nth = (edge - start) // (RUN * most)
+            same &= np.concatenate(([False], nth[1:] == nth[:-1]))
+        place_of = np.flatnonzero(~same)
+        places = np.diff(np.append(place_of, len(edge)))
+        first, h = edge[place_of], h[place_of]
+        last = np.append(first[1:], len(place)) - 1
+        own = ok[first]
+        first, last, h, places = first[own], last[own], h[own], places[own]
         text = np.searchsorted(at, s + first, "right") - 1
-        h = g[place[first]]
-        found.append((text, mix(h + U(level)) if level else h, s + first - at[text], s + last - at[text]))
+        found.append((text, mix(h + U(level)) if level else h, s + first - at[text], s + last - at[text], places))
     if not found:
-        return (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (np.zeros(0, np.int64), np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -118,9 +138,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(rows: DataFrame, kind: Tokens) -> DataFrame:
-    """part, h, doc_id, v, first, last, n: anchors with the key they go to; n counts a batch's equal
-    ones for the one that is sent, whose hash is the key itself (h is null), and is 0 for others."""
-    doc_kind = rows.schema["doc_id"].dataType.simpleString()
+    """part, h, doc_id, v, first, last, n, own: runs of anchors with the key they go to; n counts a
+    batch's equal ones for the one that is sent, whose hash is the key itself (h is null), and is 0 for
+    others; own: several places have the anchor, so the run counts for as many as its length makes it."""
+    doc_kind, most = rows.schema["doc_id"].dataType.simpleString(), reach(kind)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -129,32 +150,33 @@ def _anchor_rows(rows: DataFrame, kind: Tokens) -> DataFrame:
         from .words import U, mix
 
         for b in batches:
-            got = [(a + t, h, x, y) for a, _, tokens, at in kind.hashes(b.column(2)) for t, h, x, y in [anchors(tokens, at, kind)] if len(t)]
+            got = [(a + t, *rest) for a, _, tokens, at in kind.hashes(b.column(2)) for t, *rest in [anchors(tokens, at, kind)] if len(t)]
             if not got:
                 continue
-            row, h, first, last = (np.concatenate(x) for x in zip(*got))
-            _, where, counts = np.unique(h, return_index=True, return_counts=True)
+            row, h, first, last, places = (np.concatenate(x) for x in zip(*got))
+            weight = np.where(places > 1, 1 - (first - last - 1) // most, 1)
+            _, where, same = np.unique(h, return_index=True, return_inverse=True)
             n = np.zeros(len(h), np.int64)
-            n[where] = counts
+            n[where] = np.bincount(same, weight).astype(np.int64)
             part = np.where(n > 0, h, mix(h + np.arange(len(h), dtype=U)))
             row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.view(np.int64)), pa.array(h.view(np.int64), mask=n > 0), b.column(0).take(row), b.column(1).take(row), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["part", "h", "doc_id", "v", "first", "last", "n"],
+                [pa.array(part.view(np.int64)), pa.array(h.view(np.int64), mask=n > 0), b.column(0).take(row), b.column(1).take(row), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places > 1)],
+                ["part", "h", "doc_id", "v", "first", "last", "n", "own"],
             )
 
-    return rows.mapInArrow(run, f"part long, h long, doc_id {doc_kind}, v long, first int, last int, n int")
+    return rows.mapInArrow(run, f"part long, h long, doc_id {doc_kind}, v long, first int, last int, n int, own boolean")
 
 
 def _repeated(rows: DataFrame, doc_kind: str) -> DataFrame:
-    """h, doc_id, v, first, last, total of the anchors that occur twice or more; total is null for
+    """h, doc_id, v, first, last, own, total of the anchors that occur twice or more; total is null for
     those that passed by."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["h", "doc_id", "v", "first", "last", "total"]
+        names = ["h", "doc_id", "v", "first", "last", "own", "total"]
 
         def decided(x: pa.Table) -> pa.Table:
             part, n = x.column("part").to_numpy(), x.column("n").to_numpy()
@@ -163,7 +185,7 @@ def _repeated(rows: DataFrame, doc_kind: str) -> DataFrame:
             total = np.repeat(np.add.reduceat(n.astype(np.int64), edge), sizes)
             keep = (n == 0) | (total > 1)
             own = pa.array(np.where(n == 0, x.column("h").fill_null(0).to_numpy(), part))
-            out = x.select(["doc_id", "v", "first", "last"]).append_column("h", own).append_column("total", pa.array(total, mask=n == 0))
+            out = x.select(["doc_id", "v", "first", "last", "own"]).append_column("h", own).append_column("total", pa.array(total, mask=n == 0))
             return out.filter(pa.array(keep)).select(names).combine_chunks()
 
         rest = None
@@ -178,7 +200,7 @@ def _repeated(rows: DataFrame, doc_kind: str) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from decided(rest).to_batches()
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"h long, doc_id {doc_kind}, v long, first int, last int, total long")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"h long, doc_id {doc_kind}, v long, first int, last int, own boolean, total long")
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -286,9 +308,10 @@ def _settled(x, kind: Tokens, keep_first: bool, finder: Callable):
     return stretches, pa.table(cols, names=NAMES)
 
 
-def _sets(x, at_once: int) -> Iterator:
-    """Table x, sorted by h and salt, in whole groups of two segments or more, about at_once bytes at
-    a time; and the segments that are alone, as (table, alone)."""
+def _sets(x, at_once: int, own=None) -> Iterator:
+    """Table x, sorted by h and salt, in whole groups of two segments or more (or of one that may hold
+    equal windows itself: own), about at_once bytes at a time; and the segments that are alone, as
+    (table, alone)."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -296,12 +319,13 @@ def _sets(x, at_once: int) -> Iterator:
     h, salt = x.column("h").to_numpy(), x.column("salt").to_numpy()
     edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))))
     sizes = np.diff(np.append(edge, len(h)))
-    many = np.repeat(sizes > 1, sizes)
+    looked_at = (sizes > 1) | (np.logical_or.reduceat(own, edge) if own is not None else False)
+    many = np.repeat(looked_at, sizes)
     if not many.all():
         yield x.filter(pa.array(~many)), True
     if not many.any():
         return
-    x, sizes = x.filter(pa.array(many)).combine_chunks(), sizes[sizes > 1]
+    x, sizes = x.filter(pa.array(many)).combine_chunks(), sizes[looked_at]
     nbytes = np.cumsum(pc.binary_length(x.column("body")).to_numpy().astype(np.int64))
     ends = np.cumsum(sizes)
     at = done = 0
@@ -323,18 +347,20 @@ def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, k
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        rows, size, doc_type = [], 0, None
+        rows, selves, size, doc_type = [], [], 0, None
 
         def combined() -> Iterator:
             if not rows:
                 return
             x = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _types(doc_type))], names=NAMES)
+            order, own = np.argsort(x.column("h").to_numpy(), kind="stable"), np.array(selves)
             rows.clear()
+            selves.clear()
             # Salts part what is sent, but all that is here can be looked at together.
-            x = x.take(pa.array(np.argsort(x.column("h").to_numpy(), kind="stable")))
+            x = x.take(pa.array(order))
             plain = x.set_column(1, "salt", pa.array(np.zeros(x.num_rows, np.int32)))
             salts = iter(x.column("salt").to_pylist()) if x.column("salts").to_numpy().max() > 1 else None
-            for part, alone in _sets(plain, kind.at_once):
+            for part, alone in _sets(plain, kind.at_once, own[order]):
                 stretches, kept = (None, part) if alone else _settled(part, kind, keep_first, finder)
                 if stretches is not None:
                     yield stretches
@@ -351,7 +377,9 @@ def _segments(texts: DataFrame, lists: DataFrame, doc_kind: str, kind: Tokens, k
                 for r in sorted(runs, key=itemgetter("first", "last")):
                     body = cut(r["first"], r["last"] + kind.width)
                     rows.append((r["h"], 0, r["salts"], doc, v, r["first"], r["last"], body))
-                    size += len(body) + 100
+                    selves.append(r["own"])
+                    # Runs of one hash are one group, which is looked at whole.
+                    size += len(body) * (GATHERED // kind.at_once if r["own"] else 1) + 100
                     if size > GATHERED:
                         yield from combined()
                         size = 0
@@ -374,7 +402,7 @@ def _found(segments: DataFrame, doc_kind: str, kind: Tokens, keep_first: bool, f
             column = x.column("body").combine_chunks()
             bodies, base = column.to_pylist(), x.column("first").to_numpy()
             for a, _, tokens, at in kind.hashes(column):
-                text, h, first, last = anchors(tokens, at, kind, level)
+                text, h, first, last, _ = anchors(tokens, at, kind, level)  # one of each window is left
                 own = a + text
                 cut = [kind.part(bodies[s], p, q + kind.width) for s, p, q in zip(own.tolist(), first.tolist(), last.tolist())]
                 zero = np.zeros(len(own), np.int32)
@@ -441,8 +469,8 @@ def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder:
     rows = keyed(docs)
     repeated = written(_repeated(_anchor_rows(rows, kind), doc_kind), "repeated")
     many = written(repeated.where(F.col("total") > hot).groupBy("h").agg(F.max("total").alias("total")), "hot")
-    marked = _dealt(repeated.select("h", "doc_id", "v", "first", "last"), many, hot)
-    lists = marked.groupBy("doc_id", "v").agg(F.collect_list(F.struct("h", "first", "last", "salts")).alias("runs"))
+    marked = _dealt(repeated.select("h", "doc_id", "v", "first", "last", "own"), many, hot)
+    lists = marked.groupBy("doc_id", "v").agg(F.collect_list(F.struct("h", "first", "last", "own", "salts")).alias("runs"))
     # The filter is what the inner join below asks for; stated here, both joins share one exchange.
     texts = packed_texts(rows).where(F.col("doc_id").isNotNull())
     segments, found, level = _segments(texts, lists, doc_kind, kind, keep_first, finder), [], 0
@@ -458,7 +486,8 @@ def repeated_stretches(docs: DataFrame, kind: Tokens, keep_first: bool, finder:
         left = step.where(F.col("body").isNotNull())
         if left.isEmpty():
             break
-        many = written(left.groupBy("h").agg(F.count("*").alias("total")).where(F.col("total") > hot), f"hot-{level}")
+        size = F.ceil((F.col("last") - F.col("first") + 1) / reach(kind, level))
+        many = written(left.groupBy("h").agg(F.sum(size).alias("total")).where(F.col("total") > hot), f"hot-{level}")
         parted = not many.isEmpty()
         spread = F.pmod(F.xxhash64("doc_id", "v", "first"), F.col("salts")).cast("int")
         segments = _dealt(left.drop("salts"), many, hot).withColumn("salt", spread).select(*NAMES)

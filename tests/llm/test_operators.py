@@ -331,7 +331,7 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
     assert (np.concatenate(one) == np.concatenate([h for _, _, h, _ in words.word_hashes(column)])).all()
     tokens = np.frombuffer(data.encode(), np.uint8)
     at = np.array([0, len(tokens)])
-    _, h, first, last = repeats.anchors(tokens, at, radix_dedup.BYTES)
+    _, h, first, last, _ = repeats.anchors(tokens, at, radix_dedup.BYTES)
     covered = sorted(w for a, z in zip(first, last) for w in range(a, z + 1))
     assert covered == list(range(len(tokens) - 399))
 
