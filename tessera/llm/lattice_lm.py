@@ -14,11 +14,11 @@ Steps, all bounded in memory by PIECE bytes of text or HELD words, however long
 
 1. Count words. Tasks add up HELD distinct words before they send any, and Spark sums by word.
 2. Each distinct word is cut once for the piece counts, and scored once on the lattice.
-3. The words with the most occurrences are broadcast, COMMON at most and none over COMMON_BYTES
-   long, so documents are scored where they are read, but for their other words. Those leave
-   as (word, row, times), meet the word table in a join by word, and come back as sums by row.
-   No word of up to COMMON_BYTES in that join occurs as often as the common ones; a longer word may,
-   and is then a hot key, which AQE splits.
+3. The words with the most occurrences are broadcast, COMMON at most, so documents are scored
+   where they are read, but for their other words. Those leave as (key, row, times), meet the
+   word table in a join by key, and come back as sums by row. A word's key is the word itself, or
+   for words over LONG_WORD bytes their SHA-256, so keys are short and a long word can be common
+   like any other: none in that join occurs as often as the common ones.
 
 Defined results: null text counts as empty (the end alone); a null doc_id counts as the empty
 text when folds are dealt; repeated rows are documents of their own, each with its row; texts
@@ -28,6 +28,7 @@ are 0; an empty table gives no rows; other columns are ignored, whatever their n
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ from .common import modest_batches, text_of, written
 
 #: Bytes of text that are cut into words at once, and distinct words that a task adds up.
 PIECE, HELD = 1 << 20, 200_000
-#: How many words are broadcast, and how long one of them may be.
-COMMON, COMMON_BYTES = 100_000, 64
+#: How many words are broadcast, and over how many bytes a hash stands for one of them.
+COMMON, LONG_WORD = 100_000, 64
 SPACE = "▁"
 #: The end of a text in word counts; no word is empty.
 END = b""
@@ -63,6 +64,11 @@ def pieces_of(text: bytes, size: int = 0) -> Iterator[bytes]:
         at = to
 
 
+def key_of(word: bytes) -> bytes:
+    """The word, or for a long one its hash, after a byte that no text holds."""
+    return word if len(word) <= LONG_WORD else b"\xff" + hashlib.sha256(word).digest()
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     held = F.crc32(F.encode(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), "utf-8")) % 7 == 2
     return docs.select(docs["doc_id"], held.alias("held_out"), text_of(docs).cast("binary").alias("text"))
@@ -144,7 +150,7 @@ class Lattice:
     def score(self, word: str) -> float:
         s, edges, exp, log = SPACE + word, self.edges, math.exp, math.log
         size = len(s)
-        arrived: list[list[float]] = [[] for _ in range(size + 1)]  # log probabilities of paths' last steps, by where they end
+        arrived = defaultdict(list)  # log probabilities of paths' last steps, by where they end, as far as a piece reaches
         at = 0.0
         for i in range(size):
             j = i + 1
@@ -159,17 +165,16 @@ class Lattice:
                 else:
                     arrived[j].append(at + p)
                 j += 1
-            terms = arrived[i + 1]
+            terms = arrived.pop(i + 1)
             at = terms[0]
             if len(terms) > 1:
                 top = max(terms)
                 at = top + log(sum([exp(x - top) for x in terms]))
-            arrived[i + 1] = []
         return at / math.log(10)
 
 
 def _scored(words: DataFrame, model_file: str, counts: dict[int, int], ends: int) -> DataFrame:
-    """words with each one's lattice score."""
+    """words, by their keys, with each one's lattice score."""
     given = words.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator) -> Iterator:
@@ -177,14 +182,15 @@ def _scored(words: DataFrame, model_file: str, counts: dict[int, int], ends: int
 
         lattice = Lattice(model_file, given.value, ends)
         for b in batches:
-            log_p = [lattice.score(w.decode(errors="replace")) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(log_p, pa.float64())], ["word", "n", "m", "log_p"])
+            found = b.column(0).to_pylist()
+            log_p = [lattice.score(w.decode(errors="replace")) for w in found]
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, found), pa.binary()), *b.columns[1:], pa.array(log_p, pa.float64())], ["word", "n", "m", "log_p"])
 
     return words.where(F.length("word") > 0).select("word", "n", "m").mapInArrow(run, "word binary, n long, m long, log_p double")
 
 
 def _common(words: DataFrame) -> list[tuple[bytes, int, float]]:
-    """word, n and log_p of at most COMMON words, which occur more often than any other. Their least
+    """word (its key), n and log_p of at most COMMON words, which occur more often than any other. Their least
     count comes from a histogram in steps of an eighth, so no task or driver holds more."""
     step = F.floor(F.log2(F.col("m").cast("double")) * 8).cast("int").alias("step")
     least, total = None, 0
@@ -248,6 +254,8 @@ def _parts(rows: DataFrame, common: list[tuple[bytes, int, float]]) -> DataFrame
             for k, text in enumerate(b.column(3)):
                 for piece in pieces_of(text.as_py()):
                     w = piece.lower().split()
+                    if len(piece) > LONG_WORD and len(max(w, key=len, default=b"")) > LONG_WORD:
+                        w = [*map(key_of, w)]
                     found.append(np.fromiter(map(words.__getitem__, w), np.int32, len(w)))
                     at.append(k)
                     size += len(w)
@@ -269,7 +277,7 @@ def lm_scores(docs: DataFrame, model_file: str) -> DataFrame:
     n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
     pieces = {r[0]: r[1] for r in _piece_counts(words, model_file).collect()}  # bounded by the vocabulary
     scored = written(_scored(words, model_file, pieces, ends), "scored")
-    common = _common(scored.where(F.length("word") <= COMMON_BYTES))
+    common = _common(scored)
     parts = written(_parts(rows, common), "parts")
     floor, end = math.log10(n + v + 1), Lattice(model_file, pieces, ends).end
 
