@@ -11,10 +11,11 @@ Candidates, without all pairs of a bucket: first each member with the bucket's s
 (a star), verified on full sets and joined into components; then, in buckets that still
 hold several components, members outside the smallest one's component against the whole
 bucket, in blocks of about BLOCK members. A block takes a pair in the first band that the two
-share, leaves out pairs that are connected already, compares full sets itself and emits only
-links that join components, so no list of pairs is ever made. Candidates whose signatures
-agree in too few places (five standard deviations under the threshold) are dropped before
-full sets are compared. Two texts share no bucket with probability (1 - t**ROWS)**BANDS:
+share and leaves out pairs that are connected already. It is read twice: by signatures, which
+tell its members that have a likely partner in it, and then with the texts of these alone, where it
+compares full sets itself and emits only links that join components, so no list of pairs is ever
+made. Candidates whose signatures agree in too few places (five standard deviations under the
+threshold) are dropped before full sets are compared. Two texts share no bucket with probability (1 - t**ROWS)**BANDS:
 7e-7 at a similarity t of 0.85 and 1e-4 at 0.8; texts half alike share one in 4 cases of 10.
 Sets are compared by hashes first, unless two shingles of one text share a hash, and a link is
 confirmed on the shingles' own words.
@@ -217,36 +218,51 @@ def _verified(pairs: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
 
 
 class _Block:
-    """Links between documents of a block, found once per pair and only across components."""
+    """Members of a block and their open pairs: across components, in the first band that the two
+    share, with signatures that agree in `least` places."""
 
-    def __init__(self, x, percent: int, n: int, least: int):
+    def __init__(self, x, least: int):
         import numpy as np
-        import pyarrow as pa
-        import zstandard
 
-        expand = zstandard.ZstdDecompressor().decompress
         self.ids, self.comp, self.inside = (x.column(c).to_numpy(zero_copy_only=False).copy() for c in ("id", "component", "inside"))
         self.cross, self.band = x.column("t")[0].as_py() == 0, x.column("band")[0].as_py()
         self.sig = np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
         self.bands = x.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        self.texts = [expand(z) for z in x.column("z").to_pylist()]
-        self.sets = [s for _, *s in shingle_sets(pa.array(self.texts, pa.binary()), n)]
-        self.percent, self.least, self.n = percent, least, n
-
-    def similar(self, i: int, j: int) -> bool:
-        return may_be_similar(*self.sets[i], *self.sets[j], self.percent) and exactly_similar(self.texts[i], self.texts[j], self.percent, self.n)
+        self.least = least
 
-    def links(self) -> Iterator[tuple[int, int]]:
+    def open_pairs(self) -> Iterator[tuple]:
+        """(members, others, in how many places their signatures agree, or 0 where a pair isn't open),
+        64 members at a time; components are those of the moment."""
         import numpy as np
 
         one, two = (np.flatnonzero(self.inside), np.flatnonzero(~self.inside)) if self.cross else (np.arange(len(self.ids)),) * 2
-        for at in range(0, len(one), 64):
+        for at in range(0, len(one) if len(two) else 0, 64):
             left = one[at : at + 64]
             agree = (self.sig[left][:, None, :] == self.sig[two][None, :, :]).sum(2)
             same_band = self.bands[left][:, None, :] == self.bands[two][None, :, :]
             agree[(agree < self.least) | (same_band.argmax(2) != self.band)] = 0
             if not self.cross:
                 agree[left[:, None] >= two[None, :]] = 0
+            agree[self.comp[left][:, None] == self.comp[two][None, :]] = 0
+            yield left, two, agree
+
+    def with_partners(self):
+        """Mask of the members that are in an open pair."""
+        import numpy as np
+
+        out = np.zeros(len(self.ids), bool)
+        for left, two, agree in self.open_pairs():
+            out[left] |= agree.any(1)
+            out[two] |= agree.any(0)
+        return out
+
+    def links(self, texts: list[bytes], percent: int, n: int) -> Iterator[tuple]:
+        """Links between documents, found once per pair and only across components."""
+        import numpy as np
+        import pyarrow as pa
+
+        sets = [s for _, *s in shingle_sets(pa.array(texts, pa.binary()), n)]
+        for left, two, agree in self.open_pairs():
             while True:  # the likeliest open pair of each row, until none is left
                 agree[self.comp[left][:, None] == self.comp[two][None, :]] = 0
                 best = agree.argmax(1)
@@ -256,11 +272,34 @@ class _Block:
                 for r in rows:
                     i, j = left[r], two[best[r]]
                     agree[r, best[r]] = 0
-                    if self.comp[i] != self.comp[j] and self.similar(i, j):
+                    if self.comp[i] != self.comp[j] and may_be_similar(*sets[i], *sets[j], percent) and exactly_similar(texts[i], texts[j], percent, n):
                         self.comp[self.comp == self.comp[j]] = self.comp[i]
                         yield self.ids[i], self.ids[j]
 
 
+def _by_block(rows: DataFrame, group: list[str], found, schema: str) -> DataFrame:
+    """What found(table) yields for the rows of each group, gathered by an exchange."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        waiting = None
+        for b in batches:
+            x = pa.Table.from_batches([b])
+            x = (pa.concat_tables([waiting, x]) if waiting is not None else x).combine_chunks()
+            marks = np.stack([x.column(c).to_numpy() for c in group])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
+            bounds = [0, *cuts.tolist()]
+            for s, e in zip(bounds, bounds[1:]):
+                yield from found(x.slice(s, e - s).combine_chunks())
+            waiting = x.slice(bounds[-1])
+        if waiting is not None and waiting.num_rows:
+            yield from found(waiting.combine_chunks())
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
+
+
 def _within(members: DataFrame, packed: DataFrame, percent: int, n: int) -> DataFrame | None:
     """Links across components in buckets that hold several; members has key, band, id,
     component, sig, bands and inside (of the smallest member's component). None if there is no
@@ -270,7 +309,7 @@ def _within(members: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
     sizes = written(sizes, "open-buckets")
     if sizes.isEmpty():
         return None
-    rows = members.join(sizes, "key").join(packed.toDF("id", "z"), "id")
+    rows = members.join(sizes, "key")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     rows = rows.withColumns({"of_in": F.greatest(blocks("n_in"), F.lit(1)), "of_out": blocks("n_out")})
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("of_in")).otherwise(F.col("of_out"))).cast("int"))
@@ -280,35 +319,30 @@ def _within(members: DataFrame, packed: DataFrame, percent: int, n: int) -> Data
     cells = F.when(F.col("inside"), F.transform(upto("of_out"), lambda j: cell(0, own, j))).otherwise(
         F.concat(F.transform(upto("of_in"), lambda i: cell(0, i, own)), F.transform(upto("of_out"), lambda j: cell(1, F.least(j, own), F.greatest(j, own))))
     )
-    group, rest = ["key", "t", "i", "j"], ["band", "id", "component", "inside", "sig", "bands", "z"]
+    group, rest = ["key", "t", "i", "j"], ["band", "id", "component", "inside", "sig", "bands"]
     dealt = rows.select("key", F.explode(cells).alias("c"), *rest).select("key", "c.t", "c.i", "c.j", *rest)
 
-    def links_of(x) -> Iterator:
+    def likely(x) -> Iterator:
         import pyarrow as pa
 
-        found = list(_Block(x, percent, n, least).links()) if x.num_rows > 1 else []
-        if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if x.num_rows > 1:
+            yield from x.filter(pa.array(_Block(x, least).with_partners())).to_batches()
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
+    def linked(x) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
-        waiting = None
-        for b in batches:
-            x = pa.Table.from_batches([b])
-            x = (pa.concat_tables([waiting, x]) if waiting is not None else x).combine_chunks()
-            marks = np.stack([x.column(c).to_numpy() for c in group])
-            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
-            bounds = [0, *cuts.tolist()]
-            for s, e in zip(bounds, bounds[1:]):
-                yield from links_of(x.slice(s, e - s))
-            waiting = x.slice(bounds[-1])
-        if waiting is not None and waiting.num_rows:
-            yield from links_of(waiting)
+        expand = zstandard.ZstdDecompressor().decompress
+        found = list(_Block(x, least).links([expand(z) for z in x.column("z").to_pylist()], percent, n))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"a {kind}, b {kind}")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    left = written(_by_block(dealt, group, likely, schema), "likely-members")
+    if left.isEmpty():
+        return None
+    return _by_block(left.join(packed.toDF("id", "z"), "id").select(*left.columns, "z"), group, linked, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
