@@ -98,15 +98,24 @@ def partition_estimates(sketches: DataFrame, bits: int = SKETCH_BITS) -> DataFra
     return sketches.groupBy("partition").agg(F.theta_sketch_estimate(F.theta_union_agg("subjects", bits)).alias("subjects"))
 
 
+def subject_counts(examples: DataFrame, sketches: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """partition and its subjects over all runs, exactly: by the merged sketch where that holds every
+    subject, which is where it tells of fewer than 2**bits; the other partitions' rows are counted."""
+    told = partition_estimates(sketches, bits)
+    full = told.where(F.col("subjects") >= 1 << bits).select("partition")
+    counted = examples.join(F.broadcast(full), "partition", "left_semi").groupBy("partition").agg(F.count_distinct("subject_id").alias("subjects"))  # a row a partition
+    return told.where(F.col("subjects") < 1 << bits).unionByName(counted)
+
+
 def touching(sketches: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     """run, partition, other_partition and shared (about): where a run's partition may share a subject
-    with another partition of any run. Sketches of up to 2**bits subjects hold them all and miss
-    nothing; fuller ones are samples, so where one takes part the pair is named whatever they share.
+    with another partition of any run. Sketches of fewer than 2**bits subjects hold them all and miss
+    nothing; others may be samples, so where one takes part the pair is named whatever they share.
     Each run is held against the merged sketch of each partition, not against each run."""
     merged = sketches.groupBy("partition").agg(F.theta_union_agg("subjects", bits).alias("_all")).withColumnRenamed("partition", "other_partition")
     both = sketches.join(F.broadcast(merged), F.col("partition") != F.col("other_partition"))  # a row a partition
     shared = F.theta_sketch_estimate(F.theta_intersection("subjects", "_all"))
-    sampled = F.greatest(F.theta_sketch_estimate("subjects"), F.theta_sketch_estimate("_all")) > F.lit(1 << bits)
+    sampled = F.greatest(F.theta_sketch_estimate("subjects"), F.theta_sketch_estimate("_all")) >= F.lit(1 << bits)
     return both.select("run", "partition", "other_partition", shared.alias("shared"), sampled.alias("_sampled")).where("shared > 0 OR _sampled").drop("_sampled")
 
 

@@ -132,3 +132,15 @@ def test_sketches_across_runs(spark):
         assert sorted(x.subject_id for x in got.collect()) == sorted(x.subject_id for x in split.subject_overlap(rows).collect()) == ["s1", "s5"]
     clean = split.subject_sketches(spark.createDataFrame([("a", "train"), ("b", "test")], "subject_id string, partition string"), "r")
     assert split.touching(clean).count() == 0
+
+
+def test_subject_counts_are_exact_beyond_the_sketch(spark):
+    """Partitions of just under, at, just over and far over the entries of a sketch, in two runs that share subjects."""
+    sizes = {"train": 5_000, "validation": 1_024, "test": 1_023, "more": 1_025}
+    one = [spark.range(n).select(F.concat(F.lit(p), F.col("id")).alias("subject_id"), F.lit(p).alias("partition"), F.explode(F.array(F.lit("r0"), F.lit("r1"))).alias("run")) for p, n in sizes.items()]
+    rows = materialized(one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3]))
+    made = [split.subject_sketches(rows.where(F.col("run") == r), r, 10) for r in ("r0", "r1")]
+    sketches = materialized(made[0].unionByName(made[1]))
+    assert {r.partition: r.subjects for r in split.subject_counts(rows, sketches, 10).collect()} == sizes
+    # The same from two runs that touch nothing: a full sketch may be a sample, so it is named.
+    assert {r.partition for r in split.touching(sketches, 10).collect()} == set(sizes)
