@@ -1,12 +1,14 @@
 """Registered queries over `events` as a table and as a stream.
 
-A streamed query deals the events into files in order of time, streams the files one micro-batch each,
-and returns what has left the state at the end. Its SQL names the windows and keys that the watermark
+A streamed query deals the events into files in order of time, streams them in FILES micro-batches
+(of one file each up to FILE_ROWS rows a file), and returns what has left the state at the end. Its SQL names the windows and keys that the watermark
 closes by then. Times are whole microseconds since 1970.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..sources.tables import read_table
 from ..streaming import latest, replay, windows
 from .registry import query
 
-FILES, LATENESS, LATE_S = 4, "2 hours", 7200
+FILES, FILE_ROWS, LATENESS, LATE_S = 4, 1_000_000, "2 hours", 7200
 GAP, GAP_S = "3 hours", 10_800
 LENGTH, STEP, LENGTH_S, STEP_S = "6 hours", "2 hours", 21_600, 7200
 DAY_S = 86_400
@@ -29,10 +31,9 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = events(spark, folder)
-    low, high = rows.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
-    span = (high - low) // FILES + 1 if low is not None else 1
-    path = replay.deal(rows, F.expr(f"cast((unix_micros(at) - {low or 0}) div {span} AS int)"), FILES)
-    return replay.stream_of(spark, path, rows.schema).withWatermark("at", LATENESS)
+    each = max(1, math.ceil(rows.count() / FILES / FILE_ROWS))
+    path = replay.deal(rows, F.col("at"), FILES * each)
+    return replay.stream_of(spark, path, rows.schema, each).withWatermark("at", LATENESS)
 
 
 def _aggregates() -> list[Column]:

@@ -5,8 +5,9 @@ once nothing of it has come for `quiet` (by the watermark). Then its winner leav
 and what comes still later begins a key anew if the watermark lets it in at all. Rows that are later
 than the watermark are dropped by Spark before they get here.
 
-The rows of a micro-batch that are of one key meet in one task, as in any grouping by key, but not as
-one group: they come as batches of Arrow rows, and only the best of them is kept. Ties at the winning
+Keys are dealt to buckets by their hash, and a bucket's keys share a state, a timer and a call: the state
+is a table of a row a key, and a micro-batch is folded into it by grouping, not key by key. The rows of a
+bucket come as batches of Arrow rows, and only the best of each key is kept. Ties at the winning
 keys are counted, not decided silently: `tied` is the number of other rows that equal the winner.
 """
 
@@ -38,52 +39,85 @@ def _packed(schema: T.StructType, names: list[str]) -> tuple[Column, Callable]:
     return out, back
 
 
-def latest_per_key(stream: DataFrame, time: str, keys: list[str], order: list[str], quiet_ms: int, keep: str = "latest") -> DataFrame:
+#: Buckets of keys. A task holds one of them at a time; a checkpoint is bound to their number.
+BUCKETS = 512
+
+
+def _folded(rows, names: list[str], ascending: bool):
+    """A row for each `_key`: its best order values and their payload (the earliest of equal ones), the
+    rows, how many of them equal the best, and the newest time."""
+    import pandas as pd
+
+    rows = rows.sort_values(names, ascending=ascending, kind="stable", ignore_index=True)
+    code, keys = pd.factorize(rows["_key"])
+    code = pd.Series(code)
+    best = rows.loc[~code.duplicated()].reset_index(drop=True)  # the k-th of them has code k
+    equal = rows["equal"].where((rows[names].to_numpy() == best[names].to_numpy()[code]).all(axis=1), 0)
+    for name, value in (("rows", rows["rows"].groupby(code).sum()), ("equal", equal.groupby(code).sum()), ("newest", rows["newest"].groupby(code).max())):
+        best[name] = value.to_numpy()
+    return best
+
+
+def latest_per_key(stream: DataFrame, time: str, keys: list[str], order: list[str], quiet_ms: int, keep: str = "latest", buckets: int = BUCKETS) -> DataFrame:
     """keys, the other columns of the winner by `order` (time first, as a rule), rows (of the key) and
     tied. stream has a watermark on time. Null order values raise. Order columns are whole numbers,
     texts or times; a key that is quiet for longer than quiet_ms, by the watermark, is done."""
     on_workers(stream.sparkSession)
-    schema, n = stream.schema, len(order)
+    schema = stream.schema
+    # Keys meet as texts, so the two zeros of fractions are made one, as grouping would.
+    stream = stream.withColumns({x: F.col(x) + F.lit(0).cast(schema[x].dataType) for x in keys if isinstance(schema[x].dataType, T.FractionalType) and not isinstance(schema[x].dataType, T.DecimalType)})
+    key, keys_back = _packed(schema, keys)
     payload, back = _packed(schema, [x for x in schema.names if x not in (*keys, *order)])
     times = [isinstance(schema[x].dataType, T.TimestampType) for x in order]
     orders = [(F.unix_micros(x) if t else F.col(x)).alias(f"_order_{i}") for i, (x, t) in enumerate(zip(order, times))]
-    given = stream.select(*keys, time, *orders, payload.alias("_packed")) if time not in keys else stream.select(*keys, *orders, payload.alias("_packed"))
-    held = [T.StructField(f"_order_{i}", T.LongType() if t else schema[x].dataType) for i, (x, t) in enumerate(zip(order, times))]
-    state_schema = T.StructType([*held, *(T.StructField(x, k) for x, k in (("_packed", T.StringType()), ("rows", T.LongType()), ("tied", T.LongType()), ("newest", T.LongType())))])
-    out_schema = T.StructType([*(schema[x] for x in keys), *state_schema.fields[:-1]])
-    names, ascending = [f.name for f in held], keep != "latest"
-
-    def plain(x: object) -> object:
-        return x.item() if hasattr(x, "item") else x
-
-    def work(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+    at = [time] if time not in keys else []
+    given = stream.select(bucket, *at, F.unix_millis(time).alias("newest"), *orders, key.alias("_key"), payload.alias("_payload"))
+    out_schema = T.StructType([
+        T.StructField("_key", T.StringType()), *(T.StructField(f"_order_{i}", T.LongType() if t else schema[x].dataType) for i, (x, t) in enumerate(zip(order, times))),
+        T.StructField("_payload", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("tied", T.LongType()),
+    ])
+    names, ascending = [f"_order_{i}" for i in range(len(order))], keep != "latest"
+
+    def work(_: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
+        import pyarrow as pa
 
-        if state.hasTimedOut:
-            got = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, *got[:-1])], columns=out_schema.names)
-            return
-        best, packed, rows, tied, newest = None, None, 0, 0, None
-        if state.exists:
-            *best, packed, rows, tied, newest = state.get
-            best = tuple(best)
-        for frame in frames:
+        mark = state.getCurrentWatermarkMs()
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        fresh = None
+        for frame in frames if not state.hasTimedOut else ():
             if frame[names].isnull().any().any():
                 raise ValueError("a null order value on the stream")
-            rows += len(frame)
-            top = frame.sort_values(names, ascending=ascending, kind="stable").index[0]
-            mine = tuple(plain(frame.at[top, x]) for x in names)
-            equal = int((frame[names] == frame.loc[top, names]).all(axis=1).sum())
-            at = int(frame[time].max().value) // 1_000_000
-            newest = at if newest is None else max(at, newest)
-            if best is None or (mine < best if ascending else mine > best):
-                best, packed, tied = mine, frame.at[top, "_packed"], equal - 1
-            elif mine == best:
-                tied += equal
-        state.update((*best, packed, rows, tied, newest))
-        state.setTimeoutTimestamp(max(newest + quiet_ms, state.getCurrentWatermarkMs() + 1))
-
-    won = given.groupBy(*keys).applyInPandasWithState(work, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-    restored = back(won.withColumns({x: F.timestamp_micros(f"_order_{i}") if t else F.col(f"_order_{i}") for i, (x, t) in enumerate(zip(order, times))}).drop(*names))
+            frame = frame[["_key", *names, "_payload", "newest"]].assign(rows=1, equal=1)
+            fresh = _folded(frame if fresh is None else pd.concat([fresh, frame], ignore_index=True), names, ascending)
+        done = None
+        if held is not None:
+            # A timer runs only for keys that nothing has come of in this batch.
+            over = held["due"] < mark
+            if fresh is not None:
+                over &= ~held["_key"].isin(fresh["_key"])
+            done, held = held[over], held[~over]
+        if fresh is not None:
+            if held is not None:
+                again = held["_key"].isin(fresh["_key"])
+                fresh = _folded(pd.concat([held.loc[again, fresh.columns], fresh], ignore_index=True), names, ascending)
+                held = held[~again]
+            fresh["due"] = (fresh["newest"] + quiet_ms).clip(lower=mark + 1)
+            held = fresh if held is None else pd.concat([held, fresh], ignore_index=True)
+        if held is None or held.empty:
+            state.remove()
+        else:
+            table, sink = pa.Table.from_pandas(held, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(int(held["due"].min()))
+        if done is not None and len(done):
+            yield done.assign(tied=done["equal"] - 1)[out_schema.names].reset_index(drop=True)
+
+    won = given.groupBy("_bucket").applyInPandasWithState(work, out_schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    restored = won.withColumns({x: F.timestamp_micros(f"_order_{i}") if t else F.col(f"_order_{i}") for i, (x, t) in enumerate(zip(order, times))}).drop(*names)
+    restored = back(restored.withColumnRenamed("_payload", "_packed"))
+    restored = keys_back(restored.withColumnRenamed("_key", "_packed"))
     return restored.select(*schema.names, "rows", "tied")

@@ -109,6 +109,37 @@ def test_dealing_keeps_all_rows(spark):
     assert spark.read.parquet(path).count() == 100
 
 
+def test_dealing_holds_the_order_over_many_partitions(spark):
+    """A table of several partitions, each over all times: files don't overlap, and none is late."""
+    df = rows_at(spark, *((f"k{n % 7}", n % 900, n) for n in range(3600))).repartition(4)
+    path = replay.deal(df, F.col("at"), 8)
+    made = replay.run(stream(spark, path, "1 minute").withColumn("file", F.input_file_name()).groupBy(F.window("at", "10 minutes"), "file").agg(F.count("*").alias("rows")))
+    assert made.agg(F.sum("rows")).first()[0] == 3560  # all but the last, open window
+    times = spark.read.schema(SCHEMA).parquet(path).groupBy(F.input_file_name()).agg(F.min("at").alias("a"), F.max("at").alias("z")).orderBy("a").collect()
+    assert len(times) == 8 and all(x.z < y.a for x, y in zip(times, times[1:]))
+
+
+def test_many_keys_share_a_state(spark, tmp_path):
+    """Keys of two columns, nulls and both zeros among them, over several batches: as a table has them,
+    and a state holds a row a bucket."""
+    batches = [[(None if n % 50 == 7 else f"k{n % 300}", n % 40 + 100 * b, n) for n in range(b, 1500, 2)] for b in range(3)] + [[("z", 2000, 0)], [("z", 2001, 0)]]
+    path, checkpoint = dealt(spark, tmp_path, *batches[:4]), str(tmp_path / "checkpoint")
+    both = lambda df: df.withColumn("half", F.when(F.col("n") % 4 == 0, F.lit(-0.0)).otherwise(0.0))
+    make = lambda: latest.latest_per_key(both(stream(spark, path)), "at", ["k", "half"], ["at", "n"], 300 * 60_000, buckets=8)
+    out = str(tmp_path / "out")
+    got = replay.run(make(), checkpoint, out)
+    table = both(rows_at(spark, *(x for b in batches[:3] for x in b)))
+    want = table.groupBy("k", "half").agg(F.max(F.struct("at", "n", "v")).alias("w"), F.count("*").alias("rows"))
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(got.select("k", "half", "at", "n", "v", "rows")) == shown(want.select("k", "half", "w.*", "rows"))
+    assert got.where("tied <> 0").count() == 0
+    held = spark.read.format("statestore").load(checkpoint)
+    assert held.count() == 1  # of z; the others have left
+    dealt(spark, tmp_path, [(f"y{n}", 2002, n) for n in range(500)])
+    replay.run(make(), checkpoint, out)
+    assert spark.read.format("statestore").load(checkpoint).count() == 8
+
+
 def test_null_order_is_refused(spark, tmp_path):
     path = dealt(spark, tmp_path, [("a", 5, 2), ("z", 400, 1)])
     spark.sql("SELECT 'a' AS k, TIMESTAMP'2024-01-01 00:09:00Z' AS at, cast(null AS bigint) AS n, 0.5D AS v").write.mode("append").parquet(path)
