@@ -14,12 +14,13 @@ its seek points; between points that are far apart one frame leads to the next.
 
 Defined results: null media or payloads stay null; an empty payload is a stream without frames and
 decodes to no bytes; a stream that is damaged, cut off or not FLAC raises ValueError that says what
-is wrong and never returns samples; a long stream is taken GROUP frames at a time, so memory follows
+is wrong and never returns samples; a long stream is taken 2 * GROUP frames at a time, so memory follows
 its bytes by a small factor; equal payloads give equal streams.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import modest_batches, text_of
 
-FRAME, GROUP, ENCODE_GROUP = 1152, 2048, 512
+FRAME, GROUP, ENCODE_GROUP = 1152, 2048, 256
 LPC_ORDER, LPC_BITS, RATE = 4, 10, 8000
 #: Payloads are padded by spaces to a positive multiple of this.
 PAD_TO = 192
@@ -52,6 +53,8 @@ def _crc_table(poly: int, bits: int) -> list[int]:
 
 
 _CRC8, _CRC16 = _crc_table(0x07, 8), np.array(_crc_table(0x8005, 16), np.uint16)
+# What two bytes leave of a sum: that of the second one behind the first one's.
+_CRC16_PAIRS = ((_CRC16[:, None] << np.uint16(8)) ^ _CRC16[(_CRC16[:, None] >> np.uint16(8)) ^ np.arange(256, dtype=np.uint16)]).ravel()
 
 
 def _crc8(data: bytes) -> int:
@@ -62,15 +65,22 @@ def _crc8(data: bytes) -> int:
 
 
 def _crc16(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of many stretches of bytes at once."""
+    """Of many stretches of bytes at once, two bytes a step."""
     size = ends - starts
     order = np.argsort(-size, kind="stable")
     at, left = starts[order], size[order]
+    odd = left & 1
     c = np.zeros(len(order), np.uint16)
-    # Stretches by falling size: those that have a j-th byte stand in front.
+    alone = np.flatnonzero(odd)
+    c[alone] = _CRC16[data[at[alone]]]
+    at, left = at + odd, left >> 1
+    pairs = np.zeros(len(data), np.uint16)
+    pairs[:-1] = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+    # Stretches by falling size: those that have a j-th pair stand in front.
     going = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1 if len(left) else 1), side="right")
-    for j, n in enumerate(going):
-        c[:n] = (c[:n] << np.uint16(8)) ^ _CRC16[(c[:n] >> np.uint16(8)) ^ data[at[:n] + j]]
+    for n in going.tolist():
+        c[:n] = _CRC16_PAIRS[c[:n] ^ pairs[at[:n]]]
+        at[:n] += 2
     out = np.empty_like(c)
     out[order] = c
     return out
@@ -118,21 +128,23 @@ def _linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Bits:
-    """Fields of up to 25 bits written at given bits, many at once. Fields don't overlap, so bytes are
-    sums of what their fields leave in them."""
+    """Fields of up to 32 bits written at given bits, many at once, by rising place. Fields don't overlap,
+    so words are what their fields leave in them together."""
 
     def __init__(self, size: int):
-        self.data = np.zeros(size + 4, np.uint8)
+        self.words = np.zeros(size // 4 + 3, np.uint32)
 
     def put(self, at: np.ndarray, value: np.ndarray, width: np.ndarray | int) -> None:
         if not len(at):
             return
-        wide = int(np.max(width)) + 7
-        low, shifted = int(at.min()) >> 3, value.astype(np.int64) << (32 - (at & 7) - width)
-        byte = (at >> 3) - low
-        for j in range(-(-wide // 8)):
-            part = np.bincount(byte + j, weights=shifted >> (24 - 8 * j) & 255)
-            self.data[low : low + len(part)] += part.astype(np.uint8)
+        word, shifted = at >> 5, value.astype(np.uint64) << (64 - (at & 31) - width).astype(np.uint64)
+        begin = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        both, word = np.bitwise_or.reduceat(shifted, begin), word[begin]
+        self.words[word] |= (both >> np.uint64(32)).astype(np.uint32)
+        self.words[word + 1] |= both.astype(np.uint32)
+
+    def bytes(self) -> np.ndarray:
+        return self.words.astype(">u4").view(np.uint8)
 
 
 def _frames(x: np.ndarray, numbers: list[int]) -> list[bytes]:
@@ -143,7 +155,8 @@ def _frames(x: np.ndarray, numbers: list[int]) -> list[bytes]:
     # Candidates' residuals: fixed orders 0 to 4, then the linear predictor.
     candidates, d = [x], x
     for order in range(1, 5):
-        d = np.concatenate([np.zeros((m, order), np.int32), np.diff(d[:, order - 1 :], axis=1)], axis=1)
+        d, before = np.zeros_like(x), d
+        np.subtract(before[:, order:], before[:, order - 1 : -1], out=d[:, order:])
         candidates.append(d)
     coefs, shift = _linear(x)
     guess = np.zeros_like(x)
@@ -153,19 +166,26 @@ def _frames(x: np.ndarray, numbers: list[int]) -> list[bytes]:
     candidates[5][:, :LPC_ORDER] = 0
     orders = [0, 1, 2, 3, 4, LPC_ORDER]
     extra = np.array([8 * o for o in orders]) + np.array([0] * 5 + [9 + LPC_BITS * LPC_ORDER])
-    mean = np.stack([np.abs(c[:, o:]).mean(axis=1) for c, o in zip(candidates, orders)])
+    mean = np.stack([np.abs(c[:, o:]).sum(axis=1, dtype=np.int32) / (n - o) for c, o in zip(candidates, orders)])
     kind = np.argmin(n * np.log2(2 * mean + 1) + extra[:, None], axis=0)
     order = np.array(orders)[kind]
-    res = np.choose(kind[:, None], candidates)
-    folded = np.where(res >= 0, 2 * res, -2 * res - 1)
+    res = np.empty_like(x)
+    for k, c in enumerate(candidates):
+        rows = np.flatnonzero(kind == k)
+        res[rows] = c[rows]
+    folded = res << 1 ^ res >> 31
     t = np.arange(n)
-    coded = t[None, :] >= order[:, None]
-    folded = np.where(coded, folded, 0)
+    folded[:, :LPC_ORDER][t[:LPC_ORDER] < order[:, None]] = 0  # these samples are no codes
     # Bits of each of the smallest partitions with each parameter, then of joined ones.
     parts = _MOST_PARTITIONS
-    each = coded.reshape(m, parts, -1).sum(axis=2)
+    each = np.full((m, parts), n // parts)
+    each[:, 0] -= order
     most = max(1, int(folded.max()).bit_length())
-    cost = np.stack([each * (k + 1) + (folded >> k).reshape(m, parts, -1).sum(axis=2) for k in range(most)])
+    halved, cost = folded.copy(), []
+    for k in range(most):
+        cost.append(each * (k + 1) + halved.reshape(m, parts, -1).sum(axis=2, dtype=np.int32))
+        halved >>= 1
+    cost = np.stack(cost)
     best = []
     for po in range(parts.bit_length()):
         joined = cost.reshape(most, m, 1 << po, -1).sum(axis=3)
@@ -200,18 +220,24 @@ def _frames(x: np.ndarray, numbers: list[int]) -> list[bytes]:
     i = np.flatnonzero(rice)
     if len(i):
         out.put(at[i], po[i], 6)  # two bits of the method, 0, and four of the order
-        parameter = np.stack([np.repeat(k, parts >> p, axis=1) for p, (_, k) in enumerate(best)])[po, np.arange(m)][i]
-        k = np.repeat(parameter, n // parts, axis=1)
-        u, has = folded[i], coded[i]
-        first = t[None, :] % (n >> po[i])[:, None] == 0
-        width = 4 * first + has * ((u >> k) + 1 + k)
-        place = at[i, None] + 6 + np.cumsum(width, axis=1) - width
-        out.put(place[first], k[first], 4)
-        place = (place + 4 * first)[has]
-        k, u = k[has], u[has]
+        parameter = np.stack([np.repeat(k, parts >> p, axis=1) for p, (_, k) in enumerate(best)])[po, np.arange(m)][i].astype(np.int32)
+        k, u = np.repeat(parameter, n // parts, axis=1), folded if len(i) == m else folded[i]
+        q = u >> k
+        width = q + (k + 1)
+        value = 1 << k | u - (q << k)
+        head = t[:LPC_ORDER] < order[i, None]
+        width[:, :LPC_ORDER][head] = 0
+        value[:, :LPC_ORDER][head] = 0
+        # A partition begins by four bits of its parameter.
+        step = n // parts
+        first = t[::step] % (n >> po[i])[:, None] == 0
+        width[:, ::step] += 4 * first
+        place = np.cumsum(width, axis=1, dtype=np.int64) - width + (at[i, None] + 6)
+        out.put(place[:, ::step][first], parameter[first], 4)
+        place[:, ::step] += 4 * first
         # A code is q noughts, a one, and the k low bits: a number of k + 1 bits behind noughts.
-        out.put(place + (u >> k), 1 << k | u & ((1 << k) - 1), k + 1)
-    data = out.data[: ends[-1]]
+        out.put((place + q).ravel(), value.ravel(), (k + 1).ravel())
+    data = out.bytes()[: ends[-1]]
     for s, h in zip(starts.tolist(), heads):
         data[s : s + len(h)] = np.frombuffer(h, np.uint8)
     crc = _crc16(data, starts, ends - 2)
@@ -334,10 +360,22 @@ def _read_header(data: bytes, at: int, end: int, about: Info) -> _Frame:
     return _Frame(at, p + 1, size, assignment, depth, number, bool(data[at + 1] & 1))
 
 
-_ONE_BIT, _TOP_16 = np.uint64(1), np.uint64(48)
+_ONE_BIT, _TOP_16, _LOW_16 = np.uint64(1), np.uint64(48), np.uint64((1 << 16) - 1)
 _LEADING = np.array([16 if x == 0 else 16 - x.bit_length() for x in range(1 << 16)], np.int64)
 
 
+@functools.cache
+def _short_codes() -> np.ndarray:
+    """Of each Rice parameter up to 14 and next 16 bits: the value of a code that ends in these, times 32,
+    and its bits; 0 where it doesn't. So it is for parameter 15, which stands for all larger ones."""
+    out, w = np.zeros((16, 1 << 16), np.int32), np.arange(1 << 16)
+    for k in range(15):
+        used = _LEADING + 1 + k
+        u = _LEADING << k | w >> np.maximum(16 - used, 0) & (1 << k) - 1
+        out[k] = np.where(used <= 16, ((u >> 1) ^ -(u & 1)) << 5 | used, 0)
+    return out.ravel()
+
+
 class _Reader:
     """Bits of a batch's bytes, read at many places at once. Noughts stand behind them, more than a
     damaged frame can run through before it is found out."""
@@ -381,8 +419,7 @@ class _Reader:
 
 
 def _subframes(reader: _Reader, at: list[int], sizes: list[int], depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """One subframe of each of many frames: samples (a row a sample, a column a frame), and the
-    bits behind them. Every kind is a predictor with a residual: a constant has no residual, a
+    """One subframe of each of many frames: samples (a row a frame), and the bits behind them. Every kind is a predictor with a residual: a constant has no residual, a
     verbatim one no predictor."""
     m, top = len(at), max(sizes)
     coefs, taps = np.zeros((32, m), np.int64), np.zeros((32, m), np.int64)
@@ -430,8 +467,10 @@ def _subframes(reader: _Reader, at: list[int], sizes: list[int], depths: list[in
             raise ValueError("a FLAC subframe's type is reserved")
         place[i] = p
     high = int(order.max(initial=0))
-    # Samples stand below `high` rows of history, the earliest on top.
-    out = np.zeros((high + top, m), np.int64)
+    # Samples stand below `high` rows of history, the earliest on top. Up to 12 bits a prediction of 32
+    # taps of 15 bits fits in 32 bits.
+    kind = np.int32 if max(depths) <= 12 else np.int64
+    out = np.zeros((high + top, m), kind)
     size = np.array(sizes)
     for j in range(high):
         rows = np.flatnonzero(order > j)
@@ -439,7 +478,9 @@ def _subframes(reader: _Reader, at: list[int], sizes: list[int], depths: list[in
     lanes = np.argsort(-size, kind="stable")  # long frames first, so that those that go on stand in front
     out, place, order, shift, length, escape, five, coefs = (x[..., lanes] for x in (out, place, order, shift, length, escape, five, coefs))
     going = np.searchsorted(-size[lanes], -np.arange(1, top + 1), side="right")
+    coefs, shift = coefs.astype(kind), shift.astype(kind)
     parameter, one = np.zeros(m, np.int64), np.int64(1)
+    short, table, last = np.zeros(m, np.int64), _short_codes(), np.uint64(48)
     due, verbatim = np.where(length < 1 << 40, 0, top + 1), (escape >= 0).any()
     escaped = verbatim
     for t, n in enumerate(going.tolist()):
@@ -449,6 +490,7 @@ def _subframes(reader: _Reader, at: list[int], sizes: list[int], depths: list[in
             parameter[start] = reader.bits(place[start], wide)
             place[start] += wide
             due[start] += length[start]
+            short[start] = np.minimum(parameter[start], 15) << 16
             out_of = parameter[start] == (one << wide) - 1
             escape[start] = -1
             if out_of.any():
@@ -461,20 +503,24 @@ def _subframes(reader: _Reader, at: list[int], sizes: list[int], depths: list[in
             q, low = np.zeros(n, np.int64), np.zeros(n, np.int64)
             rice = np.flatnonzero((escape[:n] < 0) & (order[:n] <= t))
             q[rice], low[rice] = reader.codes(p[rice], k[rice])
-        elif t < high:  # a lane's first samples are no codes
-            q, low = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            rice = np.flatnonzero(order[:n] <= t)
-            q[rice], low[rice] = reader.codes(p[rice], k[rice])
-        else:
-            q, low = reader.codes(p, k)
-        u = q << k | low
-        value, used = (u >> 1) ^ -(u & 1), q + 1 + k
-        if escaped:
+            u = q << k | low
+            value, used = (u >> 1) ^ -(u & 1), q + 1 + k
             rows = np.flatnonzero(escape[:n] >= 0)
             width = escape[rows]
             x = reader.bits(p[rows], width)
             value[rows] = np.where((width > 0) & (x >> np.maximum(width - 1, 0) > 0), x - (one << width), x)
             used[rows] = width
+        else:
+            bits = reader.eight.take(p >> 3) >> (last - (p & 7).view(np.uint64))
+            code = table.take((bits & _LOW_16).view(np.int64) | short[:n])
+            used, value = code & 31, (code >> 5).astype(kind, copy=False)
+            if not used.all():  # long codes; a lane's first samples are no codes
+                rows = np.flatnonzero((used == 0) & (order[:n] <= t))
+                q, low = reader.codes(p[rows], k[rows])
+                u = q << k[rows] | low
+                value[rows], wide = (u >> 1) ^ -(u & 1), q + 1 + k[rows]
+                used = used.astype(np.int64)
+                used[rows] = wide
         if high:
             guess = coefs[0, :n] * out[high + t - 1, :n]
             for j in range(1, high):
@@ -485,13 +531,13 @@ def _subframes(reader: _Reader, at: list[int], sizes: list[int], depths: list[in
             value, used = np.where(skip, out[high + t, :n], value), np.where(skip, 0, used)
         out[high + t, :n] = value
         place[:n] += used
-    samples, ends = np.empty((top, m), np.int64), np.empty(m, np.int64)
-    samples[:, lanes], ends[lanes] = out[high:], place
+    samples, ends = np.empty((m, top), kind), np.empty(m, np.int64)
+    samples[lanes], ends[lanes] = out[high:].T, place
     if constant.any():
-        samples[:, constant] = fixed[constant]
+        samples[constant] = fixed[constant, None]
     if (ends > reader.most).any():
         raise ValueError("a FLAC frame runs past its stream")
-    return samples << wasted, ends
+    return samples << wasted[:, None].astype(kind) if wasted.any() else samples, ends
 
 
 def _decode_frames(reader: _Reader, frames: list[_Frame]) -> tuple[list[np.ndarray], list[int]]:
@@ -502,7 +548,7 @@ def _decode_frames(reader: _Reader, frames: list[_Frame]) -> tuple[list[np.ndarr
         side = lambda f: f.assignment in (8, 10) and channel == 1 or f.assignment == 9 and channel == 0  # noqa: B023, E731
         samples, ends = _subframes(reader, [at[i] for i in rows], [frames[i].size for i in rows], [frames[i].depth + side(frames[i]) for i in rows])
         for j, i in enumerate(rows):
-            found[i].append(samples[: frames[i].size, j])
+            found[i].append(samples[j, : frames[i].size])
             at[i] = int(ends[j])
     ends = np.array([(x + 7) // 8 for x in at])
     data = np.frombuffer(reader.data, np.uint8)
@@ -524,13 +570,15 @@ def _decode_frames(reader: _Reader, frames: list[_Frame]) -> tuple[list[np.ndarr
     return out, (ends + 2).tolist()
 
 
+def _signed(samples: np.ndarray, depth: int) -> bytes:
+    """Interleaved, signed little-endian in whole bytes."""
+    flat, wide = samples.T.reshape(-1), -(-depth // 8)
+    return flat.astype(np.int8).tobytes() if wide == 1 else flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
+
+
 def pcm(samples: np.ndarray, depth: int) -> bytes:
     """Interleaved; up to 8 bits unsigned, else signed little-endian in whole bytes."""
-    flat = samples.T.reshape(-1)
-    if depth <= 8:
-        return (flat + 128).astype(np.uint8).tobytes()
-    wide = -(-depth // 8)
-    return flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
+    return (samples.T.reshape(-1) + 128).astype(np.uint8).tobytes() if depth <= 8 else _signed(samples, depth)
 
 
 @dataclass
@@ -544,12 +592,12 @@ class Decoded:
 
 
 def _walk(streams: list[bytes], about: list[Info], cursors: list[tuple[int, int, int]]) -> list[list[tuple[int, np.ndarray]]]:
-    """Frames from each cursor (stream, byte, end byte) on, GROUP cursors at a time; for each cursor
+    """Frames from each cursor (stream, byte, end byte) on, 2 * GROUP cursors at a time; for each cursor
     its frames' first samples (or numbers times sizes) and samples. Each round decodes a frame of
     each cursor."""
     out: list[list] = [[] for _ in cursors]
-    for a in range(0, len(cursors), GROUP):
-        group = cursors[a : a + GROUP]
+    for a in range(0, len(cursors), 2 * GROUP):
+        group = cursors[a : a + 2 * GROUP]
         base, pieces, total = {}, [], 0
         for k, (s, at, end) in enumerate(group):
             base[k] = total - at
@@ -588,8 +636,7 @@ def decode(streams: list[bytes]) -> list[Decoded]:
             starts.append(n)
             offsets.append(size)
             part = pcm(f, x.depth)
-            wide = -(-x.depth // 8)
-            digest.update(f.T.reshape(-1).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes())
+            digest.update(_signed(f, x.depth))
             parts.append(part)
             n, size = n + f.shape[1], size + len(part)
         if x.samples and n != x.samples:

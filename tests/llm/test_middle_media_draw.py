@@ -111,6 +111,51 @@ def test_flac_finds_damage():
             flac.decode([stream[:cut]])
 
 
+def test_flac_frames_of_a_batch_are_lanes_of_one_pass(monkeypatch):
+    """A batch of the column's size, whose short last frames make more frames than its bytes alone."""
+    r, passes, plain = random.Random(4), [], flac._subframes
+    given = [bytes(r.randrange(97, 123) for _ in range(192 * r.randint(1, 60))) for _ in range(420)]
+    media = flac.encode(given)
+    assert flac.GROUP < sum(-(-len(p) // flac.FRAME) for p in given) < 2 * flac.GROUP
+    monkeypatch.setattr(flac, "_subframes", lambda reader, at, *rest: passes.append(len(at)) or plain(reader, at, *rest))
+    assert [d.pcm for d in flac.decode(media)] == given and len(passes) == 1
+
+
+def test_flac_short_and_long_codes():
+    """Codes of 16 bits are looked up, longer ones counted; both meet in one frame and in neighbours."""
+    spiked = bytearray(b"\x80" * 1152 * 3)
+    for at, x in ((7, 255), (300, 0), (1151, 200), (1152, 1), (2000, 140), (3455, 255)):
+        spiked[at] = x
+    steep = bytes(128 + (t % 40 == 0) * (t // 40) for t in range(1152))
+    given = [bytes(spiked), steep, bytes(spiked)[:192], *payloads()]
+    media = flac.encode(given)
+    assert [d.pcm for d in flac.decode(media)] == given and len(media[0]) < 1152
+    for k in range(16):
+        for w in random.Random(k).sample(range(1 << 16), 300):
+            q = 16 - w.bit_length()
+            code = int(flac._short_codes()[k << 16 | w])
+            if k == 15 or q + 1 + k > 16:
+                assert code == 0
+            else:
+                u = q << k | w >> 16 - (q + 1 + k) & (1 << k) - 1
+                assert (code & 31, code >> 5) == (q + 1 + k, -(u + 1) // 2 if u & 1 else u // 2)
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 50, 51])
+def test_flac_sums_by_two_bytes(size):
+    data = np.frombuffer(random.Random(size).randbytes(200), np.uint8)
+    starts = np.array([0, 7, 120])
+    ends = starts + np.array([size, size + 1, max(size - 2, 0)])
+    plain = []
+    for a, z in zip(starts, ends):
+        c = 0
+        for x in data[a:z]:
+            for bit in range(7, -1, -1):
+                c = (c << 1 ^ (0x8005 if (c >> 15) ^ (int(x) >> bit & 1) else 0)) & 0xFFFF
+        plain.append(c)
+    assert flac._crc16(data, starts, ends).tolist() == plain
+
+
 class Writer:
     """Bits of a hand-made stream."""
 
